@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import derived
 from hearsay.functions import text as text_functions
-from hearsay.functions.places import parse_location
+from hearsay.functions.places import parse_location, place_parts
 from hearsay.operators import crisis, distributions, geography, language, rankings
 from hearsay.operators.ingest import filter_topic, normalise
 from hearsay.operators.search import posts_search
@@ -72,14 +72,7 @@ def sentiment_class_by_join(spark, sf_dir):
     cleaned = normalise(derived.raw_posts(spark, sf_dir, False), derived.INGEST_TS, "idx").select(
         "post_id", text_functions.clean_text(F.col("text")).alias("cleaned_text")
     )
-    decided = classify(cleaned, None, output="keyword_class")
-    polar = join_polarity(decided, derived.lexicon(spark), "cleaned_text", "post_id")
-    from hearsay.functions.sentiment import polarity_class
-
-    sentiment = F.when(F.col("keyword_class") != "Neutral", F.col("keyword_class")).otherwise(
-        polarity_class(F.col("polarity"))
-    )
-    return polar.select("post_id", sentiment.alias("sentiment"))
+    return classify(cleaned, derived.lexicon(spark), literal_rows=0).select("post_id", "sentiment")
 
 
 def document_sentiment(spark, sf_dir):
@@ -121,7 +114,8 @@ def hashtag_bag(spark, sf_dir):
 
 def parse_locations(spark, sf_dir):
     raw = derived.raw_posts(spark, sf_dir)
-    return raw.select("idx", parse_location(F.col("Location")).alias("p")).select("idx", "p.*")
+    split = raw.select("idx", "Location", place_parts(F.col("Location")).alias("parts"))
+    return split.withColumns(parse_location(F.col("Location"), F.col("parts"))).drop("Location", "parts")
 
 
 def date_parts(spark, sf_dir):
@@ -255,6 +249,12 @@ def document_entities(spark, sf_dir):
     return language.entity_counts(docs, derived.document_entities(spark, sf_dir))
 
 
+def document_entities_by_join(spark, sf_dir):
+    """The same counts with no n-gram dropped before counting, as for a large gazetteer."""
+    docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("cleaned_text"))
+    return language.entity_counts(docs, derived.document_entities(spark, sf_dir), literal_rows=0)
+
+
 def word_frequency(spark, sf_dir):
     return language.word_frequency(posts(spark, sf_dir))
 
@@ -515,6 +515,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entity_counts,
         entity_matches,
         document_entities,
+        document_entities_by_join,
         word_frequency,
         document_words,
         topic_terms,

@@ -10,41 +10,40 @@ from hearsay.functions.text import strip
 _NOT_A_PLACE = ["", "None", "nan"]
 
 
-def parse_location(c: Column) -> Column:
-    """Struct (city, state, country) of 'city, state, country' or 'city, country'.
+def place_parts(c: Column) -> Column:
+    """Comma-separated parts of a place string, each stripped."""
+    return F.transform(F.split(strip(c), ",", -1), strip)
 
-    Any other number of parts is kept whole as the country; empty parts are null.
+
+def parse_location(location: Column, parts: Column) -> dict[str, Column]:
+    """City, state and country of 'city, state, country' or 'city, country'.
+
+    Any other number of parts is kept whole as the country; empty parts are
+    null. ``parts`` is a column holding :func:`place_parts`, so that the string
+    is split once.
     """
-    place = strip(c)
-    parts = F.split(place, ",", -1)
     n = F.size(parts)
-    part = lambda i: F.nullif(strip(F.get(parts, F.lit(i))), F.lit(""))
-    return F.struct(
-        F.when(n.isin(2, 3), part(0)).alias("city"),
-        F.when(n == 3, part(1)).alias("state"),
-        F.when(n == 3, part(2)).when(n == 2, part(1)).otherwise(F.nullif(place, F.lit(""))).alias("country"),
-    )
-
+    known = lambda c: F.nullif(c, F.lit(""))
+    part = lambda i: known(F.get(parts, F.lit(i)))
+    return {
+        "city": F.when(n.isin(2, 3), part(0)),
+        "state": F.when(n == 3, part(1)),
+        "country": F.when(n == 3, part(2)).when(n == 2, part(1)).otherwise(known(strip(location))),
+    }
 
-def _is_place(c: Column) -> Column:
-    return c.isNotNull() & ~c.isin(_NOT_A_PLACE)
 
+def finest_place(city: Column, state: Column, country: Column) -> Column:
+    """The finest known place as an array of at most one (level, name, state, country)."""
 
-def place_level(city: Column, state: Column, country: Column) -> Column:
-    """Struct (level, name, state, country) of the finest known part, else null."""
     def at(level: str, name: Column, state_: Column) -> Column:
         return F.struct(
-            F.lit(level).alias("level"),
-            name.alias("name"),
-            state_.alias("state"),
-            country.alias("country"),
+            F.lit(level).alias("level"), name.alias("name"), state_.alias("state"), country.alias("country")
         )
 
-    return (
-        F.when(_is_place(city), at("city", city, state))
-        .when(_is_place(state), at("state", state, state))
-        .when(_is_place(country), at("country", country, F.lit(None).cast("string")))
+    levels = F.array(
+        at("city", city, state), at("state", state, state), at("country", country, F.lit(None).cast("string"))
     )
+    return F.slice(F.filter(levels, lambda p: p["name"].isNotNull() & ~p["name"].isin(_NOT_A_PLACE)), 1, 1)
 
 
 def place_label(level: Column, name: Column, state: Column, country: Column, count: Column) -> Column:

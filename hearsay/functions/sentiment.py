@@ -10,6 +10,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hearsay.functions.binding import let
+from hearsay.functions.text import words
 from hearsay.schema import DISASTER_WORDS, HAPPY_WORDS, SAD_WORDS
 
 #: Polarities are summed as whole billionths, so that a sum does not depend on
@@ -53,15 +55,11 @@ def mean_polarity(total_units: Column, hits: Column) -> Column:
     return F.try_divide(total_units.cast("double"), hits.cast("double")) / F.lit(float(SCALE))
 
 
-def lexicon_hits(tokens: Column, lexicon: Mapping[str, float]) -> Column:
-    """The tokens that a small lexicon knows: one hashed set test per token."""
-    return F.filter(tokens, lambda t: t.isin(list(lexicon)))
+def lexicon_polarity(tokens: Column, lexicon: Mapping[str, float]) -> Column:
+    """Mean polarity of the tokens that a small lexicon knows, without any shuffle.
 
-
-def lexicon_polarity(hits: Column, lexicon: Mapping[str, float]) -> Column:
-    """Mean polarity of lexicon words, without any shuffle.
-
-    Only the few hits walk the branches, one per distinct polarity value.
+    One hashed set test per token keeps the few hits; only those walk the
+    branches, one per distinct polarity value.
     """
     by_value: dict[int, list[str]] = {}
     for word, polarity in lexicon.items():
@@ -75,5 +73,21 @@ def lexicon_polarity(hits: Column, lexicon: Mapping[str, float]) -> Column:
             chain = chain.when(t.isin(group), F.lit(value).cast("bigint"))
         return chain
 
-    total = F.aggregate(hits, F.lit(0).cast("bigint"), lambda acc, t: acc + units(t))
-    return mean_polarity(total, F.size(hits))
+    def mean(hits: Column) -> Column:
+        total = F.aggregate(hits, F.lit(0).cast("bigint"), lambda acc, t: acc + units(t))
+        return mean_polarity(total, F.size(hits))
+
+    return let(F.filter(tokens, lambda t: t.isin(list(lexicon))), mean)
+
+
+def sentiment_class(text: Column, lexicon: Mapping[str, float], match: str = "substring") -> Column:
+    """Class of a cleaned text by keywords, else by a small lexicon.
+
+    Texts that a keyword decides are never tokenised.
+    """
+    return let(
+        F.lower(F.coalesce(text, F.lit(""))),
+        lambda t: F.coalesce(
+            keyword_class(t, match), polarity_class(lexicon_polarity(words(t), lexicon))
+        ),
+    )

@@ -11,13 +11,13 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
     "        　"
 )
-_SPACE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _WORD = r"\p{L}\p{N}_"
 
 # --- Fixed values: patterns ---------------------------------------------------
 MENTION = "@[A-Za-z0-9_]+"
-RETWEET = f"RT[{_SPACE}]+"
-URL = f"https?://[^{_SPACE}]+"
+RETWEET = f"RT[{SPACE}]+"
+URL = f"https?://[^{SPACE}]+"
 HASHTAG = f"#([{_WORD}]+)"
 WORD = f"[{_WORD}][{_WORD}']+"
 LETTERS = r"[\p{L}\p{Nl}\p{No}_]+"

@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearsay.functions.text import strip
+from hearsay.functions.binding import let
+from hearsay.functions.text import SPACE, strip
 from hearsay.schema import NA_STRINGS, PLATFORMS
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = rf"^[{SPACE}]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[{SPACE}]*$"
 
-#: Tried in order after the ISO forms that a plain cast understands.
+#: Tried in order after the ISO forms that a plain cast understands. Where day
+#: and month can be told apart only by size, the month is read first.
 TIME_FORMATS = (
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy",
-    "dd-MM-yyyy HH:mm:ss",
-    "dd-MM-yyyy",
-    "dd MMM yyyy HH:mm:ss",
-    "dd MMM yyyy",
-    "MMM dd HH:mm:ss Z yyyy",
+    "yyyy/M/d H:m:s",
+    "yyyy/M/d H:m",
+    "yyyy/M/d",
+    "M/d/yyyy H:m:s",
+    "M/d/yyyy H:m",
+    "M/d/yyyy",
+    "d/M/yyyy H:m:s",
+    "d/M/yyyy H:m",
+    "d/M/yyyy",
+    "M-d-yyyy H:m:s",
+    "M-d-yyyy",
+    "d-M-yyyy H:m:s",
+    "d-M-yyyy",
+    "d MMM yyyy H:m:s",
+    "d MMM yyyy",
+    "MMM d, yyyy",
+    "MMM d H:m:s yyyy",
 )
 
 
@@ -34,20 +44,40 @@ def null_if_missing(c: Column, missing: Iterable[str] = NA_STRINGS) -> Column:
 
 def to_count(c: Column) -> Column:
     """Whole number, truncated toward zero; anything not numeric gives 0."""
-    number = F.when(strip(c).rlike(_NUMBER), strip(c))
-    return F.coalesce(
-        number.try_cast("bigint"), number.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint")
-    )
+    number = F.regexp_extract(c, _NUMBER, 1)
+    # A cast that fails costs an exception per row, so each sees only fitting text.
+    whole = F.when(number == "", F.lit(0).cast("bigint"))
+    whole = whole.when(number.rlike("[.eE]"), number.try_cast("double").try_cast("bigint"))
+    return F.coalesce(whole.otherwise(number.try_cast("bigint")), F.lit(0).cast("bigint"))
+
+
+def _shape(pattern: str) -> str:
+    """Regular expression of the texts that a time format can match."""
+    digits = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}"}
+    parts = re.findall(r"[A-Za-z]+|[^A-Za-z]", pattern)
+    return "^" + "".join(digits.get(p, r"\d{1,2}") if p.isalpha() else p for p in parts) + "$"
 
 
 def to_time(c: Column, ingest_ts: Column, formats: Iterable[str] = TIME_FORMATS) -> Column:
-    """Timestamp without zone; blank or unreadable values give ``ingest_ts``."""
+    """Timestamp without zone; blank or unreadable values give ``ingest_ts``.
+
+    An offset is dropped: the wall-clock time of the post is what counts.
+    """
     value = strip(c)
-    # "Mon Jan 01 10:00:00 +0000 2024": Spark does not parse weekday names.
-    undated = F.regexp_replace(value, "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
-    tries = [value.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(undated, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*tries, ingest_ts.cast("timestamp_ntz"))
+    # "Mon Jan 01 10:00:00 +0000 2024": neither weekday nor offset is needed.
+    bare = F.regexp_replace(value, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),? | [+-]\d{4}(?= \d{4}$)", "")
+
+    def by_format(text: Column) -> Column:
+        return F.coalesce(
+            *[
+                F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz"))
+                for f in formats
+            ]
+        )
+
+    return F.coalesce(
+        value.try_cast("timestamp_ntz"), let(bare, by_format), ingest_ts.cast("timestamp_ntz")
+    )
 
 
 def hour_floor(c: Column) -> Column:
@@ -57,10 +87,11 @@ def hour_floor(c: Column) -> Column:
 def canonical_platform(c: Column) -> Column:
     """Known platforms in title case, missing ones 'Unknown', others trimmed."""
     name = strip(c)
-    out = F.when(name.isNull() | name.isin("", "nan", "None"), F.lit("Unknown"))
-    for platform in PLATFORMS:
-        out = out.when(F.lower(name) == platform.lower(), F.lit(platform))
-    return out.otherwise(name)
+    known = {p.lower(): p for p in PLATFORMS} | {"": "Unknown"}
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.when(name.isNull() | name.isin("nan", "None"), "Unknown").otherwise(
+        F.coalesce(F.try_element_at(names, F.lower(name)), name)
+    )
 
 
 def log_bin(c: Column) -> Column:

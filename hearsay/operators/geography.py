@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearsay.functions.places import place_label, place_level
+from hearsay.functions.places import finest_place, place_label
 from hearsay.operators.rankings import top
 
 PLACE_KEYS = ("level", "name", "state", "country")
@@ -13,11 +13,8 @@ PLACE_KEYS = ("level", "name", "state", "country")
 
 def located(posts: DataFrame) -> DataFrame:
     """Add the finest known place as (level, name, state, country); drop posts without any."""
-    return (
-        posts.select(place_level(F.col("city"), F.col("state"), F.col("country")).alias("place"))
-        .filter(F.col("place").isNotNull())
-        .select("place.*")
-    )
+    place = finest_place(F.col("city"), F.col("state"), F.col("country"))
+    return posts.select(F.explode(place).alias("place")).select("place.*")
 
 
 def place_counts(posts: DataFrame, parity: bool = False) -> DataFrame:

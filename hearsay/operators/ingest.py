@@ -102,12 +102,11 @@ def enrich(
 
     (A lexicon too large for literals is joined instead, see ``classify``.)
     """
-    place = places.parse_location(F.col("location"))
     out = df.withColumns(
         {
             "cleaned_text": text.clean_text(F.col("text")),
             "hashtags": text.hashtag_bag(F.col("hashtags"), F.col("text"), strip_hash),
-            "place": place,
+            "_parts": places.place_parts(F.col("location")),
             "year": F.year("created_at"),
             "month": F.month("created_at"),
             "day": F.dayofmonth("created_at"),
@@ -115,7 +114,4 @@ def enrich(
         }
     )
     out = classify(out, lexicon, match=match)
-    part = lambda name: F.col("place").getField(name)
-    return out.withColumns(
-        {"city": part("city"), "state": part("state"), "country": part("country")}
-    ).select(*POST_COLUMNS)
+    return out.withColumns(places.parse_location(F.col("location"), F.col("_parts"))).select(*POST_COLUMNS)

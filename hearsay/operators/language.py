@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame
@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 from hearsay.functions.text import letter_tokens, ngrams, words
 from hearsay.operators.rankings import top
 from hearsay.schema import STOPWORDS
+from hearsay.session import fresh_folder
 from hearsay.sources.lookups import MAX_LITERAL_ROWS, small_rows
 
 ENTITY_OUTPUT = "post_id string, entity string, type string"
 
 
 def match_entities(
-    posts: DataFrame, gazetteer: DataFrame, longest: int = 3, text_column: str = "cleaned_text"
+    posts: DataFrame,
+    gazetteer: DataFrame,
+    longest: int = 3,
+    text_column: str = "cleaned_text",
+    literal_rows: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
     """(post_id, entity, type) for every n-gram of the text found in the gazetteer."""
     grams = _grams(posts, text_column, longest, "post_id")
     known = gazetteer.select(F.lower("ngram").alias("ngram"), "entity", "type").distinct()
-    return _keep_known(grams, known).join(known, "ngram").select("post_id", "entity", "type")
+    return _keep_known(grams, known, literal_rows).join(known, "ngram").select("post_id", "entity", "type")
 
 
 def extract_entities(
@@ -44,7 +49,11 @@ def top_entities(entities: DataFrame, k: int = 20) -> DataFrame:
 
 
 def entity_counts(
-    posts: DataFrame, gazetteer: DataFrame, longest: int = 3, text_column: str = "cleaned_text"
+    posts: DataFrame,
+    gazetteer: DataFrame,
+    longest: int = 3,
+    text_column: str = "cleaned_text",
+    literal_rows: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
     """``count_entities(match_entities(...))`` with n-grams counted before the join.
 
@@ -53,7 +62,7 @@ def entity_counts(
     """
     grams = _grams(posts, text_column, longest)
     known = gazetteer.select(F.lower("ngram").alias("ngram"), "entity", "type").distinct()
-    counted = _keep_known(grams, known).groupBy("ngram").agg(F.count("*").alias("n"))
+    counted = _keep_known(grams, known, literal_rows).groupBy("ngram").agg(F.count("*").alias("n"))
     return counted.join(known, "ngram").groupBy("entity", "type").agg(F.sum("n").alias("count"))
 
 
@@ -64,9 +73,9 @@ def _grams(posts: DataFrame, text_column: str, longest: int, *keep: str) -> Data
     return tokens.select(*keep, F.explode(ngrams(F.col("_tokens"), longest)).alias("ngram"))
 
 
-def _keep_known(grams: DataFrame, known: DataFrame) -> DataFrame:
+def _keep_known(grams: DataFrame, known: DataFrame, literal_rows: int) -> DataFrame:
     """Drop n-grams outside a small gazetteer with a hashed set test, before any shuffle."""
-    rows = small_rows(known.select("ngram").distinct())
+    rows = small_rows(known.select("ngram").distinct(), literal_rows)
     if rows is None:
         return grams
     return grams.filter(F.col("ngram").isin([r.ngram for r in rows]))
@@ -119,19 +128,22 @@ def topic_model(
     iterations: int = 20,
     sample: float = 0.05,
 ):
-    """Fitted pipeline of term counts and LDA.
+    """Fitted term counter and LDA model, as a pipeline model.
 
     The vocabulary is bounded, and online variational Bayes needs one
     topics x vocabulary matrix per step, so the driver's share does not grow
-    with the corpus.
+    with the corpus. Every step reads the term counts again; they are written
+    to the shared folder first, so that no step tokenises the texts anew.
     """
     counter = CountVectorizer(
         inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=min_documents
-    )
+    ).fit(tokens)
+    path = fresh_folder(tokens.sparkSession, "term-counts")
+    counter.transform(tokens).select("features").write.parquet(path)
     lda = LDA(
         k=topics, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=sample, featuresCol="features"
-    )
-    return Pipeline(stages=[counter, lda]).fit(tokens)
+    ).fit(tokens.sparkSession.read.parquet(path))
+    return PipelineModel([counter, lda])
 
 
 def describe_topics(model, terms: int = 10) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions import sentiment as s
+from hearsay.functions.binding import let
 from hearsay.functions.text import words
-from hearsay.sources.lookups import small_rows
+from hearsay.sources.lookups import MAX_LITERAL_ROWS, small_rows
 
 
 def classify(
@@ -17,22 +18,38 @@ def classify(
     key: str = "post_id",
     match: str = "substring",
     output: str = "sentiment",
+    literal_rows: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
     """Add the sentiment class: keywords first, then the lexicon's mean polarity.
 
-    Texts decided by a keyword are never tokenised.
+    Texts decided by a keyword are never tokenised. ``key`` is used only if the
+    lexicon exceeds ``literal_rows`` and has to be joined; it must be unique.
     """
-    df = df.withColumn("_lowered", F.lower(F.coalesce(F.col(text_column), F.lit(""))))
-    df = df.withColumn("_class", s.keyword_class(F.col("_lowered"), match))
-    if lexicon is None:
-        return df.withColumn(output, F.coalesce("_class", F.lit("Neutral"))).drop("_lowered", "_class")
-    undecided = F.when(F.col("_class").isNull(), F.col("_lowered"))
-    df = add_polarity(df.withColumn("_undecided", undecided), lexicon, "_undecided", key, "_polarity")
-    return df.withColumn(output, F.coalesce(F.col("_class"), s.polarity_class(F.col("_polarity")))).drop(
-        "_lowered", "_class", "_undecided", "_polarity"
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    known = {} if lexicon is None else small_lexicon(lexicon, literal_rows)
+    if known is not None:
+        return df.withColumn(output, s.sentiment_class(text, known, match))
+    decided = df.withColumn("_class", let(F.lower(text), lambda t: s.keyword_class(t, match)))
+    decided = decided.withColumn("_undecided", F.when(F.col("_class").isNull(), text))
+    return (
+        join_polarity(decided, lexicon, "_undecided", key, "_polarity")
+        .withColumn(output, F.coalesce(F.col("_class"), s.polarity_class(F.col("_polarity"))))
+        .drop("_class", "_undecided", "_polarity")
     )
 
 
+def small_lexicon(lexicon: DataFrame, literal_rows: int = MAX_LITERAL_ROWS) -> dict[str, float] | None:
+    """The lexicon as a dictionary if it passes the size check, else None."""
+    rows = small_rows(lexicon.select("word", "polarity"), literal_rows)
+    if rows is None:
+        return None
+    known: dict[str, float] = {}
+    for r in rows:
+        if r.word is not None and r.polarity is not None:
+            known[r.word] = max(r.polarity, known.get(r.word, r.polarity))
+    return known
+
+
 def add_polarity(
     df: DataFrame, lexicon: DataFrame, text_column: str, key: str, output: str = "polarity"
 ) -> DataFrame:
@@ -41,12 +58,10 @@ def add_polarity(
     A lexicon that passes the size check becomes literals of the plan: no
     shuffle at all. A larger one is joined, see :func:`join_polarity`.
     """
-    rows = small_rows(lexicon.select("word", "polarity"))
-    if rows is None:
+    known = small_lexicon(lexicon)
+    if known is None:
         return join_polarity(df, lexicon, text_column, key, output)
-    known = {r.word: r.polarity for r in rows if r.word is not None and r.polarity is not None}
-    hits = df.withColumn("_hits", s.lexicon_hits(words(F.col(text_column)), known))
-    return hits.withColumn(output, s.lexicon_polarity(F.col("_hits"), known)).drop("_hits")
+    return df.withColumn(output, s.lexicon_polarity(words(F.col(text_column)), known))
 
 
 def join_polarity(

@@ -60,7 +60,7 @@ def imports_to(store: PostStore, topic: str, name: str, now: Callable[[], dt.dat
 
 def all_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of all micro-batches, for streams in append mode."""
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).drop("batch_id")
 
 
 def latest_rows(spark: SparkSession, path: str, schema: StructType, *keys: str) -> DataFrame:
