@@ -14,6 +14,14 @@ TABLES = (
 ).split()
 
 
+SAME_TYPE = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
 LAST_SQL: list[float] = []  # when each SQL statement ended
 
 
@@ -44,6 +52,11 @@ def difference(spark_df, con, sql: str) -> str | None:
     LAST_SQL.append(time.time())
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(names)}"
+    types = {c: t for c, t in spark_df.dtypes}
+    sql_types = {d[0]: str(d[1]) for d in cursor.description}
+    odd = {c: (t, sql_types[c]) for c, t in types.items() if SAME_TYPE.get(t) != sql_types[c]}
+    if odd:
+        return f"types {odd}"
     got = canonical(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     expected = canonical(names, expected_rows)
     if len(got) != len(expected):

@@ -182,6 +182,6 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "benchmark").select(words(F.col("text")).alias("w"))
     return tokens.filter(F.size("w") >= 3).select(
         F.array_join(F.slice("w", 1, 3), " ").alias("ngram"),
-        F.upper(F.get("w", F.lit(0))).alias("entity"),
+        F.get("w", F.lit(0)).alias("entity"),
         F.lit("ITEM").alias("type"),
     )

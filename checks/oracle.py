@@ -319,12 +319,12 @@ GROUP BY entity, type ORDER BY count DESC, entity, type LIMIT 20""",
         _grams("post", "post_id", "cleaned_text"),
     ),
     "document_entities": f"""WITH item AS (SELECT {_words('text')} AS w FROM benchmark),
-gaz AS (SELECT DISTINCT array_to_string(list_slice(w, 1, 3), ' ') AS ngram, upper(w[1]) AS entity, 'ITEM' AS type
+gaz AS (SELECT DISTINCT array_to_string(list_slice(w, 1, 3), ' ') AS ngram, w[1] AS entity, 'ITEM' AS type
   FROM item WHERE len(w) >= 3),
 {_grams('documents', 'doc_id', 'text')}
 SELECT entity, type, count(*) AS count FROM gram JOIN gaz USING (ngram) GROUP BY entity, type""",
     "document_entities_by_join": f"""WITH item AS (SELECT {_words('text')} AS w FROM benchmark),
-gaz AS (SELECT DISTINCT array_to_string(list_slice(w, 1, 3), ' ') AS ngram, upper(w[1]) AS entity, 'ITEM' AS type
+gaz AS (SELECT DISTINCT array_to_string(list_slice(w, 1, 3), ' ') AS ngram, w[1] AS entity, 'ITEM' AS type
   FROM item WHERE len(w) >= 3),
 {_grams('documents', 'doc_id', 'text')}
 SELECT entity, type, count(*) AS count FROM gram JOIN gaz USING (ngram) GROUP BY entity, type""",

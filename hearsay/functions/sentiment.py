@@ -34,11 +34,14 @@ def contains_any(lowered: Column, terms: Iterable[str], match: str = "substring"
 
 def keyword_class(lowered: Column, match: str = "substring") -> Column:
     """Disaster, Happy or Sad, tested in this order; null if no keyword occurs."""
-    return (
-        F.when(contains_any(lowered, DISASTER_WORDS, match), "Disaster")
-        .when(contains_any(lowered, HAPPY_WORDS, match), "Happy")
-        .when(contains_any(lowered, SAD_WORDS, match), "Sad")
-    )
+    chain, tested = F, []
+    for name, terms in (("Disaster", DISASTER_WORDS), ("Happy", HAPPY_WORDS), ("Sad", SAD_WORDS)):
+        if match == "substring":
+            # a term that holds another one of this or an earlier class never decides
+            tested += terms
+            terms = [t for t in terms if not any(o in t and o != t for o in tested)]
+        chain = chain.when(contains_any(lowered, terms, match), name)
+    return chain
 
 
 def polarity_class(polarity: Column) -> Column:

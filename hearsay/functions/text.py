@@ -13,6 +13,7 @@ WHITESPACE = (
 )
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _WORD = r"\p{L}\p{N}_"
+_LETTER = r"\p{L}\p{Nl}\p{No}"
 
 # --- Fixed values: patterns ---------------------------------------------------
 MENTION = "@[A-Za-z0-9_]+"
@@ -20,7 +21,6 @@ RETWEET = f"RT[{SPACE}]+"
 URL = f"https?://[^{SPACE}]+"
 HASHTAG = f"#([{_WORD}]+)"
 WORD = f"[{_WORD}][{_WORD}']+"
-LETTERS = r"[\p{L}\p{Nl}\p{No}_]+"
 
 
 def strip(c: Column) -> Column:
@@ -31,7 +31,7 @@ def strip(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Drop mentions, hash signs, retweet marks and URLs, in that order; null gives ''."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), MENTION, "")
-    out = F.translate(out, "#", "")
+    out = F.replace(out, F.lit("#"), F.lit(""))
     out = F.regexp_replace(out, RETWEET, "")
     return strip(F.regexp_replace(out, URL, ""))
 
@@ -61,26 +61,30 @@ def words(c: Column) -> Column:
 
 
 def letter_tokens(c: Column, shortest: int = 2, longest: int = 15) -> Column:
-    """Lower-case digit-free tokens of the topic model, limited by length."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(LETTERS), 0)
-    return F.filter(
-        tokens,
-        lambda t: F.length(t).between(shortest, longest) & ~t.startswith("_"),
-    )
+    """Lower-case digit-free tokens of the topic model, limited by length.
 
+    The length limits are part of the pattern, as a filter over the tokens would
+    run interpreted for each of them.
+    """
+    whole = f"(?<![{_LETTER}_])[{_LETTER}][{_LETTER}_]{{{shortest - 1},{longest - 1}}}+(?![{_LETTER}_])"
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(whole), 0)
+
+
+def ngrams(tokens: Column, longest: int, starts: list[str] | None = None) -> Column:
+    """All 1..longest-grams of a token array, joined by a space.
 
-def ngrams(tokens: Column, longest: int) -> Column:
-    """All 1..longest-grams of a token array, joined by a space."""
+    With ``starts`` only those that begin with one of the given tokens are built.
+    """
 
     def of_length(n: int) -> Column:
         if n == 1:
-            return tokens
-        joined = F.transform(
-            tokens,
-            lambda t, i: F.concat(
-                t, *[F.concat(F.lit(" "), F.get(tokens, i + k)) for k in range(1, n)]
-            ),
-        )
-        return F.filter(joined, lambda g: g.isNotNull())  # the last n-1 starts run off the end
+            return tokens if starts is None else F.filter(tokens, lambda t: t.isin(starts))
+
+        def gram(t: Column, i: Column) -> Column:
+            whole = F.concat(t, *[F.concat(F.lit(" "), F.get(tokens, i + k)) for k in range(1, n)])
+            return whole if starts is None else F.when(t.isin(starts), whole)
+
+        # null where the text ends before the n-gram does
+        return F.filter(F.transform(tokens, gram), lambda g: g.isNotNull())
 
     return F.flatten(F.array(*[of_length(n) for n in range(1, longest + 1)]))

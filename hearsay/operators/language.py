@@ -28,9 +28,9 @@ def match_entities(
     literal_rows: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
     """(post_id, entity, type) for every n-gram of the text found in the gazetteer."""
-    grams = _grams(posts, text_column, longest, "post_id")
     known = gazetteer.select(F.lower("ngram").alias("ngram"), "entity", "type").distinct()
-    return _keep_known(grams, known, literal_rows).join(known, "ngram").select("post_id", "entity", "type")
+    grams = _grams(posts, known, text_column, longest, literal_rows, "post_id")
+    return grams.join(known, "ngram").select("post_id", "entity", "type")
 
 
 def extract_entities(
@@ -60,25 +60,32 @@ def entity_counts(
     What is shuffled and joined is one row per distinct n-gram, so neither the
     corpus size nor a very frequent n-gram loads a single task.
     """
-    grams = _grams(posts, text_column, longest)
     known = gazetteer.select(F.lower("ngram").alias("ngram"), "entity", "type").distinct()
-    counted = _keep_known(grams, known, literal_rows).groupBy("ngram").agg(F.count("*").alias("n"))
+    grams = _grams(posts, known, text_column, longest, literal_rows)
+    counted = grams.groupBy("ngram").agg(F.count("*").alias("n"))
     return counted.join(known, "ngram").groupBy("entity", "type").agg(F.sum("n").alias("count"))
 
 
-def _grams(posts: DataFrame, text_column: str, longest: int, *keep: str) -> DataFrame:
+def _grams(
+    posts: DataFrame, known: DataFrame, text_column: str, longest: int, literal_rows: int, *keep: str
+) -> DataFrame:
+    """One row per n-gram of the texts that may be in the gazetteer.
+
+    For a gazetteer that passes the size check, only n-grams in it are kept, and
+    only those that begin like one of its entries are built at all. Otherwise
+    all n-grams come out.
+    """
     # The tokens are a column of their own: inside the n-gram lambda the
     # expression would be evaluated again for every token.
     tokens = posts.select(*keep, words(F.col(text_column)).alias("_tokens"))
-    return tokens.select(*keep, F.explode(ngrams(F.col("_tokens"), longest)).alias("ngram"))
-
-
-def _keep_known(grams: DataFrame, known: DataFrame, literal_rows: int) -> DataFrame:
-    """Drop n-grams outside a small gazetteer with a hashed set test, before any shuffle."""
     rows = small_rows(known.select("ngram").distinct(), literal_rows)
     if rows is None:
-        return grams
-    return grams.filter(F.col("ngram").isin([r.ngram for r in rows]))
+        return tokens.select(*keep, F.explode(ngrams(F.col("_tokens"), longest)).alias("ngram"))
+    listed = [r.ngram for r in rows if r.ngram]
+    starts = sorted({g.split(" ")[0] for g in listed})
+    longest = min(longest, max((len(g.split(" ")) for g in listed), default=1))
+    grams = tokens.select(*keep, F.explode(ngrams(F.col("_tokens"), longest, starts)).alias("ngram"))
+    return grams.filter(F.col("ngram").isin(listed))
 
 
 def word_counts(
