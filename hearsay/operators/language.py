@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,25 +126,34 @@ def topic_tokens(posts: DataFrame, text_column: str = "cleaned_text", key: str =
     return posts.select(key, letter_tokens(F.col(text_column)).alias("tokens")).filter(F.size("tokens") > 0)
 
 
+def topic_vocabulary(tokens: DataFrame, size: int) -> list[str]:
+    """The most frequent terms, ties by term.
+
+    A distributed count and top-k: only ``size`` terms ever reach the driver.
+    (Fitting a CountVectorizer would send it the candidates of every partition.)
+    """
+    counts = tokens.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("count"))
+    return [r.term for r in top(counts, "count", "term", k=size).collect()]
+
+
 def topic_model(
     tokens: DataFrame,
     topics: int = 3,
     seed: int = 42,
-    vocabulary: int = 1 << 16,
-    min_documents: float = 1.0,
+    vocabulary: int = 1 << 15,
     iterations: int = 20,
     sample: float = 0.05,
 ):
-    """Fitted term counter and LDA model, as a pipeline model.
+    """Term counter and fitted LDA model, as a pipeline model.
 
     The vocabulary is bounded, and online variational Bayes needs one
     topics x vocabulary matrix per step, so the driver's share does not grow
     with the corpus. Every step reads the term counts again; they are written
     to the shared folder first, so that no step tokenises the texts anew.
     """
-    counter = CountVectorizer(
-        inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=min_documents
-    ).fit(tokens)
+    counter = CountVectorizerModel.from_vocabulary(
+        topic_vocabulary(tokens, vocabulary), inputCol="tokens", outputCol="features"
+    )
     path = fresh_folder(tokens.sparkSession, "term-counts")
     counter.transform(tokens).select("features").write.parquet(path)
     lda = LDA(

@@ -1,16 +1,21 @@
 """Post store: imports, posts and their counts as Parquet tables.
 
-Layout: every table is partitioned by ``topic_key`` and ``import_id``. An import
-writes its own partitions and its ``imports`` row last; readers see only imports
-with such a row, so a failed import leaves nothing visible, and repeating an
-import id replaces its partitions instead of adding to them.
+Layout: every table is partitioned by ``topic_hash`` (a digest of the lower-case
+topic, safe in any path) and ``import_id``. An import writes its own partitions
+and its ``imports`` row last; readers see only imports with such a row, so a
+failed import leaves nothing visible, and repeating an import id replaces its
+partitions instead of adding to them. Reading a topic lists that topic's folder
+only, however many others there are.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +24,13 @@ from hearsay.operators.distributions import sentiment_metrics, with_share
 from hearsay.operators.rankings import hashtag_counts, top
 from hearsay.schema import IMPORT_SCHEMA, POST_SCHEMA
 
-_KEYS = [T.StructField("topic_key", T.StringType()), T.StructField("import_id", T.StringType())]
+PARTITIONS = ("topic_hash", "import_id")
+_KEYS = [T.StructField(name, T.StringType()) for name in PARTITIONS]
 _HASHTAGS = [T.StructField("hashtag", T.StringType()), T.StructField("count", T.LongType())]
 _SENTIMENTS = [T.StructField("sentiment", T.StringType()), T.StructField("count", T.LongType())]
 
 TABLES = {
-    "imports": IMPORT_SCHEMA,
+    "imports": T.StructType([f for f in IMPORT_SCHEMA if f.name != "import_id"] + _KEYS),
     "posts": T.StructType(POST_SCHEMA.fields + _KEYS),
     "hashtag_counts": T.StructType(_HASHTAGS + _KEYS),
     "sentiment_counts": T.StructType(_SENTIMENTS + _KEYS),
@@ -42,21 +48,34 @@ class PostStore:
         """Make the empty tables; existing ones stay as they are."""
         for name, schema in TABLES.items():
             empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("append").partitionBy("topic_key", "import_id").parquet(self._path(name))
+            empty.write.mode("append").partitionBy(*PARTITIONS).parquet(self._path(name))
         return self
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(self._path(name))
+    def _path(self, name: str, topic: str | None = None, import_id: str | None = None) -> str:
+        parts = [self.root, name]
+        if topic is not None:
+            parts.append(f"topic_hash={_hash(topic)}")
+        if import_id is not None:
+            parts.append(f"import_id={import_id}")
+        return "/".join(parts)
+
+    def _read(self, name: str, topic: str | None = None, import_id: str | None = None) -> DataFrame:
+        """A table, or only what it holds of a topic (and import); no rows if there is none."""
+        schema = TABLES[name]
+        reader = self.spark.read.schema(schema).option("basePath", self._path(name))
+        try:
+            return reader.parquet(self._path(name, topic, import_id))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND" or topic is None:
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def _replace(self, df: DataFrame, name: str) -> None:
         """Write the partitions that ``df`` holds, replacing only those."""
         (
             df.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("topic_key", "import_id")
+            .partitionBy(*PARTITIONS)
             .parquet(self._path(name))
         )
 
@@ -79,40 +98,40 @@ class PostStore:
         All rows go to one partition, each task writing its own file there, so
         the write needs no shuffle however large the topic is.
         """
-        key = _key(topic)
         import_id = import_id or uuid.uuid4().hex
-        here = {"topic_key": F.lit(key), "import_id": F.lit(import_id)}
+        if not re.fullmatch(r"[\w.-]+", import_id, re.ASCII):
+            raise ValueError(f"an import id is made of letters, digits, '.', '_' and '-': {import_id!r}")
+        here = {"topic_hash": F.lit(_hash(topic)), "import_id": F.lit(import_id)}
         self._replace(posts.select(*POST_SCHEMA.fieldNames()).withColumns(here), "posts")
 
         # Counts come from the written files: enriching again would double the
         # work, and the files survive the loss of any executor.
-        stored = self._one_import("posts", key, import_id)
+        stored = self._read("posts", topic, import_id)
         self._replace(
             stored.groupBy("sentiment").agg(F.count("*").alias("count")).withColumns(here), "sentiment_counts"
         )
-        written = self._one_import("sentiment_counts", key, import_id).agg(F.sum("count")).first()[0]
+        written = self._read("sentiment_counts", topic, import_id).agg(F.sum("count")).first()[0]
         if not written:
             return None
         self._replace(hashtag_counts(stored).withColumns(here), "hashtag_counts")
 
         since = imported_at - recent if recent is not None else None
         search_id = self.find_search(topic, exact=recent is not None, since=since)
-        row = (import_id, search_id or import_id, topic, key, imported_at, source, platform, written)
-        self._replace(self.spark.createDataFrame([row], IMPORT_SCHEMA).coalesce(1), "imports")
+        row = (import_id, search_id or import_id, topic, _key(topic), imported_at, source, platform, written)
+        entry = self.spark.createDataFrame([row], IMPORT_SCHEMA).coalesce(1)
+        self._replace(entry.withColumns(here), "imports")
         return import_id
 
-    def _one_import(self, name: str, key: str, import_id: str) -> DataFrame:
-        return self._read(name).filter((F.col("topic_key") == key) & (F.col("import_id") == import_id))
-
     # -- searches -------------------------------------------------------------
 
-    def imports(self) -> DataFrame:
-        return self._read("imports")
+    def imports(self, topic: str | None = None) -> DataFrame:
+        """One row per import, of all topics or of one."""
+        return self._read("imports", topic).select(*IMPORT_SCHEMA.fieldNames())
 
-    def searches(self) -> DataFrame:
+    def searches(self, topic: str | None = None) -> DataFrame:
         """One row per search: imports that were put together, from the first on."""
         first = F.struct("imported_at", "import_id")
-        return self.imports().groupBy("search_id", "topic_key").agg(
+        return self.imports(topic).groupBy("search_id", "topic_key").agg(
             F.min_by("topic", first).alias("topic"),
             F.min("imported_at").alias("searched_at"),
             F.min_by("source", first).alias("source"),
@@ -122,7 +141,7 @@ class PostStore:
 
     def latest_search(self, topic: str, exact: bool = False, since: dt.datetime | None = None) -> DataFrame:
         """(search_id) of the newest search of the topic, no row if there is none."""
-        found = self.searches().filter(F.col("topic_key") == _key(topic))
+        found = self.searches(topic)
         if exact:
             found = found.filter(F.col("topic") == topic)
         if since is not None:
@@ -147,15 +166,16 @@ class PostStore:
     # -- topic reads ----------------------------------------------------------
 
     def _topic_imports(self, topic: str, exact: bool) -> DataFrame:
-        found = self.imports().filter(F.col("topic_key") == _key(topic))
+        found = self.imports(topic)
         return found.filter(F.col("topic") == topic) if exact else found
 
     def _of_topic(self, name: str, topic: str, latest: bool, exact: bool) -> DataFrame:
-        """Rows of the topic's committed imports; the key filter prunes partitions."""
+        """Rows of the topic's imports that are complete."""
         imports = self._topic_imports(topic, exact)
         if latest:
-            imports = imports.join(self.latest_search(topic, exact), "search_id", "left_semi")
-        rows = self._read(name).filter(F.col("topic_key") == _key(topic))
+            # a value rather than a join: so Spark prunes the other imports' partitions
+            imports = imports.filter(F.col("search_id") == (self.find_search(topic, exact) or ""))
+        rows = self._read(name, topic).drop("topic_hash")
         return rows.join(imports.select("import_id", "imported_at"), "import_id")
 
     def topic_posts(self, topic: str, latest: bool = False, exact: bool = False) -> DataFrame:
@@ -190,3 +210,7 @@ def _key(topic: str) -> str:
     if not topic.strip():
         raise ValueError("a topic must not be blank")
     return topic.lower()
+
+
+def _hash(topic: str) -> str:
+    return hashlib.md5(_key(topic).encode()).hexdigest()

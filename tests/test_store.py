@@ -111,8 +111,11 @@ def test_odd_topics(store, few):
         store.write_import(few, t, NOW)
     for t in topics:
         assert store.topic_posts(t).count() == 3
+    assert store.topic_posts("other").count() == 0
     with pytest.raises(ValueError):
         store.write_import(few, "  ", NOW)
+    with pytest.raises(ValueError):
+        store.write_import(few, "x", NOW, import_id="a/b")
 
 
 def test_positive_posts_of_first_import(store, make_posts, spark):
@@ -128,9 +131,11 @@ def test_positive_posts_of_first_import(store, make_posts, spark):
 
 def test_topic_read_prunes_partitions(store, few):
     store.write_import(few, "Fire", NOW)
-    plan = store.topic_posts("fire").select("platform")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(topic_key" in plan and "dynamicpruning" in plan
-    assert "cleaned_text" not in plan
+    store.write_import(few, "Other", NOW)
+    files = store.topic_posts("fire").inputFiles()
+    assert files and len({f.split("topic_hash=")[1][:32] for f in files}) == 1
+    plan = store.topic_posts("fire", latest=True).select("platform")._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "cleaned_text" not in plan
 
 
 def test_csv_import(store, tmp_path):
