@@ -20,6 +20,7 @@ SAME_TYPE = {
     "double": "DOUBLE",
     "string": "VARCHAR",
     "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
 }
 
 LAST_SQL: list[float] = []  # when each SQL statement ended

@@ -251,7 +251,7 @@ SELECT doc_id, polarity FROM documents LEFT JOIN pol ON k = doc_id""",
     "lexicon_polarity_by_join": f"""WITH {_LEXICON}, {_polarity('documents', 'doc_id', 'text')}
 SELECT doc_id, polarity FROM documents LEFT JOIN pol ON k = doc_id""",
     "hashtag_bag": _raw(f"SELECT idx, array_to_string({_BAG}, '|') AS hashtags FROM raw"),
-    "parse_locations": _raw(f"SELECT idx, {_location('location_')} FROM raw"),
+    "parse_location": _raw(f"SELECT idx, {_location('location_')} FROM raw"),
     "date_parts": _posts("SELECT post_id, created_at, year, month, day, hour FROM post"),
     "enrich_posts": _posts("SELECT * EXCLUDE (tags), array_to_string(tags, '|') AS hashtags FROM post"),
     "csv_posts": f"WITH {_RAW},\n{_NORM}\nSELECT * EXCLUDE (idx) FROM norm",
@@ -259,7 +259,7 @@ SELECT doc_id, polarity FROM documents LEFT JOIN pol ON k = doc_id""",
         r"SELECT idx, text_ AS text FROM raw WHERE regexp_matches(lower(text_), 'near the|#k1[23]\b')"
     ),
     "topic_filter_literal": "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the ')",
-    "search_posts": _posts(
+    "posts_search": _posts(
         """SELECT post_id, text, created_at, sentiment FROM post
 WHERE regexp_matches(lower(text), 'service|victory') AND list_contains(tags, 'click')
   AND created_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"""
@@ -402,6 +402,14 @@ FROM filled GROUP BY search_id, lower(topic)"""
   min(imported_at) AS began FROM filled GROUP BY search_id) GROUP BY topic ORDER BY last_searched DESC, topic LIMIT 10"""
     ),
     "import_summary": _store("SELECT import_id, topic, imported_at, n_posts FROM filled"),
+    "recent_search": _store(
+        """SELECT search_id FROM (SELECT search_id, topic, min(imported_at) AS began FROM filled GROUP BY search_id, topic)
+WHERE topic IN ('#click', 'victory') AND began > TIMESTAMP '2024-02-01 02:00:00'"""
+    ),
+    "known_topics": _store(
+        """SELECT topic, count(*) > 0 AND topic IN (SELECT lower(topic) FROM filled) AS known
+FROM (SELECT '#' || event_type AS topic FROM events) GROUP BY topic"""
+    ),
     "csv_import": _posts(
         """SELECT post_id, sentiment, city, country, like_count FROM post
 WHERE regexp_matches(lower(text), 'near|service')"""

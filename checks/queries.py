@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from checks import derived
 from hearsay.functions import text as text_functions
-from hearsay.functions.places import parse_location, place_parts
+from hearsay.functions import places as place_functions
 from hearsay.operators import crisis, distributions, geography, language, rankings
 from hearsay.operators.ingest import filter_topic, normalise
-from hearsay.operators.search import posts_search
+from hearsay.operators import search
 from hearsay.operators.sentiment import add_polarity, classify, join_polarity
 from hearsay.plans.imports import import_csv, prepare
 from hearsay.session import fresh_folder
@@ -112,10 +112,10 @@ def hashtag_bag(spark, sf_dir):
     return raw.select("idx", F.array_join(bag, "|").alias("hashtags"))
 
 
-def parse_locations(spark, sf_dir):
+def parse_location(spark, sf_dir):
     raw = derived.raw_posts(spark, sf_dir)
-    split = raw.select("idx", "Location", place_parts(F.col("Location")).alias("parts"))
-    return split.withColumns(parse_location(F.col("Location"), F.col("parts"))).drop("Location", "parts")
+    split = raw.select("idx", "Location", place_functions.place_parts(F.col("Location")).alias("parts"))
+    return split.withColumns(place_functions.parse_location(F.col("Location"), F.col("parts"))).drop("Location", "parts")
 
 
 def date_parts(spark, sf_dir):
@@ -149,8 +149,8 @@ def topic_filter_literal(spark, sf_dir):
     return filter_topic(docs, "The ", literal=True).select("doc_id", "lang")
 
 
-def search_posts(spark, sf_dir):
-    found = posts_search(
+def posts_search(spark, sf_dir):
+    found = search.posts_search(
         posts(spark, sf_dir), "service|victory", "click", "2024-01-05 00:00:00", "2024-01-20 12:00:00"
     )
     return found.select("post_id", "text", "created_at", "sentiment")
@@ -406,6 +406,19 @@ def import_summary(spark, sf_dir):
     return example_store(spark, sf_dir).import_summary()
 
 
+def recent_search(spark, sf_dir):
+    """Searches of exactly these topics that began after two o'clock."""
+    store, since = example_store(spark, sf_dir), dt.datetime(2024, 2, 1, 2, 0)
+    found = [store.latest_search(t, exact=True, since=since) for t in ("#click", "victory")]
+    return found[0].unionByName(found[1])
+
+
+def known_topics(spark, sf_dir):
+    """Which event types were imported as a topic."""
+    types = derived.table(spark, sf_dir, "events").select(F.concat(F.lit("#"), "event_type").alias("topic"))
+    return example_store(spark, sf_dir).known_topics(types.distinct())
+
+
 def csv_import(spark, sf_dir):
     """CSV file to stored posts, end to end; the count of each class."""
     path = fresh_folder(spark, "csv")
@@ -491,13 +504,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lexicon_polarity,
         lexicon_polarity_by_join,
         hashtag_bag,
-        parse_locations,
+        parse_location,
         date_parts,
         enrich_posts,
         csv_posts,
         topic_filter,
         topic_filter_literal,
-        search_posts,
+        posts_search,
         sentiment_counts,
         sentiment_metrics,
         sentiment_metrics_read,
@@ -541,6 +554,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         searches,
         search_history,
         import_summary,
+        recent_search,
+        known_topics,
         csv_import,
         stream_volume,
         stream_hashtags,

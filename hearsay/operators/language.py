@@ -149,7 +149,8 @@ def topic_model(
     The vocabulary is bounded, and online variational Bayes needs one
     topics x vocabulary matrix per step, so the driver's share does not grow
     with the corpus. Every step reads the term counts again; they are written
-    to the shared folder first, so that no step tokenises the texts anew.
+    to the shared folder first, so that no step tokenises the texts anew (and
+    stay there until that folder is cleared).
     """
     counter = CountVectorizerModel.from_vocabulary(
         topic_vocabulary(tokens, vocabulary), inputCol="tokens", outputCol="features"

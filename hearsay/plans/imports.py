@@ -19,15 +19,20 @@ def prepare(
     row_key: str | None = None,
     literal: bool = False,
     on_collision: str = "error",
+    spread: bool = False,
 ) -> DataFrame:
     """Raw rows under any accepted header to enriched posts of a topic.
 
     Works on batches and streams alike. Headers are renamed before the topic
-    filter, so that the filter finds the text under every name.
+    filter, so that the filter finds the text under every name. ``spread`` (for
+    batches) rebalances the posts of the topic before they are enriched, where
+    the source has too few partitions.
     """
     posts = require_text(alias_columns(raw, on_collision))
     if topic is not None:
         posts = filter_topic(posts, topic, literal)
+    if spread:
+        posts = posts.hint("rebalance")
     return enrich(normalise(posts, ingest_ts, row_key), lexicon)
 
 
@@ -41,6 +46,12 @@ def import_csv(
     recent: dt.timedelta | None = None,
     **options,
 ) -> str | None:
-    """Import the posts of a topic from CSV files; None if no post matches."""
+    """Import the posts of a topic from CSV files; None if no post matches.
+
+    A multi-line file is parsed by one task. If there are fewer files than
+    cores, the posts are spread after parsing, so that the costlier steps are not.
+    """
     raw = read_posts_csv(store.spark, path, multiline)
-    return store.write_import(prepare(raw, now, topic, lexicon, **options), topic, now, recent=recent)
+    spread = multiline and len(raw.inputFiles()) < store.spark.sparkContext.defaultParallelism
+    posts = prepare(raw, now, topic, lexicon, spread=spread, **options)
+    return store.write_import(posts, topic, now, recent=recent)

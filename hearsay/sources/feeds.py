@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hearsay.schema import FEED_SCHEMA
 
-#: Bounds of the intake per request.
-MIN_INTAKE, MAX_INTAKE, DEFAULT_INTAKE = 10, 100, 20
+#: Files taken up per micro-batch.
+DEFAULT_INTAKE = 20
 
 
 def read_feed(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -155,6 +155,13 @@ class PostStore:
     def has_topic(self, topic: str, exact: bool = False) -> bool:
         return not self._topic_imports(topic, exact).limit(1).isEmpty()
 
+    def known_topics(self, topics: DataFrame) -> DataFrame:
+        """Add ``known`` to a table of topics: whether any import has it, ignoring case."""
+        keys = self.imports().select(F.col("topic_key").alias("_key"), F.lit(True).alias("_found")).distinct()
+        return topics.join(keys, F.lower("topic") == F.col("_key"), "left").select(
+            *topics.columns, F.coalesce("_found", F.lit(False)).alias("known")
+        )
+
     def search_history(self, k: int = 10) -> DataFrame:
         """Distinct topics, last searched first."""
         topics = self.searches().groupBy("topic").agg(F.max("searched_at").alias("last_searched"))

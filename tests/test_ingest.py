@@ -104,7 +104,7 @@ def test_columns_are_pruned_to_the_scan(spark, sf_dir):
     from hearsay.operators.distributions import platform_distribution
 
     plan = platform_distribution(queries.posts(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<event_id:bigint>" in plan and "tsunami" not in plan
+    assert "ReadSchema: struct<event_id:bigint>" in plan and "emergency" not in plan
 
 
 def test_csv_round_trip(spark, tmp_path):
