@@ -68,15 +68,21 @@ def filter_topic(df: DataFrame, topic: str, literal: bool = False, text_column:
 
 
 def normalise(
-    df: DataFrame, ingest_ts: dt.datetime | str, row_key: str | None = None, on_collision: str = "error"
+    df: DataFrame,
+    ingest_ts: dt.datetime | str | None = None,
+    row_key: str | None = None,
+    on_collision: str = "error",
 ) -> DataFrame:
     """All-string rows under any accepted header to typed columns.
 
+    Posts without a readable time get ``ingest_ts``; None stands for the time of
+    the query, in a stream for that of each micro-batch.
+
     ``post_id`` is a digest of the row key and the text. Without a key column
     it covers author, time and text, so that a post fetched again keeps its id.
     """
     df = fill_defaults(require_text(alias_columns(df, on_collision)))
-    ingest = F.lit(str(ingest_ts)).cast("timestamp_ntz")
+    ingest = F.localtimestamp() if ingest_ts is None else F.lit(str(ingest_ts)).cast("timestamp_ntz")
     key = [F.col(row_key).cast("string")] if row_key else [F.col("username"), F.col("created_at")]
     return df.select(
         F.md5(F.concat_ws("\u0001", *key, F.col("text"))).alias("post_id"),

@@ -13,7 +13,7 @@ from hearsay.sources.store import PostStore
 
 def prepare(
     raw: DataFrame,
-    ingest_ts: dt.datetime | str,
+    ingest_ts: dt.datetime | str | None = None,
     topic: str | None = None,
     lexicon: DataFrame | None = None,
     row_key: str | None = None,
