@@ -29,6 +29,8 @@ def classify(
     known = {} if lexicon is None else small_lexicon(lexicon, literal_rows)
     if known is not None:
         return df.withColumn(output, s.sentiment_class(text, known, match))
+    if df.isStreaming:
+        raise ValueError(f"a stream needs a lexicon of at most {literal_rows} words")
     decided = df.withColumn("_class", let(F.lower(text), lambda t: s.keyword_class(t, match)))
     decided = decided.withColumn("_undecided", F.when(F.col("_class").isNull(), text))
     return (

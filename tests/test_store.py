@@ -85,6 +85,17 @@ def test_import_without_posts_leaves_nothing(store, few):
     assert store.search_history().count() == 0 and not store.has_topic("fire")
 
 
+def test_leftovers_of_a_failed_import_are_not_counted(store, few, monkeypatch):
+    monkeypatch.setattr(store, "find_search", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.write_import(few, "Fire", NOW, import_id="x")
+    monkeypatch.undo()
+    assert store.write_import(few.filter("text = 'none'"), "Fire", NOW, import_id="x") is None
+    assert store.topic_posts("fire").count() == 0
+    store.write_import(few.filter("text = 'joy #b'"), "Fire", NOW, import_id="x")
+    assert store.import_summary().first().n_posts == store.topic_posts("fire").count() == 1
+
+
 def test_failed_import_stays_invisible(store, few, monkeypatch):
     """Posts are written, then the import fails before its row."""
     monkeypatch.setattr(store, "find_search", lambda *a, **k: 1 / 0)

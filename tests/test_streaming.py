@@ -153,6 +153,16 @@ def test_parquet_feed(spark, feed, tmp_path):
     assert got.agg(F.sum("count")).first()[0] == batch(spark, feed).count()
 
 
+def test_stream_needs_a_small_lexicon(spark, feed):
+    from hearsay.operators.sentiment import classify
+    from hearsay.schema import LEXICON_SCHEMA
+
+    lexicon = spark.createDataFrame([("nice", 0.6, 1.0)], LEXICON_SCHEMA)
+    assert classify(stream(spark, feed), lexicon).isStreaming
+    with pytest.raises(ValueError, match="lexicon"):
+        classify(stream(spark, feed), lexicon, literal_rows=0)
+
+
 def test_refresh_period(spark, feed, tmp_path):
     df = stream(spark, feed).select("post_id")
     with pytest.raises(ValueError):
