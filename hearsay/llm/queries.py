@@ -4,22 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import decontamination, jaccard_join, line_dedup, mixing, repetition
+from hearsay.llm import (
+    decontamination,
+    jaccard_join,
+    language_id,
+    licenses,
+    line_dedup,
+    mixing,
+    pii,
+    quality_mil,
+    repetition,
+    url_graph,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    digest = F.sha2("base_spans", 256).alias("base_sha256")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, "spans")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    out = F.coalesce(held_out(), F.lit(False)).alias("held_out")
+    return language_id.predict(docs, profiles).select("doc_id", out, "lang_pred", "score")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op4_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines before and after, and a digest of what stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -31,6 +63,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = quality_mil.score(docs, quality_mil.learn(docs, labels))
+    out = F.coalesce(held_out(), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,10 +84,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    as_text = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *as_text, "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
+    "op4_url_graph": op4_url_graph,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_mil": op6_quality_mil,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_repetition": op8_repetition,
     "op9_mixing": op9_mixing,
+    "op10_licenses": op10_licenses,
 }
