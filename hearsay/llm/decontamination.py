@@ -131,7 +131,7 @@ def drop_contaminated(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH
 ) -> DataFrame:
     """The rows whose text holds no window of an item."""
-    bad = hits(docs, items, id_column, text_column, width).select(F.col("id").alias("_id"), "text_hash").distinct()
-    bad = written(bad, "contaminated")
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("text_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = hits(docs, items, id_column, text_column, width)
+    bad = bad.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_hash"))
+    return docs.join(written(bad, "contaminated"), same, "left_anti")

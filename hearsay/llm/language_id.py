@@ -58,12 +58,11 @@ def _groups(texts: pa.Array) -> Iterator[list[str]]:
 def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, code and count of each distinct n-gram of some texts, sorted by row and code."""
     lower, letter = _alphabet()
-    joined = "\n" + "\n".join(texts) + "\n"
+    joined = "\n" + "\n\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lengths = np.array([len(t) + 1 for t in texts])
-    rows = np.append(np.repeat(np.arange(len(texts), dtype=np.uint32), lengths), np.uint32(len(texts) - 1))
+    rows = np.repeat(np.arange(len(texts), dtype=np.uint32), [len(t) + 2 for t in texts])
     is_letter = letter[points]
-    # letters and the one border before each word; the next text's border ends the last word
+    # letters and the borders beside words
     keep = is_letter.copy()
     keep[:-1] |= is_letter[1:]
     keep[1:] |= is_letter[:-1] & ~is_letter[1:]
@@ -81,8 +80,8 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code = (h ^ (h >> np.uint32(13))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - CODE_BITS)
         good = rows[:size] == rows[n - 1 :]
         good &= (symbols[:size] != 0) | (symbols[n - 1 :] != 0)
-        if n == 1:
-            good &= symbols != 0
+        if n != 2:  # no border inside, or alone
+            good &= symbols[n // 2 : n // 2 + size] != 0
         parts.append((rows[:size][good] << np.uint32(CODE_BITS)) | code[good])
     keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint32)
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
@@ -133,7 +132,7 @@ def learn(
                     total += np.bincount(codes[take], weights=counts[take], minlength=1 << CODE_BITS)
         for lang, total in sums.items():
             found = np.flatnonzero(total)
-            columns = [pa.array([lang] * len(found)), pa.array(found), pa.array(total[found].astype(np.int64))]
+            columns = [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total[found].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "code", "n"])
 
     counted = labelled.select(lang_column, text_column).mapInArrow(run, "lang string, code bigint, n bigint")

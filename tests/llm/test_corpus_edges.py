@@ -1,0 +1,284 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from hearsay.llm import (
+    decontamination,
+    jaccard_join,
+    language_id,
+    licenses,
+    line_dedup,
+    mixing,
+    pii,
+    quality_mil,
+    repetition,
+    url_graph,
+)
+from hearsay.llm.graphs import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = (
+    "id text_hash words p n size rep key part lead block component host lines a b bin w target copies start end kind match "
+    "base label score rule verdict n_words"
+).split()
+LONG = " ".join(f"w{i % 5000} mail{i}@x.org 1.2.3.{i % 300}" for i in range(4000))
+TEXTS = [
+    None,
+    "",
+    " \n\t ",
+    "one",
+    "one two",
+    "One TWO",
+    "the quick brown fox jumps over the lazy dog and runs away from the angry bear in the woods",
+    "the quick brown fox jumps over the lazy dog and runs away from the angry bear in the woods",
+    "released under the MIT License.\nLicensed under CC BY-NC 4.0.\nreleased under the MIT License.",
+    "mail a.b@c.de or +1 (222) 555-1234, card 4111 1111 1111 1111, host 10.0.0.256 and 9.9.9.9.9",
+    "a@b a@b.c@d.e ++1 234 567 8901 1.2.3 4-4-4 \U0001f600 x@y.z",
+    LONG,
+    LONG + " tail",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ("en", "fr", None)[i % 3], ("s", None, "t")[i % 3], None) for i, t in enumerate(TEXTS)]
+    rows += [(7, TEXTS[7], "en", "s", None), (None, "no id here", None, None, None), (9, "other text, same id", "en", "t", 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    return df.withColumns({c: F.lit("clash") for c in CLASHES}).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def rows_of(df):
+    return df.collect()
+
+
+def test_pii(docs, empty):
+    rows = rows_of(pii.detect(docs))
+    assert len(rows) == docs.count()
+    texts = {i: t for i, t in enumerate(TEXTS)}
+    for r in rows:
+        if r.doc_id is not None and r.doc_id != 9:
+            counts, _, spans = brute.pii(texts[r.doc_id])
+            assert ((r.n_email, r.n_ip, r.n_card, r.n_phone), r.base_spans) == (counts, spans)
+    assert sorted(r.base_spans for r in rows if r.doc_id == 9) == sorted(["", brute.pii(TEXTS[9])[2]])
+    assert rows_of(pii.detect(empty)) == []
+
+
+def test_pii_mask_keeps_columns_and_long_runs_end(docs, spark):
+    masked = pii.mask(docs)
+    assert masked.columns == docs.columns
+    got = [r.text for r in masked.where("doc_id = 9 and n_chars is null").collect()]
+    assert got == ["mail <email> or <phone>, card <card>, host 10.0.0.256 and <ip>.9"]
+    run = spark.createDataFrame([(1, "a" * 300_000 + " " + "1-" * 100_000)], "doc_id long, text string")
+    assert [r.base_spans for r in pii.detect(run).collect()] == [""]
+
+
+def test_pii_reliabilities_follow_the_votes():
+    patterns = [("email", (1, 1, 1, 1), 50), ("email", (-1, -1, 0, -1), 50), ("email", (1, 0, 0, 1), 10)]
+    table, posterior = pii.estimate(patterns)
+    assert posterior["email", (1, 1, 1, 1)] > 0.9 > 0.1 > posterior["email", (-1, -1, 0, -1)]
+    assert table[0, 1, 1] > table[0, 1, -1]
+
+
+def test_language(docs, empty):
+    profiles = language_id.learn(docs)
+    assert set(profiles) == {"en", "fr"}
+    rows = rows_of(language_id.predict(docs, profiles))
+    assert len(rows) == docs.count()
+    assert {r.doc_id for r in rows if r.lang_pred == "und"} == {0, 1, 2}
+    assert {r.lang_pred for r in rows_of(language_id.predict(docs, language_id.learn(empty)))} == {"und"}
+    assert rows_of(language_id.predict(empty, profiles)) == []
+
+
+def test_language_ngrams_by_hand():
+    rows, codes, counts = language_id.ngram_counts(["ab", "Ab ab", "12 ?", ""])
+    # a, b, _a, ab, b_, _ab, ab_ for each word
+    assert (rows == 0).sum() == (rows == 1).sum() == 7
+    assert set(counts[rows == 0]) == {1} and set(counts[rows == 1]) == {2}
+    assert not (rows > 1).any()
+
+
+def test_contamination(docs, empty, spark):
+    items = [(1, TEXTS[6].upper()), (2, "one"), (3, None), (4, ""), (5, TEXTS[6]), (6, "never seen words"), (7, "one two three")]
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit("clash"))
+    known = {i: brute.words(t) for i, t in items}
+    rows = rows_of(decontamination.contamination(docs, table))
+    assert len(rows) == docs.count()
+    for r in rows:
+        if r.doc_id is not None and r.doc_id != 9:
+            assert (r.n_words, r.n_hit, list(r["items"])) == brute.contamination(TEXTS[r.doc_id], known)
+    kept = decontamination.drop_contaminated(docs, table)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(not r.contaminated for r in rows)
+    assert rows_of(decontamination.contamination(empty, table)) == []
+    assert not any(r.contaminated for r in decontamination.contamination(docs, table.where("false")).collect())
+
+
+def test_url_graph(spark):
+    link = '<a href="https://%s/x">y</a>'
+    pages = [
+        (1, "http://bad.example.com/en/1", link % "x.org"),
+        (2, "https://Spam.org/a?b", link % "bad.example.com"),
+        (3, "https://ok.org", "<a HREF='http://good.com/'>"),
+        (4, "https://good.com/", link % "kind.org" * 3),
+        (5, "https://kind.org/p/q#r", None),
+        (6, None, None),
+        (7, "no scheme", "x"),
+        (8, "ftp://www.example.com/en/7?x", ""),
+        (9, "http://a.net/es/", ""),
+        (9, "http://a.net/es/", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns(
+        {c: F.lit("clash") for c in ("host", "path", "rule", "verdict", "trust", "r")}
+    )
+    rows = rows_of(url_graph.judge(df))
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == len(pages)
+    for i, url, _ in pages:
+        host, path, rule, verdict = brute.url(url)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert got[i].verdict == verdict if verdict else True
+    assert got[2].verdict == "block" and got[5].verdict == "allow" and got[6].verdict == "allow"
+    assert got[5].trust > 0 and got[2].distrust > 0
+    assert rows_of(url_graph.judge(df.where("false"))) == []
+
+
+def test_line_dedup(spark, docs, empty):
+    rows = [(i, f"shared line\nown {i}\n\n", "h", None) for i in range(10)]
+    rows += [(20, "shared line", None, None), (21, None, "h", None), (22, "shared line", "h", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lines string")
+    out = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df).collect()}
+    assert out[3] == "own 3\n\n" and out[20] == "shared line" and out[21] is None and out[22] == ""
+    same = line_dedup.drop_boilerplate(docs)
+    assert same.columns == docs.columns and same.count() == docs.count()
+    assert rows_of(line_dedup.drop_boilerplate(empty)) == []
+
+
+def test_quality(docs, empty, spark):
+    labels = spark.createDataFrame(
+        [(i, i % 2) for i in range(3, 12)] + [(6, None), (None, 1), (3, 1)], "doc_id long, quality int"
+    ).withColumn("text", F.lit("clash"))
+    model = quality_mil.learn(docs, labels)
+    rows = rows_of(quality_mil.score(docs, model))
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert quality_mil.learn(docs, labels.where("false")) == 0.5
+    assert quality_mil.learn(docs, labels.where("quality = 1")) == 1.0
+    assert {r.score for r in quality_mil.score(docs, 0.5).collect()} == {0.5}
+    assert rows_of(quality_mil.score(empty, model)) == []
+
+
+def test_jaccard(docs, empty):
+    rows = rows_of(jaccard_join.near_duplicates(docs))
+    assert len(rows) == docs.count()
+    want = brute.components({i: t for i, t in enumerate(TEXTS) if i != 9})
+    for r in rows:
+        if r.doc_id is None:
+            assert r.component_id is None and r.n_shingles == 1
+        elif r.doc_id != 9:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect())
+    assert ids == sorted([-1, *[i for i in range(len(TEXTS)) if want.get(i, (0, i))[1] == i]])
+    assert rows_of(jaccard_join.near_duplicates(empty)) == []
+
+
+def test_jaccard_finds_every_link_of_near_groups(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [[f"b{k}x{rng.randrange(400)}" for _ in range(60)] for k in range(3)]
+    texts = {}
+    for i in range(150):
+        found = list(rng.choice(base))
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            found[rng.randrange(len(found))] = f"e{rng.randrange(30)}"
+        texts[i] = " ".join(found)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == brute.components(texts)
+
+
+def test_jaccard_blocks_and_hot_parts_change_nothing(spark, monkeypatch):
+    """Tiny blocks, every part hot: other ways to the same result."""
+    texts = {i: " ".join(f"t{j if j != 10 + i % 40 else j * 1000 + i}" for j in range(60)) for i in range(90)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BLOCK_NGRAMS", 300)
+    monkeypatch.setattr(jaccard_join, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(jaccard_join, "HOT_COUNT", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == brute.components(texts)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (5, 5), (200, 200), (300, 250), (250, 270)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 300: 250, 250: 250, 270: 250}
+
+
+def test_repetition(docs, empty):
+    rows = rows_of(repetition.measure(docs))
+    assert len(rows) == docs.count()
+    for r in rows:
+        if r.doc_id is not None and r.doc_id != 9:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.repetition(TEXTS[r.doc_id])
+    kept = repetition.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
+    assert rows_of(repetition.measure(empty)) == []
+
+
+def test_repetition_of_long_ngrams_fails(spark):
+    phrase = " ".join(f"u{i}" for i in range(12))
+    text = "\n".join([phrase, *[f"v{i}" for i in range(20)], phrase + " z", *[f"y{i}" for i in range(10)]])
+    row = repetition.measure(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert not row.base_failed and row.share_10gram > 0.4 and not row.kept
+
+
+def test_mixing(docs, empty, spark):
+    rows = rows_of(mixing.mix(docs))
+    assert len(rows) == docs.count()
+    assert all(r.taken == r.copies * r.size and 0 <= r.copies <= 3 for r in rows)
+    assert {r.target for r in rows if r.source == "s"} != {None}
+    assert rows_of(mixing.mix(empty)) == [] and mixing.materialise(docs).columns == docs.columns
+    many = [(i, " ".join("x" for _ in range(1 + i % 9)), f"src{i % 5}") for i in range(3000)]
+    many += [(i, "big " * 40, "src0") for i in range(3000, 3200)]
+    mixed = mixing.mix(spark.createDataFrame(many, "doc_id long, text string, source string"))
+    for r in mixed.groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).collect():
+        assert abs(r.taken - r.target) <= max(40, 0.01 * r.target) and r.target <= 3 * r.size + 1e-6
+    assert abs(mixed.agg(F.sum("taken") / F.sum("size")).first()[0] - 1) < 0.02
+
+
+def test_mixing_weights_change_inclusion(spark):
+    rows = [(i, "a b", f"s{i % 2}", 4.0 if i % 4 < 2 else 1.0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    mixed = mixing.mix(df, weights=(1, 3), weight=F.col("q")).where("source = 's0'")
+    share = {r.q: r.share for r in mixed.groupBy("q").agg(F.avg("copies").alias("share")).collect()}
+    assert share[4.0] > 3 * share[1.0] > 0
+
+
+def test_licenses(docs, empty, spark):
+    rows = rows_of(licenses.scan(docs))
+    assert len(rows) == docs.count()
+    for r in rows:
+        if r.doc_id is not None and r.doc_id != 9:
+            got = (r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base_labels))
+            assert got == brute.licenses(TEXTS[r.doc_id])
+    assert rows_of(licenses.scan(empty)) == []
+
+
+def test_license_templates_by_brute_force(spark):
+    """A template is found exactly where a block around one of its words holds enough of them."""
+    _, notice = licenses.TEMPLATES[1]
+    found = notice.split(" ")
+    cut = " ".join(w for i, w in enumerate(found) if i % 6)  # five of six words stay
+    half = " ".join(found[: len(found) // 2])
+    apart = " ".join(f"{w} " + "filler " * 60 for w in found)
+    rows = [(1, notice), (2, cut.upper()), (3, half), (4, apart), (5, "This work is licensed under the GNU General Public License, version 3.")]
+    got = {r.doc_id: list(r.labels) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["mit"], 2: ["mit"], 3: [], 4: [], 5: ["gpl-3"]}
