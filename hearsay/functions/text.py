@@ -21,6 +21,7 @@ RETWEET = f"RT[{SPACE}]+"
 URL = f"https?://[^{SPACE}]+"
 HASHTAG = f"#([{_WORD}]+)"
 WORD = f"[{_WORD}][{_WORD}']+"
+TOKEN = f"[{_WORD}][{_WORD}']*"
 
 
 def strip(c: Column) -> Column:
@@ -70,21 +71,19 @@ def letter_tokens(c: Column, shortest: int = 2, longest: int = 15) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(whole), 0)
 
 
-def ngrams(tokens: Column, longest: int, starts: list[str] | None = None) -> Column:
-    """All 1..longest-grams of a token array, joined by a space.
+def entity_tokens(c: Column) -> Column:
+    """Lower-case tokens as of :func:`words`, but also those of one character."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), 0)
 
-    With ``starts`` only those that begin with one of the given tokens are built.
-    """
 
-    def of_length(n: int) -> Column:
-        if n == 1:
-            return tokens if starts is None else F.filter(tokens, lambda t: t.isin(starts))
+def slices(tokens: Column, starts: Column) -> Column:
+    """The token sequences that begin at ``starts``, an array of (p, lengths), joined by a space.
 
-        def gram(t: Column, i: Column) -> Column:
-            whole = F.concat(t, *[F.concat(F.lit(" "), F.get(tokens, i + k)) for k in range(1, n)])
-            return whole if starts is None else F.when(t.isin(starts), whole)
+    Those that the text is too short for are left out.
+    """
 
-        # null where the text ends before the n-gram does
-        return F.filter(F.transform(tokens, gram), lambda g: g.isNotNull())
+    def from_start(s: Column) -> Column:
+        fitting = F.filter(s["lengths"], lambda n: s["p"] + n <= F.size(tokens))
+        return F.transform(fitting, lambda n: F.array_join(F.slice(tokens, s["p"] + 1, n), " "))
 
-    return F.flatten(F.array(*[of_length(n) for n in range(1, longest + 1)]))
+    return F.flatten(F.transform(starts, from_start))

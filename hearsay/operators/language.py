@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from hearsay.functions.text import letter_tokens, ngrams, words
+from hearsay.functions.text import entity_tokens, letter_tokens, slices, words
+from hearsay.operators.numbering import numbered
 from hearsay.operators.rankings import top
 from hearsay.schema import STOPWORDS
 from hearsay.session import fresh_folder
 from hearsay.sources.lookups import MAX_LITERAL_ROWS, small_rows
+from hearsay.sources.scratch import remove
 
 ENTITY_OUTPUT = "post_id string, entity string, type string"
 
@@ -23,13 +26,14 @@ ENTITY_OUTPUT = "post_id string, entity string, type string"
 def match_entities(
     posts: DataFrame,
     gazetteer: DataFrame,
-    longest: int = 3,
     text_column: str = "cleaned_text",
     literal_rows: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
-    """(post_id, entity, type) for every n-gram of the text found in the gazetteer."""
-    known = gazetteer.select(F.lower("ngram").alias("ngram"), "entity", "type").distinct()
-    grams = _grams(posts, known, text_column, longest, literal_rows, "post_id")
+    """(post_id, entity, type) for every place of the text where a gazetteer entry stands, of any length.
+
+    Entries and texts are compared token by token, so case and punctuation don't matter.
+    """
+    grams, known = _grams(posts, gazetteer, text_column, literal_rows, "post_id")
     return grams.join(known, "ngram").select("post_id", "entity", "type")
 
 
@@ -51,41 +55,71 @@ def top_entities(entities: DataFrame, k: int = 20) -> DataFrame:
 def entity_counts(
     posts: DataFrame,
     gazetteer: DataFrame,
-    longest: int = 3,
     text_column: str = "cleaned_text",
     literal_rows: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
-    """``count_entities(match_entities(...))`` with n-grams counted before the join.
+    """``count_entities(match_entities(...))`` with sequences counted before the join.
 
-    What is shuffled and joined is one row per distinct n-gram, so neither the
-    corpus size nor a very frequent n-gram loads a single task.
+    What is shuffled and joined is one row per distinct sequence, so neither the
+    corpus size nor a very frequent one loads a single task.
     """
-    known = gazetteer.select(F.lower("ngram").alias("ngram"), "entity", "type").distinct()
-    grams = _grams(posts, known, text_column, longest, literal_rows)
+    grams, known = _grams(posts, gazetteer, text_column, literal_rows)
     counted = grams.groupBy("ngram").agg(F.count("*").alias("n"))
     return counted.join(known, "ngram").groupBy("entity", "type").agg(F.sum("n").alias("count"))
 
 
 def _grams(
-    posts: DataFrame, known: DataFrame, text_column: str, longest: int, literal_rows: int, *keep: str
-) -> DataFrame:
-    """One row per n-gram of the texts that may be in the gazetteer.
+    posts: DataFrame, gazetteer: DataFrame, text_column: str, literal_rows: int, *keep: str
+) -> tuple[DataFrame, DataFrame]:
+    """Token sequences of the texts that may be gazetteer entries, and the normalised gazetteer.
 
-    For a gazetteer that passes the size check, only n-grams in it are kept, and
-    only those that begin like one of its entries are built at all. Otherwise
-    all n-grams come out.
+    Sequences are only built where an entry's first token stands, and only in the
+    lengths of the entries that begin with it. The first tokens of a gazetteer
+    that passes the size check are literals; those of a larger one are joined.
     """
-    # The tokens are a column of their own: inside the n-gram lambda the
-    # expression would be evaluated again for every token.
-    tokens = posts.select(*keep, words(F.col(text_column)).alias("_tokens"))
-    rows = small_rows(known.select("ngram").distinct(), literal_rows)
+    known = gazetteer.select(F.array_join(entity_tokens(F.col("ngram")), " ").alias("ngram"), "entity", "type")
+    known = known.filter(F.col("ngram") != "").distinct()
+    # The tokens are a column of their own: inside the lambdas the expression
+    # would be evaluated again for every token.
+    tokens = posts.select(*keep, entity_tokens(F.col(text_column)).alias("_tokens"))
+    rows = small_rows(known, literal_rows)
     if rows is None:
-        return tokens.select(*keep, F.explode(ngrams(F.col("_tokens"), longest)).alias("ngram"))
-    listed = [r.ngram for r in rows if r.ngram]
-    starts = sorted({g.split(" ")[0] for g in listed})
-    longest = min(longest, max((len(g.split(" ")) for g in listed), default=1))
-    grams = tokens.select(*keep, F.explode(ngrams(F.col("_tokens"), longest, starts)).alias("ngram"))
-    return grams.filter(F.col("ngram").isin(listed))
+        return _joined_grams(tokens, known, *keep), known
+    known = posts.sparkSession.createDataFrame(rows, known.schema)
+    lengths: dict[str, set[int]] = {}
+    for r in rows:
+        entry = r.ngram.split(" ")
+        lengths.setdefault(entry[0], set()).add(len(entry))
+    if not lengths:
+        return tokens.select(*keep, F.lit("").alias("ngram")).limit(0), known
+    pairs = [x for t in sorted(lengths) for x in (F.lit(t), F.array(*map(F.lit, sorted(lengths[t]))))]
+    by_first = F.create_map(*pairs)
+    at = F.filter(
+        F.sequence(F.lit(0), F.size("_tokens") - 1), lambda p: F.get("_tokens", p).isin(sorted(lengths))
+    )
+    starts = F.transform(
+        at, lambda p: F.struct(p.alias("p"), F.element_at(by_first, F.get("_tokens", p)).alias("lengths"))
+    )
+    placed = tokens.select(*keep, "_tokens", starts.alias("_starts"))
+    grams = placed.select(*keep, F.explode(slices(F.col("_tokens"), F.col("_starts"))).alias("ngram"))
+    return grams.filter(F.col("ngram").isin(sorted({r.ngram for r in rows}))), known
+
+
+def _joined_grams(tokens: DataFrame, known: DataFrame, *keep: str) -> DataFrame:
+    """The sequences for a gazetteer of any size: first tokens meet the texts' tokens in a join.
+
+    Only digests, positions and lengths are shuffled there, repeated texts once;
+    the texts come in by their digest when the starts are known.
+    """
+    entry = F.split("ngram", " ")
+    firsts = known.select(F.get(entry, F.lit(0)).alias("_first"), F.size(entry).alias("_n"))
+    firsts = firsts.groupBy("_first").agg(F.collect_set("_n").alias("lengths"))
+    texts = tokens.withColumn("_digest", F.md5(F.array_join("_tokens", " ")))
+    places = texts.select("_digest", F.posexplode_outer("_tokens").alias("p", "_first")).distinct()
+    starts = places.join(firsts, "_first").groupBy("_digest")
+    starts = starts.agg(F.collect_list(F.struct("p", "lengths")).alias("_starts"))
+    placed = texts.join(starts, "_digest")
+    return placed.select(*keep, F.explode(slices(F.col("_tokens"), F.col("_starts"))).alias("ngram"))
 
 
 def word_counts(
@@ -95,16 +129,16 @@ def word_counts(
 ) -> DataFrame:
     """Occurrences of every word that is not a stopword.
 
-    A list of stopwords is tested before counting; a table is anti-joined after
-    it, when each word is one row.
+    A short list of stopwords is tested before counting; a long one and a table
+    are anti-joined after it, when each word is one row.
     """
     tokens = posts.select(F.explode(words(F.col(text_column))).alias("word"))
     table = stopwords if isinstance(stopwords, DataFrame) else None
     if table is None:
         listed = list(stopwords)
         if len(listed) > MAX_LITERAL_ROWS:
-            raise ValueError("pass a long stopword list as a DataFrame")
-        if listed:
+            table = posts.sparkSession.createDataFrame([(w,) for w in listed], "word string")
+        elif listed:
             tokens = tokens.filter(~F.col("word").isin(listed))
     counts = tokens.groupBy("word").agg(F.count("*").alias("count"))
     if table is not None:
@@ -126,59 +160,55 @@ def topic_tokens(posts: DataFrame, text_column: str = "cleaned_text", key: str =
     return posts.select(key, letter_tokens(F.col(text_column)).alias("tokens")).filter(F.size("tokens") > 0)
 
 
-def topic_vocabulary(tokens: DataFrame, size: int) -> list[str]:
-    """The most frequent terms, ties by term.
+def topic_input(tokens: DataFrame, key: str = "post_id") -> DataFrame:
+    """(key, term, count) of all texts and all terms: what the topic model is trained on."""
+    return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("count"))
 
-    A distributed count and top-k: only ``size`` terms ever reach the driver.
-    (Fitting a CountVectorizer would send it the candidates of every partition.)
-    """
-    counts = tokens.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("count"))
-    return [r.term for r in top(counts, "count", "term", k=size).collect()]
 
+@dataclass
+class TopicModel:
+    """A fitted model and the table (term, id) of its terms."""
 
-def topic_model(
-    tokens: DataFrame,
-    topics: int = 3,
-    seed: int = 42,
-    vocabulary: int = 1 << 15,
-    iterations: int = 20,
-    sample: float = 0.05,
-):
-    """Term counter and fitted LDA model, as a pipeline model.
-
-    The vocabulary is bounded, and online variational Bayes needs one
-    topics x vocabulary matrix per step, so the driver's share does not grow
-    with the corpus. Every step reads the term counts again; they are written
-    to the shared folder first, so that no step tokenises the texts anew (and
-    stay there until that folder is cleared).
-    """
-    counter = CountVectorizerModel.from_vocabulary(
-        topic_vocabulary(tokens, vocabulary), inputCol="tokens", outputCol="features"
-    )
-    path = fresh_folder(tokens.sparkSession, "term-counts")
-    counter.transform(tokens).select("features").write.parquet(path)
-    lda = LDA(
-        k=topics, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=sample, featuresCol="features"
-    ).fit(tokens.sparkSession.read.parquet(path))
-    return PipelineModel([counter, lda])
-
+    lda: LDAModel
+    terms: DataFrame
 
-def describe_topics(model, terms: int = 10) -> DataFrame:
-    """(topic, rank, term, weight) of the heaviest terms of each topic.
 
-    Only topics x terms rows and the bounded vocabulary reach the driver.
+def topic_model(
+    tokens: DataFrame, topics: int = 3, seed: int = 42, iterations: int = 20, key: str = "post_id"
+) -> TopicModel:
+    """Topics of all texts over all terms, by expectation-maximisation.
+
+    Terms are numbered by a distributed sort and no vocabulary reaches the
+    driver; a text's counts become one vector. The counts are written to the
+    shared folder, so that no iteration tokenises the texts anew, and removed
+    when the model is fitted.
     """
-    counter, lda = model.stages
-    vocabulary = counter.vocabulary
-    described = lda.describeTopics(terms)
-    rows = [
-        (r.topic, rank, vocabulary[index], weight)
-        for r in described.collect()
-        for rank, (index, weight) in enumerate(zip(r.termIndices, r.termWeights), start=1)
-    ]
-    return described.sparkSession.createDataFrame(
-        rows, "topic int, rank int, term string, weight double"
+    spark = tokens.sparkSession
+    counts = topic_input(tokens, key)
+    terms, n_terms = numbered(counts.select("term").distinct(), "term")
+    pairs = counts.join(terms, "term").groupBy(key)
+    pairs = pairs.agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("id"), "count"))).alias("pairs"))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),  # sparse
+        F.lit(n_terms).cast("int").alias("size"),
+        F.col("pairs.id").alias("indices"),
+        F.col("pairs.count").cast("array<double>").alias("values"),
     )
+    path = fresh_folder(spark, "term-counts")
+    pairs.select(F.xxhash64(key).alias("key"), vector.alias("features")).write.parquet(path)
+    schema = StructType([StructField("key", LongType()), StructField("features", VectorUDT())])
+    vectors = spark.read.schema(schema).parquet(path)
+    lda = LDA(k=topics, seed=seed, maxIter=iterations, optimizer="em", featuresCol="features").fit(vectors)
+    remove(spark, path)
+    return TopicModel(lda, terms)
+
+
+def describe_topics(model: TopicModel, terms: int = 10) -> DataFrame:
+    """(topic, rank, term, weight) of the heaviest terms of each topic."""
+    described = model.lda.describeTopics(terms)
+    listed = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("at", "t"))
+    heaviest = listed.select("topic", (F.col("at") + 1).alias("rank"), F.col("t.termIndices").alias("id"), F.col("t.termWeights").alias("weight"))
+    return heaviest.join(model.terms, "id").select("topic", "rank", "term", "weight")
 
 
 def topic_lines(described: DataFrame) -> DataFrame:

@@ -65,10 +65,53 @@ def test_word_counts_against_plain_count(spark, sf_dir):
 def test_topic_model(spark):
     rows = [(i, ("cat dog cat pet " if i % 2 else "star moon star sky ") * 5) for i in range(40)]
     tokens = l.topic_tokens(spark.createDataFrame(rows, "post_id int, cleaned_text string"))
-    model = l.topic_model(tokens, topics=2, iterations=10, sample=0.5)
+    model = l.topic_model(tokens, topics=2, iterations=60)
     described = l.describe_topics(model, 3)
     assert described.count() == 6
     terms = {frozenset(r.t) for r in described.groupBy("topic").agg(F.collect_set("term").alias("t")).collect()}
     assert terms == {frozenset({"cat", "dog", "pet"}), frozenset({"star", "moon", "sky"})}
     lines = l.topic_lines(described).collect()
     assert len(lines) == 2 and all(r.line.count("*") == 3 for r in lines)
+
+
+@pytest.mark.parametrize("literal_rows", [5000, 0])
+def test_entities_of_any_length_and_form(spark, literal_rows):
+    entries = ["United States of America", "U.S.", "Plan B", "b", "one two three four five six", "?!"]
+    rows = [(e, e, "T") for e in entries]
+    texts = [
+        ("1", "The united states of america, or U.S."), ("2", "Plan B, plan b; B"), ("3", "one two three four five six"),
+        ("3", "one two three four five six"), ("4", None), ("5", "united states of"),
+    ]
+    posts = spark.createDataFrame(texts, "post_id string, cleaned_text string")
+    gazetteer = spark.createDataFrame(rows, ENTITY_SCHEMA)
+    got = {r.entity: r["count"] for r in l.entity_counts(posts, gazetteer, literal_rows=literal_rows).collect()}
+    assert got == {"United States of America": 1, "U.S.": 1, "Plan B": 2, "b": 3, "one two three four five six": 2}
+    matches = l.match_entities(posts, gazetteer, literal_rows=literal_rows)
+    assert {r.entity: r["count"] for r in l.count_entities(matches).collect()} == got
+
+
+def test_long_stopword_lists(spark, texts):
+    many = [f"w{i}" for i in range(6000)] + ["york"]
+    assert {r.word for r in l.word_counts(texts, many).collect()} == {"new", "and", "in", "the", "it's"}
+
+
+def test_topic_model_uses_every_text_and_term(spark):
+    rows = [(i, f"common word{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)]
+    tokens = l.topic_tokens(spark.createDataFrame(rows, "post_id int, cleaned_text string"))
+    counts = l.topic_input(tokens)
+    assert counts.count() == 600 and counts.select("term").distinct().count() == 301
+    model = l.topic_model(tokens, topics=2, iterations=3)
+    assert model.terms.count() == 301 == model.lda.vocabSize()
+
+
+def test_one_job_per_lookup(spark):
+    from hearsay.sources.lookups import small_rows
+
+    df = spark.createDataFrame([("a" * 10,)] * 20, "word string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lookup", "")
+    assert len(small_rows(df)) == 20 and small_rows(df, 19) is None
+    # one fetch each; its limit may look at a first partition and then at the rest
+    assert len(tracker.getJobIdsForGroup("lookup")) <= 4
+    assert small_rows(spark.createDataFrame([("a" * 2000,)], "word string")) is None
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

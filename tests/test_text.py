@@ -67,10 +67,15 @@ def test_words_and_letter_tokens(one):
     assert one(["Ab1cd _x a supercalifragilistic ÉTÉ"], t.letter_tokens) == [["ab", "cd", "été"]]
 
 
-def test_ngrams(spark):
-    df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
-    got = [sorted(r[0]) for r in df.select(t.ngrams(F.col("w"), 3)).collect()]
-    assert got == [sorted(["a", "b", "c", "a b", "b c", "a b c"]), ["a"], []]
+def test_slices(spark):
+    rows = [(["a", "b", "c"], [(0, [1, 3]), (1, [2, 3])]), (["a"], [(0, [1, 2])]), ([], [])]
+    df = spark.createDataFrame(rows, "w array<string>, s array<struct<p: int, lengths: array<int>>>")
+    got = [r[0] for r in df.select(t.slices(F.col("w"), F.col("s"))).collect()]
+    assert got == [["a", "a b c", "b c"], ["a"], []]
+
+
+def test_entity_tokens(one):
+    assert one(["U.S. Plan B, don't"], t.entity_tokens) == [["u", "s", "plan", "b", "don't"]]
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
