@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -14,27 +13,19 @@ from hearsay.schema import NA_STRINGS, PLATFORMS
 
 _NUMBER = rf"^[{SPACE}]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[{SPACE}]*$"
 
-#: Tried in order after the ISO forms that a plain cast understands. Where day
-#: and month can be told apart only by size, the month is read first.
-TIME_FORMATS = (
-    "yyyy/M/d H:m:s",
-    "yyyy/M/d H:m",
-    "yyyy/M/d",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy H:m",
-    "M/d/yyyy",
-    "d/M/yyyy H:m:s",
-    "d/M/yyyy H:m",
-    "d/M/yyyy",
-    "M-d-yyyy H:m:s",
-    "M-d-yyyy",
-    "d-M-yyyy H:m:s",
-    "d-M-yyyy",
-    "d MMM yyyy H:m:s",
-    "d MMM yyyy",
-    "MMM d, yyyy",
-    "MMM d H:m:s yyyy",
-)
+# Shapes of dates, each a whole text once time of day, weekday and zone are gone.
+# In number-only dates the month comes first, unless that can't be a month.
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH = "(" + "|".join(_MONTHS) + r")[a-z]*\.?"
+_ORDINAL = "(?:st|nd|rd|th)?"
+_WEEKDAY = r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
+_ZONE = r"(?<=[\d\s])\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})(?=$|\s+\d{4}$)"
+_CLOCK = r"[\sT,]*\b(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:[.,](\d{1,9}))?)?\s*(?:([ap])\.?m\.?)?"
+_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_NUMBERS = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
+_DAY_FIRST = rf"^(\d{{1,2}}){_ORDINAL}[-\s]+{_MONTH},?[-\s]+(\d{{4}}|\d{{2}})$"
+_MONTH_FIRST = rf"^{_MONTH}\s*(\d{{1,2}}){_ORDINAL},?\s+(\d{{4}})$"
 
 
 def null_if_missing(c: Column, missing: Iterable[str] = NA_STRINGS) -> Column:
@@ -44,40 +35,70 @@ def null_if_missing(c: Column, missing: Iterable[str] = NA_STRINGS) -> Column:
 
 def to_count(c: Column) -> Column:
     """Whole number, truncated toward zero; anything not numeric gives 0."""
-    number = F.regexp_extract(c, _NUMBER, 1)
-    # A cast that fails costs an exception per row, so each sees only fitting text.
-    whole = F.when(number == "", F.lit(0).cast("bigint"))
-    whole = whole.when(number.rlike("[.eE]"), number.try_cast("double").try_cast("bigint"))
-    return F.coalesce(whole.otherwise(number.try_cast("bigint")), F.lit(0).cast("bigint"))
 
+    def whole(number: Column) -> Column:
+        # A cast that fails costs an exception per row, so each sees only fitting text.
+        found = F.when(number == "", F.lit(0).cast("bigint"))
+        found = found.when(number.rlike("[.eE]"), number.try_cast("double").try_cast("bigint"))
+        return found.otherwise(number.try_cast("bigint"))
+
+    return F.coalesce(let(F.regexp_extract(c, _NUMBER, 1), whole), F.lit(0).cast("bigint"))
+
+
+def _date(text: Column) -> Column:
+    """``y-m-d`` of a lower-case text that is a date and nothing else; null if it is none."""
+    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
+    joined = lambda y, m, d: F.concat_ws("-", y, m, d)
+    # two digits mean a year from 1969 to 2068
+    year = lambda y: F.when(F.length(y) == 4, y).otherwise(F.concat(F.when(y >= "69", "19").otherwise("20"), y))
+    names = F.array(*map(F.lit, _MONTHS))
+    month = lambda m: F.array_position(names, m).cast("string")
+    a, b, y = (part(_NUMBERS, i) for i in (1, 2, 3))
+    swapped = a.try_cast("int") > 12
+    return (
+        F.when(text.rlike(_YEAR_FIRST), joined(*(part(_YEAR_FIRST, i) for i in (1, 2, 3))))
+        .when(text.rlike(_COMPACT), joined(*(part(_COMPACT, i) for i in (1, 2, 3))))
+        .when(text.rlike(_NUMBERS), joined(year(y), F.when(swapped, b).otherwise(a), F.when(swapped, a).otherwise(b)))
+        .when(text.rlike(_DAY_FIRST), joined(year(part(_DAY_FIRST, 3)), month(part(_DAY_FIRST, 2)), part(_DAY_FIRST, 1)))
+        .when(text.rlike(_MONTH_FIRST), joined(part(_MONTH_FIRST, 3), month(part(_MONTH_FIRST, 1)), part(_MONTH_FIRST, 2)))
+    )
 
-def _shape(pattern: str) -> str:
-    """Regular expression of the texts that a time format can match."""
-    digits = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}"}
-    parts = re.findall(r"[A-Za-z]+|[^A-Za-z]", pattern)
-    return "^" + "".join(digits.get(p, r"\d{1,2}") if p.isalpha() else p for p in parts) + "$"
 
+def _by_shape(text: Column) -> Column:
+    """Timestamp of a lower-case text without weekday and zone; null if it is none."""
+    clock = lambda i: F.regexp_extract(text, "(?i)" + _CLOCK, i)
+    hour, half = clock(1).try_cast("int"), clock(5)
+    hour = (
+        F.when(half == "", hour)
+        .when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    )
+    second = F.when(clock(3) == "", "00").otherwise(clock(3))
+    fraction = F.when(clock(4) == "", "").otherwise(F.concat(F.lit("."), F.left(clock(4), F.lit(6))))
+    time = F.when(clock(1) == "", " 00:00:00").otherwise(
+        F.concat(F.lit(" "), hour.cast("string"), F.lit(":"), clock(2), F.lit(":"), second, fraction)
+    )
+    bare = F.regexp_replace(F.trim(F.regexp_replace(text, "(?i)" + _CLOCK, " ")), r"\s+", " ")
+    return let(bare, lambda t: F.concat(_date(t), time).try_cast("timestamp_ntz"))
 
-def to_time(c: Column, ingest_ts: Column, formats: Iterable[str] = TIME_FORMATS) -> Column:
-    """Timestamp without zone; blank or unreadable values give ``ingest_ts``.
+
+def read_time(c: Column) -> Column:
+    """Timestamp without zone, read by shape; null for blank or unreadable values.
 
     An offset is dropped: the wall-clock time of the post is what counts.
     """
     value = strip(c)
-    # "Mon Jan 01 10:00:00 +0000 2024": neither weekday nor offset is needed.
-    bare = F.regexp_replace(value, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),? | [+-]\d{4}(?= \d{4}$)", "")
-
-    def by_format(text: Column) -> Column:
-        return F.coalesce(
-            *[
-                F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz"))
-                for f in formats
-            ]
-        )
-
-    return F.coalesce(
-        value.try_cast("timestamp_ntz"), let(bare, by_format), ingest_ts.cast("timestamp_ntz")
-    )
+    plain = F.regexp_replace(F.regexp_replace(F.lower(value), _WEEKDAY, ""), _ZONE, "")
+    return F.coalesce(value.try_cast("timestamp_ntz"), let(plain, _by_shape))
+
+
+def to_time(c: Column, ingest_ts: Column) -> Column:
+    """:func:`read_time`; blank or unreadable values give ``ingest_ts``."""
+    return F.coalesce(read_time(c), ingest_ts.cast("timestamp_ntz"))
+
+
+def unreadable_time(c: Column) -> Column:
+    """Whether a value is there but can't be read as a time."""
+    return F.coalesce(strip(c) != "", F.lit(False)) & read_time(c).isNull()
 
 
 def hour_floor(c: Column) -> Column:

@@ -68,7 +68,7 @@ def key_metrics(posts: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def positive_posts_of_first_import(counts: DataFrame) -> DataFrame:
-    """Positive posts of the earliest import only, 0 if it has none.
+    """Positive posts of the earliest import that has any, 0 if none has.
 
     ``counts`` are stored sentiment counts with their ``imported_at``.
     """

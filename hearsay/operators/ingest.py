@@ -30,18 +30,26 @@ def alias_columns(df: DataFrame, on_collision: str = "error") -> DataFrame:
     Several headers for one target raise an error, or with
     ``on_collision='coalesce'`` the first non-null of them wins.
     """
-    present = set(df.columns)
-    renames, merged, dropped = {}, {}, []
+    # by place: names that differ in case alone are one name to Spark
+    places = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    at = {name: F.col(f"_{i}") for i, name in enumerate(df.columns)}
+    targets: dict[str, str] = {}
+    merged: dict[str, Column] = {}
     for target, headers in HEADER_ALIASES.items():
-        found = [h for h in dict.fromkeys((target, *headers)) if h in present]
-        if len(found) > 1:
-            if on_collision != "coalesce":
-                raise ValueError(f"columns {found} all stand for '{target}'")
-            merged[target] = F.coalesce(*[F.col(f"`{h}`") for h in found])
-            dropped += [h for h in found if h != target]
-        elif found and found[0] != target:
-            renames[found[0]] = target
-    return df.withColumns(merged).drop(*dropped).withColumnsRenamed(renames)
+        found = [h for h in dict.fromkeys((target, *headers)) if h in at]
+        if len(found) > 1 and on_collision != "coalesce":
+            raise ValueError(f"columns {found} all stand for '{target}'")
+        if found:
+            targets |= dict.fromkeys(found, target)
+            merged[target] = F.coalesce(*[at[h] for h in found])
+    out = []
+    for name in df.columns:
+        target = targets.get(name)
+        if target is None:
+            out.append(at[name].alias(name))
+        elif target in merged:
+            out.append(merged.pop(target).alias(target))
+    return places.select(out)
 
 
 def require_text(df: DataFrame) -> DataFrame:
@@ -67,6 +75,12 @@ def filter_topic(df: DataFrame, topic: str, literal: bool = False, text_column:
     return df.filter(found)
 
 
+def unreadable_times(df: DataFrame) -> DataFrame:
+    """(unreadable, posts): how many posts have a time that can't be read and will get the ingest time."""
+    df = fill_defaults(alias_columns(df))
+    return df.agg(F.count_if(values.unreadable_time(F.col("created_at"))).alias("unreadable"), F.count("*").alias("posts"))
+
+
 def normalise(
     df: DataFrame,
     ingest_ts: dt.datetime | str | None = None,

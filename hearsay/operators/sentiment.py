@@ -15,26 +15,26 @@ def classify(
     df: DataFrame,
     lexicon: DataFrame | None = None,
     text_column: str = "cleaned_text",
-    key: str = "post_id",
     match: str = "substring",
     output: str = "sentiment",
     literal_rows: int = MAX_LITERAL_ROWS,
 ) -> DataFrame:
     """Add the sentiment class: keywords first, then the lexicon's mean polarity.
 
-    Texts decided by a keyword are never tokenised. ``key`` is used only if the
-    lexicon exceeds ``literal_rows`` and has to be joined; it must be unique.
+    Texts decided by a keyword are never tokenised. A lexicon of more than
+    ``literal_rows`` is joined by the texts' digests; a stream can't do that
+    itself, so there the sink classifies each micro-batch (``sinks.imports_to``).
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     known = {} if lexicon is None else small_lexicon(lexicon, literal_rows)
     if known is not None:
         return df.withColumn(output, s.sentiment_class(text, known, match))
     if df.isStreaming:
-        raise ValueError(f"a stream needs a lexicon of at most {literal_rows} words")
+        raise ValueError("classify the micro-batches of a stream by so large a lexicon: sinks.imports_to(lexicon=...)")
     decided = df.withColumn("_class", let(F.lower(text), lambda t: s.keyword_class(t, match)))
     decided = decided.withColumn("_undecided", F.when(F.col("_class").isNull(), text))
     return (
-        join_polarity(decided, lexicon, "_undecided", key, "_polarity")
+        join_polarity(decided, lexicon, "_undecided", "_polarity")
         .withColumn(output, F.coalesce(F.col("_class"), s.polarity_class(F.col("_polarity"))))
         .drop("_class", "_undecided", "_polarity")
     )
@@ -52,9 +52,7 @@ def small_lexicon(lexicon: DataFrame, literal_rows: int = MAX_LITERAL_ROWS) -> d
     return known
 
 
-def add_polarity(
-    df: DataFrame, lexicon: DataFrame, text_column: str, key: str, output: str = "polarity"
-) -> DataFrame:
+def add_polarity(df: DataFrame, lexicon: DataFrame, text_column: str, output: str = "polarity") -> DataFrame:
     """Add the mean polarity of the lexicon words in each text (null without any).
 
     A lexicon that passes the size check becomes literals of the plan: no
@@ -62,21 +60,19 @@ def add_polarity(
     """
     known = small_lexicon(lexicon)
     if known is None:
-        return join_polarity(df, lexicon, text_column, key, output)
+        return join_polarity(df, lexicon, text_column, output)
     return df.withColumn(output, s.lexicon_polarity(words(F.col(text_column)), known))
 
 
-def join_polarity(
-    df: DataFrame, lexicon: DataFrame, text_column: str, key: str, output: str = "polarity"
-) -> DataFrame:
-    """:func:`add_polarity` for a lexicon of any size; ``key`` must be unique.
+def join_polarity(df: DataFrame, lexicon: DataFrame, text_column: str, output: str = "polarity") -> DataFrame:
+    """:func:`add_polarity` for a lexicon of any size and rows with any key.
 
-    Each text is reduced to (token, count) pairs before the join, so a word
-    that fills the corpus still meets the lexicon once per text; AQE splits
-    what skew is left. The sums come back by the unique key.
+    Each distinct text is known by its digest. Its tokens meet the lexicon
+    before they are grouped, so that only hits are counted; the sums come back
+    by the digest. A text that many rows share is looked up once.
     """
-    tokens = df.select(key, F.explode(words(F.col(text_column))).alias("word"))
-    counted = tokens.groupBy(key, "word").agg(F.count("*").alias("n"))
+    texts = df.select(F.md5(text_column).alias("_digest"), F.col(text_column).alias("_text"))
+    texts = texts.filter(F.col("_text").isNotNull()).distinct()
     units = F.round(F.col("polarity") * s.SCALE).cast("bigint")
     known = (
         lexicon.filter(F.col("word").isNotNull() & F.col("polarity").isNotNull())
@@ -84,12 +80,14 @@ def join_polarity(
         .agg(F.max(units).alias("units"))
     )
     sums = (
-        counted.join(known, "word")
-        .groupBy(key)
-        .agg(F.sum(F.col("units") * F.col("n")).alias("_units"), F.sum("n").alias("_hits"))
+        texts.select("_digest", F.explode_outer(words(F.col("_text"))).alias("word"))
+        .join(known, "word")
+        .groupBy("_digest")
+        .agg(F.sum("units").alias("_units"), F.count("*").alias("_hits"))
     )
     return (
-        df.join(sums, key, "left")
+        df.withColumn("_digest", F.md5(text_column))
+        .join(sums, "_digest", "left")
         .withColumn(output, s.mean_polarity(F.col("_units"), F.col("_hits")))
-        .drop("_units", "_hits")
+        .drop("_digest", "_units", "_hits")
     )

@@ -131,7 +131,6 @@ SAD_WORDS = (
     "heartbroken", "devastated", "miserable", "upset", "disappointed",
 )
 
-SENTIMENTS = ("Happy", "Positive", "Neutral", "Negative", "Sad", "Disaster")
 
 #: Default stopwords of the word count; callers may pass their own.
 STOPWORDS = (

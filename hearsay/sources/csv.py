@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.functions.values import null_if_missing
+from hearsay.sources.scratch import written
 
 
 def clean_missing(df: DataFrame) -> DataFrame:
@@ -13,22 +17,65 @@ def clean_missing(df: DataFrame) -> DataFrame:
     return df.select([null_if_missing(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def read_posts_csv(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
-    """Posts from CSV files with a header; all columns are strings.
+def file_forms(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], bool, list[str]]]:
+    """(columns, whether quoted cells hold line breaks, files): the forms among the CSV files.
 
-    With ``multiline`` a quoted text may hold line breaks, at the price that a
-    file is read by one task: split large exports into many files, or turn it
-    off where no text holds a line break, so that single files are split too.
+    One pass over the lines finds each file's first line, and whether a line ends
+    inside quotes, which an odd number of quotes tells.
     """
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    files = lines.groupBy("file").agg(
+        F.min_by("value", F.struct("block", "at")).alias("header"), F.max(quotes % 2 == 1).alias("open")
     )
-    return clean_missing(df)
+    forms: dict[tuple, list[str]] = {}
+    for r in files.collect():  # one row per file, as Spark's own listing of them
+        names = next(csv.reader([(r.header or "").lstrip("\ufeff")]), [])
+        if names:
+            forms.setdefault((tuple(names), r.open), []).append(r.file)
+    return [(list(names), multiline, sorted(found)) for (names, multiline), found in sorted(forms.items())]
+
+
+def read_posts_csv(
+    spark: SparkSession, path: str | list[str], multiline: bool | None = None, malformed: str | None = None
+) -> DataFrame:
+    """Posts from CSV files with a header; all columns are strings.
+
+    Files may have different headers: each is read by its own, and a column that
+    a file lacks is null there. Files whose quoted cells hold line breaks are
+    read by one task each, all others are split; ``multiline`` overrides what is
+    found. ``malformed`` names a column for the text of lines with too many or
+    too few cells (null for all others).
+    """
+    parts = []
+    for names, found, files in file_forms(spark, path):
+        columns = [f"`{n}` string" for n in (*names, *([malformed] if malformed else []))]
+        reader = (
+            spark.read.schema(", ".join(columns))
+            .option("header", True)
+            .option("multiLine", found if multiline is None else multiline)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("mode", "PERMISSIVE")
+        )
+        if malformed:
+            reader = reader.option("columnNameOfCorruptRecord", malformed)
+        parts.append(clean_missing(reader.csv(files)))
+    if not parts:
+        raise ValueError(f"no CSV file with a header in {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def malformed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(line) of the lines with too many or too few cells; a spreadsheet reader would refuse such a file."""
+    rows = read_posts_csv(spark, path, malformed="_malformed")
+    # written first: Spark does not read this column alone
+    return written(rows, "csv-rows").select(F.col("_malformed").alias("line")).filter(F.col("line").isNotNull())
 
 
 def write_posts_csv(df: DataFrame, path: str) -> None:

@@ -1,11 +1,15 @@
 """Post store: imports, posts and their counts as Parquet tables.
 
-Layout: every table is partitioned by ``topic_hash`` (a digest of the lower-case
-topic, safe in any path) and ``import_id``. An import writes its own partitions
-and its ``imports`` row last; readers see only imports with such a row, so a
-failed import leaves nothing visible, and repeating an import id replaces its
-partitions instead of adding to them. Reading a topic lists that topic's folder
-only, however many others there are.
+Layout: posts and counts lie in folders by ``topic_hash`` (a digest of the
+lower-case topic, safe in any path), ``import_id`` and ``attempt``. Every try of
+an import writes an attempt of its own; the import's row in the registry, written
+last, names the attempt that counts. So a failed import leaves nothing visible, a
+repeated one is replaced as a whole, also by nothing, and no folder is ever
+overwritten. Reading a topic lists that topic's folder only.
+
+The registry is a log of rows in ``BUCKETS`` folders by topic. The newest row of
+an import counts, so merging files is safe at any time: the merged file is added,
+then the files it covers go. A bucket never holds more than ``MAX_FILES`` files.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -23,18 +28,25 @@ from pyspark.sql import types as T
 from hearsay.operators.distributions import sentiment_metrics, with_share
 from hearsay.operators.rankings import hashtag_counts, top
 from hearsay.schema import IMPORT_SCHEMA, POST_SCHEMA
+from hearsay.sources.scratch import remove
 
-PARTITIONS = ("topic_hash", "import_id")
+PARTITIONS = ("topic_hash", "import_id", "attempt")
 _KEYS = [T.StructField(name, T.StringType()) for name in PARTITIONS]
 _HASHTAGS = [T.StructField("hashtag", T.StringType()), T.StructField("count", T.LongType())]
 _SENTIMENTS = [T.StructField("sentiment", T.StringType()), T.StructField("count", T.LongType())]
 
 TABLES = {
-    "imports": T.StructType([f for f in IMPORT_SCHEMA if f.name != "import_id"] + _KEYS),
     "posts": T.StructType(POST_SCHEMA.fields + _KEYS),
     "hashtag_counts": T.StructType(_HASHTAGS + _KEYS),
     "sentiment_counts": T.StructType(_SENTIMENTS + _KEYS),
 }
+REGISTRY = T.StructType(
+    [*IMPORT_SCHEMA.fields, *(T.StructField(c, T.StringType()) for c in ("topic_hash", "attempt", "bucket"))]
+)
+
+#: Registry folders, one per first digit of the topic's digest, and most files of each.
+BUCKETS = "0123456789abcdef"
+MAX_FILES = 8
 
 
 class PostStore:
@@ -49,35 +61,28 @@ class PostStore:
         for name, schema in TABLES.items():
             empty = self.spark.createDataFrame([], schema)
             empty.write.mode("append").partitionBy(*PARTITIONS).parquet(self._path(name))
+        registry = self.spark.createDataFrame([], REGISTRY)
+        registry.write.mode("append").partitionBy("bucket").parquet(self._path("imports"))
         return self
 
-    def _path(self, name: str, topic: str | None = None, import_id: str | None = None) -> str:
-        parts = [self.root, name]
-        if topic is not None:
-            parts.append(f"topic_hash={_hash(topic)}")
-        if import_id is not None:
-            parts.append(f"import_id={import_id}")
-        return "/".join(parts)
-
-    def _read(self, name: str, topic: str | None = None, import_id: str | None = None) -> DataFrame:
-        """A table, or only what it holds of a topic (and import); no rows if there is none."""
-        schema = TABLES[name]
-        reader = self.spark.read.schema(schema).option("basePath", self._path(name))
+    def _path(self, name: str, topic: str | None = None, import_id: str | None = None, attempt: str | None = None) -> str:
+        keys = {"topic_hash": None if topic is None else _hash(topic), "import_id": import_id, "attempt": attempt}
+        return "/".join([self.root, name, *(f"{k}={v}" for k, v in keys.items() if v is not None)])
+
+    def _load(self, schema: T.StructType, root: str, path: str) -> DataFrame:
+        """What a folder of a table holds; no rows if there is no such folder."""
         try:
-            return reader.parquet(self._path(name, topic, import_id))
+            return self.spark.read.schema(schema).option("basePath", root).parquet(path)
         except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND" or topic is None:
+            if e.getCondition() != "PATH_NOT_FOUND" or path == root:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _replace(self, df: DataFrame, name: str) -> None:
-        """Write the partitions that ``df`` holds, replacing only those."""
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS)
-            .parquet(self._path(name))
-        )
+    def _read(
+        self, name: str, topic: str | None = None, import_id: str | None = None, attempt: str | None = None
+    ) -> DataFrame:
+        """A table, or only what it holds of a topic, import or attempt."""
+        return self._load(TABLES[name], self._path(name), self._path(name, topic, import_id, attempt))
 
     # -- import ---------------------------------------------------------------
 
@@ -95,41 +100,72 @@ class PostStore:
 
         The import joins the latest search of the topic, ignoring case; with
         ``recent`` only one of exactly that topic that began within that time.
-        All rows go to one partition, each task writing its own file there, so
-        the write needs no shuffle however large the topic is.
+        All rows go to one folder, each task writing its own file there, so the
+        write needs no shuffle however large the topic is. Repeating an import
+        id replaces all it stored; repeated without posts, it is gone.
         """
         import_id = import_id or uuid.uuid4().hex
         if not re.fullmatch(r"[\w.-]+", import_id, re.ASCII):
             raise ValueError(f"an import id is made of letters, digits, '.', '_' and '-': {import_id!r}")
-        # Without rows nothing is replaced, so what an earlier try left must not be counted.
-        if self._read("posts", topic, import_id).inputFiles() and posts.isEmpty():
-            return None
-        here = {"topic_hash": F.lit(_hash(topic)), "import_id": F.lit(import_id)}
-        self._replace(posts.select(*POST_SCHEMA.fieldNames()).withColumns(here), "posts")
+        attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # sorts by time
+        place = lambda name: self._path(name, topic, import_id, attempt)
+        posts.select(*POST_SCHEMA.fieldNames()).write.parquet(place("posts"))
 
         # Counts come from the written files: enriching again would double the
         # work, and the files survive the loss of any executor.
-        stored = self._read("posts", topic, import_id)
-        self._replace(
-            stored.groupBy("sentiment").agg(F.count("*").alias("count")).withColumns(here), "sentiment_counts"
-        )
-        written = self._read("sentiment_counts", topic, import_id).agg(F.sum("count")).first()[0]
-        if not written:
+        stored = self._read("posts", topic, import_id, attempt)
+        stored.groupBy("sentiment").agg(F.count("*").alias("count")).write.parquet(place("sentiment_counts"))
+        written = self._read("sentiment_counts", topic, import_id, attempt).agg(F.sum("count")).first()[0] or 0
+        if written:
+            hashtag_counts(stored).write.parquet(place("hashtag_counts"))
+        elif self.imports(topic).filter(F.col("import_id") == import_id).isEmpty():
             return None
-        self._replace(hashtag_counts(stored).withColumns(here), "hashtag_counts")
 
         since = imported_at - recent if recent is not None else None
-        search_id = self.find_search(topic, exact=recent is not None, since=since)
+        search_id = self._own_search(topic, import_id) or self.find_search(topic, exact=recent is not None, since=since)
         row = (import_id, search_id or import_id, topic, _key(topic), imported_at, source, platform, written)
-        entry = self.spark.createDataFrame([row], IMPORT_SCHEMA).coalesce(1)
-        self._replace(entry.withColumns(here), "imports")
-        return import_id
+        self._register(row, topic, attempt)
+        return import_id if written else None
+
+    def _own_search(self, topic: str, import_id: str) -> str | None:
+        """The search that an earlier try of the import belongs to."""
+        row = self.imports(topic).filter(F.col("import_id") == import_id).select("search_id").first()
+        return row.search_id if row else None
+
+    def _register(self, row: tuple, topic: str, attempt: str) -> None:
+        bucket = _hash(topic)[0]
+        entry = self.spark.createDataFrame([(*row, _hash(topic), attempt, bucket)], REGISTRY).coalesce(1)
+        folder = f"{self._path('imports')}/bucket={bucket}"
+        entry.drop("bucket").write.mode("append").parquet(folder)
+        rows = self._load(REGISTRY, self._path("imports"), folder)
+        files = rows.inputFiles()
+        if len(files) >= MAX_FILES:
+            _newest(rows).drop("bucket").coalesce(1).write.mode("append").parquet(folder)
+            for file in files:
+                remove(self.spark, file)
+
+    def vacuum(self) -> int:
+        """Delete attempts that no import names: failed and replaced ones. Not while imports run."""
+        named = self.imports_with_attempts().select(*PARTITIONS)
+        gone = 0
+        for name in TABLES:
+            for r in self._read(name).select(*PARTITIONS).distinct().join(named, [*PARTITIONS], "left_anti").toLocalIterator():
+                remove(self.spark, f"{self._path(name)}/topic_hash={r.topic_hash}/import_id={r.import_id}/attempt={r.attempt}")
+                gone += 1
+        return gone
 
     # -- searches -------------------------------------------------------------
 
+    def imports_with_attempts(self, topic: str | None = None) -> DataFrame:
+        root = self._path("imports")
+        if topic is None:
+            return _newest(self._load(REGISTRY, root, root)).filter("n_posts > 0")
+        rows = self._load(REGISTRY, root, f"{root}/bucket={_hash(topic)[0]}")
+        return _newest(rows.filter(F.col("topic_hash") == _hash(topic))).filter("n_posts > 0")
+
     def imports(self, topic: str | None = None) -> DataFrame:
         """One row per import, of all topics or of one."""
-        return self._read("imports", topic).select(*IMPORT_SCHEMA.fieldNames())
+        return self.imports_with_attempts(topic).select(*IMPORT_SCHEMA.fieldNames())
 
     def searches(self, topic: str | None = None) -> DataFrame:
         """One row per search: imports that were put together, from the first on."""
@@ -176,17 +212,16 @@ class PostStore:
     # -- topic reads ----------------------------------------------------------
 
     def _topic_imports(self, topic: str, exact: bool) -> DataFrame:
-        found = self.imports(topic)
+        found = self.imports_with_attempts(topic)
         return found.filter(F.col("topic") == topic) if exact else found
 
     def _of_topic(self, name: str, topic: str, latest: bool, exact: bool) -> DataFrame:
         """Rows of the topic's imports that are complete."""
         imports = self._topic_imports(topic, exact)
         if latest:
-            # a value rather than a join: so Spark prunes the other imports' partitions
             imports = imports.filter(F.col("search_id") == (self.find_search(topic, exact) or ""))
         rows = self._read(name, topic).drop("topic_hash")
-        return rows.join(imports.select("import_id", "imported_at"), "import_id")
+        return rows.join(imports.select("import_id", "attempt", "imported_at"), ["import_id", "attempt"]).drop("attempt")
 
     def topic_posts(self, topic: str, latest: bool = False, exact: bool = False) -> DataFrame:
         """Posts of a topic: of all its imports, or of the latest search only."""
@@ -216,6 +251,13 @@ class PostStore:
         return sentiment_metrics(self._of_topic("sentiment_counts", topic, latest, exact))
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """The newest registry row of each import."""
+    values = [c for c in rows.columns if c not in ("topic_hash", "import_id")]
+    newest = rows.groupBy("topic_hash", "import_id").agg(F.max_by(F.struct(*values), "attempt").alias("v"))
+    return newest.select("topic_hash", "import_id", "v.*").select(*rows.columns)
+
+
 def _key(topic: str) -> str:
     if not topic.strip():
         raise ValueError("a topic must not be blank")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from hearsay.operators.ingest import enrich
+from hearsay.sources.scratch import remove
 from hearsay.sources.store import PostStore
 
 #: Refresh period of a live view, in minutes.
@@ -36,24 +38,51 @@ def start(
     return writer.trigger(processingTime=f"{refresh_minutes} minutes").start()
 
 
-def batches_to(path: str) -> Callable[[DataFrame, int], None]:
-    """Write each micro-batch to its own partition of a Parquet table."""
+def batches_to(path: str, *keys: str, compact_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """Write each micro-batch to its own partition of a Parquet table.
+
+    With ``keys`` (of rows that later batches update), every so many batches the
+    newest row of each key is merged into the last closed batch, and the batches
+    before it go: the number of files follows the keys and not the batches. A
+    merge that breaks off leaves rows twice, never none; a repeated batch only
+    replaces itself.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if keys and batch_id and batch_id % compact_every == 0:
+            _merge(batch.sparkSession, path, batch.schema, keys, batch_id - 1)
 
     return write
 
 
-def imports_to(store: PostStore, topic: str, name: str, now: Callable[[], dt.datetime]):
+def _merge(spark: SparkSession, path: str, schema: StructType, keys: tuple[str, ...], last: int) -> None:
+    closed = _batch_rows(spark, path, schema).filter(F.col("batch_id") <= last)
+    found = [r.batch_id for r in closed.select("batch_id").distinct().collect()]
+    _newest(closed, keys).write.mode("append").parquet(f"{path}/batch_id={last}")
+    for batch_id in found:
+        if batch_id != last:
+            remove(spark, f"{path}/batch_id={batch_id}")
+
+
+def imports_to(
+    store: PostStore,
+    topic: str,
+    name: str,
+    now: Callable[[], dt.datetime],
+    lexicon: DataFrame | None = None,
+):
     """Append each micro-batch of enriched posts to the store as one import.
 
-    The import id is made of the stream's name and the batch number, so a
-    repeated batch replaces itself.
+    With ``lexicon`` the batches hold normalised posts (``prepare(enriched=False)``)
+    and are enriched here, where a lexicon of any size can be joined. The import
+    id is made of the stream's name and the batch number, so a repeated batch
+    replaces itself.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.write_import(batch, topic, now(), import_id=f"{name}-{batch_id}", source="stream")
+        posts = batch if lexicon is None else enrich(batch, lexicon)
+        store.write_import(posts, topic, now(), import_id=f"{name}-{batch_id}", source="stream")
 
     return write
 
@@ -63,10 +92,16 @@ def all_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path).drop("batch_id")
 
 
-def latest_rows(spark: SparkSession, path: str, schema: StructType, *keys: str) -> DataFrame:
-    """Newest row per key, for windowed counts written in update mode."""
-    schema = StructType([*schema.fields, StructField("batch_id", LongType())])
-    rows = spark.read.schema(schema).parquet(path)
+def _batch_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())])).parquet(path)
+
+
+def _newest(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     values = [c for c in rows.columns if c not in (*keys, "batch_id")]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
     return newest.select(*keys, "v.*")
+
+
+def latest_rows(spark: SparkSession, path: str, schema: StructType, *keys: str) -> DataFrame:
+    """Newest row per key, for windowed counts written in update mode."""
+    return _newest(_batch_rows(spark, path, schema), keys)

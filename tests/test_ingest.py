@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hearsay.operators import ingest
 from hearsay.plans.imports import prepare
 from hearsay.schema import HEADER_ALIASES, POST_COLUMNS, POST_SCHEMA
-from hearsay.sources.csv import read_posts_csv, write_posts_csv
+from hearsay.sources.csv import file_forms, malformed_lines, read_posts_csv, write_posts_csv
 
 from conftest import NOW
 
@@ -130,6 +130,32 @@ def test_csv_file_as_exported(spark, tmp_path):
     assert rows[1].created_at == NOW
 
 
+def test_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Text,User,Likes\nhello one,ann,3\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text('Author,Likes,Tweet\nbob,7,"hello\nthree"\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("", encoding="utf-8")
+    rows = read_posts_csv(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="text"):
+        ingest.normalise(rows, NOW)
+    got = ingest.normalise(rows, NOW, on_collision="coalesce").orderBy("like_count").collect()
+    assert [(r.text, r.username, r.like_count) for r in got] == [("hello one", "ann", 3), ("hello\nthree", "bob", 7)]
+
+
+def test_form_of_each_file_is_found(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Text,Likes\n"a, ""b""",1\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('Text,Likes\n"a\nb",1\n', encoding="utf-8")
+    forms = file_forms(spark, str(tmp_path))
+    assert [(names, multiline, len(files)) for names, multiline, files in forms] == [
+        (["Text", "Likes"], False, 1), (["Text", "Likes"], True, 1),
+    ]
+
+
+def test_malformed_lines_are_reported(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Text,Likes\nfine,1\nsurplus,1,2,3\nshort\n", encoding="utf-8")
+    assert sorted(r.line for r in malformed_lines(spark, str(tmp_path)).collect()) == ["short", "surplus,1,2,3"]
+    assert read_posts_csv(spark, str(tmp_path)).count() == 3
+
+
 def test_single_line_csv_is_split(spark, tmp_path):
     write_posts_csv(frame(spark, Text=["a", "b"]).coalesce(1), str(tmp_path / "csv"))
     assert read_posts_csv(spark, str(tmp_path / "csv"), multiline=False).count() == 2

@@ -70,8 +70,8 @@ def test_word_counts_of_the_lists():
 def test_polarity_paths_agree(spark, lexicon):
     texts = ["nice nice bad", "bad odd low edge", "x", "", None, "nice " * 1000 + "bad"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
-    a = {r.id: r.polarity for r in add_polarity(df, lexicon, "s", "id").collect()}
-    b = {r.id: r.polarity for r in join_polarity(df, lexicon, "s", "id").collect()}
+    a = {r.id: r.polarity for r in add_polarity(df, lexicon, "s").collect()}
+    b = {r.id: r.polarity for r in join_polarity(df, lexicon, "s").collect()}
     assert a == b
     assert a[0] == pytest.approx((0.6 + 0.6 - 0.7) / 3) and a[2] is None and a[4] is None
 

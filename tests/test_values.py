@@ -29,6 +29,23 @@ def test_times(one):
         "Mon Jan 01 10:00:00 +0530 2024": dt.datetime(2024, 1, 1, 10),
         "5 Jan 2024": dt.datetime(2024, 1, 5),
         "Jan 5, 2024": dt.datetime(2024, 1, 5),
+        "1/5/2024 3:04 PM": dt.datetime(2024, 1, 5, 15, 4),
+        "12/5/2024 12:04 am": dt.datetime(2024, 12, 5, 0, 4),
+        "January 5, 2024": dt.datetime(2024, 1, 5),
+        "Fri, 05 Jan 2024 10:00:00 GMT": dt.datetime(2024, 1, 5, 10),
+        "05-Jan-2024": dt.datetime(2024, 1, 5),
+        "Jan 5 2024 10:00AM": dt.datetime(2024, 1, 5, 10),
+        "2024/01/05 10:00:00.123": dt.datetime(2024, 1, 5, 10, 0, 0, 123000),
+        "05.01.2024": dt.datetime(2024, 5, 1),
+        "31.01.2024": dt.datetime(2024, 1, 31),
+        "20240105": dt.datetime(2024, 1, 5),
+        "2024-01-05 10:00 UTC": dt.datetime(2024, 1, 5, 10),
+        "1/5/24": dt.datetime(2024, 1, 5),
+        "1/5/70": dt.datetime(1970, 1, 5),
+        "2024-01-05T10:11:12+05:30": dt.datetime(2024, 1, 5, 10, 11, 12),
+        "5th March 2024, 7:08 p.m.": dt.datetime(2024, 3, 5, 19, 8),
+        "13:00 PM": now,
+        "on 1/5/2024": now,
         "not a date": now,
         "31/31/2024": now,
         "": now,
@@ -64,3 +81,16 @@ def test_crisis_score_and_alert(spark):
     got = [tuple(r)[1:] for r in df.select("i", score, alert_state(score)).orderBy("i").collect()]
     assert got[:4] == [(0.0, "Normal"), (100.0, "Extreme"), (25.0, "Normal"), (0.0, "Normal")]
     assert [a for _, a in got[4:]] == ["High", "High", "Moderate", "High"]
+
+
+def test_unreadable_times_are_counted(spark):
+    from hearsay.operators.ingest import unreadable_times
+
+    df = spark.createDataFrame([("x", "1/5/24"), ("x", "soon"), ("x", " "), ("x", None)], "Text string, Date string")
+    assert tuple(unreadable_times(df).first()) == (1, 4)
+
+
+def test_numbers_are_extracted_once(spark):
+    df = spark.createDataFrame([("1",)], "s string").select(v.to_count(F.col("s")).alias("n"))
+    plan = df.filter("n > 0").groupBy(v.log_bin(F.col("n"))).count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") <= 2
