@@ -176,12 +176,49 @@ def post_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three tokens of every benchmark item; grows with that table."""
-    from hearsay.functions.text import words
+    """Every benchmark item as a whole, as it is written, and one to six tokens of each."""
+    from hearsay.functions.text import entity_tokens
 
-    tokens = table(spark, sf_dir, "benchmark").select(words(F.col("text")).alias("w"))
-    return tokens.filter(F.size("w") >= 3).select(
-        F.array_join(F.slice("w", 1, 3), " ").alias("ngram"),
-        F.get("w", F.lit(0)).alias("entity"),
-        F.lit("ITEM").alias("type"),
+    items = table(spark, sf_dir, "benchmark").select(
+        "item_id", "text", entity_tokens(F.col("text")).alias("w"), F.col("item_id").cast("string").alias("entity")
+    )
+    part = F.slice("w", (F.col("item_id") % 5 + 1).cast("int"), (F.col("item_id") % 6 + 1).cast("int"))
+    return items.select(F.col("text").alias("ngram"), "entity", F.lit("ITEM").alias("type")).unionByName(
+        items.select(F.array_join(part, ", ").alias("ngram"), "entity", F.lit("PART").alias("type"))
     )
+
+
+def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polarity for every word of the documents: more words than become literals of a plan."""
+    from hearsay.functions.text import words
+
+    found = table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("word")).distinct()
+    polarity = (F.length("word") * 37 % 21 - 10) / F.lit(10.0)
+    return found.select("word", polarity.alias("polarity"), F.lit(0.5).alias("subjectivity"))
+
+
+#: Form of a time -> (pattern, what it keeps of a time), chosen by ``event_id``.
+TIME_FORMS = (
+    ("M/d/yyyy h:mm a", "minute"),
+    ("MMMM d, yyyy", "day"),
+    ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "second"),
+    ("dd-MMM-yyyy", "day"),
+    ("MMM d yyyy h:mma", "minute"),
+    ("yyyy/MM/dd HH:mm:ss.SSS", "millisecond"),
+    ("MM.dd.yyyy", "day"),
+    ("yyyyMMdd", "day"),
+    ("yyyy-MM-dd HH:mm 'UTC'", "minute"),
+    ("M/d/yy", "day"),
+    ("EEE MMM dd HH:mm:ss '+0000' yyyy", "second"),
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "second"),
+    ("dd MMM yyyy HH:mm", "minute"),
+)
+
+#: Headers of three exports of the same posts; what a set leaves out is missing in its files.
+HEADER_SETS = (
+    {"Text": "Text", "Timestamp": "Timestamp", "User": "User", "Retweets": "Retweets", "Likes": "Likes",
+     "user_followers": "user_followers", "Hashtags": "Hashtags", "Location": "Location", "Platform": "Platform", "idx": "idx"},
+    {"User": "Author", "Likes": "Favorites", "Text": "Tweet", "Location": "Place", "Platform": "Source", "idx": "idx",
+     "Timestamp": "Date", "Hashtags": "hashtags"},
+    {"idx": "idx", "Text": "Tweet-Text", "User": "Username", "Timestamp": "DateTime"},
+)

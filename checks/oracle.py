@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.derived import INGEST_TS, LEXICON, RAW_COLUMNS
+from checks.derived import HEADER_SETS, HEADERS, INGEST_TS, LEXICON, RAW_COLUMNS, TIME_FORMS
 from checks.queries import CRISIS_TOPICS, IMPORTS
 from hearsay.functions.text import WHITESPACE
 from hearsay.schema import DISASTER_WORDS, HAPPY_WORDS, PLATFORMS, SAD_WORDS, STOPWORDS
@@ -181,6 +181,17 @@ def _grams(source: str, key: str, text: str, extra: str = "") -> str:
     return f"toks AS (SELECT {key} AS k, {_words(text)} AS w FROM {source}), gram AS ({steps})"
 
 
+_ENTITY_TOKENS = rf"regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_][\pL\pN_'']*')"
+_DOC_ENTITIES = f"""WITH item AS (SELECT item_id, {_ENTITY_TOKENS} AS w FROM benchmark),
+gaz AS (SELECT DISTINCT w, entity, type FROM (SELECT w, CAST(item_id AS VARCHAR) AS entity, 'ITEM' AS type FROM item UNION ALL
+  SELECT list_slice(w, item_id % 5 + 1, item_id % 5 + item_id % 6 + 1), CAST(item_id AS VARCHAR), 'PART' FROM item) WHERE len(w) > 0),
+longest AS (SELECT max(len(w)) AS n FROM gaz),
+toks AS (SELECT {_ENTITY_TOKENS} AS w FROM documents),
+pos AS (SELECT unnest(list_transform(range(1, len(w) + 1), lambda i: list_slice(w, i, i + n - 1))) AS s FROM toks, longest)
+SELECT entity, type, count(*) AS count FROM pos JOIN gaz ON s[1] = gaz.w[1] AND list_slice(s, 1, len(gaz.w)) = gaz.w
+GROUP BY entity, type"""
+
+
 _IMPORTS = "imp AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{i}', '{t}', TIMESTAMP '{at}')" for i, t, at, _ in IMPORTS
 ) + ") AS v(import_id, topic, imported_at))"
@@ -225,6 +236,20 @@ _DOC_CLEAN = f"doc AS (SELECT doc_id, lang, {_clean('text')} AS cleaned_text FRO
 
 _LETTERS = r"[\pL\p{Nl}\p{No}_]+"
 
+# Columns that one of the header sets lacks are null in its posts.
+_MISSING = ", ".join(
+    f"CASE WHEN idx % {len(HEADER_SETS)} IN ({', '.join(str(i) for i, h in enumerate(HEADER_SETS) if header in h)}) THEN {name} END AS {name}"
+    for name, header in HEADERS.items()
+    if any(header not in h for h in HEADER_SETS)
+)
+
+_FEED_SEARCH = """SELECT post_id, text, created_at, sentiment{} FROM post
+WHERE regexp_matches(lower(text), 'service|victory') AND list_contains(tags, 'click')
+  AND created_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"""
+
+_LARGE_LEXICON = f"""lexicon AS (SELECT word, CAST(round((length(word) * 37 % 21 - 10) / 10.0::DOUBLE * 1000000000) AS BIGINT) AS units
+  FROM (SELECT DISTINCT unnest({_words('text')}) AS word FROM documents))"""
+
 ORACLE_SQL: dict[str, str] = {
     "normalise_posts": f"WITH {_RAW},\n{_NORM}\nSELECT * EXCLUDE (idx) FROM norm",
     "clean_text": _raw(f"SELECT idx, {_clean('text_')} AS cleaned_text FROM raw"),
@@ -240,6 +265,7 @@ doc AS (SELECT conv_id || '/' || turn AS id, role, {_clean('text')} AS cleaned_t
 {_polarity('(SELECT DISTINCT id, cleaned_text FROM doc)', 'id || cleaned_text', 'cleaned_text')}
 SELECT role, coalesce({_keyword('cleaned_text')}, {_polar('polarity')}) AS sentiment, count(*) AS count
 FROM doc LEFT JOIN pol ON k = id || cleaned_text GROUP BY ALL""",
+    "conversation_sentiment_by_join": "",
     "whole_word_sentiment": f"""WITH {_DOC_CLEAN}, found AS (SELECT doc_id, CASE """
     + " ".join(
         rf"WHEN regexp_matches(lower(cleaned_text), '\b(?:{'|'.join(ws)})\b') THEN '{name}'"
@@ -255,15 +281,19 @@ SELECT doc_id, polarity FROM documents LEFT JOIN pol ON k = doc_id""",
     "date_parts": _posts("SELECT post_id, created_at, year, month, day, hour FROM post"),
     "enrich_posts": _posts("SELECT * EXCLUDE (tags), array_to_string(tags, '|') AS hashtags FROM post"),
     "csv_posts": f"WITH {_RAW},\n{_NORM}\nSELECT * EXCLUDE (idx) FROM norm",
+    "time_forms": "SELECT event_id, CASE event_id % "
+    + str(len(TIME_FORMS))
+    + " ".join(f" WHEN {i} THEN date_trunc('{unit}', ts)" for i, (_, unit) in enumerate(TIME_FORMS))
+    + " END AS read_ts, false AS unreadable FROM events",
+    "csv_mixed_headers": f"""WITH {_RAW.replace('raw AS', 'raw0 AS', 1)},
+raw AS (SELECT * REPLACE ({_MISSING}) FROM raw0),
+{_NORM}
+SELECT * EXCLUDE (idx) FROM norm""",
     "topic_filter": _raw(
         r"SELECT idx, text_ AS text FROM raw WHERE regexp_matches(lower(text_), 'near the|#k1[23]\b')"
     ),
     "topic_filter_literal": "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the ')",
-    "posts_search": _posts(
-        """SELECT post_id, text, created_at, sentiment FROM post
-WHERE regexp_matches(lower(text), 'service|victory') AND list_contains(tags, 'click')
-  AND created_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"""
-    ),
+    "posts_search": _posts(_FEED_SEARCH.format("")),
     "sentiment_counts": _posts(f"SELECT sentiment, count(*) AS count, {_SHARE} FROM post GROUP BY sentiment"),
     "sentiment_metrics": _posts(
         "SELECT 'sentiment_' || sentiment AS metric, CAST(count(*) AS VARCHAR) AS value FROM post GROUP BY sentiment"
@@ -318,16 +348,11 @@ GROUP BY entity, type ORDER BY count DESC, entity, type LIMIT 20""",
         _ENTITIES,
         _grams("post", "post_id", "cleaned_text"),
     ),
-    "document_entities": f"""WITH item AS (SELECT {_words('text')} AS w FROM benchmark),
-gaz AS (SELECT DISTINCT array_to_string(list_slice(w, 1, 3), ' ') AS ngram, w[1] AS entity, 'ITEM' AS type
-  FROM item WHERE len(w) >= 3),
-{_grams('documents', 'doc_id', 'text')}
-SELECT entity, type, count(*) AS count FROM gram JOIN gaz USING (ngram) GROUP BY entity, type""",
-    "document_entities_by_join": f"""WITH item AS (SELECT {_words('text')} AS w FROM benchmark),
-gaz AS (SELECT DISTINCT array_to_string(list_slice(w, 1, 3), ' ') AS ngram, w[1] AS entity, 'ITEM' AS type
-  FROM item WHERE len(w) >= 3),
-{_grams('documents', 'doc_id', 'text')}
-SELECT entity, type, count(*) AS count FROM gram JOIN gaz USING (ngram) GROUP BY entity, type""",
+    "document_entities": _DOC_ENTITIES,
+    "document_entities_by_join": _DOC_ENTITIES,
+    "entity_plug_in": r"""SELECT entity, 'CAPITALS' AS type, count(*) AS count
+FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[^\pL\pN_])([A-Z]{2,}(?:[^\pL\pN_]+[A-Z]{2,})*)(?:$|[^\pL\pN_])', 1)) AS run
+  FROM documents), unnest(regexp_extract_all(run, '[A-Z]+')) AS u(entity) GROUP BY entity""",
     "word_frequency": _posts(
         f"""SELECT word, count(*) AS count FROM (SELECT unnest({_words('cleaned_text')}) AS word FROM post)
 WHERE word NOT IN ({_list(STOPWORDS)}) GROUP BY word ORDER BY count DESC, word LIMIT 200"""
@@ -340,6 +365,11 @@ GROUP BY word ORDER BY count DESC, word LIMIT 200""",
     "topic_terms": f"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS documents FROM tok
 WHERE length(term) BETWEEN 2 AND 15 AND NOT starts_with(term, '_') GROUP BY term""",
+    "topic_model_input": f"""SELECT doc_id, term, count(*) AS count
+FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS term FROM documents)
+WHERE length(term) BETWEEN 2 AND 15 AND NOT starts_with(term, '_') GROUP BY doc_id, term""",
+    "topic_model_fit": """SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, true AS in_range, true AS falling,
+  true AS known FROM range(0, 3) AS a(t), range(1, 11) AS b(r)""",
     "place_counts": _posts("SELECT * FROM place_count", _PLACES),
     "place_counts_parity": _posts(
         "SELECT * FROM place_count WHERE name IS NOT NULL AND state IS NOT NULL AND country IS NOT NULL", _PLACES
@@ -426,4 +456,13 @@ FROM (SELECT window_start, window_end, unnest(tags) AS hashtag FROM win) GROUP B
     "stream_unique_posts": f"""WITH {_RAW},\n{_NORM}
 SELECT post_id, created_at, coalesce({_keyword(_clean('text'))}, 'Neutral') AS sentiment FROM norm""",
     "stream_import": _posts("SELECT post_id, sentiment, platform, like_count FROM post"),
+    "stream_feed_posts": _posts(_FEED_SEARCH.format(", city, state, country")),
+    "stream_large_lexicon": _posts("SELECT post_id, sentiment FROM post").replace(_LEXICON, _LARGE_LEXICON, 1),
+    "repeated_import": _posts(
+        """SELECT * FROM (SELECT 'tags' AS topic, count(*) AS n_posts, 0::BIGINT AS n_tags, 0::BIGINT AS listed FROM post
+  WHERE contains(lower(text), '#click') UNION ALL SELECT 'back', count(*), sum(len(tags))::BIGINT, sum(len(tags))::BIGINT
+  FROM post WHERE contains(lower(text), '#click'))"""
+    ),
+    "failed_import": _posts("SELECT 'a' AS import_id, post_id, sentiment FROM post WHERE contains(lower(text), 'hospital')"),
 }
+ORACLE_SQL["conversation_sentiment_by_join"] = ORACLE_SQL["conversation_sentiment"]

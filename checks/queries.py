@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import derived
 from hearsay.functions import text as text_functions
 from hearsay.functions import places as place_functions
+from hearsay.functions import values as value_functions
 from hearsay.operators import crisis, distributions, geography, language, rankings
 from hearsay.operators.ingest import filter_topic, normalise
 from hearsay.operators import search
 from hearsay.operators.sentiment import add_polarity, classify, join_polarity
 from hearsay.plans.imports import import_csv, prepare
+from hearsay.schema import FEED_SCHEMA
 from hearsay.session import fresh_folder
 from hearsay.sources.csv import read_posts_csv, write_posts_csv
+from hearsay.sources.feeds import stream_feed
 from hearsay.sources.store import PostStore
 from hearsay.streaming import sinks, windows
 
@@ -79,31 +83,39 @@ def document_sentiment(spark, sf_dir):
     docs = derived.table(spark, sf_dir, "documents").select(
         "doc_id", "lang", text_functions.clean_text(F.col("text")).alias("cleaned_text")
     )
-    return distributions.count_by(classify(docs, derived.lexicon(spark), key="doc_id"), "lang", "sentiment")
+    return distributions.count_by(classify(docs, derived.lexicon(spark)), "lang", "sentiment")
 
 
 def conversation_sentiment(spark, sf_dir):
     turns = derived.table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", text_functions.clean_text(F.col("text")).alias("cleaned_text")
     )
-    return distributions.count_by(classify(turns, derived.lexicon(spark), key="turn"), "role", "sentiment")
+    return distributions.count_by(classify(turns, derived.lexicon(spark)), "role", "sentiment")
+
+
+def conversation_sentiment_by_join(spark, sf_dir):
+    """The same counts with the lexicon joined; turns repeat in every conversation."""
+    turns = derived.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", text_functions.clean_text(F.col("text")).alias("cleaned_text")
+    )
+    return distributions.count_by(classify(turns, derived.lexicon(spark), literal_rows=0), "role", "sentiment")
 
 
 def whole_word_sentiment(spark, sf_dir):
     docs = derived.table(spark, sf_dir, "documents").select(
         "doc_id", text_functions.clean_text(F.col("text")).alias("cleaned_text")
     )
-    return classify(docs, None, key="doc_id", match="word").select("doc_id", "sentiment")
+    return classify(docs, None, match="word").select("doc_id", "sentiment")
 
 
 def lexicon_polarity(spark, sf_dir):
     docs = derived.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return add_polarity(docs, derived.lexicon(spark), "text", "doc_id").select("doc_id", "polarity")
+    return add_polarity(docs, derived.lexicon(spark), "text").select("doc_id", "polarity")
 
 
 def lexicon_polarity_by_join(spark, sf_dir):
     docs = derived.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return join_polarity(docs, derived.lexicon(spark), "text", "doc_id").select("doc_id", "polarity")
+    return join_polarity(docs, derived.lexicon(spark), "text").select("doc_id", "polarity")
 
 
 def hashtag_bag(spark, sf_dir):
@@ -134,6 +146,27 @@ def csv_posts(spark, sf_dir):
     return normalise(read_posts_csv(spark, path), derived.INGEST_TS, "idx")
 
 
+def time_forms(spark, sf_dir):
+    """The events' times in many ordinary forms, read back."""
+    written = F.lit(None).cast("string")
+    for i, (form, _) in enumerate(derived.TIME_FORMS):
+        written = F.when(F.col("event_id") % len(derived.TIME_FORMS) == i, F.date_format("ts", form)).otherwise(written)
+    events = derived.table(spark, sf_dir, "events")
+    read = value_functions.to_time(written, F.lit(derived.INGEST_TS))
+    return events.select("event_id", read.alias("read_ts"), value_functions.unreadable_time(written).alias("unreadable"))
+
+
+def csv_mixed_headers(spark, sf_dir):
+    """Posts in three exports with other headers, order and columns, read together."""
+    folder = fresh_folder(spark, "csv")
+    raw = derived.raw_posts(spark, sf_dir).withColumn("idx", F.col("idx").cast("string"))
+    for i, headers in enumerate(derived.HEADER_SETS):
+        part = raw.filter(F.col("idx").cast("bigint") % len(derived.HEADER_SETS) == i)
+        write_posts_csv(part.select([F.col(c).alias(h) for c, h in headers.items()]), f"{folder}/{i}")
+    rows = read_posts_csv(spark, [f"{folder}/{i}" for i in range(len(derived.HEADER_SETS))])
+    return normalise(rows, derived.INGEST_TS, "idx", on_collision="coalesce")
+
+
 # -- filters -------------------------------------------------------------------
 
 
@@ -250,11 +283,26 @@ def document_entities(spark, sf_dir):
 
 
 def document_entities_by_join(spark, sf_dir):
-    """The same counts with no n-gram dropped before counting, as for a large gazetteer."""
+    """The same counts with the entries' first tokens joined, as for a large gazetteer."""
     docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("cleaned_text"))
     return language.entity_counts(docs, derived.document_entities(spark, sf_dir), literal_rows=0)
 
 
+def entity_plug_in(spark, sf_dir):
+    """Another extractor: words written in capitals."""
+
+    def capitals(batches):
+        for pdf in batches:
+            found = pdf.assign(entity=pdf.cleaned_text.fillna("").str.findall(r"\b[A-Z]{2,}\b")).explode("entity")
+            found = found.dropna(subset=["entity"])
+            yield found[["post_id", "entity"]].assign(type="CAPITALS")
+
+    docs = derived.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("post_id"), F.col("text").alias("cleaned_text")
+    )
+    return language.count_entities(language.extract_entities(docs, capitals))
+
+
 def word_frequency(spark, sf_dir):
     return language.word_frequency(posts(spark, sf_dir))
 
@@ -281,10 +329,35 @@ def topic_terms(spark, sf_dir):
     )
 
 
-def topic_model(spark, sf_dir):
+def topic_model_input(spark, sf_dir):
+    """Every term of every document with its count."""
+    docs = derived.table(spark, sf_dir, "documents")
+    return language.topic_input(language.topic_tokens(docs, "text", "doc_id"), "doc_id")
+
+
+def _topics(spark, sf_dir):
     docs = derived.table(spark, sf_dir, "documents")
     tokens = language.topic_tokens(docs, "text", "doc_id")
-    return language.describe_topics(language.topic_model(tokens, iterations=10))
+    return language.describe_topics(language.topic_model(tokens, iterations=10, key="doc_id")), tokens
+
+
+def topic_model(spark, sf_dir):
+    return _topics(spark, sf_dir)[0]
+
+
+def topic_model_fit(spark, sf_dir):
+    """Each topic's heaviest terms are terms of the documents, with falling weights between 0 and 1."""
+    described, tokens = _topics(spark, sf_dir)
+    terms = tokens.select(F.explode("tokens").alias("term")).distinct().withColumn("known", F.lit(True))
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    checked = described.withColumn("falling", F.coalesce(F.col("weight") <= before, F.lit(True)))
+    return checked.join(terms, "term", "left").select(
+        F.col("topic").cast("int").alias("topic"),
+        F.col("rank").cast("int").alias("rank"),
+        F.col("weight").between(0, 1).alias("in_range"),
+        "falling",
+        F.coalesce("known", F.lit(False)).alias("known"),
+    )
 
 
 # -- places --------------------------------------------------------------------
@@ -419,6 +492,44 @@ def known_topics(spark, sf_dir):
     return example_store(spark, sf_dir).known_topics(types.distinct())
 
 
+def repeated_import(spark, sf_dir):
+    """What is left of imports that were repeated: without tags, without posts, and as they were."""
+    store = PostStore(spark, fresh_folder(spark, "store")).create()
+    at = dt.datetime.fromisoformat(derived.INGEST_TS)
+    some, plain = posts(spark, sf_dir, topic="#click"), posts(spark, sf_dir, topic="#click")
+    plain = plain.withColumn("hashtags", F.array().cast("array<string>"))
+    tries = {"tags": [some, plain], "gone": [some, some.limit(0)], "back": [plain, some.limit(0), some]}
+    for import_id, frames in tries.items():
+        for frame in frames:
+            store.write_import(frame, import_id, at, import_id=import_id)
+    left = [
+        store.topic_posts(t).groupBy(F.lit(t).alias("topic")).agg(
+            F.count("*").alias("n_posts"), F.coalesce(F.sum(F.size("hashtags")), F.lit(0)).alias("n_tags")
+        )
+        for t in tries
+    ]
+    listed = [store.topic_hashtags(t, k=100).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("listed")).select(F.lit(t).alias("topic"), "listed") for t in tries]
+    return reduce(DataFrame.unionByName, left).join(reduce(DataFrame.unionByName, listed), "topic")
+
+
+def failed_import(spark, sf_dir):
+    """An import that breaks off after its posts leaves what was there: nothing, or the try before."""
+    store = PostStore(spark, fresh_folder(spark, "store")).create()
+    at = dt.datetime.fromisoformat(derived.INGEST_TS)
+    some = posts(spark, sf_dir, topic="hospital")
+    store.write_import(some, "kept", at, import_id="a")
+    register = store._register
+    store._register = lambda *_: (_ for _ in ()).throw(RuntimeError("broke off"))
+    for topic, import_id in (("kept", "a"), ("new", "b")):
+        try:
+            store.write_import(posts(spark, sf_dir, topic="#click"), topic, at, import_id=import_id)
+        except RuntimeError:
+            pass
+    store._register = register
+    stored = store.topic_posts("kept").unionByName(store.topic_posts("new"))
+    return stored.select("import_id", "post_id", "sentiment")
+
+
 def csv_import(spark, sf_dir):
     """CSV file to stored posts, end to end; the count of each class."""
     path = fresh_folder(spark, "csv")
@@ -441,11 +552,41 @@ def stream_posts(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = N
     return prepare(derived.as_raw(events), derived.INGEST_TS, None, lexicon, row_key="idx")
 
 
+def stream_feed_posts(spark, sf_dir):
+    """Posts landed as feed files, with places, read as a stream and searched by keyword, hashtag and time."""
+    folder = fresh_folder(spark, "feed")
+    names = {"idx": "row_key", "Text": "text", "Timestamp": "created_at", "User": "username", "Retweets": "retweet_count",
+             "Likes": "like_count", "Hashtags": "hashtags", "Location": "location", "Platform": "platform"}
+    raw = derived.raw_posts(spark, sf_dir).withColumnsRenamed(names)
+    raw.select([F.col(f.name).cast("string").alias(f.name) for f in FEED_SCHEMA]).repartition(6).write.json(folder)
+    landed = stream_feed(spark, folder, files_per_trigger=2)
+    found = prepare(landed, derived.INGEST_TS, None, derived.lexicon(spark), row_key="row_key")
+    found = search.posts_search(found, "service|victory", "click", "2024-01-05 00:00:00", "2024-01-20 12:00:00")
+    return _run(spark, found.select("post_id", "text", "created_at", "sentiment", "city", "state", "country"), "append")
+
+
+def stream_large_lexicon(spark, sf_dir):
+    """Micro-batches classified by a lexicon too large for a stream's own plan."""
+    store = PostStore(spark, fresh_folder(spark, "store")).create()
+    at = dt.datetime.fromisoformat(derived.INGEST_TS)
+    path = f"{sf_dir}/{{events.parquet}}"
+    events = spark.readStream.schema(derived.table(spark, sf_dir, "events").schema).parquet(path)
+    stream = prepare(derived.as_raw(events), derived.INGEST_TS, row_key="idx", enriched=False)
+    sinks.start(
+        stream,
+        sinks.imports_to(store, "live", "feed", lambda: at, derived.large_lexicon(spark, sf_dir)),
+        fresh_folder(spark, "checkpoint"),
+        "append",
+        refresh_minutes=None,
+    ).awaitTermination()
+    return store.topic_posts("live").select("post_id", "sentiment")
+
+
 def _run(spark, stream, mode, *keys):
     """Process all available input; returns what the sink then holds."""
     folder = fresh_folder(spark, "stream")
     sinks.start(
-        stream, sinks.batches_to(f"{folder}/out"), f"{folder}/checkpoint", mode, refresh_minutes=None
+        stream, sinks.batches_to(f"{folder}/out", *keys), f"{folder}/checkpoint", mode, refresh_minutes=None
     ).awaitTermination()
     if keys:
         return sinks.latest_rows(spark, f"{folder}/out", stream.schema, *keys)
@@ -500,6 +641,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentiment_class_by_join,
         document_sentiment,
         conversation_sentiment,
+        conversation_sentiment_by_join,
         whole_word_sentiment,
         lexicon_polarity,
         lexicon_polarity_by_join,
@@ -508,6 +650,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         date_parts,
         enrich_posts,
         csv_posts,
+        csv_mixed_headers,
+        time_forms,
         topic_filter,
         topic_filter_literal,
         posts_search,
@@ -529,10 +673,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         entity_matches,
         document_entities,
         document_entities_by_join,
+        entity_plug_in,
         word_frequency,
         document_words,
         topic_terms,
+        topic_model_input,
         topic_model,
+        topic_model_fit,
         place_counts,
         place_counts_parity,
         standard_countries,
@@ -557,10 +704,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         recent_search,
         known_topics,
         csv_import,
+        repeated_import,
+        failed_import,
         stream_volume,
         stream_hashtags,
         stream_crisis,
         stream_unique_posts,
         stream_import,
+        stream_feed_posts,
+        stream_large_lexicon,
     )
 }

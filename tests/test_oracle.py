@@ -7,6 +7,17 @@ from checks.oracle import ORACLE_SQL
 from checks.queries import QUERIES
 
 
+#: Length and digest: disaster, happy and sad words, platforms, missing-value strings, headers.
+PINNED = [
+    (26, "0e93a221"),
+    (26, "6b8dc356"),
+    (19, "f3920b12"),
+    (7, "cf32e277"),
+    (19, "a977a59f"),
+    (23, "56393a2c"),
+]
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
@@ -32,3 +43,15 @@ def test_entry(spark):
         "plain": (0.0, "Normal"),
     }
     assert set(entry.queries()) >= set(entry.oracle_sql())
+
+
+def test_fixed_lists_are_pinned():
+    """The SQL takes these lists from the library, so their content is pinned here."""
+    import hashlib
+
+    from hearsay import schema
+
+    digest = lambda values: (len(values), hashlib.md5("\n".join(sorted(values)).encode()).hexdigest()[:8])
+    headers = [f"{k}:{h}" for k, hs in schema.HEADER_ALIASES.items() for h in hs]
+    lists = (schema.DISASTER_WORDS, schema.HAPPY_WORDS, schema.SAD_WORDS, schema.PLATFORMS, schema.NA_STRINGS, headers)
+    assert [digest(x) for x in lists] == PINNED
