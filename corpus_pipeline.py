@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.llm import decontamination, jaccard_join, line_dedup, mixing, repetition
+from hearsay.llm.shipping import ship
 from hearsay.llm.tables import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -19,10 +19,11 @@ from hearsay.llm import (
     repetition,
     url_graph,
 )
+from hearsay.llm.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
