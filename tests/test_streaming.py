@@ -172,3 +172,17 @@ def test_refresh_period(spark, feed, tmp_path):
         assert query.isActive
     finally:
         query.stop()
+
+
+def test_updated_windows_are_merged(spark, tmp_path):
+    """Files follow the keys, not the micro-batches; a repeated batch replaces itself."""
+    path = str(tmp_path / "windows")
+    write = sinks.batches_to(path, "hour", compact_every=4)
+    for batch_id in range(13):
+        batch = spark.createDataFrame([(batch_id // 3, batch_id), (99, batch_id)], "hour int, n int")
+        write(batch, batch_id)
+        if batch_id % 5 == 0:
+            write(batch, batch_id)
+    got = {r.hour: r.n for r in sinks.latest_rows(spark, path, batch.schema, "hour").collect()}
+    assert got == {0: 2, 1: 5, 2: 8, 3: 11, 4: 12, 99: 12}
+    assert len(list((tmp_path / "windows").glob("batch_id=*"))) <= 5
