@@ -9,18 +9,20 @@ connected components, and no link between different sets is left out.
    parts by hash, so two such sets agree in a whole part. Parts are counted by
    their hash; sets that share no part with another set go no further. H and
    the parts depend on a size class, so only sets of similar length meet.
-3. Sets that share a part with a leader (the smallest id that has the part) meet
-   in blocks of bounded size. A block stores its sets, in one order of all its
-   n-grams, in a prefix tree and joins them by walking it: the overlap of a
-   shared prefix is counted once for each probe, and a subtree is left as soon
-   as the remaining lengths can't reach the needed overlap. Links give components.
-4. Parts that still hold sets of two or more components are joined again,
-   all against all: in pairs of bounded blocks, only across components.
+3. Sets that share parts, directly or over others, form clusters, found from ids
+   alone. A cluster's sets meet in blocks of bounded size, its first set in each.
+   A block stores its sets, in one order of all its n-grams, in a prefix tree and
+   joins them by walking it: the overlap of a shared prefix is counted once for
+   each probe, and a subtree is left as soon as the remaining lengths can't reach
+   the needed overlap. Links give components.
+4. In clusters of several blocks, sets that still share a part with a set of
+   another component are joined again, only across components: what is not in
+   the cluster's largest component meets all others, in pairs of bounded blocks.
 
 Links leave a block as a spanning forest, never as all pairs. Copies are merged
 in each task before the shuffle. The few parts found very often in a sample are
 known to be shared and skip the grouping; that only routes them. A group of near
-copies becomes many blocks, each joined with the leader.
+copies becomes many blocks.
 
 Edge cases: a text with fewer words than ``n`` has one n-gram, the whole
 sequence; null, empty and blank texts have none and link with nothing. Repeated
@@ -37,6 +39,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +51,15 @@ NGRAM = 3
 PERCENT = 90
 
 #: n-grams that a block of the join holds, about.
-BLOCK_NGRAMS = 1 << 17
+BLOCK_NGRAMS = 1 << 20
 #: Bytes of the table that tells which n-grams each probe has.
 PROBE_BYTES = 1 << 24
 #: Parts found this often in 1 of HOT_SAMPLE documents are hot; at most so many are listed.
 HOT_SAMPLE, HOT_COUNT, HOT_LIST = 64, 16, 1000
 
+#: Bits of the table that sorts out documents without partners.
+MARK_BITS = 1 << 24
+
 _HASH_BITS = np.uint64(52)
 _HASH_MASK = np.uint64((1 << 52) - 1)
 
@@ -144,20 +150,40 @@ def _signatures(docs: DataFrame, id_column: str, text_column: str, n: int, perce
     return docs.select(id_column, text_column).mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """(id, grams): the sets themselves, as bytes of sorted 64-bit numbers."""
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A table of MARK_BITS bits with those of the (id) rows' hashes set; of a fixed size."""
+    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(MARK_BITS)).alias("bit"))
+    words = bits.selectExpr("shiftright(bit, 6) word", "shiftleft(1L, cast(bit & 63 as int)) mark")
+    marks = np.zeros(MARK_BITS >> 6, dtype=np.uint64)
+    for r in words.groupBy("word").agg(F.bit_or("mark").alias("marks")).collect():
+        marks[r.word] = np.uint64(r.marks & 0xFFFFFFFFFFFFFFFF)
+    return marks
+
+
+def _sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
+    """(id, grams): the sets of the rows with one of the (id) ids, as bytes of sorted 64-bit numbers.
+
+    Other rows are sorted out by a table of hashed ids before their text is looked
+    at, so texts are not shuffled; the few that slip through find no partner later.
+    """
     kind = docs.schema[id_column].dataType.simpleString()
+    marks = _marks(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bits = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+            wanted = (marks[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1)
+            batch = pc.filter(batch, pa.array(wanted.astype(bool)))
             for block in blocks(batch.column(1), fold=True):
                 rows, hashes = ngram_sets(block, n)
                 ends = np.searchsorted(rows, np.arange(len(block) + 1))
                 sets = [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                ids = batch.column(0).slice(block.first, len(block))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, type=pa.binary())], names=["id", "grams"])
+                found = batch.column(0).slice(block.first, len(block))
+                yield pa.RecordBatch.from_arrays([found, pa.array(sets, type=pa.binary())], names=["id", "grams"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, grams binary")
+    bit = F.pmod(F.xxhash64(id_column), F.lit(MARK_BITS))
+    rows = docs.where(F.col(id_column).isNotNull()).select(id_column, text_column, bit)
+    return rows.mapInArrow(run, f"id {kind}, grams binary")
 
 
 def tree_links(ids: list, sets: list[np.ndarray], percent: int, groups: list | None = None) -> list[tuple]:
@@ -275,6 +301,50 @@ def _shared_parts(signatures: DataFrame) -> DataFrame:
     return others.where("lo <> hi").select("part", "id").unionByName(parts.where(is_hot).select("part", "id"))
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """(cluster, x, y, id, comp): pairs of bounded blocks in which all rows of different components meet.
+
+    Only the rest, what is not in a cluster's largest component, is dealt to
+    several blocks: to each block of the largest component (x >= 0), and of the
+    rest (x < 0). While the rest is one block, that is linear in the cluster.
+    """
+    half = BLOCK_NGRAMS / 2
+    loads = rows.groupBy("cluster", "comp").agg(F.sum("size").alias("load"))
+    totals = loads.groupBy("cluster").agg(
+        F.max_by("comp", F.struct("load", "comp")).alias("main"),
+        (F.max("load") / half + 1).cast("long").alias("mains"),
+        ((F.sum("load") - F.max("load")) / half + 1).cast("long").alias("rests"),
+    )
+    dealt = rows.join(totals, "cluster")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(F.col("rests")))
+    dealt = dealt.withColumn("mine", mine)
+    place = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    of_main = F.transform(upto("rests"), lambda y: place(F.col("mine"), y))
+    of_rest = F.concat(
+        F.transform(upto("mains"), lambda x: place(x, F.col("mine"))),
+        F.transform(upto("rests"), lambda k: place(-1 - F.least(k, F.col("mine")), F.greatest(k, F.col("mine")))),
+    )
+    places = F.explode(F.when(F.col("comp") == F.col("main"), of_main).otherwise(of_rest)).alias("at")
+    return dealt.select("cluster", places, F.col("rep").alias("id"), "comp").select("cluster", "at.x", "at.y", "id", "comp")
+
+
+def _links_across(
+    parts: DataFrame, clusters: DataFrame, several: DataFrame, found: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
+    """(a, b): links between components of clusters of several blocks, of sets that share a part."""
+    comp = F.coalesce("component", "rep").alias("comp")
+    known = clusters.join(several.select("cluster"), "cluster", "left_semi")
+    known = known.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "size", "cluster", comp)
+    known = written(known, "large-clusters")
+    shared = parts.join(known.select("rep", "comp"), "rep")
+    split = shared.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    again = known.join(shared.join(split, "part", "left_semi").select("rep").distinct(), "rep", "left_semi")
+    again = written(again, "split-clusters")
+    blocks_of_sets = _across(again).join(sets, "id")
+    return written(_block_links(blocks_of_sets, ["cluster", "x", "y"], percent, grouped=True), "more-links")
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = NGRAM, percent: int = PERCENT
 ) -> DataFrame:
@@ -291,43 +361,30 @@ def near_duplicates(
     near = parts.join(leaders, "part").where("rep > lead").select("lead", "rep").distinct()
     near = written(near, "near")
 
+    # sets that share parts, directly or over others, are a cluster
+    clusters = written(components(near.select(F.col("rep").alias("a"), F.col("lead").alias("b"))), "clusters")
+    sets = written(_sets(docs, clusters.select(F.col("node").alias("id")), id_column, text_column, n), "sets")
     sizes = members.groupBy("rep").agg(F.max("size").alias("size"))
-    load = near.join(sizes, "rep").groupBy("lead").agg(F.sum("size").alias("load"))
-    load = load.select("lead", (F.col("load") / BLOCK_NGRAMS + 1).cast("long").alias("blocks"))
-    placed = near.join(load, "lead").select("lead", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.col("rep").alias("id"))
-    heads = load.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("id"))
-    wanted = near.select(F.col("rep").alias("id")).unionByName(near.select(F.col("lead").alias("id"))).distinct()
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(wanted, "id", "left_semi")
-    sets = written(_sets(texts, "id", "text", n), "sets")
-    links = written(
-        _block_links(placed.unionByName(heads).join(sets, "id"), ["lead", "block"], percent, grouped=False), "links"
+    clusters = clusters.withColumnsRenamed({"node": "rep", "component": "cluster"}).join(sizes, "rep")
+    load = clusters.groupBy("cluster").agg((F.sum("size") / BLOCK_NGRAMS + 1).cast("long").alias("blocks"))
+    load = written(load, "cluster-loads")
+    placed = clusters.join(load, "cluster").select(
+        "cluster", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.col("rep").alias("id")
     )
+    several = load.where("blocks > 1")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    placed = placed.unionByName(several.select("cluster", each, F.col("cluster").alias("id")))
+    links = written(_block_links(placed.join(sets, "id"), ["cluster", "block"], percent, grouped=False), "links")
+
     # rows that share an id but not the set: their classes are one
     same_id = members.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
     links = links.unionByName(same_id)
     found = components(links)
 
-    comp = F.coalesce("component", "rep").alias("comp")
-    known = parts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("part", "rep", comp)
-    known = known.join(sizes, "rep")
-    open_parts = known.groupBy("part").agg(
-        F.min("comp").alias("lo"),
-        F.max("comp").alias("hi"),
-        F.count("*").alias("members"),
-        F.sum(F.xxhash64("rep") % (1 << 40)).alias("mark"),
-        F.sum("size").alias("load"),
-    )
-    # parts with the same members are one
-    open_parts = open_parts.where("lo < hi").groupBy("members", "mark", "load", "lo", "hi").agg(F.min("part").alias("part"))
-    open_parts = open_parts.select("part", (F.col("load") / (BLOCK_NGRAMS // 2) + 1).cast("long").alias("blocks"))
-    chunk = F.pmod(F.xxhash64("rep"), "blocks")
-    again = known.join(open_parts, "part").withColumn("mine", chunk)
-    again = again.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    again = again.select(
-        "part", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("rep").alias("id"), "comp"
-    )
-    more = written(_block_links(again.join(sets, "id"), ["part", "x", "y"], percent, grouped=True), "more-links")
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    if not several.isEmpty():
+        more = _links_across(parts, clusters, several, found, sets, percent)
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     by_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("key", F.coalesce("component", "rep").alias("component"))
