@@ -240,6 +240,25 @@ def test_repetition_of_long_ngrams_fails(spark):
     assert not row.base_failed and row.share_10gram > 0.4 and not row.kept
 
 
+def test_repetition_below_the_base_rule_fails(spark):
+    """A third of the text inside a repeated n-gram, or repeated lines, fails where the base rule lets it pass."""
+    phrase = lambda n: " ".join(f"u{i:02}" for i in range(n))
+    rest = lambda n: "\n".join(f"v{i:02}" for i in range(n))
+    lines = "\n".join([f"l{i:02} m{i:02}" for i in range(10)] * 2)
+    texts = {
+        "5": f"{phrase(6)} a00 {phrase(5)}\n{phrase(5)} {rest(40)} {phrase(6)}",
+        "7": f"{phrase(9)} {rest(42)} {phrase(9)}",
+        "10": f"{phrase(12)} {rest(80)} {phrase(12)}",
+        "lines": f"{lines}\n{rest(60)}",
+        "less": f"{phrase(6)} {rest(80)} {phrase(6)}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    rows = {r.doc_id: r for r in repetition.measure(df).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert 0.28 < rows["7"].share_7gram < 0.45 and 0.2 < rows["10"].share_10gram < 0.28 and 0.3 < rows["lines"].share_lines < 0.5
+    assert {k for k, r in rows.items() if r.kept} == {"less"}
+
+
 def test_mixing(docs, empty, spark):
     rows = rows_of(mixing.mix(docs))
     assert len(rows) == docs.count()
