@@ -1,17 +1,19 @@
 """URL filter: longest rule first, else trust and distrust spread over the link graph of hosts.
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains.
-Pages without a rule get their host's verdict: personalised PageRank from
-trusted hosts along the links, and from blocked hosts against them (who links to
-a blocked host loses trust), both as joins and sums over host edges. A host is
-blocked if its distrust outweighs its trust by the threshold.
+Pages without a rule get their host's verdict: personalised PageRank from all
+hosts with allowed pages along the links, and from all hosts with blocked pages
+against them (who links to a blocked host loses trust), both as joins and sums
+over host edges. A seed weighs as many pages as rules of its kind decide there, so
+a host can be a seed of both. A host is blocked if its distrust outweighs its
+trust by the threshold.
 
 Edges are counted per host pair before any shuffle of links, so a host with a
 third of all pages is one row per task and target; ranks are one row per host.
 
 Edge cases: a url that is null or has no ``://`` has empty host and path, fits
 no rule and is allowed. A null html has no links. Links without a host stay on
-their site and add nothing. Repeated pages count as often as they occur. Without
+their site and add nothing; a link may lack the scheme (``//host/path``). Repeated pages count as often as they occur. Without
 links, seeds keep their own rank only. An empty table gives an empty result.
 Other columns are ignored, whatever their names.
 """
@@ -34,12 +36,10 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-LINK = r"""(?i)\bhref\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
+LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 DAMPING = 0.85
 ROUNDS = 10
-#: A host is a seed if rules of one kind decide more than this share of its pages.
-SEED_SHARE = 0.5
 #: A host is blocked if distrust makes more than this share of its trust and distrust.
 THRESHOLD = 0.5
 
@@ -105,13 +105,13 @@ def judge(
     ).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.col("r.verdict")
     hosts = ruled.where("host <> ''").groupBy("host").agg(
-        F.avg(F.coalesce((verdict == "allow").cast("int"), F.lit(0))).alias("allowed"),
-        F.avg(F.coalesce((verdict == "block").cast("int"), F.lit(0))).alias("blocked"),
+        F.count_if(verdict == "allow").alias("allowed"),
+        F.count_if(verdict == "block").alias("blocked"),
     )
     hosts = written(hosts, "hosts")
     edges = written(host_edges(pages, url_column, html_column), "host-edges")
-    trusted = hosts.where(F.col("allowed") > SEED_SHARE).select("host", F.col("allowed").alias("weight"))
-    banned = hosts.where(F.col("blocked") > SEED_SHARE).select("host", F.col("blocked").alias("weight"))
+    trusted = hosts.where("allowed > 0").select("host", F.col("allowed").alias("weight"))
+    banned = hosts.where("blocked > 0").select("host", F.col("blocked").alias("weight"))
     trust = spread(edges, trusted, rounds, damping).withColumnRenamed("rank", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     distrust = spread(back, banned, rounds, damping).withColumnRenamed("rank", "distrust")

@@ -149,6 +149,27 @@ def test_url_graph(spark):
     assert rows_of(url_graph.judge(df.where("false"))) == []
 
 
+def test_url_seeds_and_links_without_scheme(spark):
+    """A host with few blocked pages feeds distrust, also over //host links; the threshold decides, not a majority."""
+    pages = [
+        (1, "http://few.net/es/1", None),
+        (2, "http://few.net/a", None),
+        (3, "http://few.net/b", None),
+        (4, "http://links.org/", "<a href='//FEW.net/a'>"),
+        (5, "http://plain.org/", "<a href='/few.net/a'> <a href='x//few.net'>"),
+        *[(i, f"http://shop.example.com/en/{i}", None) for i in (6, 7)],
+        *[(i, f"http://shop.example.com/{i}", "<a href=//fine.org>") for i in (8, 9)],
+        (10, "http://fine.org/", None),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_graph.judge(df).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 4, 6, 7}
+    assert got[2].distrust > 0 == got[2].trust and got[4].distrust > 0 and got[5].distrust == 0
+    assert got[8].trust > 0 and got[8].distrust > 0 and got[10].trust > 0
+    edges = {(r.src, r.dst, r.links) for r in url_graph.host_edges(df).collect()}
+    assert edges == {("links.org", "few.net", 1), ("shop.example.com", "fine.org", 2)}
+
+
 def test_line_dedup(spark, docs, empty):
     rows = [(i, f"shared line\nown {i}\n\n", "h", None) for i in range(10)]
     rows += [(20, "shared line", None, None), (21, None, "h", None), (22, "shared line", "h", None)]
