@@ -17,6 +17,8 @@ from hearsay.llm.shipping import ship
 from hearsay.llm.tables import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share this percentage of their word n-grams; op7_jaccard_join has its own values.
+COPY_NGRAM, COPY_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs.select(*COLUMNS))
+    return jaccard_join.keep_one(docs.select(*COLUMNS), n=COPY_NGRAM, percent=COPY_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

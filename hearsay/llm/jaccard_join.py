@@ -5,10 +5,12 @@ link when their Jaccard similarity reaches ``percent``; the result is their
 connected components, and no link between different sets is left out.
 
 1. Equal sets become one class, named by its smallest id.
-2. Sets that can link differ in at most H n-grams. Each set is cut into H + 1
-   parts by hash, so two such sets agree in a whole part. Parts are counted by
+2. Sets that can link differ in at most H n-grams. Each set is cut into more than
+   H parts by hash, so two such sets agree in a whole part. Parts are counted by
    their hash; sets that share no part with another set go no further. H and
-   the parts depend on a size class, so only sets of similar length meet.
+   the parts depend on a size class, so only sets of similar length meet. Empty
+   parts, which unlike sets have in common, are left out where H + 1 others are
+   there: one of these agrees. There are so many spare parts that few sets lack it.
 3. Sets that share parts, directly or over others, form clusters, found from ids
    alone. A cluster's sets meet in blocks of bounded size, its first set in each.
    A block stores its sets, in one order of all its n-grams, in a prefix tree and
@@ -90,6 +92,9 @@ class SizeClasses:
             most.append(2 * last * (100 - percent) // (100 + percent))
             first = last + 1
         self.lows, self.most = np.array(lows), np.array(most)
+        # the smallest sets that meet here have about so many empty parts; four standard deviations on top
+        empty = (self.most + 1) * np.exp(-(self.lows * percent / 100) / (self.most + 1))
+        self.parts = np.where(self.most > 0, self.most + 1 + np.ceil(empty + 4 * np.sqrt(empty)).astype(np.int64), 0)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, side="right") - 1
@@ -100,17 +105,20 @@ def _parts(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, classes: Siz
     out_rows, out_hashes = [], []
     own = classes.of(np.maximum(sizes, 1))
     for which in (own, own + 1):
-        count = np.where((sizes > 0) & (classes.most[which] > 0), classes.most[which] + 1, 0)
+        count = np.where(sizes > 0, classes.parts[which], 0)
         begin = np.concatenate([[0], np.cumsum(count)])
         use = count[rows] > 0
         r, h = rows[use], mix(hashes[use] ^ mix(which[rows[use]].astype(np.uint64)))
-        sums = np.zeros(begin[-1], dtype=np.uint64)
-        np.add.at(sums, begin[r] + ((h >> np.uint64(20)) % count[r].astype(np.uint64)).astype(np.int64), mix(h))
+        at = begin[r] + ((h >> np.uint64(20)) % count[r].astype(np.uint64)).astype(np.int64)
+        sums, full = np.zeros(begin[-1], dtype=np.uint64), np.zeros(begin[-1], dtype=bool)
+        np.add.at(sums, at, mix(h))
+        full[at] = True
         row_of = np.repeat(np.arange(len(sizes)), count)
         part = np.arange(len(sums)) - begin[row_of]
         name = mix((which[row_of].astype(np.uint64) << np.uint64(40)) | part.astype(np.uint64))
-        out_rows.append(row_of)
-        out_hashes.append(mix(sums ^ name))
+        keep = full | (np.bincount(row_of[full], minlength=len(sizes)) <= classes.most[which])[row_of]
+        out_rows.append(row_of[keep])
+        out_hashes.append(mix(sums ^ name)[keep])
     return np.concatenate(out_rows), np.concatenate(out_hashes)
 
 

@@ -86,6 +86,31 @@ def test_near_copies(kept):
     assert sorted(texts(kept[3])) == sorted(i for i, (_, component) in want.items() if component == i)
 
 
+def test_near_copies_of_five_words(kept):
+    want = brute.components(texts(kept[2]), 5, 80)
+    assert sorted(texts(kept[3])) == sorted(i for i, (_, component) in want.items() if component == i)
+
+
+def test_near_copies_at_80_percent(spark):
+    """Groups of texts on both sides of 80 % of five words; short ones have empty parts."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for k in range(60):
+        size = rng.choice((6, 9, 14, 25, 60, 150))
+        base = [f"b{k}x{i}" for i in range(size)]
+        for _ in range(4):
+            found = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                found[rng.choice((0, 1, size // 2, size - 2, size - 1))] = f"e{rng.randrange(999)}"
+            rows.append((len(rows), " ".join(found), "en", "s", 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute.components({r[0]: r[1] for r in rows}, 5, 80)
+    assert want != brute.components({r[0]: r[1] for r in rows})
+    kept = corpus_pipeline.near_copies(spark, df, "").collect()
+    assert sorted(texts(kept)) == sorted(i for i, (_, component) in want.items() if component == i)
+
+
 def test_decontamination(kept, spark, sf_dir):
     items = {r.item_id: brute.words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     want = {i for i, t in texts(kept[3]).items() if not brute.contamination(t, items)[1]}
