@@ -123,7 +123,7 @@ def _parts(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, classes: Siz
 
 
 def _signatures(docs: DataFrame, id_column: str, text_column: str, n: int, percent: int) -> DataFrame:
-    """(id, n, key, parts): set size, digest of the set, and part hashes (null for copies in the same task)."""
+    """(id, n, key, parts): set size, digest of the set, and part hashes (none for rows without an id and copies in the same task)."""
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, n bigint, key binary, parts array<bigint>"
 
@@ -138,8 +138,9 @@ def _signatures(docs: DataFrame, id_column: str, text_column: str, n: int, perce
                 np.add.at(digest[:, 1], rows, mix(hashes + np.uint64(1 << 60)))
                 keys = [d.tobytes() for d in digest]
                 fresh = np.zeros(len(block), dtype=bool)
+                named = batch.column(0).slice(block.first, len(block)).is_valid().to_numpy(zero_copy_only=False)
                 for i, key in enumerate(keys):
-                    if sizes[i] and key not in seen:
+                    if sizes[i] and named[i] and key not in seen:
                         seen.add(key)
                         fresh[i] = True
                 part_rows, parts = _parts(rows, hashes, np.where(fresh, sizes, 0), classes)

@@ -237,6 +237,16 @@ def test_jaccard_blocks_and_hot_parts_change_nothing(spark, monkeypatch):
     assert got == brute.components(texts)
 
 
+def test_jaccard_row_without_id_hides_no_link(spark):
+    """A row without an id, read before an exact and a near copy of its text in the same task."""
+    found = [f"w{i}" for i in range(60)]
+    near = " ".join([*found[:-1], "other"])
+    rows = [(None, " ".join(found)), (7, " ".join(found)), (3, near), (9, "else " * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == {None: (58, None), **brute.components(dict(rows[1:]))} and got[7][1] == 3
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (5, 5), (200, 200), (300, 250), (250, 270)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
