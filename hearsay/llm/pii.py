@@ -10,9 +10,9 @@
    probabilities, again from counts of feature patterns, and decides which
    looser spans are added. Base spans always stay.
 
-Texts without a digit, ``@`` or ``=`` hold no candidate and go no further. All
-counts cover all documents; the driver sees counts per vote pattern and feature
-pattern, which are bounded by the patterns' definition and not by the data.
+All patterns look at all texts, and all counts cover all documents; the driver
+sees counts per vote pattern and feature pattern, which are bounded by the
+patterns' definition and not by the data.
 
 Edge cases: null and empty texts have no spans. Repeated rows get equal results;
 rows that share an id but not the text are told apart. Spans are in code points,
@@ -104,7 +104,7 @@ def _base_ok(kind: Column, match: Column) -> Column:
 
 def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text_hash, kind, start, end, match, before, after, base) of all matches of all patterns."""
-    rows = docs.where(F.col(text_column).rlike("[0-9@=]")).select(
+    rows = docs.where(F.col(text_column).isNotNull()).select(
         F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text")
     )
 
