@@ -5,10 +5,9 @@ borders) of a language. A text's own list is compared with each profile: every
 n-gram adds the difference of its two ranks, or the list's length if the profile
 lacks it. The language with the smallest distance wins, ties by name.
 
-Profiles are learned from a sample of about ``SAMPLE_DOCS`` labelled documents,
-drawn by a hash of the id over all of them; their n-grams are summed in each task
-before the shuffle, and only the profiles come to the driver. Prediction is one
-pass without a shuffle over whole texts.
+Profiles are learned from all labelled documents; their n-grams are summed in each
+task before the shuffle, and only the profiles come to the driver. Prediction is
+one pass without a shuffle over whole texts.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0, as
 is everything if nothing was learned. Rows without a label teach nothing.
@@ -23,16 +22,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 300
-SAMPLE_DOCS = 20_000
 UNKNOWN = "und"
 
 CODE_BITS = 18
 GROUP_CHARS = 1 << 19
 GROUP_ROWS = 1 << 12
+#: Languages that a task sums at a time.
+SUMMED = 32
 
 
 @cache
@@ -99,24 +99,15 @@ def _top(rows: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return rows[keep], codes[keep], rank[keep]
 
 
-def _sample(docs: DataFrame, key: Column, most: int) -> DataFrame:
-    """About ``most`` rows, by a hash of the key."""
-    n = docs.count()
-    if n <= most:
-        return docs
-    return docs.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < round(1_000_000 * most / n))
-
-
-def learn(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    lang_column: str = "lang",
-    sample_docs: int = SAMPLE_DOCS,
-) -> dict[str, list[int]]:
+def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> dict[str, list[int]]:
     """The n-gram codes of each language's profile, most frequent first."""
     labelled = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    labelled = _sample(labelled, F.col(id_column).cast("string"), sample_docs)
+
+    def rows_of(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, total in sums.items():
+            found = np.flatnonzero(total)
+            columns = [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total[found].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "code", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -130,10 +121,10 @@ def learn(
                     take = (mine == lang)[rows]
                     total = sums.setdefault(lang, np.zeros(1 << CODE_BITS))
                     total += np.bincount(codes[take], weights=counts[take], minlength=1 << CODE_BITS)
-        for lang, total in sums.items():
-            found = np.flatnonzero(total)
-            columns = [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total[found].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "code", "n"])
+                    if len(sums) == SUMMED:
+                        yield from rows_of(sums)
+                        sums = {}
+        yield from rows_of(sums)
 
     counted = labelled.select(lang_column, text_column).mapInArrow(run, "lang string, code bigint, n bigint")
     sums = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))

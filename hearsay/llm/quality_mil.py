@@ -4,9 +4,11 @@ A text is a bag of passages of ``PASSAGE`` words. Each passage is encoded from
 measures of its form and repetition; gated attention, learned from document
 labels alone, weighs the passages; the weighted mean gives the document's score.
 
-Training uses about ``SAMPLE_DOCS`` labelled documents, drawn by a hash of the
-id, and of each at most ``SAMPLE_PASSAGES`` passages spread over the whole text:
-that bounds what the driver trains on. Scoring reads all passages of all texts,
+Training uses all documents of a label up to ``SAMPLE_DOCS``, about that many of a
+more frequent label, drawn by a hash of the id, and of each at most
+``SAMPLE_PASSAGES`` passages spread over the whole text: that bounds what the
+driver trains on. Each document counts for as many as its label's draw stands for,
+so rare labels are learned and their share stays. Scoring reads all passages of all texts,
 in one pass without a shuffle.
 
 Edge cases: a null, empty or blank text is a bag of one empty passage and gets a
@@ -24,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.language_id import _sample
 from hearsay.llm.tables import written
 from hearsay.llm.textblocks import Block, blocks, repeated
 
@@ -123,10 +124,10 @@ class Model:
         score = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
         return {"x": x, "bag": bag, "h": h, "t": t, "g": g, "share": share, "z": z, "score": score}
 
-    def slopes(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def slopes(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, f = self.weights, self.forward(x, begin)
         bag, h, t, g, share = f["bag"], f["h"], f["t"], f["g"], f["share"]
-        err = (f["score"] - y) / len(y)
+        err = (f["score"] - y) * weight / weight.sum()
         dz = err[:, None] * p["c"]
         d_share = (dz[bag] * h).sum(axis=1)
         de = share * (d_share - np.add.reduceat(share * d_share, begin)[bag])
@@ -136,11 +137,11 @@ class Model:
         out |= {"w": f["x"].T @ dh, "b": dh.sum(axis=0)}
         return {k: v + DECAY * p[k] for k, v in out.items()}
 
-    def fit(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray) -> Model:
+    def fit(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         for r in range(1, ROUNDS + 1):
-            for k, slope in self.slopes(x, begin, y).items():
+            for k, slope in self.slopes(x, begin, y, weight).items():
                 first[k] = 0.9 * first[k] + 0.1 * slope
                 second[k] = 0.999 * second[k] + 0.001 * slope**2
                 self.weights[k] = self.weights[k] - STEP * (first[k] / (1 - 0.9**r)) / (
@@ -149,6 +150,16 @@ class Model:
         return self
 
 
+def _sample(known: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """Of the (id, y) rows, all of each label up to ``most``, else about so many by a hash of the id; and all rows' number by label."""
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    place, some = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)), F.lit(True)
+    for y, n in counts.items():
+        if n > most:
+            some = F.when(F.col("y") == y, place < (most << 40) // n).otherwise(some)
+    return known.where(some), counts
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -160,7 +171,8 @@ def learn(
     """The trained model, or the share of label 1 if there is only one kind of label."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
     known = known.groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("y"))
-    known = written(_sample(known, F.col("id").cast("string"), sample_docs), "labels")
+    some, counts = _sample(written(known, "all-labels"), sample_docs)
+    known = written(some, "labels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,10 +194,12 @@ def learn(
     y = np.array([r.y for r in rows], dtype=float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
+    kinds, which, drawn = np.unique(y, return_inverse=True, return_counts=True)
+    stands_for = np.array([counts[int(k)] if counts[int(k)] > sample_docs else n for k, n in zip(kinds, drawn)]) / drawn
     bags = [np.frombuffer(r.bag, dtype=np.float32).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(bags).astype(float)
     begin = np.concatenate([[0], np.cumsum([len(b) for b in bags])])[:-1]
-    return Model.fresh(x).fit(x, begin, y)
+    return Model.fresh(x).fit(x, begin, y, stands_for[which])
 
 
 def score(docs: DataFrame, model: Model | float, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -109,6 +109,18 @@ def test_language(docs, empty):
     assert rows_of(language_id.predict(empty, profiles)) == []
 
 
+def test_language_of_few_documents_is_learned(spark, monkeypatch):
+    """One document in 24,000 teaches its language; so do more languages than a task sums at a time."""
+    base = spark.range(24_000).selectExpr("id doc_id", "if(id = 77, 'rara lingua', 'common words') text", "if(id = 77, 'xx', 'en') lang")
+    profiles = language_id.learn(base)
+    assert set(profiles) == {"en", "xx"}
+    assert language_id.predict(base.where("doc_id = 77"), profiles).first().lang_pred == "xx"
+    many = spark.range(300).selectExpr("id doc_id", "concat('ab', char(97 + id % 9)) text", "concat('l', id % 9) lang")
+    whole = language_id.learn(many)
+    monkeypatch.setattr(language_id, "SUMMED", 2)
+    assert len(whole) == 9 and language_id.learn(many) == whole
+
+
 def test_language_ngrams_by_hand():
     rows, codes, counts = language_id.ngram_counts(["ab", "Ab ab", "12 ?", ""])
     # a, b, _a, ab, b_, _ab, ab_ for each word
@@ -207,6 +219,19 @@ def test_quality(docs, empty, spark):
     assert rows_of(quality_mil.score(empty, model)) == []
 
 
+def test_quality_keeps_rare_labels_and_their_share(spark):
+    """One bad document in 400 with a bound of 20 a label: it is learned, and weighs no more than it is."""
+    docs = spark.range(400).selectExpr("id doc_id", "if(id = 7, repeat('## || ', 40), concat(repeat('plain words ', 20), id)) text")
+    labels = docs.selectExpr("doc_id", "int(doc_id <> 7) quality")
+    some, counts = quality_mil._sample(labels.selectExpr("doc_id id", "quality y"), 20)
+    drawn = {r.y: r["count"] for r in some.groupBy("y").count().collect()}
+    assert counts == {0: 1, 1: 399} and drawn[0] == 1 and 8 <= drawn[1] <= 36
+    model = quality_mil.learn(docs, labels, sample_docs=20)
+    scores = {r.doc_id: r.score for r in quality_mil.score(docs, model).collect()}
+    assert scores[7] < min(v for i, v in scores.items() if i != 7)
+    assert abs(sum(scores.values()) / 400 - 399 / 400) < 0.01
+
+
 def test_jaccard(docs, empty):
     rows = rows_of(jaccard_join.near_duplicates(docs))
     assert len(rows) == docs.count()
