@@ -99,7 +99,7 @@ def places(
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     containment: float = CONTAINMENT,
 ) -> DataFrame:
-    """(id, text_hash, label, base, at, score): places of phrases (at: first word) and templates (at: a prefix word)."""
+    """(id, text_hash, label, base, at, score): places of phrases (at: first word) and templates (at: a prefix word), each once."""
     keys = _keys(docs, text_column, phrases, templates, containment)
     spark = docs.sparkSession
     table = spark.createDataFrame(keys, "key string, label string, entry array<string>, offset int, need int")
@@ -123,7 +123,9 @@ def places(
     joined = rows.join(F.broadcast(table), verified)
     score = F.when(phrase, 1.0).otherwise(overlap / F.size("entry"))
     at = F.when(phrase, start).otherwise(F.col("p"))
-    return joined.select("id", "text_hash", "label", phrase.alias("base"), at.alias("at"), score.alias("score"))
+    found = joined.select("id", "text_hash", "label", phrase.alias("base"), at.alias("at"), score.alias("score"))
+    # equal rows have equal places
+    return found.groupBy("id", "text_hash", "label", "base", "at").agg(F.max("score").alias("score"))
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: object) -> DataFrame:

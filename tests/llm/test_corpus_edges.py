@@ -360,6 +360,16 @@ def test_licenses(docs, empty, spark):
     assert rows_of(licenses.scan(empty)) == []
 
 
+def test_licenses_of_repeated_rows(spark):
+    """Each of three equal rows gets the counts of one."""
+    rows = [(1, TEXTS[8])] * 3 + [(None, TEXTS[8])] * 2 + [(1, "under the MIT license")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {i: brute.licenses(t) for i, t in enumerate((TEXTS[8], "under the MIT license"))}
+    assert sorted((r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base_labels)) for r in got) == sorted(
+        [want[0]] * 5 + [want[1]]
+    )
+
+
 def test_license_templates_by_brute_force(spark):
     """A template is found exactly where a block around one of its words holds enough of them."""
     _, notice = licenses.TEMPLATES[1]
