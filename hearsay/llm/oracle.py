@@ -73,8 +73,39 @@ SELECT doc_id, size, ss AS source_size, target,
 FROM k LEFT JOIN e ON k.source IS NOT DISTINCT FROM e.source
 """
 
+# The crc32 of a decimal id, bit by bit; nodes are named by their turns' digests of 32 characters each.
+OP12 = r"""
+WITH t AS (SELECT conv_id, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+                  length(coalesce(text, '')) AS chars,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                     sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT) AS s FROM t),
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, s), lambda a, b:
+        list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 6 AS h FROM c),
+r AS (SELECT h.conv_id, t.p, t.m, t.chars FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100 AND t.p <= h.h
+      UNION ALL SELECT h.conv_id, t.p + 1000000, t.m, t.chars FROM h JOIN t ON t.conv_id = h.conv_id AND t.p > h.h),
+w AS (SELECT conv_id, chars, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY p) AS node,
+             row_number() OVER (PARTITION BY conv_id ORDER BY p) AS depth,
+             count(*) OVER (PARTITION BY conv_id) AS total FROM r),
+a AS (SELECT conv_id, node, depth, chars, depth = total AS last FROM w
+      UNION ALL SELECT h.conv_id, '', 0, 0, h.conv_id NOT IN (SELECT conv_id FROM w) FROM h),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, any_value(chars) AS chars, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends
+      FROM a GROUP BY node, depth),
+k AS (SELECT n.node, n.depth, count(x.node) AS n_children FROM n LEFT JOIN n AS x
+      ON x.depth = n.depth + 1 AND substring(x.node, 1, 32 * n.depth) = n.node GROUP BY ALL),
+u AS (SELECT substring(n.node, 1, 32 * d) AS node, sum((n.n_children = 0)::BIGINT) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+      FROM (SELECT n.*, k.n_children, unnest(range(0, n.depth + 1)) AS d FROM n JOIN k USING (node, depth)) AS n GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, x.conv_id AS parent_conv_id, n.n_convs, k.n_children, u.n_leaves::BIGINT AS n_leaves,
+       u.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN k USING (node, depth) JOIN u USING (node)
+LEFT JOIN n AS x ON x.depth = n.depth - 1 AND x.node = substring(n.node, 1, 32 * (n.depth - 1))
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": OP3,
     "op5_line_dedup": OP5,
     "op9_mixing": OP9,
+    "op12_conversation_trie": OP12,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.llm import (
+    conversation_trie,
     decontamination,
     jaccard_join,
     language_id,
@@ -20,6 +21,7 @@ from hearsay.llm import (
     url_graph,
 )
 from hearsay.llm.shipping import ship
+from hearsay.sources.scratch import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +93,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *as_text, "score")
 
 
+def with_shared_heads(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns) that begin like the conversation of their hundred: its first crc32(id) % 6 turns, then the own ones."""
+    own = conversations.withColumn("h", (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int"))
+    own = own.withColumn("hundred", F.col("conv_id") - F.col("conv_id") % 100)
+    heads = conversations.where("conv_id % 100 = 0").select(F.col("conv_id").alias("hundred"), F.slice("turns", 1, 5).alias("head"))
+    rest = F.expr("filter(turns, (t, i) -> i >= h)")
+    return own.join(heads, "hundred", "left").select(
+        "conv_id", F.concat(F.coalesce(F.expr("slice(head, 1, h)"), F.expr("filter(turns, t -> false)")), rest).alias("turns")
+    )
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_trie.sequences(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(with_shared_heads(written(found, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
@@ -102,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repetition": op8_repetition,
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
+    "op12_conversation_trie": op12_conversation_trie,
 }
