@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.sources.scratch import written
+from hearsay.llm.tables import written
 
 #: Turns of a shard, about; a shard's trie is held in memory.
-SHARD_TURNS = 1 << 18
+SHARD_TURNS = 1 << 16
 #: Slots tried for a state's children before the arrays grow.
 TRIES = 64
 
@@ -145,9 +145,14 @@ class DoubleArray:
 
 def shard_nodes(paths: list[np.ndarray], chars: list[np.ndarray], n: list[int], ids: list[int], ends: list[str]) -> dict[str, list]:
     """Columns of ``_NODES``: the nodes of a shard's distinct sequences of digests."""
-    flat = np.concatenate(paths) if paths else np.zeros((0, 2), dtype=np.uint64)
+    flat = np.concatenate(paths)
     digests, dense = np.unique(flat, axis=0, return_inverse=True)
-    dense = dense.reshape(-1) + 1
+    dense = dense.reshape(-1)
+    # numbered level by level, so that a state's children have ids close together and the arrays few gaps
+    level = np.lexsort((np.arange(len(dense)), np.concatenate([np.arange(len(p)) for p in paths])))
+    number = np.empty(len(digests), dtype=np.int64)
+    number[np.argsort(np.unique(dense[level], return_index=True)[1])] = np.arange(1, len(digests) + 1)
+    dense = number[dense]
     cuts = np.cumsum([len(p) for p in paths])[:-1]
     coded = np.split(dense, cuts)
     trie = DoubleArray(coded, len(digests))
