@@ -18,10 +18,11 @@ from hearsay.llm import (
     pii,
     quality_mil,
     repetition,
+    substring_dedup,
     url_graph,
 )
 from hearsay.llm.shipping import ship
-from hearsay.sources.scratch import written
+from hearsay.llm.tables import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +110,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(with_shared_heads(written(found, "conversations")))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
@@ -121,4 +127,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_substring_dedup": op13_substring_dedup,
 }

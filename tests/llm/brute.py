@@ -151,3 +151,38 @@ def url(text):
         if (host == name or host.endswith("." + name)) and path.startswith("/" + tail):
             best = max(best or "", rule, key=len)
     return host, path, best, rules.get(best)
+
+
+def without_repeats(texts, width=13):
+    """{id: (n_words, n_removed, kept)} for [(id, text)]; rows of one id give a list."""
+    first, found = {}, [(i, TOKEN.findall(t or "")) for i, t in texts]
+    for i, w in found:
+        for s in range(len(w) - width + 1):
+            key = tuple(w[s : s + width])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in found:
+        gone = set()
+        for s in range(len(w) - width + 1):
+            if first[tuple(w[s : s + width])] < i:
+                gone |= set(range(s, s + width))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out)
+
+
+def prefix_nodes(conversations):
+    """Rows of the prefix trie of {id: [(role, text), ...]}."""
+    members = {}
+    for i, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(i)
+    out = []
+    for node, inside in members.items():
+        below = [x for x in members if x[: len(node)] == node]
+        kids = [x for x in below if len(x) == len(node) + 1]
+        leaves = sum(not any(len(y) > len(x) and y[: len(x)] == x for y in below) for x in below)
+        saved = sum((len(members[x]) - 1) * len(x[-1][1]) for x in below if x)
+        ends = ",".join(str(i) for i in sorted(inside) if len(conversations[i]) == len(node))
+        parent = min(members[node[:-1]]) if node else None
+        out.append((min(inside), len(node), parent, len(inside), len(kids), leaves, saved, sha(ends)))
+    return sorted(out, key=str)
