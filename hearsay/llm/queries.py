@@ -19,6 +19,7 @@ from hearsay.llm import (
     quality_mil,
     repetition,
     substring_dedup,
+    token_alignment,
     url_graph,
 )
 from hearsay.llm.shipping import ship
@@ -94,6 +95,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *as_text, "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"), token_alignment.Tokenizers.read())
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, "groups_sha256", "n_group_links")
+
+
 def with_shared_heads(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns) that begin like the conversation of their hundred: its first crc32(id) % 6 turns, then the own ones."""
     own = conversations.withColumn("h", (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int"))
@@ -126,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repetition": op8_repetition,
     "op9_mixing": op9_mixing,
     "op10_licenses": op10_licenses,
+    "op11_token_alignment": op11_token_alignment,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_substring_dedup": op13_substring_dedup,
 }

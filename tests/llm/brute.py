@@ -186,3 +186,37 @@ def prefix_nodes(conversations):
         parent = min(members[node[:-1]]) if node else None
         out.append((min(inside), len(node), parent, len(inside), len(kids), leaves, saved, sha(ends)))
     return sorted(out, key=str)
+
+
+def aligned(texts, tokens_a, tokens_b):
+    """Rows of the alignment of [(id, text)], given functions text -> [(token id, bytes)]."""
+    rows, held = [], Counter()
+    for key, text in texts:
+        a, b = (tokens_a(text), tokens_b(text)) if text else ([], [])
+        whole = (" " + (text or "")).encode()
+        if not text or b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            a = b = []
+        spans = []
+        for tokens in (a, b):
+            at, found = 0, []
+            for token, data in tokens:
+                found.append((at, at + len(data), token))
+                at += len(data)
+            spans.append(found)
+        links = [(x, y) for x in spans[0] for y in spans[1] if x[0] < y[1] and y[0] < x[1]]
+        cuts = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        groups = [[[t for s, e, t in side if low <= s and e <= high] for side in spans] for low, high in zip([0, *cuts], cuts)]
+        pairs = [(x[2], y[2]) for x, y in links]
+        held.update(set(pairs))
+        rows.append((key, a, b, groups, pairs))
+    top = Counter()
+    for (x, _), n in held.items():
+        top[x] = max(top[x], n)
+    out = []
+    for key, a, b, groups, pairs in rows:
+        told = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        best = sum(held[p] == top[p[0]] for p in pairs)
+        total = sum(held[p] for p in pairs)
+        in_groups = sum(len(x) * len(y) for x, y in groups)
+        out.append((key, len(a), len(b), len(groups), len(pairs), best, total, sha(told) if told else "", in_groups))
+    return sorted(out, key=str)
