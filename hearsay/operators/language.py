@@ -18,7 +18,7 @@ from hearsay.operators.rankings import top
 from hearsay.schema import STOPWORDS
 from hearsay.session import fresh_folder
 from hearsay.sources.lookups import MAX_LITERAL_ROWS, small_rows
-from hearsay.sources.scratch import remove
+from hearsay.sources.files import remove
 
 ENTITY_OUTPUT = "post_id string, entity string, type string"
 

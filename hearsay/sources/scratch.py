@@ -1,20 +1,34 @@
-"""Intermediate tables in the shared folder, and their removal."""
+"""Intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from hearsay.session import fresh_folder
+from hearsay.sources.files import remove
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table: computed once, safe against lost executors, and of a known size."""
-    path = fresh_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table: computed once, safe against lost executors, and of a known size.
+
+    Shuffle files that led to it are deleted as soon as it is there.
+    """
+    spark = df.sparkSession
+    path = fresh_folder(spark, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a file or folder of any file system Spark reaches; nothing if there is none."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.scratch_path)

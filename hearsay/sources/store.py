@@ -7,9 +7,10 @@ last, names the attempt that counts. So a failed import leaves nothing visible,
 repeated one is replaced as a whole, also by nothing, and no folder is ever
 overwritten. Reading a topic lists that topic's folder only.
 
-The registry is a log of rows in ``BUCKETS`` folders by topic. The newest row of
-an import counts, so merging files is safe at any time: the merged file is added,
-then the files it covers go. A bucket never holds more than ``MAX_FILES`` files.
+The registry is a commit log (``log.py``) for each of ``BUCKETS``, by topic. The
+newest row of an import counts. An import decides which search it joins from the
+state its entry follows, so imports may run at the same time, of the same topic
+too. A reader sees one state of the registry, whatever is committed meanwhile.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import hashlib
 import re
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,8 @@ from pyspark.sql import types as T
 from hearsay.operators.distributions import sentiment_metrics, with_share
 from hearsay.operators.rankings import hashtag_counts, top
 from hearsay.schema import IMPORT_SCHEMA, POST_SCHEMA
-from hearsay.sources.scratch import remove
+from hearsay.sources.files import remove
+from hearsay.sources.log import Log, read
 
 PARTITIONS = ("topic_hash", "import_id", "attempt")
 _KEYS = [T.StructField(name, T.StringType()) for name in PARTITIONS]
@@ -41,12 +44,11 @@ TABLES = {
     "sentiment_counts": T.StructType(_SENTIMENTS + _KEYS),
 }
 REGISTRY = T.StructType(
-    [*IMPORT_SCHEMA.fields, *(T.StructField(c, T.StringType()) for c in ("topic_hash", "attempt", "bucket"))]
+    [*IMPORT_SCHEMA.fields, *(T.StructField(c, T.StringType()) for c in ("topic_hash", "attempt"))]
 )
 
-#: Registry folders, one per first digit of the topic's digest, and most files of each.
+#: One log for each first digit of a topic's digest.
 BUCKETS = "0123456789abcdef"
-MAX_FILES = 8
 
 
 class PostStore:
@@ -61,8 +63,6 @@ class PostStore:
         for name, schema in TABLES.items():
             empty = self.spark.createDataFrame([], schema)
             empty.write.mode("append").partitionBy(*PARTITIONS).parquet(self._path(name))
-        registry = self.spark.createDataFrame([], REGISTRY)
-        registry.write.mode("append").partitionBy("bucket").parquet(self._path("imports"))
         return self
 
     def _path(self, name: str, topic: str | None = None, import_id: str | None = None, attempt: str | None = None) -> str:
@@ -122,27 +122,25 @@ class PostStore:
             return None
 
         since = imported_at - recent if recent is not None else None
-        search_id = self._own_search(topic, import_id) or self.find_search(topic, exact=recent is not None, since=since)
-        row = (import_id, search_id or import_id, topic, _key(topic), imported_at, source, platform, written)
-        self._register(row, topic, attempt)
+        topic_key = _key(topic)
+
+        def row(imports: DataFrame) -> list[dict]:
+            search_id = self.find_search(topic, recent is not None, since, imports, import_id)
+            values = (import_id, search_id or import_id, topic, topic_key, imported_at.isoformat(), source, platform, written)
+            return [dict(zip(REGISTRY.fieldNames(), (*values, _hash(topic), attempt)))]
+
+        self._register(row, topic)
         return import_id if written else None
 
-    def _own_search(self, topic: str, import_id: str) -> str | None:
-        """The search that an earlier try of the import belongs to."""
-        row = self.imports(topic).filter(F.col("import_id") == import_id).select("search_id").first()
-        return row.search_id if row else None
-
-    def _register(self, row: tuple, topic: str, attempt: str) -> None:
-        bucket = _hash(topic)[0]
-        entry = self.spark.createDataFrame([(*row, _hash(topic), attempt, bucket)], REGISTRY).coalesce(1)
-        folder = f"{self._path('imports')}/bucket={bucket}"
-        entry.drop("bucket").write.mode("append").parquet(folder)
-        rows = self._load(REGISTRY, self._path("imports"), folder)
-        files = rows.inputFiles()
-        if len(files) >= MAX_FILES:
-            _newest(rows).drop("bucket").coalesce(1).write.mode("append").parquet(folder)
-            for file in files:
-                remove(self.spark, file)
+    def _log(self, topic: str) -> Log:
+        return self._bucket(_hash(topic)[0])
+
+    def _bucket(self, bucket: str) -> Log:
+        return Log(self.spark, f"{self._path('imports')}/bucket={bucket}", REGISTRY, _newest)
+
+    def _register(self, row: Callable[[DataFrame], list[dict]], topic: str) -> None:
+        """Commit what ``row`` makes of the topic's rows."""
+        self._log(topic).commit(lambda rows: row(_of(rows, topic)))
 
     def vacuum(self) -> int:
         """Delete attempts that no import names: failed and replaced ones. Not while imports run."""
@@ -157,11 +155,10 @@ class PostStore:
     # -- searches -------------------------------------------------------------
 
     def imports_with_attempts(self, topic: str | None = None) -> DataFrame:
-        root = self._path("imports")
         if topic is None:
-            return _newest(self._load(REGISTRY, root, root)).filter("n_posts > 0")
-        rows = self._load(REGISTRY, root, f"{root}/bucket={_hash(topic)[0]}")
-        return _newest(rows.filter(F.col("topic_hash") == _hash(topic))).filter("n_posts > 0")
+            logs = [self._bucket(b) for b in BUCKETS]
+            return read([(log, log.snapshot()) for log in logs]).filter("n_posts > 0")
+        return _of(self._log(topic).rows(), topic).filter("n_posts > 0")
 
     def imports(self, topic: str | None = None) -> DataFrame:
         """One row per import, of all topics or of one."""
@@ -169,27 +166,28 @@ class PostStore:
 
     def searches(self, topic: str | None = None) -> DataFrame:
         """One row per search: imports that were put together, from the first on."""
-        first = F.struct("imported_at", "import_id")
-        return self.imports(topic).groupBy("search_id", "topic_key").agg(
-            F.min_by("topic", first).alias("topic"),
-            F.min("imported_at").alias("searched_at"),
-            F.min_by("source", first).alias("source"),
-            F.min_by("platform", first).alias("platform"),
-            F.sum("n_posts").alias("n_posts"),
-        )
+        return _searches(self.imports(topic))
 
     def latest_search(self, topic: str, exact: bool = False, since: dt.datetime | None = None) -> DataFrame:
         """(search_id) of the newest search of the topic, no row if there is none."""
-        found = self.searches(topic)
-        if exact:
-            found = found.filter(F.col("topic") == topic)
-        if since is not None:
-            found = found.filter(F.col("searched_at") > F.lit(since).cast("timestamp_ntz"))
-        return top(found, "searched_at", "search_id", k=1).select("search_id")
+        return _latest(self.imports(topic), topic, exact, since)
 
-    def find_search(self, topic: str, exact: bool = False, since: dt.datetime | None = None) -> str | None:
-        row = self.latest_search(topic, exact, since).first()
-        return row.search_id if row else None
+    def find_search(
+        self,
+        topic: str,
+        exact: bool = False,
+        since: dt.datetime | None = None,
+        imports: DataFrame | None = None,
+        import_id: str | None = None,
+    ) -> str | None:
+        """The search of an earlier try of the import, if there is one, else the newest of the topic; one job.
+
+        ``imports`` is a state of the topic's registry rows, else that of now.
+        """
+        found = (self.imports_with_attempts(topic) if imports is None else imports).filter("n_posts > 0")
+        own = found.filter(F.col("import_id") == import_id).select("search_id", F.lit(True).alias("own"))
+        latest = _latest(found, topic, exact, since).withColumn("own", F.lit(False))
+        return own.unionByName(latest).agg(F.max_by("search_id", "own")).first()[0]
 
     def has_topic(self, topic: str, exact: bool = False) -> bool:
         return not self._topic_imports(topic, exact).limit(1).isEmpty()
@@ -217,9 +215,11 @@ class PostStore:
 
     def _of_topic(self, name: str, topic: str, latest: bool, exact: bool) -> DataFrame:
         """Rows of the topic's imports that are complete."""
-        imports = self._topic_imports(topic, exact)
+        found = self.imports_with_attempts(topic)  # one state of the registry for all that follows
+        imports = found.filter(F.col("topic") == topic) if exact else found
         if latest:
-            imports = imports.filter(F.col("search_id") == (self.find_search(topic, exact) or ""))
+            search_id = self.find_search(topic, exact, imports=found)
+            imports = imports.filter(F.col("search_id") == (search_id or ""))
         rows = self._read(name, topic).drop("topic_hash")
         return rows.join(imports.select("import_id", "attempt", "imported_at"), ["import_id", "attempt"]).drop("attempt")
 
@@ -251,6 +251,31 @@ class PostStore:
         return sentiment_metrics(self._of_topic("sentiment_counts", topic, latest, exact))
 
 
+def _of(rows: DataFrame, topic: str) -> DataFrame:
+    return rows.filter(F.col("topic_hash") == _hash(topic))
+
+
+def _searches(imports: DataFrame) -> DataFrame:
+    """One row per search of some imports."""
+    first = F.struct("imported_at", "import_id")
+    return imports.groupBy("search_id", "topic_key").agg(
+        F.min_by("topic", first).alias("topic"),
+        F.min("imported_at").alias("searched_at"),
+        F.min_by("source", first).alias("source"),
+        F.min_by("platform", first).alias("platform"),
+        F.sum("n_posts").alias("n_posts"),
+    )
+
+
+def _latest(imports: DataFrame, topic: str, exact: bool, since: dt.datetime | None = None) -> DataFrame:
+    found = _searches(imports)
+    if exact:
+        found = found.filter(F.col("topic") == topic)
+    if since is not None:
+        found = found.filter(F.col("searched_at") > F.lit(since).cast("timestamp_ntz"))
+    return top(found, "searched_at", "search_id", k=1).select("search_id")
+
+
 def _newest(rows: DataFrame) -> DataFrame:
     """The newest registry row of each import."""
     values = [c for c in rows.columns if c not in ("topic_hash", "import_id")]

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from hearsay.operators.ingest import enrich
-from hearsay.sources.scratch import remove
+from hearsay.sources.files import remove
 from hearsay.sources.store import PostStore
 
 #: Refresh period of a live view, in minutes.

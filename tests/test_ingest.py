@@ -8,7 +8,7 @@ from hearsay.plans.imports import prepare
 from hearsay.schema import HEADER_ALIASES, POST_COLUMNS, POST_SCHEMA
 from hearsay.sources.csv import file_forms, malformed_lines, read_posts_csv, write_posts_csv
 
-from conftest import NOW
+from support import NOW
 
 
 def frame(spark, **columns):

@@ -16,7 +16,7 @@ from hearsay.sources.csv import write_posts_csv
 from hearsay.sources.store import PostStore
 from hearsay.streaming import sinks
 
-from conftest import NOW
+from support import NOW
 
 N = 3000
 

@@ -1,13 +1,18 @@
+import concurrent.futures
 import datetime as dt
+import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from hearsay.plans.imports import import_csv
 from hearsay.plans.report import topic_report
-from hearsay.sources.store import MAX_FILES, PostStore
+from hearsay.sources.log import EVERY
+from hearsay.sources.store import REGISTRY, PostStore
+from hearsay.sources.store import _hash as hashed
 
-from conftest import NOW
+from support import NOW
 
 HOUR = dt.timedelta(hours=1)
 
@@ -191,16 +196,116 @@ def test_repeating_an_import_replaces_everything(store, make_posts):
     assert tags() == ["b"] and store._read("posts").count() == 1
 
 
+def registry_row(i, topic, at=NOW, n_posts=1):
+    values = (f"i{i}", "s", topic, topic.lower(), at.isoformat(), "csv", "multiple", n_posts, hashed(topic), f"{at.isoformat()}")
+    return dict(zip(REGISTRY.fieldNames(), values))
+
+
 def test_registry_files_follow_data_not_imports(store):
     for i in range(200):
-        row = (f"i{i % 150}", "s", f"topic {i % 3}", f"topic {i % 3}", NOW + i * HOUR, "csv", "multiple", i + 1)
-        store._register(row, f"topic {i % 3}", f"{i:020d}")
+        topic = f"topic {i % 3}"
+        row = registry_row(i % 150, topic, NOW + i * HOUR, i + 1)
+        store._register(lambda _: [row], topic)
     rows = store.imports_with_attempts()
-    assert rows.count() == 150 and len(rows.inputFiles()) <= 3 * MAX_FILES
+    assert rows.count() == 150 and len(rows.inputFiles()) <= 3 * EVERY
     newest = {r.import_id: r.n_posts for r in rows.collect()}
     assert newest == {f"i{i}": (i + 151 if i < 50 else i + 1) for i in range(150)}
 
 
+def same_bucket(n):
+    """Topics whose registry rows lie in one log."""
+    found = (t for t in (f"topic {i}" for i in range(1000)) if hashed(t)[0] == "7")
+    return [next(found) for _ in range(n)]
+
+
+def test_concurrent_imports_are_all_there(store, make_posts):
+    """Four threads, topics of one bucket; a reader that looks meanwhile never fails and never sees less."""
+    posts = make_posts(dict(text="hi #a"), dict(text="fire")).cache()
+    topics, done, seen, errors = same_bucket(4), threading.Event(), [], []
+
+    def imports(topic):
+        try:
+            for i in range(6):
+                assert store.write_import(posts, topic, NOW + i * HOUR) is not None
+        except Exception as e:
+            errors.append(e)
+
+    def looks():
+        try:
+            while not done.is_set():
+                seen.append(store.imports().count())
+                store.topic_posts(topics[0]).count()
+        except Exception as e:
+            errors.append(e)
+
+    reader = threading.Thread(target=looks)
+    writers = [threading.Thread(target=imports, args=(t,)) for t in topics]
+    for t in (reader, *writers):
+        t.start()
+    for t in writers:
+        t.join()
+    done.set()
+    reader.join()
+    assert not errors and seen == sorted(seen)
+    assert store.imports().count() == 24
+    assert {r.topic: r.n_posts for r in store.searches().collect()} == {t: 12 for t in topics}
+    assert [store.topic_posts(t).count() for t in topics] == [12] * 4
+
+
+def test_concurrent_imports_of_a_topic_join_one_search(store, make_posts):
+    """Whoever commits second sees the search that the first began."""
+    posts = make_posts(dict(text="hi")).cache()
+    with concurrent.futures.ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: store.write_import(posts, "t", NOW + i * HOUR), range(4)))
+    assert store.searches().count() == 1 and store.topic_posts("t", latest=True).count() == 4
+
+
+def test_a_lost_race_decides_again(store):
+    """Another commit comes between the look and the entry."""
+    log, calls = store._log("t"), []
+
+    def decide(rows):
+        calls.append(rows.count())
+        if len(calls) == 1:
+            store._register(lambda _: [registry_row(1, "t")], "t")
+        return [registry_row(2, "t")]
+
+    assert log.commit(decide) == 2 and calls == [0, 1]
+    assert store.imports().count() == 2
+
+
+def test_readers_keep_their_state(store, spark):
+    log = store._log("t")
+    for i in range(3):
+        log.commit(lambda _: [registry_row(i, "t")])
+    before = log.rows()
+    for i in range(3, 20):
+        log.commit(lambda _: [registry_row(i, "t")])
+    assert before.count() == 3 and log.rows().count() == 20 and log.snapshot().files() <= EVERY
+
+
+def test_covered_entries_are_deleted_when_old(store, monkeypatch):
+    from hearsay.sources import files, log as log_module
+
+    log = store._log("t")
+    for i in range(5 * EVERY):
+        log.commit(lambda _: [registry_row(i, "t")])
+    assert len([n for n, _ in files.listing(store.spark, log.folder) if n.endswith("0.json")]) == 4
+    monkeypatch.setattr(log_module, "KEEP_SECONDS", -60)
+    log._clean()
+    assert len(files.listing(store.spark, log.folder)) <= 2 * EVERY + 4
+    assert log.rows().count() == 5 * EVERY
+
+
+def test_broken_checkpoint_is_passed_over(store, tmp_path):
+    log = store._log("t")
+    for i in range(2 * EVERY):
+        log.commit(lambda _: [registry_row(i, "t")])
+    last = log.snapshot().checkpoint
+    os.remove(f"{log.folder}/{last}/_SUCCESS")
+    assert log.snapshot().checkpoint != last and log.rows().count() == 2 * EVERY
+
+
 def test_first_import_without_positive_posts_is_passed_over(store, make_posts, spark):
     from hearsay.operators.distributions import positive_posts_of_first_import
 

@@ -14,7 +14,7 @@ from hearsay.sources.feeds import read_feed, stream_feed
 from hearsay.sources.store import PostStore
 from hearsay.streaming import sinks, windows
 
-from conftest import NOW
+from support import NOW
 
 
 @pytest.fixture(scope="module")
