@@ -316,11 +316,13 @@ def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> Dat
     nodes = parts.where("key is null").drop("key", "chars")
     nodes = nodes.withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(NO_MEMBERS)))
     above = parts.where("key is not null").groupBy(F.col("key").alias("parent_key")).agg(F.min("conv_id").alias("_above"))
-    nodes = nodes.unionByName(upper, allowMissingColumns=True).join(above, "parent_key", "left")
+    nodes = nodes.unionByName(upper, allowMissingColumns=True)
+    below = nodes.where("parent_key is not null").join(above, "parent_key").withColumn("parent_conv_id", F.col("_above")).drop("_above")
+    nodes = nodes.where("parent_key is null").unionByName(below)
     return nodes.select(
         "conv_id",
         "depth",
-        F.coalesce("parent_conv_id", "_above").alias("parent_conv_id"),
+        "parent_conv_id",
         "n_convs",
         "n_children",
         "n_leaves",
