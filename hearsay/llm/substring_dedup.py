@@ -9,16 +9,17 @@ judged on the input, not on what is left.
    period leads both to cover positions at once, so two equal windows share an
    anchor at the same place of both, wherever they begin. Period and anchor are
    such that it lies inside the window.
-2. Anchors are grouped by hash; those of two documents or more are shared. They
-   are marked in a bit table sized by their number, up to ``MARK_BITS``. Beyond
-   that the table only sorts out less; nothing rests on it.
-3. Each place of a marked anchor is extended to the windows that hold it, named
-   by 128 bits of hash. Windows are made distinct in chunks of consecutive
-   documents before they are shuffled, so a passage of a third of all documents
-   counts once in each chunk. The smallest id of a window comes back to the
-   chunks that have it, where the words under it are left out.
-
-Documents without marked anchors are finished in the scan that looks for them.
+2. Anchors are counted by hash; those of two texts or more are shared. Texts are
+   dealt to chunks by a hash of id and text, and each chunk learns which of its
+   anchors are shared.
+3. In a chunk, each place of a shared anchor is extended to the windows that hold
+   it, named by 96 bits of hash. A chunk's distinct windows are grouped over all
+   chunks, so a passage of a third of all documents counts once in each chunk.
+   The smallest id of a window comes back to the chunks that have it, where the
+   words under it are left out.
+
+Chunks hold about ``CHUNK_BYTES`` of text at every size of the table. Texts go to
+their chunks twice, to be extended and to be cut; nothing is sent to all tasks.
 
 Edge cases: null, empty and blank texts have no words; texts of fewer words than
 a window lose none. Repeated rows and rows that share an id take nothing from each
@@ -34,18 +35,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.tables import bit_table, written
+from hearsay.llm.tables import discard, written
 from hearsay.llm.textblocks import Block, blocks, mix, rolling
 
 WIDTH = 13
 #: Perfect difference sets by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-#: Most bits of the table of shared anchors, and bits for each.
-MARK_BITS, BITS_EACH = 1 << 27, 16
+#: Text of a chunk, about.
+CHUNK_BYTES = 1 << 21
 
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
@@ -66,171 +66,130 @@ def anchors(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at[use], hashes[use]
 
 
-def _anchor_ids(docs: DataFrame, width: int) -> DataFrame:
-    """(anchor, id) of every anchor."""
+def _anchors(docs: DataFrame, width: int) -> DataFrame:
+    """(anchor, chunk) of every anchor of (chunk, id, text), each once for a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 at, hashes = anchors(block, width)
-                ids = batch.column(0).take(pa.array(block.first + block.word_rows[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids], names=["anchor", "id"])
-
-    return docs.where("id is not null").mapInArrow(run, f"anchor bigint, id {docs.schema['id'].dataType.simpleString()}")
-
-
-class _Candidates:
-    """Windows of a block that hold a marked anchor: index of their first word, and that word's row."""
+                rows = block.word_rows[at]
+                order = np.lexsort((hashes, rows))
+                rows, hashes = rows[order], hashes[order]
+                new = np.ones(len(rows), dtype=bool)
+                new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+                chunks = batch.column(0).take(pa.array(block.first + rows[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), chunks], names=["anchor", "chunk"])
 
-    def __init__(self, block: Block, named: np.ndarray, marks: np.ndarray, width: int):
-        period, _, _ = cover_of(width)
-        at, hashes = anchors(block, width)
-        bits = hashes & np.uint64(len(marks) * 64 - 1)
-        found = at[(marks[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1]
-        rows = block.word_rows
-        found = found[named[rows[found]]]
-        last = block.words_before[rows[found] + 1] - width
-        low = np.maximum(found - period + 1, block.words_before[rows[found]])
-        high = np.minimum(found, last)
-        edge = np.zeros(len(rows) + 2, dtype=np.int64)
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high + 1, -1)
-        self.starts = np.flatnonzero(np.cumsum(edge) > 0)
-        self.rows = rows[self.starts]
-        self.has = np.zeros(len(block), dtype=bool)
-        self.has[self.rows] = True
-
-
-def _plain(docs: DataFrame, marks: Broadcast, width: int) -> DataFrame:
-    """(id, n_words, n_removed, kept) of the texts without candidates."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(1)):
-                ids = batch.column(0).slice(block.first, len(block))
-                named = ids.is_valid().to_numpy(zero_copy_only=False)
-                alone = np.flatnonzero(~_Candidates(block, named, marks.value, width).has)
-                data = block.data.tobytes()
-                words = [data[block.offsets[r] : block.offsets[r + 1]].split() for r in alone]
-                counts = pa.array([len(w) for w in words], pa.int64())
-                kept = pa.array([b" ".join(w).decode() for w in words], pa.string())
-                none = pa.array(np.zeros(len(alone), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(alone)), counts, none, kept], names=["id", "n_words", "n_removed", "kept"]
-                )
+    return docs.where("id is not null").select("chunk", "text").mapInArrow(run, "anchor bigint, chunk int")
 
-    return docs.mapInArrow(run, _result(docs))
 
+def _spread(starts: np.ndarray, ends: np.ndarray, total: int) -> np.ndarray:
+    """Marks the places inside any of the ranges."""
+    edge = np.zeros(total + 1, dtype=np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge)[:-1] > 0
 
-def _result(docs: DataFrame) -> str:
-    return f"id {docs.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
 
+def _names(block: Block, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes, of 64 and 32 bits, of the windows that begin at some words."""
+    high = rolling(block.words, at, at + width)
+    low = rolling(mix(block.words ^ _OTHER), at, at + width) >> np.uint64(32)
+    return high.view(np.int64), low.astype(np.uint32).view(np.int32)
 
-def _chunks(docs: DataFrame, marks: Broadcast, width: int) -> DataFrame:
-    """The texts with candidates, in chunks.
 
-    (chunk, id, text, starts, windows): first words of the row's windows and their
-    numbers in the chunk. The first row of a chunk also has its distinct windows
-    (high, low: hash; least, most: smallest and largest id).
-    """
+def _extended(docs: DataFrame, shared: DataFrame, width: int) -> DataFrame:
+    """(chunk, high, low, least, most): each chunk's distinct windows that hold a shared anchor, and their smallest and largest id."""
     kind = docs.schema["id"].dataType.simpleString()
-    ints = "array<bigint>"
-    schema = (
-        f"chunk bigint, id {kind}, text string, starts array<int>, windows array<int>, "
-        f"high {ints}, low {ints}, least array<{kind}>, most array<{kind}>"
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    period, _, _ = cover_of(width)
 
-        chunk = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for block in blocks(batch.column(1)):
-                ids = batch.column(0).slice(block.first, len(block))
-                found = _Candidates(block, ids.is_valid().to_numpy(zero_copy_only=False), marks.value, width)
-                rows = np.flatnonzero(found.has)
-                if not len(rows):
-                    continue
-                chunk += 1
-                at = found.starts
-                high = rolling(block.words, at, at + width)
-                low = rolling(mix(block.words ^ _OTHER), at, at + width)
-                rank = pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy()
-                order = np.lexsort((rank[found.rows], low, high))
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-                number = np.empty(len(at), dtype=np.int32)
-                number[order] = np.cumsum(new) - 1
-                begin = np.flatnonzero(new)
-                end = np.append(begin[1:], len(at)) - 1
-                least, most = (ids.take(pa.array(found.rows[order[x]])) for x in (begin, end))
-                keys = [pa.array(h[order[begin]].view(np.int64)) for h in (high, low)]
-
-                cuts = np.searchsorted(found.rows, np.append(rows, len(block)))
-                lists = lambda values: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int32()))
-                on_first = lambda values: pa.ListArray.from_arrays(
-                    pa.array([0] + [len(values)] * len(rows), pa.int32()),
-                    values,
-                    mask=pa.array(np.arange(len(rows)) > 0),
-                )
-                texts = batch.column(1).slice(block.first, len(block)).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(rows), chunk)),
-                        ids.take(pa.array(rows)),
-                        texts,
-                        lists(at - block.words_before[found.rows]),
-                        lists(number),
-                        *map(on_first, (*keys, least, most)),
-                    ],
-                    names=["chunk", "id", "text", "starts", "windows", "high", "low", "least", "most"],
-                )
-
-    return docs.mapInArrow(run, schema)
-
-
-def _cut(chunks: DataFrame, back: DataFrame, width: int, schema: str) -> DataFrame:
-    """(id, n_words, n_removed, kept) of the chunks' rows, given (of, window, least): windows of a chunk with the smallest id of any document."""
+    def run(key: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
+        wanted = np.unique(known["anchor"].to_numpy()).view(np.uint64)
+        ids = rows["id"].combine_chunks()
+        rank = pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for block in blocks(rows["text"].combine_chunks()):
+            at, hashes = anchors(block, width)
+            at = at[np.isin(hashes, wanted)]
+            row = block.word_rows[at]
+            from_, to = np.maximum(at - period + 1, block.words_before[row]), np.minimum(at, block.words_before[row + 1] - width)
+            starts = np.flatnonzero(_spread(from_, to + 1, len(block.words)))
+            found.append((*_names(block, starts, width), block.first + block.word_rows[starts]))
+        high, low, row = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((rank[row], low, high))
+        high, low, row = high[order], low[order], row[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(row))[: len(begin)] - 1
+        chunk = pa.array(np.full(len(begin), key[0].as_py(), dtype=np.int32))
+        columns = [pa.array(high[begin]), pa.array(low[begin]), ids.take(pa.array(row[begin])), ids.take(pa.array(row[end]))]
+        return pa.table([chunk, *columns], names=["chunk", "high", "low", "least", "most"])
+
+    left = docs.where("id is not null").groupBy("chunk")
+    right = shared.select(F.col("chunk").alias("of"), "anchor").groupBy("of")
+    return left.cogroup(right).applyInArrow(run, f"chunk int, high bigint, low int, least {kind}, most {kind}")
+
+
+def _cut(docs: DataFrame, back: DataFrame, width: int) -> DataFrame:
+    """(id, n_words, n_removed, kept) of (chunk, id, text), given (chunk, high, low, first): windows and the smallest id that has them."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(key: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
         rows, known = rows.combine_chunks(), known.combine_chunks()
-        ids = rows["id"].combine_chunks() if rows.num_rows else pa.array([], rows["id"].type)
-        least = known["least"].combine_chunks().cast(ids.type) if known.num_rows else pa.array([], ids.type)
-        rank = pc.rank(pa.concat_arrays([ids, least]), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-        numbers = known["window"].to_numpy()
-        first = np.full(max([0, *(1 + numbers)]), np.iinfo(np.int64).max)
-        first[numbers] = rank[len(ids) :]
-        out = []
-        for i, (text, starts, windows) in enumerate(zip(rows["text"], rows["starts"], rows["windows"])):
-            words = text.as_py().encode().split()
-            windows = windows.values.to_numpy()
-            known_here = windows < len(first)
-            taken = starts.values.to_numpy()[known_here][first[windows[known_here]] < rank[i]]
-            edge = np.zeros(len(words) + 1, dtype=np.int64)
-            np.add.at(edge, taken, 1)
-            np.add.at(edge, taken + width, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            out.append((len(words), int(gone.sum()), b" ".join(kept).decode()))
-        n_words, n_removed, kept = zip(*out) if out else ((), (), ())
-        return pa.table({"id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
-
-    left = chunks.select("chunk", "id", "text", "starts", "windows").groupBy("chunk")
-    return left.cogroup(back.groupBy("of")).applyInArrow(run, schema)
+        ids = rows["id"].combine_chunks()
+        first = known["first"].combine_chunks().cast(ids.type)
+        rank = pc.rank(pa.concat_arrays([ids, first]), sort_keys="ascending", null_placement="at_start", tiebreaker="dense")
+        rank = rank.to_numpy().astype(np.int64)
+        rank[: len(ids)][ids.is_null().to_numpy(zero_copy_only=False)] = -1  # below every id: such rows lose nothing
+        names = np.zeros(known.num_rows, dtype=[("high", np.int64), ("low", np.int32)])
+        names["high"], names["low"] = known["high"].to_numpy(), known["low"].to_numpy()
+        order = np.argsort(names)
+        names, smallest = names[order], rank[len(ids) :][order]
+        n_words, n_removed, kept = [], [], []
+        for block in blocks(rows["text"].combine_chunks()):
+            at, high = np.zeros(0, dtype=np.int64), None
+            if len(names):
+                at, high = block.ngrams(width)
+                hit = np.isin(high.view(np.int64), names["high"])
+                at = at[hit]
+            mine = np.zeros(len(at), dtype=names.dtype)
+            mine["high"], mine["low"] = _names(block, at, width)
+            place = np.minimum(np.searchsorted(names, mine), max(len(names) - 1, 0))
+            if len(at):
+                at = at[(names[place] == mine) & (smallest[place] < rank[block.first + block.word_rows[at]])]
+            gone = _spread(at, at + width, len(block.words))
+            data, starts, ends = block.data.tobytes(), *(b.tolist() for b in block.bounds)
+            cuts = block.words_before.tolist()
+            removed = np.concatenate([[0], np.cumsum(gone)])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                n = int(removed[b] - removed[a])
+                words = range(a, b) if not n else (a + np.flatnonzero(~gone[a:b])).tolist()
+                n_words.append(b - a)
+                n_removed.append(n)
+                kept.append(b" ".join(data[starts[w] : ends[w]] for w in words).decode())
+        counts = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+        return pa.table([ids, *counts, pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
+
+    right = back.select(F.col("chunk").alias("of"), "high", "low", "first").groupBy("of")
+    return docs.groupBy("chunk").cogroup(right).applyInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
     """(id, n_words, n_removed, kept) of every row; ``kept`` has the words that stay, joined by one space."""
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    shared = _anchor_ids(docs, width).groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    shared = written(shared.where("lo < hi").select("anchor"), "shared-anchors")
-    marks = docs.sparkSession.sparkContext.broadcast(bit_table(shared, "anchor", BITS_EACH, MARK_BITS))
-
-    chunks = written(_chunks(docs, marks, width), "repeat-chunks")
-    zipped = F.arrays_zip("high", "low", "least", "most")
-    windows = chunks.where("high is not null").select("chunk", F.posexplode(zipped).alias("window", "w")).select("chunk", "window", "w.*")
-    first = windows.groupBy("high", "low").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last")
-    back = windows.join(first.select("high", "low", "first"), ["high", "low"]).where("most > first")
-    back = back.select(F.col("chunk").alias("of"), "window", F.col("first").alias("least"))
-    done = _plain(docs, marks, width).unionByName(_cut(chunks, back, width, _result(docs)))
-    return done.withColumnRenamed("id", id_column)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(size // CHUNK_BYTES + 1)).cast("int")
+    docs = docs.select(chunk.alias("chunk"), "id", "text")
+
+    counts = _anchors(docs, width).groupBy("anchor").agg(F.count("*").alias("n"))
+    common = written(counts.where("n > 1").select("anchor"), "common-anchors")
+    shared = written(_anchors(docs, width).join(common, "anchor", "left_semi"), "shared-anchors")
+    discard(common)
+
+    over = "over (partition by high, low)"
+    windows = _extended(docs, shared, width).selectExpr("*", f"min(least) {over} first", f"max(most) {over} last")
+    back = written(windows.where("first < most").select("chunk", "high", "low", "first"), "earlier-windows")
+    discard(shared)
+    return _cut(docs, back, width).withColumnRenamed("id", id_column)

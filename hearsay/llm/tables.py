@@ -1,28 +1,5 @@
-"""Intermediate tables in the folder that all executors share, and bit tables for tasks."""
+"""Intermediate tables of the corpus operators."""
 
-from __future__ import annotations
+from hearsay.sources.scratch import discard, written
 
-import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from hearsay.session import fresh_folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table: computed once, safe against lost executors, and of a known size."""
-    path = fresh_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bit_table(hashes: DataFrame, column: str, bits_each: int, most: int) -> np.ndarray:
-    """Words of a table with the bit of each hash's low bits set: some bits for each hash, ``most`` at most."""
-    wanted = min(most, max(1 << 16, bits_each * hashes.count()))
-    bits = 1 << (wanted - 1).bit_length()
-    bit = F.col(column).bitwiseAND(bits - 1)
-    words = hashes.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("mark"))
-    found = words.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow()
-    marks = np.zeros(bits >> 6, dtype=np.uint64)
-    marks[found["word"].to_numpy()] = found["marks"].to_numpy().view(np.uint64)
-    return marks
+__all__ = ["discard", "written"]

@@ -91,9 +91,8 @@ def test_text_ids_and_long_texts(spark):
     assert run(frame(spark, rows, "string")) == brute.without_repeats(rows)
 
 
-def test_small_bit_table_changes_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("chunk_bytes", (1, 500))
+def test_small_chunks_change_nothing(spark, monkeypatch, chunk_bytes):
     rows = [(i, " ".join(f"w{(i % 7) * 3 + k}" for k in range(30))) for i in range(60)]
-    want = brute.without_repeats(rows)
-    monkeypatch.setattr(substring_dedup, "MARK_BITS", 1 << 7)
-    monkeypatch.setattr(substring_dedup, "BITS_EACH", 1)
-    assert run(frame(spark, rows)) == want
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk_bytes)
+    assert run(frame(spark, rows)) == brute.without_repeats(rows)
