@@ -1,4 +1,6 @@
+import csv
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from hearsay.operators import ingest
 from hearsay.plans.imports import prepare
 from hearsay.schema import HEADER_ALIASES, POST_COLUMNS, POST_SCHEMA
-from hearsay.sources.csv import file_forms, malformed_lines, read_posts_csv, write_posts_csv
+from hearsay.sources.csv import _lines, file_forms, malformed_lines, read_posts_csv, write_posts_csv
 
 from support import NOW
 
@@ -150,6 +152,64 @@ def test_form_of_each_file_is_found(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("name", ["a b.csv", "c[1].csv", "50%.csv", "d%20e.csv", "{x}*?.csv", "日本.csv"])
+def test_any_file_name(spark, tmp_path, name):
+    (tmp_path / name).write_text('Text,Likes\n"one\ntwo",1\n', encoding="utf-8")
+    for path in (str(tmp_path), str(tmp_path / name)):
+        assert [tuple(r) for r in read_posts_csv(spark, path).collect()] == [("one\ntwo", "1")]
+    (tmp_path / name).write_text("Text,Likes\nplain,1\n", encoding="utf-8")
+    assert [tuple(r) for r in read_posts_csv(spark, str(tmp_path / name)).collect()] == [("plain", "1")]
+
+
+def test_repeated_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Text,User,User,U`s.r,user\nhi,ann,bob,x,carl\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("user,Text,User.1\ndora,ho,eve\n", encoding="utf-8")
+    rows = read_posts_csv(spark, str(tmp_path))
+    assert rows.columns == ["Text", "User", "User.1", "U`s.r", "user"]
+    assert sorted(map(tuple, rows.collect()), key=str) == [
+        ("hi", "ann", "bob", "x", "carl"), ("ho", None, "eve", None, "dora"),
+    ]
+    assert sorted(r.username for r in prepare(rows, NOW).select("username").collect()) == ["ann", "unknown"]
+    (tmp_path / "c.csv").write_text("Text,text,User\n,low,fay\nhigh,other,gus\n", encoding="utf-8")
+    rows = read_posts_csv(spark, str(tmp_path / "c.csv"))
+    with pytest.raises(ValueError, match="text"):
+        ingest.normalise(rows, NOW)
+    got = ingest.normalise(rows, NOW, on_collision="coalesce").collect()
+    assert {r.username: r.text for r in got} in ({"fay": "low", "gus": "high"}, {"fay": "low", "gus": "other"})
+
+
+def test_line_breaks_are_split_over_tasks(spark, tmp_path):
+    """A file of many byte ranges, with records and quotes across their ends, gives the rows that one task reads."""
+    rng = random.Random(4)
+    pieces = ["plain", "two\nlines", 'say "hi"', ', comma, "', "\n", "\n\n\n", '"', "x" * 3000, "", 'end"', '5" pipe', "é\r\nß"]
+    rows = [("".join(rng.choices(pieces, k=rng.randrange(1, 5))), str(i)) for i in range(800)]
+    path = tmp_path / "big.csv"
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["Text", "Likes"])
+        for text, i in rows:
+            out.writerow([f"t{text}", i])
+        f.write('odd 5" pipe,800\n7"" two,801\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = read_posts_csv(spark, str(path))
+        assert _lines(spark, [str(path)]).rdd.getNumPartitions() > 50
+        found = sorted((int(r.Likes), r.Text) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(path))
+    assert found == sorted((int(r.Likes), r.Text) for r in whole.collect())
+    assert len(found) == 802 and found[:800] == [(int(i), f"t{t}") for t, i in rows]
+
+
+@pytest.mark.parametrize("text", ['Text,Likes\r\n"a\r\nb",1\r\n\r\nc,2\r\n', 'Text,Likes\n\n"a\n\nb",1\nc,2', '\ufeffText,Likes\n"",1\n"x\n",2\n'])
+def test_line_ends_and_blank_lines(spark, tmp_path, text):
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    whole = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path / "a.csv"))
+    assert sorted(map(tuple, read_posts_csv(spark, str(tmp_path)).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
 def test_malformed_lines_are_reported(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Text,Likes\nfine,1\nsurplus,1,2,3\nshort\n", encoding="utf-8")
     assert sorted(r.line for r in malformed_lines(spark, str(tmp_path)).collect()) == ["short", "surplus,1,2,3"]
