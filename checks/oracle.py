@@ -289,6 +289,12 @@ SELECT doc_id, polarity FROM documents LEFT JOIN pol ON k = doc_id""",
 raw AS (SELECT * REPLACE ({_MISSING}) FROM raw0),
 {_NORM}
 SELECT * EXCLUDE (idx) FROM norm""",
+    "csv_split_records": "SELECT doc_id, md5(nullif(text, '')) AS digest FROM documents",
+    "required_column": """SELECT header, CASE WHEN header <> 'Message' THEN n ELSE 0 END AS posts,
+  CASE WHEN header = 'Message' THEN 'the input needs a text column with the post content' END AS refusal
+FROM (SELECT count(*) AS n FROM events), (SELECT unnest(['text', 'Text', 'Tweet', 'Tweet-Text', 'Message']) AS header)""",
+    "refresh_periods": """SELECT DISTINCT (event_id % 140)::INTEGER AS minutes, event_id % 140 BETWEEN 15 AND 120 AS accepted
+FROM events""",
     "topic_filter": _raw(
         r"SELECT idx, text_ AS text FROM raw WHERE regexp_matches(lower(text_), 'near the|#k1[23]\b')"
     ),
@@ -462,6 +468,11 @@ SELECT post_id, created_at, coalesce({_keyword(_clean('text'))}, 'Neutral') AS s
         """SELECT * FROM (SELECT 'tags' AS topic, count(*) AS n_posts, 0::BIGINT AS n_tags, 0::BIGINT AS listed FROM post
   WHERE contains(lower(text), '#click') UNION ALL SELECT 'back', count(*), sum(len(tags))::BIGINT, sum(len(tags))::BIGINT
   FROM post WHERE contains(lower(text), '#click'))"""
+    ),
+    "concurrent_imports": _posts(
+        f"""SELECT topic, 3::BIGINT AS imports, 1::BIGINT AS searches, {_BIG('3 * count(*)')} AS n_posts,
+  {_BIG('3 * count(*)')} AS stored FROM post, (SELECT unnest(['#click', 'hospital', 'victory', 'service']) AS topic)
+WHERE contains(lower(text), topic) GROUP BY topic"""
     ),
     "failed_import": _posts("SELECT 'a' AS import_id, post_id, sentiment FROM post WHERE contains(lower(text), 'hospital')"),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,10 +19,11 @@ from hearsay.operators.ingest import filter_topic, normalise
 from hearsay.operators import search
 from hearsay.operators.sentiment import add_polarity, classify, join_polarity
 from hearsay.plans.imports import import_csv, prepare
-from hearsay.schema import FEED_SCHEMA
+from hearsay.schema import FEED_SCHEMA, HEADER_ALIASES
 from hearsay.session import fresh_folder
 from hearsay.sources.csv import read_posts_csv, write_posts_csv
 from hearsay.sources.feeds import stream_feed
+from hearsay.sources.scratch import written
 from hearsay.sources.store import PostStore
 from hearsay.streaming import sinks, windows
 
@@ -148,23 +150,58 @@ def csv_posts(spark, sf_dir):
 
 def time_forms(spark, sf_dir):
     """The events' times in many ordinary forms, read back."""
-    written = F.lit(None).cast("string")
+    told = F.lit(None).cast("string")
     for i, (form, _) in enumerate(derived.TIME_FORMS):
-        written = F.when(F.col("event_id") % len(derived.TIME_FORMS) == i, F.date_format("ts", form)).otherwise(written)
+        told = F.when(F.col("event_id") % len(derived.TIME_FORMS) == i, F.date_format("ts", form)).otherwise(told)
     events = derived.table(spark, sf_dir, "events")
-    read = value_functions.to_time(written, F.lit(derived.INGEST_TS))
-    return events.select("event_id", read.alias("read_ts"), value_functions.unreadable_time(written).alias("unreadable"))
+    read = value_functions.to_time(told, F.lit(derived.INGEST_TS))
+    return events.select("event_id", read.alias("read_ts"), value_functions.unreadable_time(told).alias("unreadable"))
 
 
 def csv_mixed_headers(spark, sf_dir):
-    """Posts in three exports with other headers, order and columns, read together."""
+    """Posts in three exports with other headers, order and columns, odd names, and a header that repeats a name."""
     folder = fresh_folder(spark, "csv")
     raw = derived.raw_posts(spark, sf_dir).withColumn("idx", F.col("idx").cast("string"))
-    for i, headers in enumerate(derived.HEADER_SETS):
+    paths = [f"{folder}/{name}" for name in ("an export", "export [2]", "100% export")]
+    for i, (headers, path) in enumerate(zip(derived.HEADER_SETS, paths)):
         part = raw.filter(F.col("idx").cast("bigint") % len(derived.HEADER_SETS) == i)
-        write_posts_csv(part.select([F.col(c).alias(h) for c, h in headers.items()]), f"{folder}/{i}")
-    rows = read_posts_csv(spark, [f"{folder}/{i}" for i in range(len(derived.HEADER_SETS))])
-    return normalise(rows, derived.INGEST_TS, "idx", on_collision="coalesce")
+        part = part.select([F.col(c).alias(h) for c, h in headers.items()])
+        if i < 2:
+            write_posts_csv(part, path)
+        else:
+            again = F.struct(*part.columns, F.lit("someone else").alias("again"))
+            lines = part.select(F.lit(1).alias("at"), F.to_csv(again, {"quoteAll": "true", "escape": '"'}).alias("value"))
+            header = spark.createDataFrame([(0, ",".join([*part.columns, "Username"]))], "at int, value string")
+            header.unionByName(lines).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    return normalise(read_posts_csv(spark, paths), derived.INGEST_TS, "idx", on_collision="coalesce")
+
+
+def csv_split_records(spark, sf_dir):
+    """The documents, whose texts hold line breaks, as one CSV file that is read in many byte ranges."""
+    path, size = fresh_folder(spark, "csv"), "spark.sql.files.maxPartitionBytes"
+    docs = derived.table(spark, sf_dir, "documents")
+    write_posts_csv(docs.select(F.col("doc_id").cast("string").alias("idx"), F.col("text").alias("Text")).coalesce(1), path)
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(1 << 18))
+    try:
+        rows = written(read_posts_csv(spark, path), "split-records")
+    finally:
+        spark.conf.set(size, before)
+    return rows.select(F.col("idx").cast("bigint").alias("doc_id"), F.md5("Text").alias("digest"))
+
+
+def required_column(spark, sf_dir):
+    """Posts read with their text under each accepted header, and the refusal without one."""
+    raw = derived.raw_posts(spark, sf_dir, places=False).select("idx", F.col("Text").alias("_text"))
+    out = []
+    for header in (*HEADER_ALIASES["text"], "Message"):
+        try:
+            read = normalise(raw.withColumnRenamed("_text", header), derived.INGEST_TS, "idx")
+            found = read.agg(F.count("text").alias("posts")).withColumn("refusal", F.lit(None).cast("string"))
+        except ValueError as e:
+            found = raw.agg(F.count("*").alias("posts")).select(F.lit(0).cast("long").alias("posts"), F.lit(str(e)).alias("refusal"))
+        out.append(found.select(F.lit(header).alias("header"), "posts", "refusal"))
+    return reduce(DataFrame.unionByName, out)
 
 
 # -- filters -------------------------------------------------------------------
@@ -542,6 +579,25 @@ def csv_import(spark, sf_dir):
     return store.topic_posts("near|service").select("post_id", "sentiment", "city", "country", "like_count")
 
 
+def concurrent_imports(spark, sf_dir):
+    """Three imports of each of four topics, at the same time from four threads: what the store then holds."""
+    store = PostStore(spark, fresh_folder(spark, "store")).create()
+    at = dt.datetime.fromisoformat(derived.INGEST_TS)
+    topics = ("#click", "hospital", "victory", "service")
+
+    def imports(topic):
+        for i in range(3):
+            store.write_import(posts(spark, sf_dir, topic=topic), topic, at + dt.timedelta(hours=i), import_id=f"{topic[-3:]}-{i}")
+
+    with ThreadPoolExecutor(len(topics)) as pool:
+        list(pool.map(imports, topics))
+    stored = [store.topic_posts(t).agg(F.count("*").alias("stored")).withColumn("topic", F.lit(t)) for t in topics]
+    registered = store.imports().groupBy("topic").agg(
+        F.count("*").alias("imports"), F.countDistinct("search_id").alias("searches"), F.sum("n_posts").alias("n_posts")
+    )
+    return registered.join(reduce(DataFrame.unionByName, stored), "topic")
+
+
 # -- streams -------------------------------------------------------------------
 
 
@@ -631,6 +687,13 @@ def stream_import(spark, sf_dir):
     return store.topic_posts("live").select("post_id", "sentiment", "platform", "like_count")
 
 
+def refresh_periods(spark, sf_dir):
+    """Which of the periods found in the events a live view may be refreshed in."""
+    minutes = derived.table(spark, sf_dir, "events").select((F.col("event_id") % 140).cast("int").alias("minutes")).distinct()
+    accepted = [m for m in range(140) if sinks.accepted_refresh(m)]
+    return minutes.withColumn("accepted", F.col("minutes").isin(accepted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -651,6 +714,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         enrich_posts,
         csv_posts,
         csv_mixed_headers,
+        csv_split_records,
+        required_column,
         time_forms,
         topic_filter,
         topic_filter_literal,
@@ -706,6 +771,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         csv_import,
         repeated_import,
         failed_import,
+        concurrent_imports,
+        refresh_periods,
         stream_volume,
         stream_hashtags,
         stream_crisis,

@@ -18,6 +18,11 @@ from hearsay.sources.store import PostStore
 MIN_REFRESH, MAX_REFRESH, DEFAULT_REFRESH = 15, 120, 80
 
 
+def accepted_refresh(minutes: int) -> bool:
+    """Whether a live view may be refreshed so often."""
+    return MIN_REFRESH <= minutes <= MAX_REFRESH
+
+
 def start(
     stream: DataFrame,
     write: Callable[[DataFrame, int], None],
@@ -33,7 +38,7 @@ def start(
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
     if refresh_minutes is None:
         return writer.trigger(availableNow=True).start()
-    if not MIN_REFRESH <= refresh_minutes <= MAX_REFRESH:
+    if not accepted_refresh(refresh_minutes):
         raise ValueError(f"refresh must be {MIN_REFRESH} to {MAX_REFRESH} minutes")
     return writer.trigger(processingTime=f"{refresh_minutes} minutes").start()
 
