@@ -1,6 +1,7 @@
 """Links between tokens of two tokenizers against a plain Python version."""
 
 import base64
+import json
 import os
 
 import brute
@@ -139,6 +140,31 @@ def test_products_are_matrix_products():
         assert np.array_equal(np.diff(back.starts), first.sum(axis=0)) and len(back) == k
 
 
+def test_both_encoders_agree_on_every_character(tokenizers, tokens):
+    """The encoder chosen for the file, and the library that defines it."""
+    encode, _ = token_alignment._byte_bpe(tokenizers.first)
+    texts = []
+    for base in range(0, 0x110000, 64):
+        found = [chr(c) for c in range(base, base + 64) if not 0xD800 <= c < 0xE000]
+        texts.append(" ".join(f"a{c}1{c}{c} {c}!{c}'s" for c in found))
+    texts += ["\n" * 3000 + "x", "ab" * 5000, "don't  stop'RE 123456 <|endoftext|>"]
+    for text, ids in zip(texts, encode([" " + t for t in texts])):
+        assert ids == [i for i, _ in tokens[0](text)]
+
+
+def test_other_merges_are_read_by_the_library(tokenizers, tokens):
+    """With the ids of two merges exchanged, the ids no longer follow the merges."""
+    told = json.loads(tokenizers.first)
+    vocabulary, merges = told["model"]["vocab"], told["model"]["merges"]
+    one, two = ("".join(merges[i]) for i in (0, 300))
+    vocabulary[one], vocabulary[two] = vocabulary[two], vocabulary[one]
+    encode, table = token_alignment._byte_bpe(json.dumps(told).encode())
+    change = {vocabulary[one]: vocabulary[two], vocabulary[two]: vocabulary[one]}
+    text = "the quick brown fox tries another thing"
+    assert encode([" " + text]) == [[change.get(i, i) for i, _ in tokens[0](text)]]
+    assert table.joined(np.array(encode([" " + text])[0])).tobytes() == (" " + text).encode()
+
+
 def test_alignment_gives_texts_back(tokenizers):
     found = Alignment(TEXTS, tokenizers)
     kept = b"".join((" " + TEXTS[i]).encode() for i in found.texts)
