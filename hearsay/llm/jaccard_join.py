@@ -11,14 +11,20 @@ connected components, and no link between different sets is left out.
    the parts depend on a size class, so only sets of similar length meet. Empty
    parts, which unlike sets have in common, are left out where H + 1 others are
    there: one of these agrees. There are so many spare parts that few sets lack it.
-3. Sets that share parts, directly or over others, form clusters, found from ids
-   alone. A cluster's sets meet in blocks of bounded size, its first set in each.
-   A block stores its sets, in one order of all its n-grams, in a prefix tree and
+3. The n-grams of sets that share parts get one global order: by the number of
+   these sets that have them, most frequent first, then by hash. N-grams of one
+   set link nothing and are only counted: a set with too many of them goes. Of
+   the others so many of the rarest are a set's prefix that sets that can link
+   share one of theirs. Passages that unlike texts share are no longer rare, so
+   prefixes bring together little more than sets that link.
+4. Sets that share prefix n-grams, directly or over others, form clusters, found
+   from ids alone. A cluster's sets meet in blocks of bounded size, its first set
+   in each. A block stores its sets in a prefix tree, in the global order, and
    joins them by walking it: the overlap of a shared prefix is counted once for
    each probe, and a subtree is left as soon as the remaining lengths can't reach
    the needed overlap. Links give components.
-4. In clusters of several blocks, sets that still share a part with a set of
-   another component are joined again, only across components: what is not in
+5. In clusters of several blocks, sets that still share a prefix n-gram with a set
+   of another component are joined again, only across components: what is not in
    the cluster's largest component meets all others, in pairs of bounded blocks.
 
 Links leave a block as a spanning forest, never as all pairs. Copies are merged
@@ -46,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm.graphs import components
-from hearsay.llm.tables import written
+from hearsay.llm.tables import discard, written
 from hearsay.llm.textblocks import Block, blocks, mix
 
 NGRAM = 3
@@ -59,10 +65,12 @@ PROBE_BYTES = 1 << 24
 #: Parts found this often in 1 of HOT_SAMPLE documents are hot; at most so many are listed.
 HOT_SAMPLE, HOT_COUNT, HOT_LIST = 64, 16, 1000
 
-#: Bits of the table that sorts out documents without partners.
-MARK_BITS = 1 << 24
+#: Bits for each candidate, and at most, of the table that sorts out documents without partners.
+MARK_EACH, MARK_BITS = 16, 1 << 27
 
 _HASH_BITS = np.uint64(52)
+#: More sets than so many count as so many in the global order.
+_MOST_HELD = 2047
 _HASH_MASK = np.uint64((1 << 52) - 1)
 
 
@@ -160,58 +168,102 @@ def _signatures(docs: DataFrame, id_column: str, text_column: str, n: int, perce
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
-    """A table of MARK_BITS bits with those of the (id) rows' hashes set; of a fixed size."""
-    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(MARK_BITS)).alias("bit"))
-    words = bits.selectExpr("shiftright(bit, 6) word", "shiftleft(1L, cast(bit & 63 as int)) mark")
-    marks = np.zeros(MARK_BITS >> 6, dtype=np.uint64)
-    for r in words.groupBy("word").agg(F.bit_or("mark").alias("marks")).collect():
-        marks[r.word] = np.uint64(r.marks & 0xFFFFFFFFFFFFFFFF)
+    """A table of bits, sized by the number of (id) rows up to MARK_BITS, with those of the rows' hashes set."""
+    bits = 1 << (min(MARK_BITS, max(1 << 16, MARK_EACH * ids.count())) - 1).bit_length()
+    bit = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit"))
+    words = bit.selectExpr("shiftright(bit, 6) word", "shiftleft(1L, cast(bit & 63 as int)) mark")
+    found = words.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow()
+    marks = np.zeros(bits >> 6, dtype=np.uint64)
+    marks[found["word"].to_numpy()] = found["marks"].to_numpy().view(np.uint64)
     return marks
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """(id, grams): the sets of the rows with one of the (id) ids, as bytes of sorted 64-bit numbers.
+def _candidate_ngrams(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
+    """(id, digest, size, gram): the sets of the rows with one of the (id) ids, and maybe of a few others.
 
     Other rows are sorted out by a table of hashed ids before their text is looked
-    at, so texts are not shuffled; the few that slip through find no partner later.
+    at, so texts are not shuffled; the few that slip through find no partner.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    marks = _marks(ids)
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+    bits = len(marks.value) * 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-            wanted = (marks[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1)
+            bit = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+            wanted = (marks.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
             batch = pc.filter(batch, pa.array(wanted.astype(bool)))
             for block in blocks(batch.column(1), fold=True):
                 rows, hashes = ngram_sets(block, n)
-                ends = np.searchsorted(rows, np.arange(len(block) + 1))
-                sets = [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                found = batch.column(0).slice(block.first, len(block))
-                yield pa.RecordBatch.from_arrays([found, pa.array(sets, type=pa.binary())], names=["id", "grams"])
+                sizes = np.bincount(rows, minlength=len(block))
+                digests = np.zeros(len(block), dtype=np.uint64)
+                np.add.at(digests, rows, mix(hashes))
+                found = batch.column(0).take(pa.array(block.first + rows))
+                columns = [digests[rows].view(np.int64), sizes[rows], hashes.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([found, *map(pa.array, columns)], names=["id", "digest", "size", "gram"])
 
-    bit = F.pmod(F.xxhash64(id_column), F.lit(MARK_BITS))
+    bit = F.pmod(F.xxhash64(id_column), F.lit(bits))
     rows = docs.where(F.col(id_column).isNotNull()).select(id_column, text_column, bit)
-    return rows.mapInArrow(run, f"id {kind}, grams binary")
+    return rows.mapInArrow(run, f"id {kind}, digest bigint, size bigint, gram bigint")
+
+
+def _ordered_sets(ngrams: DataFrame, percent: int) -> DataFrame:
+    """(id, size, path): sets of which enough n-grams are in other sets too; these, in the global order."""
+    held = ngrams.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
+    rank = F.shiftleft(F.lit(_MOST_HELD) - F.least("held", F.lit(_MOST_HELD)), int(_HASH_BITS)).bitwiseOR(F.col("gram"))
+    known = ngrams.join(held, "gram").select("id", "digest", "size", rank.alias("rank"))
+    sets = known.groupBy("id", "digest", "size").agg(F.sort_array(F.collect_list("rank")).alias("path"))
+    return sets.where(100 * F.size("path") >= percent * F.col("size")).select("id", "size", "path")
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(part, rep): hashes of each set's rarest n-grams, one of which it shares with all that it links with.
+
+    An n-gram counts once in the own size class and once in the next, so only
+    sets of similar size meet.
+    """
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = SizeClasses(percent)
+        for batch in batches:
+            size, paths = batch.column(1).to_numpy(), batch.column(2)
+            ends = paths.offsets.to_numpy().astype(np.int64)
+            length = np.diff(ends)
+            # so many n-grams of the whole set, less those that no other set has
+            take = size - (percent * size + 99) // 100 + 1 - (size - length)
+            first = ends[1:] - take
+            before = np.cumsum(take) - take
+            at = np.repeat(first - before, take) + np.arange(take.sum())
+            ranks = paths.values.to_numpy()[at].view(np.uint64)
+            row = np.repeat(np.arange(len(batch)), take)
+            own = classes.of(size)[row].astype(np.uint64)
+            for which in (own, own + np.uint64(1)):
+                part = mix(ranks ^ mix(which))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.view(np.int64)), batch.column(0).take(pa.array(row))], names=["part", "rep"]
+                )
 
+    return sets.select("id", "size", "path").mapInArrow(run, f"part bigint, rep {kind}")
 
-def tree_links(ids: list, sets: list[np.ndarray], percent: int, groups: list | None = None) -> list[tuple]:
+
+def tree_links(ids: list, sets: list[np.ndarray], sizes: list[int], percent: int, groups: list | None = None) -> list[tuple]:
     """A spanning forest of the links among some sets, found by walking their prefix tree.
 
-    With ``groups``, only links between sets of different groups count.
+    A set is given by its n-grams in the global order, without those that no other
+    set has, and by its whole size. With ``groups``, only links between sets of
+    different groups count.
     """
     m = len(sets)
     if m < 2:
         return []
-    # one order for all: n-grams of many sets first, so that near copies share long prefixes
-    grams, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(grams), dtype=np.int64)
-    rank[np.lexsort((grams, -counts))] = np.arange(len(grams))
+    grams, at = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum([len(s) for s in sets])
-    ordered = [np.sort(rank[at[e - len(s) : e]]) for s, e in zip(sets, ends)]
+    ordered = [at[e - len(s) : e] for s, e in zip(sets, ends)]
     order = sorted(range(m), key=lambda i: ordered[i].astype(">u4").tobytes())
     paths = [ordered[i] for i in order]
     names = [ids[i] for i in order]
+    full = np.array([sizes[i] for i in order], dtype=np.int64)
     size = np.array([len(p) for p in paths])
     group = np.unique([groups[i] for i in order], return_inverse=True)[1] if groups is not None else np.arange(m)
     shared = np.zeros(m, dtype=np.int64)  # with the path before
@@ -249,13 +301,13 @@ def tree_links(ids: list, sets: list[np.ndarray], percent: int, groups: list | N
             alive, overlap = alive[keep], overlap[keep]
             if not len(alive):
                 continue
-            own = size[probes[alive]]
-            rest = own
+            own = full[probes[alive]]
+            rest = size[probes[alive]]
             if len(edge):
                 overlap = overlap + has[np.ix_(alive, edge)].sum(axis=1)
-                rest = own - (np.searchsorted(keys, alive * len(grams) + edge[-1], side="right") - begins[alive])
-            least, most = size[low:high].min(), size[low:high].max()
-            reach = overlap + np.minimum(most - to, rest)
+                rest = rest - (np.searchsorted(keys, alive * len(grams) + edge[-1], side="right") - begins[alive])
+            least, most = full[low:high].min(), full[low:high].max()
+            reach = overlap + np.minimum(size[low:high].max() - to, rest)
             keep = ((100 + percent) * reach >= percent * (own + least)) & (100 * most >= percent * own)
             keep &= 100 * own >= percent * least
             alive, overlap = alive[keep], overlap[keep]
@@ -272,13 +324,13 @@ def tree_links(ids: list, sets: list[np.ndarray], percent: int, groups: list | N
 
 
 def _block_links(rows: DataFrame, keys: list[str], percent: int, grouped: bool) -> DataFrame:
-    """(a, b): links inside each block of (keys, id, grams[, comp]), a stream of sorted blocks per task."""
+    """(a, b): links inside each block of (keys, id, size, path[, comp]), a stream of sorted blocks per task."""
     kind = rows.schema["id"].dataType.simpleString()
     width = len(keys)
 
     def links(block: list[tuple]) -> list[tuple]:
-        sets = [np.frombuffer(r[width + 1], dtype=np.uint64) for r in block]
-        return tree_links([r[width] for r in block], sets, percent, [r[width + 2] for r in block] if grouped else None)
+        ids, sizes, paths, *comps = zip(*(r[width:] for r in block)) if block else ((), (), ())
+        return tree_links(list(ids), list(paths), list(sizes), percent, list(comps[0]) if grouped and block else None)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, block = None, []
@@ -294,7 +346,7 @@ def _block_links(rows: DataFrame, keys: list[str], percent: int, grouped: bool)
         if found := links(block):
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    columns = [*keys, "id", "grams", *(["comp"] if grouped else [])]
+    columns = [*keys, "id", "size", "path", *(["comp"] if grouped else [])]
     dealt = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(run, f"a {kind}, b {kind}")
 
@@ -310,6 +362,12 @@ def _shared_parts(signatures: DataFrame) -> DataFrame:
     return others.where("lo <> hi").select("part", "id").unionByName(parts.where(is_hot).select("part", "id"))
 
 
+def _joined_parts(parts: DataFrame) -> DataFrame:
+    """(lead, rep): each set with the smallest one that has the same part; these join all that share it."""
+    leaders = parts.groupBy("part").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
+    return parts.join(leaders, "part").where("rep > lead").select("lead", "rep").distinct()
+
+
 def _across(rows: DataFrame) -> DataFrame:
     """(cluster, x, y, id, comp): pairs of bounded blocks in which all rows of different components meet.
 
@@ -366,13 +424,19 @@ def near_duplicates(
 
     shared = _shared_parts(rows.select("id", "parts")).join(members.select("id", "rep").distinct(), "id")
     parts = written(shared.select("part", "rep").distinct(), "parts")
-    leaders = parts.groupBy("part").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
-    near = parts.join(leaders, "part").where("rep > lead").select("lead", "rep").distinct()
-    near = written(near, "near")
-
-    # sets that share parts, directly or over others, are a cluster
+    rows, wide = written(rows.select("id", "n", "key"), "set-digests"), rows
+    discard(wide)
+    candidates = written(_joined_parts(parts).select(F.explode(F.array("lead", "rep")).alias("id")).distinct(), "candidates")
+    discard(parts)
+    ngrams = written(_candidate_ngrams(docs, candidates, id_column, text_column, n), "ngrams")
+    sets = written(_ordered_sets(ngrams, percent), "sets")
+    discard(ngrams, candidates)
+
+    # sets that share prefix n-grams, directly or over others, are a cluster
+    prefixes = written(_prefixes(sets, percent), "prefixes")
+    near = written(_joined_parts(prefixes), "near")
     clusters = written(components(near.select(F.col("rep").alias("a"), F.col("lead").alias("b"))), "clusters")
-    sets = written(_sets(docs, clusters.select(F.col("node").alias("id")), id_column, text_column, n), "sets")
+    discard(near)
     sizes = members.groupBy("rep").agg(F.max("size").alias("size"))
     clusters = clusters.withColumnsRenamed({"node": "rep", "component": "cluster"}).join(sizes, "rep")
     load = clusters.groupBy("cluster").agg((F.sum("size") / BLOCK_NGRAMS + 1).cast("long").alias("blocks"))
@@ -391,7 +455,7 @@ def near_duplicates(
     found = components(links)
 
     if not several.isEmpty():
-        more = _links_across(parts, clusters, several, found, sets, percent)
+        more = _links_across(prefixes, clusters, several, found, sets, percent)
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
