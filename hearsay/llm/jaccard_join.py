@@ -5,17 +5,13 @@ link when their Jaccard similarity reaches ``percent``; the result is their
 connected components, and no link between different sets is left out.
 
 1. Equal sets become one class, named by its smallest id.
-2. Sets that can link differ in at most H n-grams. Each set is cut into more than
-   H parts by hash, so two such sets agree in a whole part. Parts are counted by
-   their hash; sets that share no part with another set go no further. H and
-   the parts depend on a size class, so only sets of similar length meet. Empty
-   parts, which unlike sets have in common, are left out where H + 1 others are
-   there: one of these agrees. There are so many spare parts that few sets lack it.
-3. The n-grams of sets that share parts get one global order: by the number of
-   these sets that have them, most frequent first, then by hash. N-grams of one
-   set link nothing and are only counted: a set with too many of them goes. Of
-   the others so many of the rarest are a set's prefix that sets that can link
-   share one of theirs. Passages that unlike texts share are no longer rare, so
+2. All n-grams get one global order: by the number of sets that have them, most
+   frequent first, then by hash. N-grams that no other set has link nothing and
+   are only counted: a set with too many of them goes, as it can't reach the
+   needed overlap with any other.
+3. So many of the rarest n-grams are a set's prefix that sets that can link share
+   one of theirs. An n-gram counts in the own size class and in the next, so only
+   sets of similar size meet. Passages that unlike texts share are not rare, so
    prefixes bring together little more than sets that link.
 4. Sets that share prefix n-grams, directly or over others, form clusters, found
    from ids alone. A cluster's sets meet in blocks of bounded size, its first set
@@ -28,9 +24,7 @@ connected components, and no link between different sets is left out.
    the cluster's largest component meets all others, in pairs of bounded blocks.
 
 Links leave a block as a spanning forest, never as all pairs. Copies are merged
-in each task before the shuffle. The few parts found very often in a sample are
-known to be shared and skip the grouping; that only routes them. A group of near
-copies becomes many blocks.
+in each task before the shuffle. A group of near copies becomes many blocks.
 
 Edge cases: a text with fewer words than ``n`` has one n-gram, the whole
 sequence; null, empty and blank texts have none and link with nothing. Repeated
@@ -47,7 +41,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +55,6 @@ PERCENT = 90
 BLOCK_NGRAMS = 1 << 20
 #: Bytes of the table that tells which n-grams each probe has.
 PROBE_BYTES = 1 << 24
-#: Parts found this often in 1 of HOT_SAMPLE documents are hot; at most so many are listed.
-HOT_SAMPLE, HOT_COUNT, HOT_LIST = 64, 16, 1000
-
-#: Bits for each candidate, and at most, of the table that sorts out documents without partners.
-MARK_EACH, MARK_BITS = 16, 1 << 27
-
 _HASH_BITS = np.uint64(52)
 #: More sets than so many count as so many in the global order.
 _MOST_HELD = 2047
@@ -92,128 +79,64 @@ class SizeClasses:
     """Set sizes in ranges such that sets that can link are in one range or in neighbouring ones."""
 
     def __init__(self, percent: int):
-        first, lows, most = 1, [], []
+        first, lows = 1, []
         while first < 1 << 40:
-            last = first * 100 // percent
             lows.append(first)
-            # both sets have at most ``last`` n-grams: this many can differ
-            most.append(2 * last * (100 - percent) // (100 + percent))
-            first = last + 1
-        self.lows, self.most = np.array(lows), np.array(most)
-        # the smallest sets that meet here have about so many empty parts; four standard deviations on top
-        empty = (self.most + 1) * np.exp(-(self.lows * percent / 100) / (self.most + 1))
-        self.parts = np.where(self.most > 0, self.most + 1 + np.ceil(empty + 4 * np.sqrt(empty)).astype(np.int64), 0)
+            first = first * 100 // percent + 1
+        self.lows = np.array(lows)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, side="right") - 1
 
 
-def _parts(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each part of the sets, for the own size class and the next."""
-    out_rows, out_hashes = [], []
-    own = classes.of(np.maximum(sizes, 1))
-    for which in (own, own + 1):
-        count = np.where(sizes > 0, classes.parts[which], 0)
-        begin = np.concatenate([[0], np.cumsum(count)])
-        use = count[rows] > 0
-        r, h = rows[use], mix(hashes[use] ^ mix(which[rows[use]].astype(np.uint64)))
-        at = begin[r] + ((h >> np.uint64(20)) % count[r].astype(np.uint64)).astype(np.int64)
-        sums, full = np.zeros(begin[-1], dtype=np.uint64), np.zeros(begin[-1], dtype=bool)
-        np.add.at(sums, at, mix(h))
-        full[at] = True
-        row_of = np.repeat(np.arange(len(sizes)), count)
-        part = np.arange(len(sums)) - begin[row_of]
-        name = mix((which[row_of].astype(np.uint64) << np.uint64(40)) | part.astype(np.uint64))
-        keep = full | (np.bincount(row_of[full], minlength=len(sizes)) <= classes.most[which])[row_of]
-        out_rows.append(row_of[keep])
-        out_hashes.append(mix(sums ^ name)[keep])
-    return np.concatenate(out_rows), np.concatenate(out_hashes)
-
-
-def _signatures(docs: DataFrame, id_column: str, text_column: str, n: int, percent: int) -> DataFrame:
-    """(id, n, key, parts): set size, digest of the set, and part hashes (none for rows without an id and copies in the same task)."""
+def _sets(docs: DataFrame, id_column: str, text_column: str, n: int, ngrams: bool) -> DataFrame:
+    """(id, n, key): each row's set size and digest, or with ``ngrams`` (id, digest, size, gram) of the first
+    of equal sets in each task, among rows with an id."""
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"id {kind}, n bigint, key binary, parts array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = SizeClasses(percent), set()
+        seen: set[bytes] = set()
         for batch in batches:
             for block in blocks(batch.column(1), fold=True):
                 rows, hashes = ngram_sets(block, n)
                 sizes = np.bincount(rows, minlength=len(block))
-                digest = np.zeros((len(block), 2), dtype=np.uint64)
-                np.add.at(digest[:, 0], rows, mix(hashes))
-                np.add.at(digest[:, 1], rows, mix(hashes + np.uint64(1 << 60)))
-                keys = [d.tobytes() for d in digest]
+                digests = np.zeros((len(block), 2), dtype=np.uint64)
+                np.add.at(digests[:, 0], rows, mix(hashes))
+                np.add.at(digests[:, 1], rows, mix(hashes + np.uint64(1 << 60)))
+                keys, ids = [d.tobytes() for d in digests], batch.column(0).slice(block.first, len(block))
+                if not ngrams:
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.binary())], names=["id", "n", "key"]
+                    )
+                    continue
                 fresh = np.zeros(len(block), dtype=bool)
-                named = batch.column(0).slice(block.first, len(block)).is_valid().to_numpy(zero_copy_only=False)
                 for i, key in enumerate(keys):
-                    if sizes[i] and named[i] and key not in seen:
+                    if key not in seen:
                         seen.add(key)
                         fresh[i] = True
-                part_rows, parts = _parts(rows, hashes, np.where(fresh, sizes, 0), classes)
-                order = np.argsort(part_rows, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(part_rows, minlength=len(block)))])
+                use = fresh[rows]
+                rows, hashes = rows[use], hashes[use]
+                columns = [digests[rows, 0].view(np.int64), sizes[rows], hashes.view(np.int64)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(block.first, len(block)),
-                        pa.array(sizes, type=pa.int64()),
-                        pa.array(keys, type=pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(parts[order].view(np.int64))),
-                    ],
-                    names=["id", "n", "key", "parts"],
+                    [ids.take(pa.array(rows)), *map(pa.array, columns)], names=["id", "digest", "size", "gram"]
                 )
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
-
-
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A table of bits, sized by the number of (id) rows up to MARK_BITS, with those of the rows' hashes set."""
-    bits = 1 << (min(MARK_BITS, max(1 << 16, MARK_EACH * ids.count())) - 1).bit_length()
-    bit = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit"))
-    words = bit.selectExpr("shiftright(bit, 6) word", "shiftleft(1L, cast(bit & 63 as int)) mark")
-    found = words.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow()
-    marks = np.zeros(bits >> 6, dtype=np.uint64)
-    marks[found["word"].to_numpy()] = found["marks"].to_numpy().view(np.uint64)
-    return marks
-
-
-def _candidate_ngrams(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """(id, digest, size, gram): the sets of the rows with one of the (id) ids, and maybe of a few others.
-
-    Other rows are sorted out by a table of hashed ids before their text is looked
-    at, so texts are not shuffled; the few that slip through find no partner.
-    """
-    kind = docs.schema[id_column].dataType.simpleString()
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
-    bits = len(marks.value) * 64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-            wanted = (marks.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
-            batch = pc.filter(batch, pa.array(wanted.astype(bool)))
-            for block in blocks(batch.column(1), fold=True):
-                rows, hashes = ngram_sets(block, n)
-                sizes = np.bincount(rows, minlength=len(block))
-                digests = np.zeros(len(block), dtype=np.uint64)
-                np.add.at(digests, rows, mix(hashes))
-                found = batch.column(0).take(pa.array(block.first + rows))
-                columns = [digests[rows].view(np.int64), sizes[rows], hashes.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([found, *map(pa.array, columns)], names=["id", "digest", "size", "gram"])
-
-    bit = F.pmod(F.xxhash64(id_column), F.lit(bits))
-    rows = docs.where(F.col(id_column).isNotNull()).select(id_column, text_column, bit)
-    return rows.mapInArrow(run, f"id {kind}, digest bigint, size bigint, gram bigint")
+    if ngrams:
+        docs = docs.where(F.col(id_column).isNotNull())
+        return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, digest bigint, size bigint, gram bigint")
+    return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, n bigint, key binary")
 
 
 def _ordered_sets(ngrams: DataFrame, percent: int) -> DataFrame:
     """(id, size, path): sets of which enough n-grams are in other sets too; these, in the global order."""
     held = ngrams.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
+    held = written(held, "held")
     rank = F.shiftleft(F.lit(_MOST_HELD) - F.least("held", F.lit(_MOST_HELD)), int(_HASH_BITS)).bitwiseOR(F.col("gram"))
     known = ngrams.join(held, "gram").select("id", "digest", "size", rank.alias("rank"))
     sets = known.groupBy("id", "digest", "size").agg(F.sort_array(F.collect_list("rank")).alias("path"))
-    return sets.where(100 * F.size("path") >= percent * F.col("size")).select("id", "size", "path")
+    sets = written(sets.where(100 * F.size("path") >= percent * F.col("size")).select("id", "size", "path"), "sets")
+    discard(held)
+    return sets
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -351,17 +274,6 @@ def _block_links(rows: DataFrame, keys: list[str], percent: int, grouped: bool)
     return dealt.mapInPandas(run, f"a {kind}, b {kind}")
 
 
-def _shared_parts(signatures: DataFrame) -> DataFrame:
-    """(part, id) of the parts that more than one id has."""
-    parts = signatures.where("parts is not null and id is not null").select("id", F.explode_outer("parts").alias("part"))
-    parts = parts.where("part is not null")
-    some = parts.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).groupBy("part").count()
-    hot = some.where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "part").limit(HOT_LIST).collect()
-    is_hot = F.col("part").isin([r.part for r in hot]) if hot else F.lit(False)
-    others = parts.where(~is_hot).selectExpr("*", "min(id) OVER (PARTITION BY part) lo", "max(id) OVER (PARTITION BY part) hi")
-    return others.where("lo <> hi").select("part", "id").unionByName(parts.where(is_hot).select("part", "id"))
-
-
 def _joined_parts(parts: DataFrame) -> DataFrame:
     """(lead, rep): each set with the smallest one that has the same part; these join all that share it."""
     leaders = parts.groupBy("part").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
@@ -416,21 +328,15 @@ def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = NGRAM, percent: int = PERCENT
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    rows = written(_signatures(docs, id_column, text_column, n, percent), "signatures")
+    rows = written(_sets(docs, id_column, text_column, n, ngrams=False), "set-digests")
     classes = rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("size"))
     classes = written(classes, "classes")
     members = rows.where("n > 0 and id is not null").select("id", "key").join(classes, "key").select("id", "rep", "size")
     members = written(members, "members")
 
-    shared = _shared_parts(rows.select("id", "parts")).join(members.select("id", "rep").distinct(), "id")
-    parts = written(shared.select("part", "rep").distinct(), "parts")
-    rows, wide = written(rows.select("id", "n", "key"), "set-digests"), rows
-    discard(wide)
-    candidates = written(_joined_parts(parts).select(F.explode(F.array("lead", "rep")).alias("id")).distinct(), "candidates")
-    discard(parts)
-    ngrams = written(_candidate_ngrams(docs, candidates, id_column, text_column, n), "ngrams")
-    sets = written(_ordered_sets(ngrams, percent), "sets")
-    discard(ngrams, candidates)
+    ordered = _ordered_sets(_sets(docs, id_column, text_column, n, ngrams=True), percent)
+    sets = written(ordered.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "class-sets")
+    discard(ordered)
 
     # sets that share prefix n-grams, directly or over others, are a cluster
     prefixes = written(_prefixes(sets, percent), "prefixes")

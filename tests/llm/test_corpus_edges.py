@@ -264,13 +264,11 @@ def test_jaccard_finds_every_link_of_near_groups(spark):
     assert got == brute.components(texts)
 
 
-def test_jaccard_blocks_and_hot_parts_change_nothing(spark, monkeypatch):
-    """Tiny blocks, every part hot: other ways to the same result."""
+def test_jaccard_blocks_change_nothing(spark, monkeypatch):
+    """Tiny blocks: another way to the same result."""
     texts = {i: " ".join(f"t{j if j != 10 + i % 40 else j * 1000 + i}" for j in range(60)) for i in range(90)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     monkeypatch.setattr(jaccard_join, "BLOCK_NGRAMS", 300)
-    monkeypatch.setattr(jaccard_join, "HOT_SAMPLE", 1)
-    monkeypatch.setattr(jaccard_join, "HOT_COUNT", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
     assert got == brute.components(texts)
 
