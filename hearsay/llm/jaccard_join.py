@@ -90,8 +90,8 @@ class SizeClasses:
 
 
 def _sets(docs: DataFrame, id_column: str, text_column: str, n: int, ngrams: bool) -> DataFrame:
-    """(id, n, key): each row's set size and digest, or with ``ngrams`` (id, digest, size, gram) of the first
-    of equal sets in each task, among rows with an id."""
+    """(id, n, key, digest): each row's set size and digest, also as a number, or with ``ngrams`` (digest, size,
+    gram) of the first of equal sets in each task, among rows with an id."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +105,8 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, n: int, ngrams: boo
                 np.add.at(digests[:, 1], rows, mix(hashes + np.uint64(1 << 60)))
                 keys, ids = [d.tobytes() for d in digests], batch.column(0).slice(block.first, len(block))
                 if not ngrams:
-                    yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.binary())], names=["id", "n", "key"]
-                    )
+                    columns = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests[:, 0].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "digest"])
                     continue
                 fresh = np.zeros(len(block), dtype=bool)
                 for i, key in enumerate(keys):
@@ -116,25 +115,27 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, n: int, ngrams: boo
                         fresh[i] = True
                 use = fresh[rows]
                 rows, hashes = rows[use], hashes[use]
-                columns = [digests[rows, 0].view(np.int64), sizes[rows], hashes.view(np.int64)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), *map(pa.array, columns)], names=["id", "digest", "size", "gram"]
-                )
+                columns = [digests[rows, 0].view(np.int64), sizes[rows].astype(np.int32), hashes.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["digest", "size", "gram"])
 
     if ngrams:
         docs = docs.where(F.col(id_column).isNotNull())
-        return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, digest bigint, size bigint, gram bigint")
-    return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, n bigint, key binary")
+        return docs.select(id_column, text_column).mapInArrow(run, "digest bigint, size int, gram bigint")
+    return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, n bigint, key binary, digest bigint")
 
 
 def _ordered_sets(ngrams: DataFrame, percent: int) -> DataFrame:
-    """(id, size, path): sets of which enough n-grams are in other sets too; these, in the global order."""
+    """(digest, size, path): sets of which enough n-grams are in other sets too; these, in the global order.
+
+    An n-gram travels with its set's digest and size alone, which its neighbours have too.
+    """
     held = ngrams.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
     held = written(held, "held")
     rank = F.shiftleft(F.lit(_MOST_HELD) - F.least("held", F.lit(_MOST_HELD)), int(_HASH_BITS)).bitwiseOR(F.col("gram"))
-    known = ngrams.join(held, "gram").select("id", "digest", "size", rank.alias("rank"))
-    sets = known.groupBy("id", "digest", "size").agg(F.sort_array(F.collect_list("rank")).alias("path"))
-    sets = written(sets.where(100 * F.size("path") >= percent * F.col("size")).select("id", "size", "path"), "sets")
+    known = ngrams.join(held, "gram").select("digest", "size", rank.alias("rank"))
+    # equal sets of several tasks come together here
+    sets = known.groupBy("digest", "size").agg(F.sort_array(F.collect_set("rank")).alias("path"))
+    sets = written(sets.where(100 * F.size("path") >= percent * F.col("size")), "sets")
     discard(held)
     return sets
 
@@ -329,13 +330,16 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     rows = written(_sets(docs, id_column, text_column, n, ngrams=False), "set-digests")
-    classes = rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("size"))
+    classes = rows.where("n > 0 and id is not null").groupBy("key").agg(
+        F.min("id").alias("rep"), F.max("n").alias("size"), F.max("digest").alias("digest")
+    )
     classes = written(classes, "classes")
     members = rows.where("n > 0 and id is not null").select("id", "key").join(classes, "key").select("id", "rep", "size")
     members = written(members, "members")
 
     ordered = _ordered_sets(_sets(docs, id_column, text_column, n, ngrams=True), percent)
-    sets = written(ordered.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "class-sets")
+    named = ordered.join(classes.select(F.col("rep").alias("id"), "digest", "size"), ["digest", "size"])
+    sets = written(named.select("id", F.col("size").cast("long").alias("size"), "path"), "class-sets")
     discard(ordered)
 
     # sets that share prefix n-grams, directly or over others, are a cluster
