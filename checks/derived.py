@@ -212,6 +212,12 @@ TIME_FORMS = (
     ("EEE MMM dd HH:mm:ss '+0000' yyyy", "second"),
     ("yyyy-MM-dd'T'HH:mm:ss'Z'", "second"),
     ("dd MMM yyyy HH:mm", "minute"),
+    ("yyyyMMdd'T'HHmmss", "second"),
+    ("yyyyMMddHHmmss", "second"),
+    ("MMM yyyy", "month"),
+    ("M/yyyy", "month"),
+    ("d MMMM yyyy 'at' H:mm", "minute"),
+    ("MMMM d'th', yyyy h a", "hour"),
 )
 
 #: Headers of three exports of the same posts; what a set leaves out is missing in its files.

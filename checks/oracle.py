@@ -376,6 +376,9 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS te
 WHERE length(term) BETWEEN 2 AND 15 AND NOT starts_with(term, '_') GROUP BY doc_id, term""",
     "topic_model_fit": """SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, true AS in_range, true AS falling,
   true AS known FROM range(0, 3) AS a(t), range(1, 11) AS b(r)""",
+    "topic_of_posts": f"""SELECT DISTINCT doc_id, 3 AS topics, true AS adds_up, true AS positive, true AS same
+FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS term FROM documents)
+WHERE length(term) BETWEEN 2 AND 15 AND NOT starts_with(term, '_')""",
     "place_counts": _posts("SELECT * FROM place_count", _PLACES),
     "place_counts_parity": _posts(
         "SELECT * FROM place_count WHERE name IS NOT NULL AND state IS NOT NULL AND country IS NOT NULL", _PLACES
@@ -400,6 +403,13 @@ GROUP BY country, r_regionkey, r_name"""
     "stored_posts": _store(
         """SELECT import_id, post_id, cleaned_text, created_at, sentiment, platform,
   array_to_string(tags, '|') AS hashtags FROM stored WHERE lower(topic) = '#click'"""
+    ),
+    "stored_search": _store(
+        """SELECT import_id, post_id, created_at, platform FROM stored WHERE lower(topic) = '#click'
+  AND contains(lower(text), 'words') AND list_contains(tags, 'k3')
+  AND created_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'
+UNION ALL SELECT import_id, post_id, created_at, platform FROM stored WHERE lower(topic) = '#click'
+  AND platform = 'Bluesky' AND created_at >= TIMESTAMP '2024-01-28 00:00:00'"""
     ),
     "stored_posts_latest": _store(
         """SELECT import_id, post_id, sentiment FROM stored WHERE topic = 'victory'

@@ -16,7 +16,7 @@ from hearsay.functions import places as place_functions
 from hearsay.functions import values as value_functions
 from hearsay.operators import crisis, distributions, geography, language, rankings
 from hearsay.operators.ingest import filter_topic, normalise
-from hearsay.operators import search
+from hearsay.operators import search, topics
 from hearsay.operators.sentiment import add_polarity, classify, join_polarity
 from hearsay.plans.imports import import_csv, prepare
 from hearsay.schema import FEED_SCHEMA, HEADER_ALIASES
@@ -372,19 +372,44 @@ def topic_model_input(spark, sf_dir):
     return language.topic_input(language.topic_tokens(docs, "text", "doc_id"), "doc_id")
 
 
+_models: dict[tuple[str, str], language.TopicModel] = {}
+
+
 def _topics(spark, sf_dir):
+    """The model of the documents, fitted once per session and folder, and their tokens."""
     docs = derived.table(spark, sf_dir, "documents")
     tokens = language.topic_tokens(docs, "text", "doc_id")
-    return language.describe_topics(language.topic_model(tokens, iterations=10, key="doc_id")), tokens
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        _models[key] = language.topic_model(tokens, iterations=10, key="doc_id")
+    return _models[key], tokens
 
 
 def topic_model(spark, sf_dir):
-    return _topics(spark, sf_dir)[0]
+    return language.describe_topics(_topics(spark, sf_dir)[0])
+
+
+def topic_of_posts(spark, sf_dir):
+    """Each document's topics by the stored model: shares add up to 1, and are the same when it is read again."""
+    model, tokens = _topics(spark, sf_dir)
+    counts, path = topics.TopicCounts.of(model), fresh_folder(spark, "topics")
+    counts.save(path)
+    found = topics.topic_mixture(tokens, counts, "doc_id")
+    again = topics.topic_mixture(tokens, topics.TopicCounts.load(spark, path), "doc_id")
+    total = F.aggregate("mixture", F.lit(0.0), lambda a, x: a + x)
+    return found.join(again.withColumnRenamed("mixture", "again"), "doc_id").select(
+        "doc_id",
+        F.size("mixture").alias("topics"),
+        (F.abs(total - 1) < 1e-9).alias("adds_up"),
+        F.forall("mixture", lambda x: x > 0).alias("positive"),
+        (F.col("mixture") == F.col("again")).alias("same"),
+    )
 
 
 def topic_model_fit(spark, sf_dir):
     """Each topic's heaviest terms are terms of the documents, with falling weights between 0 and 1."""
-    described, tokens = _topics(spark, sf_dir)
+    model, tokens = _topics(spark, sf_dir)
+    described = language.describe_topics(model)
     terms = tokens.select(F.explode("tokens").alias("term")).distinct().withColumn("known", F.lit(True))
     before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
     checked = described.withColumn("falling", F.coalesce(F.col("weight") <= before, F.lit(True)))
@@ -472,6 +497,16 @@ def stored_posts(spark, sf_dir):
     )
 
 
+def stored_search(spark, sf_dir):
+    """Stored posts of a topic by keyword, tag and time, by platform, and by a tag that no post has."""
+    store = example_store(spark, sf_dir)
+    found = store.search("#click", "words", "k3", "2024-01-05 00:00:00", "2024-01-20 12:00:00")
+    others = store.search("#click", platform="Bluesky", start="2024-01-28 00:00:00")
+    none = store.search("#click", hashtag="never used")
+    found = found.unionByName(others).unionByName(none)
+    return found.select("import_id", "post_id", "created_at", "platform")
+
+
 def stored_posts_latest(spark, sf_dir):
     rows = example_store(spark, sf_dir).topic_posts("victory", latest=True, exact=True)
     return rows.select("import_id", "post_id", "sentiment")
@@ -745,6 +780,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         topic_model_input,
         topic_model,
         topic_model_fit,
+        topic_of_posts,
         place_counts,
         place_counts_parity,
         standard_countries,
@@ -756,6 +792,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         platform_by_country,
         sentiment_by_country,
         stored_posts,
+        stored_search,
         stored_posts_latest,
         stored_hashtags,
         stored_hashtags_parity,

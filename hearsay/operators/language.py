@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -73,9 +73,11 @@ def _grams(
 ) -> tuple[DataFrame, DataFrame]:
     """Token sequences of the texts that may be gazetteer entries, and the normalised gazetteer.
 
-    Sequences are only built where an entry's first token stands, and only in the
-    lengths of the entries that begin with it. The first tokens of a gazetteer
-    that passes the size check are literals; those of a larger one are joined.
+    The entries of a gazetteer that passes the size check are literals: digests
+    of all their beginnings, in one set for each length. From each place of a
+    text the digest is extended token by token while it is a known beginning, so
+    a step is one hash probe and only whole entries become strings. The first
+    tokens of a larger gazetteer are joined.
     """
     known = gazetteer.select(F.array_join(entity_tokens(F.col("ngram")), " ").alias("ngram"), "entity", "type")
     known = known.filter(F.col("ngram") != "").distinct()
@@ -86,23 +88,43 @@ def _grams(
     if rows is None:
         return _joined_grams(tokens, known, *keep), known
     known = posts.sparkSession.createDataFrame(rows, known.schema)
-    lengths: dict[str, set[int]] = {}
-    for r in rows:
-        entry = r.ngram.split(" ")
-        lengths.setdefault(entry[0], set()).add(len(entry))
-    if not lengths:
+    begins, whole = _beginnings(known)
+    if not begins:
         return tokens.select(*keep, F.lit("").alias("ngram")).limit(0), known
-    pairs = [x for t in sorted(lengths) for x in (F.lit(t), F.array(*map(F.lit, sorted(lengths[t]))))]
-    by_first = F.create_map(*pairs)
-    at = F.filter(
-        F.sequence(F.lit(0), F.size("_tokens") - 1), lambda p: F.get("_tokens", p).isin(sorted(lengths))
-    )
-    starts = F.transform(
-        at, lambda p: F.struct(p.alias("p"), F.element_at(by_first, F.get("_tokens", p)).alias("lengths"))
-    )
-    placed = tokens.select(*keep, "_tokens", starts.alias("_starts"))
-    grams = placed.select(*keep, F.explode(slices(F.col("_tokens"), F.col("_starts"))).alias("ngram"))
-    return grams.filter(F.col("ngram").isin(sorted({r.ngram for r in rows}))), known
+    places = F.transform("_tokens", lambda t, i: F.struct(i.alias("p"), _extended(F.lit(0), t).alias("h")))
+    frame = tokens.withColumn("_open", F.filter(places, lambda c: c["h"].isin(begins[0])))
+    ended = []
+    for n in range(1, len(begins) + 1):
+        if n > 1:
+            # a place whose text ends here has a null digest, which no set holds
+            further = F.transform("_open", lambda c: F.struct(c["p"].alias("p"), _extended(c["h"], F.get("_tokens", c["p"] + n - 1)).alias("h")))
+            frame = frame.withColumn("_open", F.filter(further, lambda c: c["h"].isin(begins[n - 1])))
+        if whole[n - 1]:
+            entry = lambda c: F.array_join(F.slice("_tokens", c["p"] + 1, n), " ")
+            frame = frame.withColumn(f"_of{n}", F.transform(F.filter("_open", lambda c: c["h"].isin(whole[n - 1])), entry))
+            ended.append(f"_of{n}")
+    grams = frame.select(*keep, F.explode(F.concat(*ended)).alias("ngram"))
+    return grams, known
+
+
+def _extended(digest: Column, token: Column) -> Column:
+    """Digest of a sequence of tokens, given that of all but the last; null without a token."""
+    return F.when(token.isNotNull(), F.xxhash64(digest.cast("bigint"), token))
+
+
+def _beginnings(known: DataFrame) -> tuple[list[list[int]], list[list[int]]]:
+    """For each length, the digests of the entries' beginnings of that many tokens, and of whole entries; a bounded list."""
+    entry = F.split("ngram", " ")
+    digest = lambda n: F.aggregate(F.slice(entry, 1, n), F.lit(0).cast("bigint"), lambda h, t: F.xxhash64(h, t))
+    each = F.explode(F.sequence(F.lit(1), F.size(entry))).alias("n")
+    rows = known.select("ngram", each).select("n", (F.col("n") == F.size(entry)).alias("all"), digest(F.col("n")).alias("h")).distinct().collect()
+    longest = max((r.n for r in rows), default=0)
+    begins, whole = ([[] for _ in range(longest)] for _ in range(2))
+    for r in rows:
+        begins[r.n - 1].append(r.h)
+        if r["all"]:
+            whole[r.n - 1].append(r.h)
+    return begins, whole
 
 
 def _joined_grams(tokens: DataFrame, known: DataFrame, *keep: str) -> DataFrame:

@@ -22,8 +22,9 @@ def classify(
     """Add the sentiment class: keywords first, then the lexicon's mean polarity.
 
     Texts decided by a keyword are never tokenised. A lexicon of more than
-    ``literal_rows`` is joined by the texts' digests; a stream can't do that
-    itself, so there the sink classifies each micro-batch (``sinks.imports_to``).
+    ``literal_rows`` is joined by the texts' digests, for the undecided rows only:
+    all others cross no shuffle. A stream can't do that itself, so there the
+    sink classifies each micro-batch (``sinks.imports_to``).
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     known = {} if lexicon is None else small_lexicon(lexicon, literal_rows)
@@ -31,13 +32,11 @@ def classify(
         return df.withColumn(output, s.sentiment_class(text, known, match))
     if df.isStreaming:
         raise ValueError("classify the micro-batches of a stream by so large a lexicon: sinks.imports_to(lexicon=...)")
-    decided = df.withColumn("_class", let(F.lower(text), lambda t: s.keyword_class(t, match)))
-    decided = decided.withColumn("_undecided", F.when(F.col("_class").isNull(), text))
-    return (
-        join_polarity(decided, lexicon, "_undecided", "_polarity")
-        .withColumn(output, F.coalesce(F.col("_class"), s.polarity_class(F.col("_polarity"))))
-        .drop("_class", "_undecided", "_polarity")
-    )
+    asked = df.withColumn("_class", let(F.lower(text), lambda t: s.keyword_class(t, match)))
+    decided = asked.filter(F.col("_class").isNotNull()).withColumn(output, F.col("_class"))
+    rest = join_polarity(asked.filter(F.col("_class").isNull()).withColumn("_text", text), lexicon, "_text", "_polarity")
+    rest = rest.withColumn(output, s.polarity_class(F.col("_polarity"))).drop("_polarity", "_text")
+    return decided.unionByName(rest).drop("_class")
 
 
 def small_lexicon(lexicon: DataFrame, literal_rows: int = MAX_LITERAL_ROWS) -> dict[str, float] | None:
@@ -69,10 +68,11 @@ def join_polarity(df: DataFrame, lexicon: DataFrame, text_column: str, output: s
 
     Each distinct text is known by its digest. Its tokens meet the lexicon
     before they are grouped, so that only hits are counted; the sums come back
-    by the digest. A text that many rows share is looked up once.
+    by the digest. A text that many rows share is looked up once. Rows without a
+    text stay out of the join.
     """
-    texts = df.select(F.md5(text_column).alias("_digest"), F.col(text_column).alias("_text"))
-    texts = texts.filter(F.col("_text").isNotNull()).distinct()
+    with_text, without = df.filter(F.col(text_column).isNotNull()), df.filter(F.col(text_column).isNull())
+    texts = with_text.select(F.md5(text_column).alias("_digest"), F.col(text_column).alias("_words")).distinct()
     units = F.round(F.col("polarity") * s.SCALE).cast("bigint")
     known = (
         lexicon.filter(F.col("word").isNotNull() & F.col("polarity").isNotNull())
@@ -80,14 +80,15 @@ def join_polarity(df: DataFrame, lexicon: DataFrame, text_column: str, output: s
         .agg(F.max(units).alias("units"))
     )
     sums = (
-        texts.select("_digest", F.explode_outer(words(F.col("_text"))).alias("word"))
+        texts.select("_digest", F.explode_outer(words(F.col("_words"))).alias("word"))
         .join(known, "word")
         .groupBy("_digest")
         .agg(F.sum("units").alias("_units"), F.count("*").alias("_hits"))
     )
-    return (
-        df.withColumn("_digest", F.md5(text_column))
+    found = (
+        with_text.withColumn("_digest", F.md5(text_column))
         .join(sums, "_digest", "left")
         .withColumn(output, s.mean_polarity(F.col("_units"), F.col("_hits")))
         .drop("_digest", "_units", "_hits")
     )
+    return found.unionByName(without.withColumn(output, F.lit(None).cast("double")))

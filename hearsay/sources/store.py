@@ -23,23 +23,28 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearsay.operators.distributions import sentiment_metrics, with_share
 from hearsay.operators.rankings import hashtag_counts, top
+from hearsay.operators.search import posts_search
 from hearsay.schema import IMPORT_SCHEMA, POST_SCHEMA
 from hearsay.sources.files import remove
 from hearsay.sources.log import Log, read
+from hearsay.sources.lookups import small_rows
 
 PARTITIONS = ("topic_hash", "import_id", "attempt")
 _KEYS = [T.StructField(name, T.StringType()) for name in PARTITIONS]
 _HASHTAGS = [T.StructField("hashtag", T.StringType()), T.StructField("count", T.LongType())]
 _SENTIMENTS = [T.StructField("sentiment", T.StringType()), T.StructField("count", T.LongType())]
 
+#: The second of a post's time as a number: Spark compares times without zone only after reading them.
+_SECOND = "created_second"
+
 TABLES = {
-    "posts": T.StructType(POST_SCHEMA.fields + _KEYS),
+    "posts": T.StructType([*POST_SCHEMA.fields, T.StructField(_SECOND, T.LongType()), *_KEYS]),
     "hashtag_counts": T.StructType(_HASHTAGS + _KEYS),
     "sentiment_counts": T.StructType(_SENTIMENTS + _KEYS),
 }
@@ -47,6 +52,14 @@ REGISTRY = T.StructType(
     [*IMPORT_SCHEMA.fields, *(T.StructField(c, T.StringType()) for c in ("topic_hash", "attempt"))]
 )
 
+#: Each task sorts its posts by time, so row groups and pages of its file have narrow ranges of time; platforms and
+#: ids are also kept as bloom filters. A read by any of them leaves out what can't match.
+_SKIPPING = {
+    "parquet.bloom.filter.enabled#platform": "true",
+    "parquet.bloom.filter.enabled#post_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+
 #: One log for each first digit of a topic's digest.
 BUCKETS = "0123456789abcdef"
 
@@ -100,8 +113,8 @@ class PostStore:
 
         The import joins the latest search of the topic, ignoring case; with
         ``recent`` only one of exactly that topic that began within that time.
-        All rows go to one folder, each task writing its own file there, so the
-        write needs no shuffle however large the topic is. Repeating an import
+        All rows go to one folder, each task writing its own file there, sorted by
+        time, so the write needs no shuffle however large the topic is. Repeating an import
         id replaces all it stored; repeated without posts, it is gone.
         """
         import_id = import_id or uuid.uuid4().hex
@@ -109,7 +122,8 @@ class PostStore:
             raise ValueError(f"an import id is made of letters, digits, '.', '_' and '-': {import_id!r}")
         attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # sorts by time
         place = lambda name: self._path(name, topic, import_id, attempt)
-        posts.select(*POST_SCHEMA.fieldNames()).write.parquet(place("posts"))
+        rows = posts.select(*POST_SCHEMA.fieldNames(), _second(F.col("created_at")).alias(_SECOND)).sortWithinPartitions(_SECOND)
+        rows.write.options(**_SKIPPING).parquet(place("posts"))
 
         # Counts come from the written files: enriching again would double the
         # work, and the files survive the loss of any executor.
@@ -213,19 +227,55 @@ class PostStore:
         found = self.imports_with_attempts(topic)
         return found.filter(F.col("topic") == topic) if exact else found
 
-    def _of_topic(self, name: str, topic: str, latest: bool, exact: bool) -> DataFrame:
-        """Rows of the topic's imports that are complete."""
+    def _of_topic(self, name: str, topic: str, latest: bool, exact: bool, only: DataFrame | None = None) -> DataFrame:
+        """Rows of the topic's imports that are complete; with ``only``, of those whose import_id it holds."""
         found = self.imports_with_attempts(topic)  # one state of the registry for all that follows
         imports = found.filter(F.col("topic") == topic) if exact else found
         if latest:
             search_id = self.find_search(topic, exact, imports=found)
             imports = imports.filter(F.col("search_id") == (search_id or ""))
         rows = self._read(name, topic).drop("topic_hash")
+        if only is not None:
+            few = small_rows(only)
+            if few is None:
+                imports = imports.join(only, "import_id", "left_semi")
+            else:  # literals choose the folders before any is listed
+                rows = rows.filter(F.col("import_id").isin([r.import_id for r in few]))
         return rows.join(imports.select("import_id", "attempt", "imported_at"), ["import_id", "attempt"]).drop("attempt")
 
     def topic_posts(self, topic: str, latest: bool = False, exact: bool = False) -> DataFrame:
         """Posts of a topic: of all its imports, or of the latest search only."""
-        return self._of_topic("posts", topic, latest, exact).drop("imported_at")
+        return self._of_topic("posts", topic, latest, exact).drop("imported_at", _SECOND)
+
+    def search(
+        self,
+        topic: str,
+        keyword: str | None = None,
+        hashtag: str | None = None,
+        start=None,
+        end=None,
+        platform: str | None = None,
+        literal: bool = False,
+        latest: bool = False,
+        exact: bool = False,
+    ) -> DataFrame:
+        """Stored posts of a topic that meet every given condition.
+
+        The counts of a tag are its index: imports that never used it are not
+        opened. Times and platforms leave out row groups of the files.
+        """
+        tagged = None
+        if hashtag is not None:
+            tagged = self._of_topic("hashtag_counts", topic, latest, exact).filter(F.col("hashtag") == hashtag)
+            tagged = tagged.select("import_id").distinct()
+        posts = self._of_topic("posts", topic, latest, exact, only=tagged).drop("imported_at")
+        for bound, fits in ((start, Column.__ge__), (end, Column.__le__)):
+            if bound is not None:
+                posts = posts.filter(fits(F.col(_SECOND), _second(F.lit(str(bound)).cast("timestamp_ntz"))))
+        posts = posts.drop(_SECOND)
+        if platform is not None:
+            posts = posts.filter(F.col("platform") == platform)
+        return posts_search(posts, keyword, hashtag, start, end, literal)
 
     def topic_hashtags(
         self, topic: str, k: int = 10, parity: bool = False, latest: bool = False, exact: bool = False
@@ -251,6 +301,10 @@ class PostStore:
         return sentiment_metrics(self._of_topic("sentiment_counts", topic, latest, exact))
 
 
+def _second(time: Column) -> Column:
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), time)
+
+
 def _of(rows: DataFrame, topic: str) -> DataFrame:
     return rows.filter(F.col("topic_hash") == _hash(topic))
 

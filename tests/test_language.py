@@ -115,3 +115,75 @@ def test_one_job_per_lookup(spark):
     assert len(tracker.getJobIdsForGroup("lookup")) <= 4
     assert small_rows(spark.createDataFrame([("a" * 2000,)], "word string")) is None
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def topic_words(spark, rows):
+    return spark.createDataFrame([(f"p{i}", words) for i, words in enumerate(rows)], "post_id string, tokens array<string>")
+
+
+def plain_mixture(counts, weights, concentration):
+    k = len(weights[0])
+    mixture = [1 / k] * k
+    for _ in range(2000):
+        new = [concentration - 1] * k
+        for n, w in zip(counts, weights):
+            total = sum(a * b for a, b in zip(w, mixture))
+            for t in range(k):
+                new[t] += n * w[t] * mixture[t] / total
+        mixture = [x / sum(new) for x in new]
+    return mixture
+
+
+def test_topics_of_texts_by_a_stored_model(spark, tmp_path):
+    from hearsay.operators import topics
+
+    fruit, tools = ["apple", "pear", "plum"], ["hammer", "saw", "drill"]
+    tokens = topic_words(spark, [fruit * 20 if i % 2 else tools * 20 for i in range(40)])
+    counts = topics.TopicCounts.of(l.topic_model(tokens, topics=2, iterations=60))
+    total = sum(sum(r.counts) for r in counts.terms.collect())
+    assert abs(total - 40 * 60) < 1e-6 and abs(sum(counts.totals) - total) < 1e-6
+    counts.save(str(tmp_path / "model"))
+    again = topics.TopicCounts.load(spark, str(tmp_path / "model"))
+    texts = topic_words(spark, [fruit * 300, tools * 300, fruit * 50 + tools * 50, ["unknown"], fruit[:1]])
+    got = {r.post_id: r.mixture for r in topics.topic_mixture(texts, again).collect()}
+    assert got == {r.post_id: r.mixture for r in topics.topic_mixture(texts, counts).collect()}
+    assert all(abs(sum(m) - 1) < 1e-9 for m in got.values()) and got["p3"] == [0.5, 0.5]
+    # the prior counts as much as 24 words of each topic
+    main = got["p0"].index(max(got["p0"]))
+    assert max(got["p0"]) > 0.9 and got["p1"].index(max(got["p1"])) == 1 - main
+    weights = {r.term: r.weights for r in again.weights().collect()}
+    want = plain_mixture([50] * 6, [weights[t] for t in fruit + tools], again.mixture)
+    assert all(abs(a - b) < 1e-6 for a, b in zip(got["p2"], want))
+
+
+def test_training_goes_on_with_new_texts(spark):
+    from hearsay.operators import topics
+
+    fruit, tools = ["apple", "pear", "plum"], ["hammer", "saw", "drill"]
+    tokens = topic_words(spark, [fruit * 20 if i % 2 else tools * 20 for i in range(40)])
+    before = topics.TopicCounts.of(l.topic_model(tokens, topics=2, iterations=60))
+    new = topic_words(spark, [(fruit + ["cherry"]) * 200, (tools + ["rasp"]) * 200])
+    after = topics.continue_topics(new, before)
+    assert abs(sum(after.totals) - sum(before.totals) - 1600) < 1e-6
+    old, now = ({r.term: r.counts for r in m.terms.collect()} for m in (before, after))
+    assert set(now) == set(old) | {"cherry", "rasp"}
+    side = lambda c: c.index(max(c))
+    assert side(now["cherry"]) == side(old["apple"]) != side(old["saw"]) == side(now["rasp"])
+
+
+def test_entities_of_many_lengths_and_shared_beginnings(spark):
+    """The digests of beginnings find what a plain scan finds, whatever follows a known beginning."""
+    import random
+
+    rng, letters = random.Random(8), "a b c d"
+    entries = sorted({" ".join(rng.choices(letters.split(), k=rng.randrange(1, 7))) for _ in range(60)})
+    texts = [" ".join(rng.choices(letters.split(), k=rng.randrange(0, 25))) for _ in range(40)] + [None, ""]
+    posts = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "post_id string, cleaned_text string")
+    known = spark.createDataFrame([(e, e.upper(), "X") for e in entries], "ngram string, entity string, type string")
+    want = []
+    for i, text in enumerate(texts):
+        tokens = (text or "").split()
+        want += [(str(i), e.upper()) for a in range(len(tokens)) for e in entries if tokens[a : a + len(e.split())] == e.split()]
+    for rows in (5000, 0):
+        got = l.match_entities(posts, known, literal_rows=rows).select("post_id", "entity")
+        assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -104,3 +104,16 @@ def test_pattern_finds_exactly_the_terms(one):
             None,
         )
         assert found == expected, text
+
+
+def test_decided_rows_cross_no_exchange(spark, sf_dir):
+    """By a lexicon join, only rows without a keyword are shuffled."""
+    from checks import derived, queries
+    from hearsay.operators.sentiment import classify
+
+    df = queries.clean_text(spark, sf_dir)
+    plan = classify(df, derived.lexicon(spark), literal_rows=0)._jdf.queryExecution().executedPlan().toString()
+    union = plan[plan.index("Union") :]
+    first = union[: union.index("Join")]
+    decided = first[: first.rindex("FileScan") + 1] if first.count("FileScan") else first
+    assert "Exchange" not in decided

@@ -313,3 +313,60 @@ def test_first_import_without_positive_posts_is_passed_over(store, make_posts, s
     store.write_import(make_posts(dict(text="plain")), "t", NOW, import_id="a")
     store.write_import(make_posts(dict(text="nice"), dict(text="nice one"), lexicon=lexicon), "t", NOW + HOUR, import_id="b")
     assert positive_posts_of_first_import(store.topic_sentiment_imports("t")).first()[0] == 2
+
+
+def rows_scanned(df, table):
+    """Rows that the scans of a store table gave when ``df`` was computed."""
+    df.collect()
+
+    def leaves(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            yield from leaves(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            yield from leaves(plan.plan())
+        elif plan.children().isEmpty():
+            yield plan
+        else:
+            for i in range(plan.children().size()):
+                yield from leaves(plan.children().apply(i))
+
+    found = [p for p in leaves(df._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "FileSourceScanExec"]
+    found = [p for p in found if f"/{table}" in p.relation().location().rootPaths().mkString()]
+    return sum(p.metrics().apply("numOutputRows").value() for p in found)
+
+
+@pytest.fixture
+def many_posts(spark):
+    """Posts in no order of time, written in small row groups."""
+    conf, key = spark.sparkContext._jsc.hadoopConfiguration(), "parquet.block.size"
+    conf.set(key, "65536")
+    from hearsay.operators.ingest import enrich, normalise
+
+    raw = spark.range(20000).select(
+        F.concat(F.lit("post "), "id", F.lit(" #t"), F.col("id") % 7).alias("text"),
+        F.timestamp_seconds(1704067200 + (F.col("id") * 7919) % 20000 * 60).cast("string").alias("created_at"),
+        F.element_at(F.array(*map(F.lit, ("twitter", "reddit", "mastodon"))), (F.col("id") % 3 + 1).cast("int")).alias("platform"),
+    )
+    yield enrich(normalise(raw, NOW)).coalesce(1)
+    conf.unset(key)
+
+
+def test_searches_leave_out_row_groups(store, many_posts):
+    store.write_import(many_posts, "post", NOW)
+    found = store.search("post", start="2024-01-03 00:00:00", end="2024-01-03 06:00:00")
+    assert found.count() == 361 and 361 <= rows_scanned(found, "posts") < 4000
+    assert rows_scanned(store.search("post"), "posts") == 20000
+    assert rows_scanned(store.search("post", platform="Nowhere"), "posts") == 0
+
+
+def test_searches_by_tag_open_only_imports_that_used_it(store, many_posts):
+    store.write_import(many_posts.limit(3000), "post", NOW, import_id="a")
+    other = many_posts.withColumn("hashtags", F.array(F.lit("rare")))
+    store.write_import(other.limit(500), "post", NOW + HOUR, import_id="b")
+    rare, absent = store.search("post", hashtag="rare"), store.search("post", hashtag="absent")
+    assert rare.count() == 500 and rows_scanned(rare, "posts") == 500
+    assert absent.count() == 0 and rows_scanned(absent, "posts") == 0
+    assert store.search("post", hashtag="t1", keyword="post 1").count() == many_posts.limit(3000).filter(
+        "array_contains(hashtags, 't1') and text like '%post 1%'"
+    ).count()

@@ -1,9 +1,11 @@
 import datetime as dt
+import threading
 import time
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hearsay.functions.values import hour_floor
 from hearsay.operators.crisis import crisis
@@ -185,4 +187,58 @@ def test_updated_windows_are_merged(spark, tmp_path):
             write(batch, batch_id)
     got = {r.hour: r.n for r in sinks.latest_rows(spark, path, batch.schema, "hour").collect()}
     assert got == {0: 2, 1: 5, 2: 8, 3: 11, 4: 12, 99: 12}
-    assert len(list((tmp_path / "windows").glob("batch_id=*"))) <= 5
+    assert sinks._log(spark, path).rows().count() <= 5
+
+
+def test_readers_keep_their_version_during_merges(spark, tmp_path):
+    """A reader never fails and never sees less, while every second batch merges."""
+    path, seen, errors, done = str(tmp_path / "windows"), [], [], threading.Event()
+    schema = StructType.fromDDL("hour int, n int")
+
+    def looks():
+        try:
+            while not done.is_set():
+                seen.append(sinks.latest_rows(spark, path, schema, "hour").agg(F.sum("n")).first()[0] or 0)
+        except Exception as e:
+            errors.append(e)
+
+    reader = threading.Thread(target=looks)
+    reader.start()
+    write = sinks.batches_to(path, "hour", compact_every=2)
+    held = None
+    for batch_id in range(40):
+        write(spark.createDataFrame([(batch_id % 3, batch_id)], schema), batch_id)
+        if batch_id == 5:
+            held = sinks.latest_rows(spark, path, schema, "hour")
+    done.set()
+    reader.join()
+    assert not errors and seen == sorted(seen)
+    assert sorted(map(tuple, held.collect())) == [(0, 3), (1, 4), (2, 5)]
+    assert sorted(map(tuple, sinks.latest_rows(spark, path, schema, "hour").collect())) == [(0, 39), (1, 37), (2, 38)]
+
+
+def test_a_broken_merge_changes_nothing(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "windows"), StructType.fromDDL("hour int, n int")
+    write = sinks.batches_to(path, "hour", compact_every=4)
+    batches = [spark.createDataFrame([(i // 2, i), (9, i)], schema) for i in range(6)]
+    for i in range(4):
+        write(batches[i], i)
+    commit = sinks._commit
+    monkeypatch.setattr(sinks, "_commit", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        write(batches[4], 4)
+    monkeypatch.setattr(sinks, "_commit", commit)
+    assert sorted(map(tuple, sinks.latest_rows(spark, path, schema, "hour").collect())) == [(0, 1), (1, 3), (9, 3)]
+    for i in (4, 4, 5):  # the batch is repeated, and once more
+        write(batches[i], i)
+    assert sorted(map(tuple, sinks.latest_rows(spark, path, schema, "hour").collect())) == [(0, 1), (1, 3), (2, 5), (9, 5)]
+
+
+def test_long_replaced_folders_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "KEEP_SECONDS", -60)
+    path, schema = str(tmp_path / "windows"), StructType.fromDDL("hour int, n int")
+    write = sinks.batches_to(path, "hour", compact_every=4)
+    for i in range(13):
+        write(spark.createDataFrame([(0, i)], schema), i)
+    assert len(list((tmp_path / "windows").glob("rows-*"))) + len(list((tmp_path / "windows").glob("merged-*"))) <= 6
+    assert [tuple(r) for r in sinks.latest_rows(spark, path, schema, "hour").collect()] == [(0, 12)]

@@ -44,7 +44,20 @@ def test_times(one):
         "1/5/70": dt.datetime(1970, 1, 5),
         "2024-01-05T10:11:12+05:30": dt.datetime(2024, 1, 5, 10, 11, 12),
         "5th March 2024, 7:08 p.m.": dt.datetime(2024, 3, 5, 19, 8),
+        "20240105T101112": dt.datetime(2024, 1, 5, 10, 11, 12),
+        "20240105101112": dt.datetime(2024, 1, 5, 10, 11, 12),
+        "Jan 2024": dt.datetime(2024, 1, 1),
+        "5/2024": dt.datetime(2024, 5, 1),
+        "5 January 2024 at 10:00": dt.datetime(2024, 1, 5, 10),
+        "January 5th, 2024 3 PM": dt.datetime(2024, 1, 5, 15),
+        "10:00 5 January 2024": dt.datetime(2024, 1, 5, 10),
+        "2024-01-05 10:11:12,250": dt.datetime(2024, 1, 5, 10, 11, 12, 250000),
+        "Sept. 5, 2024": dt.datetime(2024, 9, 5),
         "13:00 PM": now,
+        "3 PM": now,
+        "January": now,
+        "5 Foo 2024": now,
+        "1/2/3/2024": now,
         "on 1/5/2024": now,
         "not a date": now,
         "31/31/2024": now,
