@@ -32,7 +32,7 @@ c AS (SELECT source, line, count(*) AS n
       FROM (SELECT source, unnest(list_distinct(lines)) AS line FROM p)
       WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*') GROUP BY source, line),
 b AS (SELECT c.source, list(line) AS bad FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
-      WHERE n >= 5 AND n > 0.1 * pages GROUP BY c.source),
+      WHERE 10 * n > pages + 20 GROUP BY c.source),
 r AS (SELECT doc_id, p.source, coalesce(len(lines), 0) AS n_lines,
              CASE WHEN bad IS NULL THEN text
                   ELSE array_to_string(list_filter(lines, lambda x: NOT list_contains(bad, x)), chr(10)) END AS text

@@ -75,7 +75,7 @@ def test_line_dedup(kept):
     want = {}
     for r in kept[1]:
         pages, lines = hosts[r.source]
-        drop = {x for x, n in lines.items() if n >= line_dedup.MIN_PAGES and n > line_dedup.RATIO * len(pages)}
+        drop = {x for x, n in lines.items() if 10 * n > len(pages) + 20}
         want[r.doc_id] = "\n".join(x for x in r.text.split("\n") if x not in drop)
     assert texts(kept[2]) == want
     assert all(r.n_chars == len(r.text) for r in kept[2])
