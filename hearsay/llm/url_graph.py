@@ -3,10 +3,13 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains.
 Pages without a rule get their host's verdict: personalised PageRank from all
 hosts with allowed pages along the links, and from all hosts with blocked pages
-against them (who links to a blocked host loses trust), both as joins and sums
-over host edges. A seed weighs as many pages as rules of its kind decide there, so
-a host can be a seed of both. A host is blocked if its distrust outweighs its
-trust by the threshold.
+against them (who links to a blocked host loses trust), as joins and sums over
+host edges. A seed weighs the share of its pages that rules of its kind decide,
+and ranks are kept on that scale: what a host gets depends on the hosts that lead
+to it, not on how many others have rules. (That is the rank in which hosts without
+links return theirs to the seeds, times a constant.) Ranks grow by what the last
+round moved, until that is below ``TOLERANCE`` for every host. A host is blocked
+if its distrust is above its trust and at least ``LEAST``.
 
 Edges are counted per host pair before any shuffle of links, so a host with a
 third of all pages is one row per task and target; ranks are one row per host.
@@ -22,11 +25,12 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.tables import written
+from hearsay.llm.tables import discard, written
 
 # --- Fixed values: rules (verdict, host, path) -----------------------------------
 RULES = (
@@ -39,9 +43,9 @@ RULES = (
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 DAMPING = 0.85
-ROUNDS = 10
-#: A host is blocked if distrust makes more than this share of its trust and distrust.
-THRESHOLD = 0.5
+TOLERANCE = 1e-3
+#: The least distrust of a blocked host: as if this share of its own pages were blocked.
+LEAST = 0.1
 
 
 def host_of(url: Column) -> Column:
@@ -71,22 +75,21 @@ def host_edges(pages: DataFrame, url_column: str = "url", html_column: str = "ht
     return links.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): PageRank with restarts at the seeds (host, weight); weights are made to sum to 1."""
-    total = seeds.agg(F.sum("weight")).first()[0] or 1.0
-    start = seeds.select("host", (F.col("weight") / total).alias("restart"))
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): each seed's weight, and what reaches a host along the edges, damped at each step."""
+    moved = seeds.select("host", F.col("weight").cast("double").alias("rank"))
     if edges.isEmpty():
-        return start.withColumnRenamed("restart", "rank")
+        return moved
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
     flow = written(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("share")), "flow")
-    rank = start.select("host", F.col("restart").alias("rank"))
-    for _ in range(rounds):
-        moved = flow.join(rank, flow.src == rank.host).select(
-            F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("rank")
-        )
-        again = start.select("host", (F.lit(1 - damping) * F.col("restart")).alias("rank"))
-        rank = written(moved.unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
-    return rank
+    rounds = [written(moved, "rank")]
+    while (rounds[-1].agg(F.max("rank")).first()[0] or 0.0) > tolerance:
+        step = flow.join(rounds[-1], flow.src == F.col("host")).groupBy("dst")
+        step = step.agg(F.sum(F.lit(damping) * F.col("rank") * F.col("share")).alias("rank"))
+        rounds.append(written(step.select(F.col("dst").alias("host"), "rank"), "rank"))
+    ranks = written(reduce(DataFrame.unionByName, rounds).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
+    discard(flow, *rounds)
+    return ranks
 
 
 def judge(
@@ -95,9 +98,8 @@ def judge(
     url_column: str = "url",
     html_column: str = "html",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    rounds: int = ROUNDS,
     damping: float = DAMPING,
-    threshold: float = THRESHOLD,
+    least: float = LEAST,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every page."""
     ruled = pages.select(
@@ -105,23 +107,23 @@ def judge(
     ).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.col("r.verdict")
     hosts = ruled.where("host <> ''").groupBy("host").agg(
-        F.count_if(verdict == "allow").alias("allowed"),
-        F.count_if(verdict == "block").alias("blocked"),
+        (F.count_if(verdict == "allow") / F.count("*")).alias("allowed"),
+        (F.count_if(verdict == "block") / F.count("*")).alias("blocked"),
     )
     hosts = written(hosts, "hosts")
     edges = written(host_edges(pages, url_column, html_column), "host-edges")
     trusted = hosts.where("allowed > 0").select("host", F.col("allowed").alias("weight"))
     banned = hosts.where("blocked > 0").select("host", F.col("blocked").alias("weight"))
-    trust = spread(edges, trusted, rounds, damping).withColumnRenamed("rank", "trust")
+    trust = spread(edges, trusted, damping).withColumnRenamed("rank", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = spread(back, banned, rounds, damping).withColumnRenamed("rank", "distrust")
+    distrust = spread(back, banned, damping).withColumnRenamed("rank", "distrust")
     ranks = trust.join(distrust, "host", "full").select(
         F.col("host").alias("_host"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
     ranks = written(ranks, "host-ranks")
-    bad = F.col("distrust") > F.lit(threshold) * (F.col("trust") + F.col("distrust"))
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)
     out = ruled.join(ranks, ruled.host == ranks._host, "left")
     by_host = F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow")
     return out.select(

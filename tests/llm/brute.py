@@ -220,3 +220,27 @@ def aligned(texts, tokens_a, tokens_b):
         in_groups = sum(len(x) * len(y) for x, y in groups)
         out.append((key, len(a), len(b), len(groups), len(pairs), best, total, sha(told) if told else "", in_groups))
     return sorted(out, key=str)
+
+
+def host_verdicts(pages, edges, damping=0.85, least=0.1):
+    """{host: (trust, distrust, verdict)} of [(host, rule verdict)] and {(src, dst): links}."""
+    counts = {}
+    for host, verdict in pages:
+        counts.setdefault(host, []).append(verdict)
+
+    def ranks(kind, links):
+        seed = {h: v.count(kind) / len(v) for h, v in counts.items()}
+        out = Counter()
+        for (src, _), n in links.items():
+            out[src] += n
+        rank = Counter(seed)
+        for _ in range(400):
+            new = Counter(seed)
+            for (src, dst), n in links.items():
+                new[dst] += damping * rank[src] * n / out[src]
+            rank = new
+        return rank
+
+    trust, distrust = ranks("allow", edges), ranks("block", {(b, a): n for (a, b), n in edges.items()})
+    bad = lambda h: distrust[h] > trust[h] and distrust[h] >= least
+    return {h: (trust[h], distrust[h], "block" if bad(h) else "allow") for h in {*counts, *trust, *distrust}}
