@@ -1,18 +1,20 @@
 """License notices in texts: an exact set-similarity join with templates.
 
-A template is a set of words. A place meets it if a block of words around that
-place holds at least ``containment`` of them. Words are ordered by their
-frequency in all documents, so a template's rarest words are its prefix: a block
-that reaches the threshold holds at least one of them (prefix filter). Documents
-meet templates only there; a block reaches as far to each side as the template
-is long, and texts too short to hold enough words are left out (positional and
-length filters). What is left is verified exactly, inside the join.
+A template is a set of words. A place meets it if a block of consecutive words
+around it, at most a quarter longer than the template, holds at least
+``containment`` of them, and also of its telling words: those that no template of
+another label has. So the one word that names a license can't be the one that
+is missing. Words are ordered by their frequency in all documents, so a template's
+rarest words are its prefix: a block that reaches the threshold holds at least
+one of them (prefix filter). Documents meet templates only there, and texts too
+short to hold enough words are left out (positional and length filters). What is
+left is verified exactly, inside the join.
 
 Base phrases go the same way, with their rarest word as prefix and equality of
 the consecutive words as the verification.
 
-Templates and phrases are parameters, at most ``MAX_ENTRIES`` of ``MAX_WORDS``
-words, which bounds the broadcast. Texts without any prefix word are sorted out
+Templates and phrases are parameters of any number and length; they are broadcast
+while they have at most ``BROADCAST_WORDS`` words. Texts without any prefix word are sorted out
 by one pattern before their words are looked at one by one.
 
 Edge cases: null and empty texts have no words and no labels. Repeated rows get
@@ -46,6 +48,7 @@ TEMPLATES = (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
         " documentation files to deal in the software without restriction",
     ),
+    ("mit", "licensed under the terms of the mit license"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
@@ -65,16 +68,13 @@ TEMPLATES = (
 )
 
 CONTAINMENT = 0.8
-MAX_ENTRIES = 1000
-MAX_WORDS = 200
+BROADCAST_WORDS = 100_000
 
 
 def _keys(docs: DataFrame, text_column: str, phrases: Sequence, templates: Sequence, containment: float) -> list[tuple]:
-    """(word, label, entry words, offset in a phrase or -1, needed words): the prefix of each entry."""
+    """(word, label, entry words, offset in a phrase or -1, needed words, telling words, longest block): the prefix of each entry."""
     entries = [(label, text.split(" "), True) for label, text in phrases]
     entries += [(label, text.split(" "), False) for label, text in templates]
-    if len(entries) > MAX_ENTRIES or any(len(words) > MAX_WORDS for _, words, _ in entries):
-        raise ValueError("too many or too long entries")
     known = sorted({w for _, words, _ in entries for w in words})
     # outer: else a filter on the array repeats the extraction of the words
     seen = docs.select(F.explode_outer(words_of(F.col(text_column))).alias("word"))
@@ -84,10 +84,13 @@ def _keys(docs: DataFrame, text_column: str, phrases: Sequence, templates: Seque
     for label, words, phrase in entries:
         order = sorted(set(words), key=lambda w: (count.get(w, 0), w))
         if phrase:
-            keys += [(order[0], label, words, words.index(order[0]), len(words))]
+            keys += [(order[0], label, words, words.index(order[0]), len(words), [], len(words))]
         else:
             need = math.ceil(containment * len(order))
-            keys += [(w, label, order, -1, need) for w in order[: len(order) - need + 1] if count.get(w)]
+            others = {w for other, its, is_phrase in entries if other != label and not is_phrase for w in its}
+            telling = sorted(set(words) - others)
+            block = len(words) + len(words) // 4
+            keys += [(w, label, order, -1, need, telling, block) for w in order[: len(order) - need + 1] if count.get(w)]
     return [k for k in keys if count.get(k[0])]
 
 
@@ -102,25 +105,33 @@ def places(
     """(id, text_hash, label, base, at, score): places of phrases (at: first word) and templates (at: a prefix word), each once."""
     keys = _keys(docs, text_column, phrases, templates, containment)
     spark = docs.sparkSession
-    table = spark.createDataFrame(keys, "key string, label string, entry array<string>, offset int, need int")
+    table = spark.createDataFrame(keys, "key string, label string, entry array<string>, offset int, need int, telling array<string>, block int")
+    if sum(len(k[2]) for k in keys) <= BROADCAST_WORDS:
+        table = F.broadcast(table)
     text = lower_ascii(F.col(text_column))
     found = "|".join(sorted({k[0] for k in keys})) or "(?!)"
-    held = docs.where(text.rlike(f"(?:{found})"))
-    rows = held.select(
+    some = docs.where(text.rlike(f"(?:{found})"))
+    rows = some.select(
         F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), words_of(F.col(text_column)).alias("words")
     )
     rows = rows.select("id", "text_hash", "words", F.posexplode_outer("words").alias("p", "word"))
     phrase = F.col("offset") >= 0
     start = F.col("p") - F.col("offset")
     here = F.slice("words", F.greatest(start + 1, F.lit(1)), F.size("entry"))
-    begin = F.greatest(F.col("p") - F.size("entry") + 1, F.lit(0))
-    around = F.slice("words", begin + 1, F.col("p") - begin + F.size("entry"))
-    overlap = F.size(F.array_intersect("entry", around))
+    # the blocks that hold this place; where all their words together are too few, none is looked at
+    begin = F.greatest(F.col("p") - F.col("block") + 1, F.lit(0))
+    around = F.slice("words", begin + 1, F.col("p") - begin + F.col("block"))
+    told = F.ceil(F.lit(containment) * F.size("telling"))
+    block = lambda s: F.slice("words", s + 1, F.col("block"))
+    held = lambda s: F.when(F.size(F.array_intersect("telling", block(s))) >= told, F.size(F.array_intersect("entry", block(s)))).otherwise(0)
+    overlap = F.when(
+        F.size(F.array_intersect("entry", around)) >= F.col("need"), F.array_max(F.transform(F.sequence(begin, F.col("p")), held))
+    ).otherwise(0)
     # all inside the join, so that only verified places become rows
     verified = (F.col("word") == F.col("key")) & (F.size("words") >= F.col("need")) & F.when(
         phrase, (start >= 0) & (here == F.col("entry"))
     ).otherwise(overlap >= F.col("need"))
-    joined = rows.join(F.broadcast(table), verified)
+    joined = rows.join(table, verified)
     score = F.when(phrase, 1.0).otherwise(overlap / F.size("entry"))
     at = F.when(phrase, start).otherwise(F.col("p"))
     found = joined.select("id", "text_hash", "label", phrase.alias("base"), at.alias("at"), score.alias("score"))

@@ -195,12 +195,44 @@ def test_url_seeds_and_links_without_scheme(spark):
     assert edges == {("links.org", "few.net", 1), ("shop.example.com", "fine.org", 2)}
 
 
+def test_url_ranks_by_brute_force(spark):
+    """Ranks and verdicts of a random graph, with cycles, and of hosts that are seeds of both kinds."""
+    import random
+
+    rng = random.Random(2)
+    hosts = [f"h{i}.{rng.choice(('org', 'org', 'com', 'net'))}" for i in range(30)]
+    pages = []
+    for i in range(300):
+        links = "".join(f"<a href='//{rng.choice(hosts)}/'>" for _ in range(rng.choice((0, 0, 1, 2))))
+        pages.append((i, f"http://{rng.choice(hosts)}/{rng.choice(('es/', 'fr/', '', 'x'))}{i}", links))
+    pages += [(1000 + i, f"http://large.net/{'es/' if i == 0 else ''}{i}", None) for i in range(501)]  # one blocked page of 501
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    edges = {(r.src, r.dst): r.links for r in url_graph.host_edges(df).collect()}
+    want = brute.host_verdicts([(brute.url(u)[0], brute.url(u)[3]) for _, u, _ in pages], edges)
+    got = {r.page_id: r for r in url_graph.judge(df).collect()}
+    for i, url, _ in pages:
+        host, _, _, verdict = brute.url(url)
+        trust, distrust, by_host = want[host]
+        assert abs(got[i].trust - trust) < 0.02 and abs(got[i].distrust - distrust) < 0.02
+        if verdict or abs(distrust - trust) > 0.02 < abs(distrust - 0.1):
+            assert got[i].verdict == (verdict or by_host)
+    assert got[1001].verdict == "allow" and len({r.verdict for r in got.values() if r.rule is None}) == 2
+    # hosts that have nothing to do with these change nothing
+    more = [(5000 + i, f"http://other{i}.net/es/", None) for i in range(400)]
+    again = url_graph.judge(df.unionByName(spark.createDataFrame(more, df.schema))).where("page_id < 5000").collect()
+    assert {r.page_id: r.verdict for r in again} == {i: r.verdict for i, r in got.items()}
+
+
 def test_line_dedup(spark, docs, empty):
     rows = [(i, f"shared line\nown {i}\n\n", "h", None) for i in range(10)]
     rows += [(20, "shared line", None, None), (21, None, "h", None), (22, "shared line", "h", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lines string")
     out = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df).collect()}
     assert out[3] == "own 3\n\n" and out[20] == "shared line" and out[21] is None and out[22] == ""
+    # three and four pages of small hosts: a line on all of them goes, one on two stays
+    rows = [(i, f"all\n{'two' if i % 4 < 2 else i}", f"h{i // 4}") for i in range(8) if i != 7]
+    out = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.doc_id: r.text for r in out.collect()} == {0: "two", 1: "two", 2: "2", 3: "3", 4: "two", 5: "two", 6: "6"}
     same = line_dedup.drop_boilerplate(docs)
     assert same.columns == docs.columns and same.count() == docs.count()
     assert rows_of(line_dedup.drop_boilerplate(empty)) == []
@@ -378,3 +410,33 @@ def test_license_templates_by_brute_force(spark):
     rows = [(1, notice), (2, cut.upper()), (3, half), (4, apart), (5, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r.doc_id: list(r.labels) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ["mit"], 2: ["mit"], 3: [], 4: [], 5: ["gpl-3"]}
+
+
+def test_license_templates_against_each_other(spark):
+    """Each template gives its own label, or others of texts that name these too; the naming word can't be missing."""
+    rows = {f"t{i}": f"some words before {text} and words after" for i, (_, text) in enumerate(licenses.TEMPLATES)}
+    want = {f"t{i}": [label] for i, (label, _) in enumerate(licenses.TEMPLATES)}
+    others = {
+        "released under the GPL license": [],
+        "released under the apache license": [],
+        "gnu general public license version 2": [],
+        "licensed under the gnu general public license version 2": [],
+        "licensed under a creative commons attribution sharealike license": ["cc-by-sa"],
+        "licensed under a creative commons attribution license": [],
+        "Licensed under the terms of the MIT license": ["mit"],
+        "licensed, as told, under the apache license, version 2.0": ["apache-2"],
+    }
+    rows |= {t: t for t in others}
+    df = spark.createDataFrame(list(rows.items()), "doc_id string, text string")
+    assert {r.doc_id: list(r.labels) for r in licenses.scan(df).collect()} == want | others
+
+
+def test_long_and_many_license_templates(spark, monkeypatch):
+    """Templates of more words than were once allowed, and more than are broadcast."""
+    notice = " ".join(f"w{i}" for i in range(400))
+    templates = [("long", notice), *((f"l{i}", f"only number n{i} is told here") for i in range(1200))]
+    df = spark.createDataFrame([(1, f"x {notice} y"), (2, "only number n7 is told here"), (3, notice[:1000])], "doc_id long, text string")
+    for words in (100_000, 0):
+        monkeypatch.setattr(licenses, "BROADCAST_WORDS", words)
+        got = {r.doc_id: list(r.labels) for r in licenses.scan(df, templates=templates).collect()}
+        assert got == {1: ["long"], 2: ["l7"], 3: []}
