@@ -2,9 +2,9 @@
 
 A template is a set of words. A place meets it if a block of consecutive words
 around it, at most a quarter longer than the template, holds at least
-``containment`` of them, and also of its telling words: those that no template of
-another label has. So the one word that names a license can't be the one that
-is missing. Words are ordered by their frequency in all documents, so a template's
+``containment`` of them, and its telling words, those that no template of another
+label has: all of up to ``ALL_TELLING``, half of more. So the one word that names a
+license can't be the one that is missing. Words are ordered by their frequency in all documents, so a template's
 rarest words are its prefix: a block that reaches the threshold holds at least
 one of them (prefix filter). Documents meet templates only there, and texts too
 short to hold enough words are left out (positional and length filters). What is
@@ -68,6 +68,7 @@ TEMPLATES = (
 )
 
 CONTAINMENT = 0.8
+ALL_TELLING = 3
 BROADCAST_WORDS = 100_000
 
 
@@ -121,7 +122,7 @@ def places(
     # the blocks that hold this place; where all their words together are too few, none is looked at
     begin = F.greatest(F.col("p") - F.col("block") + 1, F.lit(0))
     around = F.slice("words", begin + 1, F.col("p") - begin + F.col("block"))
-    told = F.ceil(F.lit(containment) * F.size("telling"))
+    told = F.when(F.size("telling") <= ALL_TELLING, F.size("telling")).otherwise(F.ceil(F.size("telling") / 2))
     block = lambda s: F.slice("words", s + 1, F.col("block"))
     held = lambda s: F.when(F.size(F.array_intersect("telling", block(s))) >= told, F.size(F.array_intersect("entry", block(s)))).otherwise(0)
     overlap = F.when(
