@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +67,10 @@ CUES = (
 )
 COUNTER_CUES = r"(?i)(?:\b(?:version|isbn|order|invoice|serial|doi|page|section|build|sha|id)\b|[$€#])[^\n]{0,8}$"
 
-EM_ROUNDS = 50
+#: Rounds at most; both end when nothing moves any more.
+EM_ROUNDS, EM_TOLERANCE = 2_000, 1e-6
 FIT_ROUNDS = 300
+RIDGE = 0.1
 MIN_PROBABILITY = 0.5
 
 
@@ -179,6 +182,7 @@ def estimate(patterns: Sequence[tuple]) -> tuple[dict, dict]:
     table = {(j, t, v): (0.6 if v == t else 0.2) for j in names for t in (1, -1) for v in (-1, 0, 1)}
     posterior: dict = {}
     for _ in range(EM_ROUNDS):
+        before = dict(posterior)
         for kind, vote, _ in patterns:
             yes = math.log(priors[kind]) + sum(math.log(table[j, 1, vote[j]]) for j in names)
             no = math.log(1 - priors[kind]) + sum(math.log(table[j, -1, vote[j]]) for j in names)
@@ -195,6 +199,8 @@ def estimate(patterns: Sequence[tuple]) -> tuple[dict, dict]:
                     # a pseudo-count of votes in line with the truth keeps the two truths from changing places
                     prior = 2.0 if value == truth else 1.0
                     table[j, truth, value] = (sum(w for w, v in weight if v == value) + prior) / (total + 4.0)
+        if before and max(abs(posterior[k] - before[k]) for k in posterior) < EM_TOLERANCE:
+            break
     return table, posterior
 
 
@@ -221,19 +227,29 @@ FEATURES = ("f_kind", "f_length", "f_digits", "f_marks", "f_before", "f_after",
 
 
 def fit(rows: Sequence[tuple]) -> dict:
-    """Weights of a logistic regression from (features, count, expected number of personal spans)."""
-    weights = {(i, value): 0.0 for values, _, _ in rows for i, value in enumerate(values)}
-    total = sum(n for _, n, _ in rows) or 1
-    for _ in range(FIT_ROUNDS):
-        slope = {k: -0.001 * w for k, w in weights.items()}
-        for values, n, positive in rows:
-            keys = list(enumerate(values))
-            z = sum(weights[k] for k in keys)
-            rest = (positive - n / (1 + math.exp(-max(min(z, 30.0), -30.0)))) / total
-            for k in keys:
-                slope[k] += rest
-        for k, s in slope.items():
-            weights[k] += 2.0 * s
+    """Weights of one logistic regression for each kind, from (features, count, expected number of personal spans).
+
+    The kind is the first feature. Each kind is fitted by its own candidates alone
+    and until nothing moves (Newton steps), so a rare kind is decided alike beside
+    few and many others.
+    """
+    weights = {}
+    for kind in sorted({values[0] for values, _, _ in rows}):
+        mine = [(values, n, p) for values, n, p in rows if values[0] == kind]
+        columns = {key: j for j, key in enumerate(sorted({(i, v) for values, _, _ in mine for i, v in enumerate(values)}))}
+        x = np.zeros((len(mine), len(columns)))
+        for row, (values, _, _) in enumerate(mine):
+            x[row, [columns[key] for key in enumerate(values)]] = 1.0
+        n, p = (np.array([r[k] for r in mine], dtype=float) for k in (1, 2))
+        w = np.zeros(len(columns))
+        for _ in range(FIT_ROUNDS):
+            chance = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            curve = (x * (n * chance * (1 - chance) + 1e-9)[:, None]).T @ x + RIDGE * np.eye(len(w))
+            step = np.linalg.solve(curve, x.T @ (p - n * chance) - RIDGE * w)
+            w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        weights |= {(i, kind, v): w[j] for (i, v), j in columns.items()}
     return weights
 
 
@@ -253,8 +269,9 @@ def train(voted: DataFrame) -> Column | None:
     weights = fit(sorted((tuple(r[f] for f in FEATURES), r.n, r.p) for r in rows))
     score = F.lit(0.0)
     for i, name in enumerate(FEATURES):
-        pairs = [x for (j, value), w in sorted(weights.items()) if j == i for x in (F.lit(value), F.lit(w))]
-        score = score + F.coalesce(F.element_at(F.create_map(*pairs), F.col(name)), F.lit(0.0))
+        pairs = [x for (j, kind, value), w in sorted(weights.items()) if j == i for x in (F.lit(f"{kind}|{value}"), F.lit(float(w)))]
+        own = F.concat_ws("|", F.col(FEATURES[0]), F.col(name))
+        score = score + F.coalesce(F.try_element_at(F.create_map(*pairs), own), F.lit(0.0))
     return 1 / (1 + F.exp(-score))
 
 
@@ -269,6 +286,7 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     columns = ("id", "text_hash", "kind", "start", "end", "match", "base", "p")
     base = scored.where("base").select(*columns)
     loose = scored.where(~F.col("base") & ~F.col("kind").isin([k for k, _ in BASE]) & (F.col("p") >= MIN_PROBABILITY))
+    loose = loose.where("v_context >= 0")  # what stands before says that it is something else
     b = base.select(
         F.col("id").alias("b_id"), F.col("text_hash").alias("b_hash"), F.col("start").alias("b_start"), F.col("end").alias("b_end")
     )
@@ -287,13 +305,14 @@ def joined(spans_column: Column) -> Column:
 
 
 def detect(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_spans, spans) of every row; spans joined as text."""
+    """(id, n_email, n_ip, n_card, n_phone, base_spans, spans, n_spans) of every row; spans joined as text."""
     all_spans = spans(docs, id_column, text_column)
     one = F.struct("kind", "start", "end")
     per_doc = all_spans.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k, _ in BASE],
         joined(F.collect_list(F.when(F.col("base"), one))).alias("base_spans"),
         joined(F.collect_list(one)).alias("spans"),
+        F.count("*").alias("n_spans"),
     )
     per_doc = written(per_doc, "pii-spans")
     rows = docs.select(F.col(id_column), F.xxhash64(text_column).alias("text_hash"))
@@ -305,6 +324,7 @@ def detect(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k, _ in BASE],
         F.coalesce("base_spans", F.lit("")).alias("base_spans"),
         F.coalesce("spans", F.lit("")).alias("spans"),
+        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
     )
 
 

@@ -37,7 +37,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     digest = F.sha2("base_spans", 256).alias("base_sha256")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, "spans", "n_spans")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
