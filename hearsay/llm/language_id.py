@@ -3,7 +3,7 @@
 A profile lists the ``PROFILE`` most frequent n-grams (1 to 3 letters, with word
 borders) of a language. A text's own list is compared with each profile: every
 n-gram adds the difference of its two ranks, or the list's length if the profile
-lacks it. The language with the smallest distance wins, ties by name.
+lacks it. An n-gram is known by its code points themselves (three of 21 bits). The language with the smallest distance wins, ties by name.
 
 Profiles are learned from all labelled documents; their n-grams are summed in each
 task before the shuffle, and only the profiles come to the driver. Prediction is
@@ -28,11 +28,9 @@ from pyspark.sql import functions as F
 PROFILE = 300
 UNKNOWN = "und"
 
-CODE_BITS = 18
+POINT_BITS = 21
 GROUP_CHARS = 1 << 19
 GROUP_ROWS = 1 << 12
-#: Languages that a task sums at a time.
-SUMMED = 32
 
 
 @cache
@@ -69,25 +67,29 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     symbols = np.where(is_letter, lower[points], 0)[keep].astype(np.uint32)
     rows = rows[keep]
     parts = []
-    for n, factor in ((1, 0x9E3779B1), (2, 0x85EBCA77), (3, 0xC2B2AE3D)):
+    # 0 stands for a border; the symbols are code points plus 1, so that n-grams of several lengths differ
+    wide = symbols.astype(np.uint64)
+    for n in (1, 2, 3):
         size = len(symbols) - n + 1
         if size <= 0:
             continue
-        h = np.zeros(size, dtype=np.uint32)
+        code = np.zeros(size, dtype=np.uint64)
         for k in range(n):
-            h = h * np.uint32(0x01000193) + symbols[k : k + size]
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(factor)
-        code = (h ^ (h >> np.uint32(13))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - CODE_BITS)
+            code = (code << np.uint64(POINT_BITS)) | (wide[k : k + size] + np.uint64(1))
         good = rows[:size] == rows[n - 1 :]
         good &= (symbols[:size] != 0) | (symbols[n - 1 :] != 0)
         if n != 2:  # no border inside, or alone
             good &= symbols[n // 2 : n // 2 + size] != 0
-        parts.append((rows[:size][good] << np.uint32(CODE_BITS)) | code[good])
-    keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint32)
+        parts.append((rows[:size][good], code[good]))
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    rows, codes = (np.concatenate(c) for c in zip(*parts))
+    distinct, number = np.unique(codes, return_inverse=True)
+    keys = np.sort(rows.astype(np.int64) * len(distinct) + number)
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
     counts = np.diff(np.append(begin, len(keys)))
     keys = keys[begin]
-    return (keys >> np.uint32(CODE_BITS)).astype(np.int64), (keys & np.uint32((1 << CODE_BITS) - 1)).astype(np.int64), counts
+    return keys // max(1, len(distinct)), distinct.view(np.int64)[keys % max(1, len(distinct))], counts
 
 
 def _top(rows: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,32 +105,23 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
     """The n-gram codes of each language's profile, most frequent first."""
     labelled = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
 
-    def rows_of(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for lang, total in sums.items():
-            found = np.flatnonzero(total)
-            columns = [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total[found].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "code", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        """Sums of each group of texts; Spark adds them up in the task before the shuffle."""
         for batch in batches:
             langs, at = np.array(batch.column(0).to_pylist(), dtype=object), 0
             for group in _groups(batch.column(1)):
                 rows, codes, counts = ngram_counts(group)
-                mine = langs[at : at + len(group)]
+                names, mine = np.unique(langs[at : at + len(group)].astype(str), return_inverse=True)
                 at += len(group)
-                for lang in set(mine):
-                    take = (mine == lang)[rows]
-                    total = sums.setdefault(lang, np.zeros(1 << CODE_BITS))
-                    total += np.bincount(codes[take], weights=counts[take], minlength=1 << CODE_BITS)
-                    if len(sums) == SUMMED:
-                        yield from rows_of(sums)
-                        sums = {}
-        yield from rows_of(sums)
+                order = np.lexsort((codes, mine[rows]))
+                lang, codes, counts = mine[rows][order], codes[order], counts[order]
+                new = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (codes[1:] != codes[:-1]))) if len(codes) else order
+                sums = np.add.reduceat(counts, new) if len(codes) else counts
+                columns = [pa.array(names[lang[new]], pa.string()), pa.array(codes[new]), pa.array(sums)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "code", "n"])
 
     counted = labelled.select(lang_column, text_column).mapInArrow(run, "lang string, code bigint, n bigint")
     sums = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # at most 2 ** CODE_BITS codes for each language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     out: dict[str, list[int]] = {}
     for r in sorted(sums.withColumn("rank", rank).where(F.col("rank") <= PROFILE).collect()):
@@ -141,12 +134,12 @@ def distances(texts: list[str], profiles: dict[str, list[int]]) -> np.ndarray:
     rows, codes, rank = _top(*ngram_counts(texts))
     most = np.bincount(rows, minlength=len(texts)).astype(float) * PROFILE
     out = np.full((len(texts), len(profiles)), np.nan)
-    place = np.full(1 << CODE_BITS, -1, dtype=np.int64)
     for j, profile in enumerate(profiles.values()):
-        place[profile] = np.arange(len(profile))
-        at = place[codes]
+        order = np.argsort(profile)
+        known = np.array(profile, dtype=np.int64)[order]
+        near = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        at = np.where(known[near] == codes, order[near], -1)
         off = np.where(at < 0, PROFILE, np.abs(at - rank))
-        place[profile] = -1
         total = np.bincount(rows, weights=off, minlength=len(texts))
         np.divide(total, most, out=out[:, j], where=most > 0)
     return out
