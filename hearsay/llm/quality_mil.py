@@ -5,9 +5,8 @@ measures of its form and repetition; gated attention, learned from document
 labels alone, weighs the passages; the weighted mean gives the document's score.
 
 Training uses all documents of a label up to ``SAMPLE_DOCS``, about that many of a
-more frequent label, drawn by a hash of the id, and of each at most
-``SAMPLE_PASSAGES`` passages spread over the whole text: that bounds what the
-driver trains on. Each document counts for as many as its label's draw stands for,
+more frequent label, drawn by a hash of the id: that bounds what the driver trains
+on. All passages of these documents are learned from. Each document counts for as many as its label's draw stands for,
 so rare labels are learned and their share stays. Scoring reads all passages of all texts,
 in one pass without a shuffle.
 
@@ -31,7 +30,6 @@ from hearsay.llm.textblocks import Block, blocks, repeated
 
 PASSAGE = 64
 SAMPLE_DOCS = 3_000
-SAMPLE_PASSAGES = 32
 HIDDEN, ATTENTION = 16, 12
 ROUNDS, STEP, DECAY = 200, 0.03, 1e-4
 SEED = 11
@@ -179,10 +177,7 @@ def learn(
             for block in blocks(batch.column(2)):
                 rows, x = encode(block)
                 ends = np.searchsorted(rows, np.arange(len(block) + 1))
-                bags = []
-                for a, b in zip(ends[:-1], ends[1:]):
-                    some = np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(int)
-                    bags.append(x[some].astype(np.float32).tobytes())
+                bags = [x[a:b].astype(np.float32).tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 here = slice(block.first, block.first + len(block))
                 columns = [batch.column(i)[here] for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(bags, pa.binary())], names=["id", "y", "bag"])
