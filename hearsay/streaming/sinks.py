@@ -137,9 +137,14 @@ def all_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def _batch_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows of the folders that the log names now; a bounded list, as merges keep it short."""
+    """Rows of the folders that the log names now; a bounded list, as merges keep it short.
+
+    A table written without keys has no log; its batches are partitions.
+    """
     schema = StructType([*schema.fields, StructField("batch_id", LongType())])
     folders = [r.folder for r in _log(spark, path).rows().select("folder").collect()]
+    if not folders and any(name.startswith("batch_id=") for name, _ in listing(spark, path)):
+        return spark.read.schema(schema).parquet(path)
     if not folders:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*(literal(f"{path}/{f}") for f in folders))
