@@ -55,6 +55,11 @@ PERCENT = 90
 BLOCK_NGRAMS = 1 << 20
 #: Bytes of the table that tells which n-grams each probe has.
 PROBE_BYTES = 1 << 24
+#: Most bits of the table of shared n-grams: it spares shuffling others, as long as it is not full of marks.
+MARK_BITS = 1 << 26
+#: n-grams that a task counts together before they are shuffled, about.
+COUNTED = 1 << 20
+
 _HASH_BITS = np.uint64(52)
 #: More sets than so many count as so many in the global order.
 _MOST_HELD = 2047
@@ -89,48 +94,105 @@ class SizeClasses:
         return np.searchsorted(self.lows, sizes, side="right") - 1
 
 
-def _sets(docs: DataFrame, id_column: str, text_column: str, n: int, ngrams: bool) -> DataFrame:
-    """(id, n, key, digest): each row's set size and digest, also as a number, or with ``ngrams`` (digest, size,
-    gram) of the first of equal sets in each task, among rows with an id."""
+def _digests(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """Two sums of 64 bits that name each of ``n`` sets."""
+    out = np.zeros((n, 2), dtype=np.uint64)
+    np.add.at(out[:, 0], rows, mix(hashes))
+    np.add.at(out[:, 1], rows, mix(hashes + np.uint64(1 << 60)))
+    return out
+
+
+def _names(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
+    """(id, n, key, digest): each row's set size and digest, also as a number."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
             for block in blocks(batch.column(1), fold=True):
                 rows, hashes = ngram_sets(block, n)
-                sizes = np.bincount(rows, minlength=len(block))
-                digests = np.zeros((len(block), 2), dtype=np.uint64)
-                np.add.at(digests[:, 0], rows, mix(hashes))
-                np.add.at(digests[:, 1], rows, mix(hashes + np.uint64(1 << 60)))
-                keys, ids = [d.tobytes() for d in digests], batch.column(0).slice(block.first, len(block))
-                if not ngrams:
-                    columns = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests[:, 0].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "digest"])
-                    continue
-                fresh = np.zeros(len(block), dtype=bool)
-                for i, key in enumerate(keys):
-                    if key not in seen:
-                        seen.add(key)
-                        fresh[i] = True
-                use = fresh[rows]
-                rows, hashes = rows[use], hashes[use]
-                columns = [digests[rows, 0].view(np.int64), sizes[rows].astype(np.int32), hashes.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["digest", "size", "gram"])
-
-    if ngrams:
-        docs = docs.where(F.col(id_column).isNotNull())
-        return docs.select(id_column, text_column).mapInArrow(run, "digest bigint, size int, gram bigint")
+                digests = _digests(rows, hashes, len(block))
+                columns = [
+                    batch.column(0).slice(block.first, len(block)),
+                    pa.array(np.bincount(rows, minlength=len(block)), pa.int64()),
+                    pa.array([d.tobytes() for d in digests], pa.binary()),
+                    pa.array(digests[:, 0].view(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "digest"])
+
     return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, n bigint, key binary, digest bigint")
 
 
-def _ordered_sets(ngrams: DataFrame, percent: int) -> DataFrame:
+def _first_sets(
+    batches: Iterator[pa.RecordBatch], n: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(digest, size, n-gram) of the first of equal sets in a task."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        for block in blocks(batch.column(0), fold=True):
+            rows, hashes = ngram_sets(block, n)
+            sizes, digests = np.bincount(rows, minlength=len(block)), _digests(rows, hashes, len(block))
+            fresh = np.zeros(len(block), dtype=bool)
+            for i, key in enumerate(d.tobytes() for d in digests):
+                if key not in seen:
+                    seen.add(key)
+                    fresh[i] = True
+            use = fresh[rows]
+            rows = rows[use]
+            yield digests[rows, 0].view(np.int64), sizes[rows].astype(np.int32), hashes[use].view(np.int64)
+
+
+def _held(texts: DataFrame, n: int) -> DataFrame:
+    """(gram, held): n-grams of more than one set.
+
+    A task counts about COUNTED n-grams together, so frequent ones are few rows;
+    Spark's own counting before the shuffle would sort all the rare ones on disk.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            grams, times = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times.astype(np.int64))], names=["gram", "n"])
+
+        for _, _, grams in _first_sets(batches, n):
+            waiting.append(grams)
+            size += len(grams)
+            if size >= COUNTED:
+                yield counted()
+                waiting, size = [], 0
+        if waiting:
+            yield counted()
+
+    counts = texts.mapInArrow(run, "gram bigint, n bigint").repartition("gram")
+    return counts.groupBy("gram").agg(F.sum("n").alias("held")).where("held > 1")
+
+
+def _shared_ngrams(texts: DataFrame, n: int, held: DataFrame) -> DataFrame:
+    """(digest, size, gram): the n-grams of all sets, but for such as the table of marks shows to be in no other."""
+    bit = F.col("gram").bitwiseAND(MARK_BITS - 1)
+    words = held.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("mark"))
+    found = words.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow()
+    marks = np.zeros(MARK_BITS >> 6, dtype=np.uint64)
+    marks[found["word"].to_numpy()] = found["marks"].to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _first_sets(batches, n):
+            bits = columns[2].view(np.uint64) & np.uint64(MARK_BITS - 1)
+            use = (shared.value[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in columns], names=["digest", "size", "gram"])
+
+    return texts.mapInArrow(run, "digest bigint, size int, gram bigint")
+
+
+def _ordered_sets(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(digest, size, path): sets of which enough n-grams are in other sets too; these, in the global order.
 
     An n-gram travels with its set's digest and size alone, which its neighbours have too.
     """
-    held = ngrams.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
-    held = written(held, "held")
+    held = written(_held(texts, n), "held")
+    ngrams = _shared_ngrams(texts, n, held)
     rank = F.shiftleft(F.lit(_MOST_HELD) - F.least("held", F.lit(_MOST_HELD)), int(_HASH_BITS)).bitwiseOR(F.col("gram"))
     known = ngrams.join(held, "gram").select("digest", "size", rank.alias("rank"))
     # equal sets of several tasks come together here
@@ -329,7 +391,7 @@ def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = NGRAM, percent: int = PERCENT
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    rows = written(_sets(docs, id_column, text_column, n, ngrams=False), "set-digests")
+    rows = written(_names(docs, id_column, text_column, n), "set-digests")
     classes = rows.where("n > 0 and id is not null").groupBy("key").agg(
         F.min("id").alias("rep"), F.max("n").alias("size"), F.max("digest").alias("digest")
     )
@@ -337,7 +399,7 @@ def near_duplicates(
     members = rows.where("n > 0 and id is not null").select("id", "key").join(classes, "key").select("id", "rep", "size")
     members = written(members, "members")
 
-    ordered = _ordered_sets(_sets(docs, id_column, text_column, n, ngrams=True), percent)
+    ordered = _ordered_sets(docs.where(F.col(id_column).isNotNull()).select(text_column), n, percent)
     named = ordered.join(classes.select(F.col("rep").alias("id"), "digest", "size"), ["digest", "size"])
     sets = written(named.select("id", F.col("size").cast("long").alias("size"), "path"), "class-sets")
     discard(ordered)
