@@ -139,3 +139,37 @@ def test_block_boundaries_change_nothing(monkeypatch):
         assert np.array_equal(values, whole[name]), name
     for name, values in repetition.measures(batch.slice(3)).items():
         assert np.array_equal(values, whole[name][3:]), name
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, empty and repeated rows go through all five stages; an empty table stays empty."""
+    good = lambda k: "\n".join(" ".join(f"w{k}x{i}y{j}" for j in range(9)) for i in range(9))
+    benchmark = " ".join(f"b{i}" for i in range(12))
+    rows = [
+        (1, good(1), "en", "s", 1),
+        (1, good(1), "en", "s", 1),
+        (2, good(1), None, None, None),
+        (None, good(2), "en", "s", 2),
+        (3, None, "en", "s", None),
+        (4, "", None, "s", 0),
+        (5, good(5) + "\n" + benchmark, "en", None, 5),
+        (6, good(6), "de", "t", 6),
+        (7, "short", "de", "t", 5),
+        (8, "same words " * 60, "de", "t", 5),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, benchmark), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept, empty = [], docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        found = docs.collect()
+        docs = spark.createDataFrame(found, docs.schema)
+        kept.append(sorted((r.doc_id for r in found), key=str))
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0, name
+        empty = spark.createDataFrame([], empty.schema)
+    assert kept[0] == kept[1] == [1, 1, 2, 5, 6, None]  # too short or too repetitive ones are gone
+    assert kept[2] == [1, 5, 6, None]  # one of the copies, by id
+    assert kept[3] == [1, 6, None]
+    assert set(kept[4]) <= {1, 6, None}
