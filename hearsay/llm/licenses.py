@@ -70,6 +70,8 @@ TEMPLATES = (
 CONTAINMENT = 0.8
 ALL_TELLING = 3
 BROADCAST_WORDS = 100_000
+#: Texts are looked at in pieces of so many words, and one longest block more; their neighbours' blocks come along.
+PIECE_WORDS = 256
 
 
 def _keys(docs: DataFrame, text_column: str, phrases: Sequence, templates: Sequence, containment: float) -> list[tuple]:
@@ -115,7 +117,16 @@ def places(
     rows = some.select(
         F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), words_of(F.col(text_column)).alias("words")
     )
-    rows = rows.select("id", "text_hash", "words", F.posexplode_outer("words").alias("p", "word"))
+    # a place carries the words of its piece only, with all blocks around it; with all words, rows would grow by the square
+    margin = max((k[6] for k in keys), default=1)
+    size = PIECE_WORDS + margin
+    head = lambda s: F.least(s, F.lit(margin))
+    piece = lambda s: F.struct((s - head(s)).alias("base"), head(s).alias("head"), F.slice("words", s - head(s) + 1, head(s) + size + margin).alias("words"))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(size)), piece)
+    rows = rows.select("id", "text_hash", F.explode(pieces).alias("piece")).select("id", "text_hash", "piece.*")
+    own = F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("word")))
+    mine = lambda x: (x["p"] >= F.col("head")) & (x["p"] < F.col("head") + size) & x["word"].isin(sorted({k[0] for k in keys}))
+    rows = rows.select("id", "text_hash", "base", "words", F.explode(F.filter(own, mine)).alias("_at")).select("id", "text_hash", "base", "words", "_at.*")
     phrase = F.col("offset") >= 0
     start = F.col("p") - F.col("offset")
     here = F.slice("words", F.greatest(start + 1, F.lit(1)), F.size("entry"))
@@ -134,7 +145,7 @@ def places(
     ).otherwise(overlap >= F.col("need"))
     joined = rows.join(table, verified)
     score = F.when(phrase, 1.0).otherwise(overlap / F.size("entry"))
-    at = F.when(phrase, start).otherwise(F.col("p"))
+    at = F.col("base") + F.when(phrase, start).otherwise(F.col("p"))
     found = joined.select("id", "text_hash", "label", phrase.alias("base"), at.alias("at"), score.alias("score"))
     # equal rows have equal places
     return found.groupBy("id", "text_hash", "label", "base", "at").agg(F.max("score").alias("score"))

@@ -507,3 +507,24 @@ def test_long_and_many_license_templates(spark, monkeypatch):
         monkeypatch.setattr(licenses, "BROADCAST_WORDS", words)
         got = {r.doc_id: list(r.labels) for r in licenses.scan(df, templates=templates).collect()}
         assert got == {1: ["long"], 2: ["l7"], 3: []}
+
+
+def test_licenses_in_a_very_long_text(spark, monkeypatch):
+    """Rows of places hold no whole texts: their size would grow by the square."""
+    phrase, filler = "under the mit license", ["word"] * 300
+    text = " ".join([*(" ".join([*filler[: i % 7 + 250], phrase]) for i in range(150)), "mit"])
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert len(text.split()) > 35_000
+    for size in (256, 50):
+        monkeypatch.setattr(licenses, "PIECE_WORDS", size, raising=False)
+        (got,) = licenses.scan(df).collect()
+        assert (got.n_words, got.n_base, got.first_word, got.last_word, ",".join(got.base_labels)) == brute.licenses(text)
+
+
+def test_license_places_at_every_edge_of_a_piece(spark, monkeypatch):
+    notice = "it is licensed under the terms of the mit license and cc by nc here"
+    texts = {i: " ".join(["word"] * i + [notice] + ["more"] * 40) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    order = lambda size: (monkeypatch.setattr(licenses, "PIECE_WORDS", size), licenses.places(df, "doc_id"))[1]
+    found = {size: sorted(map(tuple, order(size).drop("text_hash").collect())) for size in (1, 7, 10_000)}
+    assert found[1] == found[7] == found[10_000] and {r[0] for r in found[1]} == set(texts)
