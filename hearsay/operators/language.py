@@ -19,8 +19,11 @@ from hearsay.schema import STOPWORDS
 from hearsay.session import fresh_folder
 from hearsay.sources.lookups import MAX_LITERAL_ROWS, small_rows
 from hearsay.sources.files import remove
+from hearsay.sources.scratch import written
 
 ENTITY_OUTPUT = "post_id string, entity string, type string"
+#: Tokens of an entry that make its key in a join.
+KEY_TOKENS = 3
 
 
 def match_entities(
@@ -76,8 +79,8 @@ def _grams(
     The entries of a gazetteer that passes the size check are literals: digests
     of all their beginnings, in one set for each length. From each place of a
     text the digest is extended token by token while it is a known beginning, so
-    a step is one hash probe and only whole entries become strings. The first
-    tokens of a larger gazetteer are joined.
+    a step is one hash probe and only whole entries become strings. The
+    beginnings of a larger gazetteer's entries are joined.
     """
     known = gazetteer.select(F.array_join(entity_tokens(F.col("ngram")), " ").alias("ngram"), "entity", "type")
     known = known.filter(F.col("ngram") != "").distinct()
@@ -86,7 +89,7 @@ def _grams(
     tokens = posts.select(*keep, entity_tokens(F.col(text_column)).alias("_tokens"))
     rows = small_rows(known, literal_rows)
     if rows is None:
-        return _joined_grams(tokens, known, *keep), known
+        return _joined_grams(posts.select(*keep, F.col(text_column).alias("_text")), known, *keep), known
     known = posts.sparkSession.createDataFrame(rows, known.schema)
     begins, whole = _beginnings(known)
     if not begins:
@@ -127,20 +130,36 @@ def _beginnings(known: DataFrame) -> tuple[list[list[int]], list[list[int]]]:
     return begins, whole
 
 
-def _joined_grams(tokens: DataFrame, known: DataFrame, *keep: str) -> DataFrame:
-    """The sequences for a gazetteer of any size: first tokens meet the texts' tokens in a join.
+def _joined_grams(texts: DataFrame, known: DataFrame, *keep: str) -> DataFrame:
+    """The sequences for a gazetteer of any size: digests of the entries' first tokens meet the texts' in a join.
 
-    Only digests, positions and lengths are shuffled there, repeated texts once;
-    the texts come in by their digest when the starts are known.
+    An entry has one key, of its first ``KEY_TOKENS`` tokens or of all if it is
+    shorter. What comes out of the join is little more than the entries' places.
+    Only digests and positions are shuffled there, and nothing while the keys,
+    which are written to be of a known size, fit a broadcast; the texts come in
+    by their digest when the starts are known.
     """
     entry = F.split("ngram", " ")
-    firsts = known.select(F.get(entry, F.lit(0)).alias("_first"), F.size(entry).alias("_n"))
-    firsts = firsts.groupBy("_first").agg(F.collect_set("_n").alias("lengths"))
-    texts = tokens.withColumn("_digest", F.md5(F.array_join("_tokens", " ")))
-    places = texts.select("_digest", F.posexplode_outer("_tokens").alias("p", "_first")).distinct()
-    starts = places.join(firsts, "_first").groupBy("_digest")
-    starts = starts.agg(F.collect_list(F.struct("p", "lengths")).alias("_starts"))
-    placed = texts.join(starts, "_digest")
+    depth = F.least(F.size(entry), F.lit(KEY_TOKENS))
+    key = F.aggregate(F.slice(entry, 1, depth), F.lit(0).cast("bigint"), lambda h, t: F.xxhash64(h, t))
+    keys = known.select(depth.alias("depth"), key.alias("key"), F.size(entry).alias("n"))
+    keys = written(keys.groupBy("depth", "key").agg(F.array_sort(F.collect_set("n")).alias("lengths")), "entity-keys")
+    depths = sorted(r.depth for r in keys.select("depth").distinct().collect())  # KEY_TOKENS rows at most
+    texts = texts.withColumn("_digest", F.unhex(F.md5("_text")))
+    digests = [_extended(F.lit(0), F.col("_first"))]
+    for n in range(1, max(depths, default=1)):
+        digests.append(_extended(digests[-1], F.col(f"_next{n}")))
+    # one place is its token and those after it; all that leaves the task is its digests
+    tokens = texts.select("_digest", entity_tokens(F.col("_text")).alias("_tokens"))
+    after = [F.concat(F.slice("_tokens", n + 1, F.size("_tokens")), F.array_repeat(F.lit(None).cast("string"), n)) for n in range(1, len(digests))]
+    rows = tokens.select("_digest", F.posexplode(F.arrays_zip("_tokens", *after)).alias("p", "_t"))
+    rows = rows.select("_digest", "p", *[F.col("_t").getField(str(i) if i else "_tokens").alias(f"_next{i}" if i else "_first") for i in range(len(digests))])
+    each = [F.struct(F.lit(d).alias("depth"), digests[d - 1].alias("key")) for d in depths]
+    places = rows.select("_digest", "p", F.explode(F.array(*each)).alias("_k")).select("_digest", "p", "_k.*") if each else rows.select("_digest", "p", F.lit(0).alias("depth"), F.lit(0).alias("key")).limit(0)
+    starts = places.where(F.col("key").isNotNull()).join(keys, ["depth", "key"]).groupBy("_digest")
+    # repeated texts have equal starts
+    starts = starts.agg(F.collect_set(F.struct("p", "lengths")).alias("_starts"))
+    placed = texts.join(starts, "_digest").select(*keep, entity_tokens(F.col("_text")).alias("_tokens"), "_starts")
     return placed.select(*keep, F.explode(slices(F.col("_tokens"), F.col("_starts"))).alias("ngram"))
 
 

@@ -187,3 +187,16 @@ def test_entities_of_many_lengths_and_shared_beginnings(spark):
     for rows in (5000, 0):
         got = l.match_entities(posts, known, literal_rows=rows).select("post_id", "entity")
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_joined_entities_leave_few_candidates(spark):
+    """A frequent first token alone makes no sequence; those of other entries that begin alike, and repeated texts, are found."""
+    texts = [("1", "the " * 400), ("2", "the end of the long road"), ("2", "the end of the long road"), ("3", "the"), ("4", "the end")]
+    posts = spark.createDataFrame(texts, "post_id string, cleaned_text string")
+    entries = ["the end of the long road", "the end of a day", "the end", "long", "the the end"]
+    known = spark.createDataFrame([(e, e, "T") for e in entries], ENTITY_SCHEMA)
+    grams, _ = l._grams(posts, known, "cleaned_text", 0, "post_id")
+    want = Counter({"the end of the long road": 2, "the end": 3, "long": 2})
+    found = Counter(r.ngram for r in grams.collect())
+    assert sum(found.values()) < 12 and not want - found
+    assert {r.entity: r["count"] for r in l.entity_counts(posts, known, literal_rows=0).collect()} == want
