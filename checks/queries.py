@@ -177,10 +177,10 @@ def csv_mixed_headers(spark, sf_dir):
 
 
 def csv_split_records(spark, sf_dir):
-    """The documents, whose texts hold line breaks, as one CSV file that is read in many byte ranges."""
+    """The documents, whose texts hold line breaks, as CSV files that are each read in many byte ranges; a task writes one."""
     path, size = fresh_folder(spark, "csv"), "spark.sql.files.maxPartitionBytes"
     docs = derived.table(spark, sf_dir, "documents")
-    write_posts_csv(docs.select(F.col("doc_id").cast("string").alias("idx"), F.col("text").alias("Text")).coalesce(1), path)
+    write_posts_csv(docs.select(F.col("doc_id").cast("string").alias("idx"), F.col("text").alias("Text")), path)
     before = spark.conf.get(size)
     spark.conf.set(size, str(1 << 18))
     try:

@@ -116,3 +116,18 @@ def test_unreadable_times_without_a_fixed_ingest_time(spark, tmp_path):
     ).awaitTermination()
     late = {r.text: r.created_at for r in sinks.all_rows(spark, str(tmp_path / "out"), stream.schema).collect()}
     assert got["a"] <= late["a"] <= got["a"] + dt.timedelta(minutes=2)
+
+
+def test_split_records_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from checks import queries
+
+    rows = [(i, f'line {i}\nand "more", of it\n' * (i % 3)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tasks = []
+    write = lambda df, path: (tasks.append(df.rdd.getNumPartitions()), write_posts_csv(df, path))
+    monkeypatch.setattr(queries, "write_posts_csv", write)
+    got = queries.csv_split_records(spark, str(tmp_path))
+    assert tasks[0] > 1
+    want = docs.selectExpr("doc_id", "md5(nullif(text, '')) AS digest")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
