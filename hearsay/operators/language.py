@@ -5,21 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from hearsay.functions.text import entity_tokens, letter_tokens, slices, words
-from hearsay.operators.numbering import numbered
 from hearsay.operators.rankings import top
+from hearsay.operators.term_blocks import numbers, on_blocks, sums_by, term_blocks
 from hearsay.schema import STOPWORDS
-from hearsay.session import fresh_folder
 from hearsay.sources.lookups import MAX_LITERAL_ROWS, small_rows
-from hearsay.sources.files import remove
-from hearsay.sources.scratch import written
+from hearsay.sources.scratch import discard, written
 
 ENTITY_OUTPUT = "post_id string, entity string, type string"
 #: Tokens of an entry that make its key in a join.
@@ -206,50 +203,108 @@ def topic_input(tokens: DataFrame, key: str = "post_id") -> DataFrame:
     return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("count"))
 
 
+#: The terms' concentration of a model trained by expectation-maximisation, where none is given.
+TERM_CONCENTRATION = 1.1
+
+
+@dataclass
+class TopicFit:
+    """The topics' totals, the number of terms, and the concentrations of mixtures and terms (as for EM, above 1)."""
+
+    totals: list[float]
+    size: int
+    mixture: float
+    concentration: float
+
+    def vocabSize(self) -> int:
+        return self.size
+
+
 @dataclass
 class TopicModel:
-    """A fitted model and the table (term, id) of its terms."""
+    """A fitted model and the table (term, counts) of its terms: how often each stands for each topic."""
 
-    lda: LDAModel
+    lda: TopicFit
     terms: DataFrame
 
 
+def topic_totals(terms: DataFrame, topics: int) -> list[float]:
+    sums = [F.sum(F.get("counts", F.lit(k))) for k in range(topics)]
+    return [n or 0.0 for n in terms.agg(F.array(*sums).alias("n")).first().n]
+
+
+def term_weights(terms: DataFrame, totals: list[float], size: int, concentration: float) -> DataFrame:
+    """(term, weights): the share of each term among a topic's terms, smoothed."""
+    more = concentration - 1
+    share = lambda n, k: (n + F.lit(more)) / (F.get(F.array(*map(F.lit, totals)), k) + F.lit(more * size))
+    return terms.select("term", F.transform("counts", share).alias("weights"))
+
+
+def added_counts(rows: DataFrame, topics: int) -> DataFrame:
+    """(term, counts) summed over blocks of (terms, added)."""
+    each = rows.select(F.explode(F.arrays_zip("terms", "added")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.added").alias("added"))
+    return each.groupBy("term").agg(F.array(*[F.sum(F.get("added", F.lit(k))) for k in range(topics)]).alias("counts"))
+
+
 def topic_model(
     tokens: DataFrame, topics: int = 3, seed: int = 42, iterations: int = 20, key: str = "post_id"
 ) -> TopicModel:
     """Topics of all texts over all terms, by expectation-maximisation.
 
-    Terms are numbered by a distributed sort and no vocabulary reaches the
-    driver; a text's counts become one vector. The counts are written to the
-    shared folder, so that no iteration tokenises the texts anew, and removed
-    when the model is fitted.
+    The steps are those of Spark's LDA with its optimizer ``em``: how often each
+    term and each text stand for each topic begins at random and gets better by
+    turns. Texts are in blocks (:mod:`term_blocks`); in each turn the terms meet
+    the blocks in a join, a block is one group, and what it adds to its terms is
+    summed. No vocabulary reaches the driver, and no task holds more than a block.
+    Tables of a turn are removed with the next.
     """
-    spark = tokens.sparkSession
-    counts = topic_input(tokens, key)
-    terms, n_terms = numbered(counts.select("term").distinct(), "term")
-    pairs = counts.join(terms, "term").groupBy(key)
-    pairs = pairs.agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("id"), "count"))).alias("pairs"))
-    vector = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),  # sparse
-        F.lit(n_terms).cast("int").alias("size"),
-        F.col("pairs.id").alias("indices"),
-        F.col("pairs.count").cast("array<double>").alias("values"),
-    )
-    path = fresh_folder(spark, "term-counts")
-    pairs.select(F.xxhash64(key).alias("key"), vector.alias("features")).write.parquet(path)
-    schema = StructType([StructField("key", LongType()), StructField("features", VectorUDT())])
-    vectors = spark.read.schema(schema).parquet(path)
-    lda = LDA(k=topics, seed=seed, maxIter=iterations, optimizer="em", featuresCol="features").fit(vectors)
-    remove(spark, path)
-    return TopicModel(lda, terms)
+    blocks = term_blocks(topic_input(tokens, key), key)
+    mixture, more = 50 / topics + 1, TERM_CONCENTRATION - 1
+    spread = np.random.default_rng(seed).integers(0, 1 << 63, topics, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def begun(known: pa.Table, own: pa.Table) -> pa.Table:
+        hashes = numbers(own, "hashes").astype(np.int64).view(np.uint64)
+        shares = ((hashes * spread[:, None]) >> np.uint64(11)) + 0.5
+        return added(known, own, shares * (numbers(own, "n") / shares.sum(axis=0)))
+
+    def turned(known: pa.Table, own: pa.Table) -> pa.Table:
+        ends, at = numbers(own, "ends").astype(int), numbers(own, "at").astype(int)
+        weights = numbers(known, "weights").reshape(-1, topics).T
+        mine = numbers(own, "mine").reshape(topics, -1) + (mixture - 1)
+        shares = weights[:, at] * np.repeat(mine, np.diff(ends, prepend=0), axis=1)
+        return added(known, own, shares * (numbers(own, "n") / shares.sum(axis=0)))
+
+    def added(known: pa.Table, own: pa.Table, shares: np.ndarray) -> pa.Table:
+        ends, at = numbers(own, "ends").astype(int), numbers(own, "at").astype(int)
+        mine = np.add.reduceat(shares, np.append(0, ends[:-1]), axis=1)
+        one = lambda items: pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
+        terms = pa.concat_arrays(known["term"].chunks)
+        sums = sums_by(at, shares, len(terms))
+        return pa.table({"block": own["block"][:1], "mine": one(pa.array(mine.ravel())), "terms": one(terms), "added": one(sums)})
+
+    schema = "block int, mine array<double>, terms array<string>, added array<array<double>>"
+    even = blocks.select(F.explode("terms").alias("term")).distinct().select("term", F.array().cast("array<double>").alias("weights"))
+    step = written(on_blocks(blocks, even, begun, schema, "ends", "at", "n", "hashes"), "topic-step")
+    terms = written(added_counts(step, topics), "topic-counts")
+    size = terms.count()
+    for _ in range(iterations):
+        totals = topic_totals(terms, topics)
+        weights = term_weights(terms, totals, size, 1 + more)
+        new = written(on_blocks(blocks, weights, turned, schema, "ends", "at", "n", state=step.select("block", "mine")), "topic-step")
+        counts = written(added_counts(new, topics), "topic-counts")
+        discard(step, terms)
+        step, terms = new, counts
+    discard(step, blocks)
+    return TopicModel(TopicFit(topic_totals(terms, topics), size, mixture, 1 + more), terms)
 
 
 def describe_topics(model: TopicModel, terms: int = 10) -> DataFrame:
     """(topic, rank, term, weight) of the heaviest terms of each topic."""
-    described = model.lda.describeTopics(terms)
-    listed = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("at", "t"))
-    heaviest = listed.select("topic", (F.col("at") + 1).alias("rank"), F.col("t.termIndices").alias("id"), F.col("t.termWeights").alias("weight"))
-    return heaviest.join(model.terms, "id").select("topic", "rank", "term", "weight")
+    total = F.get(F.array(*map(F.lit, model.lda.totals)), F.col("topic"))
+    each = model.terms.select("term", F.posexplode("counts").alias("topic", "n")).select("topic", "term", (F.col("n") / total).alias("weight"))
+    order = Window.partitionBy("topic").orderBy(F.desc("weight"), "term")
+    heaviest = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= terms)
+    return heaviest.select("topic", "rank", "term", "weight")
 
 
 def topic_lines(described: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 A model is a table (term, counts): how often each term stands for each topic,
 over all texts it has seen. It comes from a fitted LDA, is kept as Parquet, and
 meets texts in joins, so no vocabulary reaches the driver; only one number per
-topic does. A text is one group: its terms with their counts and weights.
+topic does. Texts are in blocks, each one group: its terms with their weights.
 """
 
 from __future__ import annotations
@@ -13,19 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.operators.language import TopicModel, topic_input
-from hearsay.session import fresh_folder
-from hearsay.sources.files import remove
-from hearsay.sources.scratch import written
+from hearsay.operators.language import TopicModel, added_counts, term_weights, topic_input, topic_totals
+from hearsay.operators.term_blocks import lists, numbers, on_blocks, sums_by, term_blocks
+from hearsay.sources.scratch import discard, written
 
-#: The terms' concentration of a model trained by expectation-maximisation, where none is given.
-TERM_CONCENTRATION = 1.1
 #: A text's mixture is refined until no share moves by more, or so often.
 TOLERANCE, ROUNDS = 1e-9, 200
+#: Texts are fitted together while they have about so many terms.
+FITTED_PAIRS = 1 << 13
 
 
 @dataclass
@@ -39,16 +37,8 @@ class TopicCounts:
 
     @classmethod
     def of(cls, model: TopicModel) -> "TopicCounts":
-        """The counts of a fitted model; the model is written to the shared folder for it, and read by its terms' rows."""
-        spark = model.terms.sparkSession
-        path = fresh_folder(spark, "topic-model")
-        model.lda.save(path)
-        # terms are the vertices -1, -2, ...; texts those from 0 on
-        rows = spark.read.parquet(f"{path}/oldModel/data/topicCounts").where("id < 0")
-        terms = rows.select((-F.col("id") - 1).alias("id"), vector_to_array("topicWeights").alias("counts"))
-        table = written(model.terms.join(terms, "id").select("term", "counts"), "topic-counts")
-        remove(spark, path)
-        return cls(table, _totals(table), model.lda.estimatedDocConcentration()[0], TERM_CONCENTRATION)
+        """The counts of a fitted model."""
+        return cls(model.terms, model.lda.totals, model.lda.mixture, model.lda.concentration)
 
     def save(self, path: str) -> None:
         """Write the terms, and in the same way the few numbers; not over another model."""
@@ -65,48 +55,52 @@ class TopicCounts:
 
     def weights(self) -> DataFrame:
         """(term, weights): the share of each term among a topic's terms, smoothed."""
-        more = self.concentration - 1
-        size = self.terms.count()
-        share = lambda n, k: (n + F.lit(more)) / (F.get(F.array(*map(F.lit, self.totals)), k) + F.lit(more * size))
-        return self.terms.select("term", F.transform("counts", share).alias("weights"))
-
-
-def _totals(terms: DataFrame) -> list[float]:
-    sums = terms.select(F.posexplode("counts").alias("topic", "n")).groupBy("topic").agg(F.sum("n").alias("n"))
-    return [r.n for r in sums.orderBy("topic").collect()]
-
-
-def _fitted(counts: np.ndarray, weights: np.ndarray, concentration: float) -> tuple[np.ndarray, np.ndarray]:
-    """A text's mixture, and how often each of its terms stands for each topic, from term counts and weights."""
-    k = weights.shape[1]
-    mixture = np.full(k, 1 / k)
-    for _ in range(ROUNDS):
-        shares = weights * mixture
-        shares *= (counts / shares.sum(axis=1))[:, None]
-        new = shares.sum(axis=0) + concentration - 1
-        new /= new.sum()
-        moved, mixture = np.abs(new - mixture).max(), new
-        if moved < TOLERANCE:
-            break
-    return mixture, shares
-
+        return term_weights(self.terms, self.totals, self.terms.count(), self.concentration)
 
-def _texts(tokens: DataFrame, model: TopicCounts, key: str) -> DataFrame:
-    """(key, terms): each text's known terms with counts and weights, in the order of the terms."""
-    rows = topic_input(tokens, key).join(model.weights(), "term")
-    term: Column = F.struct("term", "count", "weights")
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(term)).alias("terms"))
 
+def _fitted(n: np.ndarray, weights: np.ndarray, ends: np.ndarray, concentration: float) -> tuple[np.ndarray, np.ndarray]:
+    """(mixtures, shares) of the topics (rows) in texts, and how often each of their terms stands for each topic.
 
-def _each(batch: pa.RecordBatch, topics: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Terms, counts and weights of each text of (key, terms)."""
-    lists = batch.column(1)
-    offsets, flat = lists.offsets.to_numpy(), lists.values
-    counts = flat.field("count").to_numpy().astype(float)
-    weights = flat.field("weights").flatten() if hasattr(flat.field("weights"), "flatten") else flat.field("weights").values
-    weights = weights.to_numpy().reshape(-1, topics)
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        yield flat.field("term").slice(a, b - a), counts[a:b], weights[a:b]
+    From term counts and weights (topics, terms), text by text, each of which
+    has a term. A text that moves no more is left as it is.
+    """
+    topics, lengths = len(weights), np.diff(ends, prepend=0)
+    mixtures, shares_of = np.full((topics, len(ends)), 1 / topics), np.zeros(weights.shape)
+    left, pairs, now = np.arange(len(ends)), np.arange(len(n)), mixtures.copy()
+    for turn in range(ROUNDS):
+        shares = weights * np.repeat(now, lengths, axis=1)
+        shares *= n / shares.sum(axis=0)
+        new = np.add.reduceat(shares, np.cumsum(lengths) - lengths, axis=1) + concentration - 1
+        new /= new.sum(axis=0)
+        done, now = np.abs(new - now).max(axis=0) < TOLERANCE, new
+        if turn == ROUNDS - 1:
+            done[:] = True
+        if done.any():
+            ended, more = np.repeat(done, lengths), ~done
+            mixtures[:, left[done]], shares_of[:, pairs[ended]] = now[:, done], shares[:, ended]
+            left, pairs, now, lengths = left[more], pairs[~ended], now[:, more], lengths[more]
+            n, weights = n[~ended], weights[:, ~ended]
+        if not len(left):
+            break
+    return mixtures, shares_of
+
+
+def _each(known: pa.Table, own: pa.Table, topics: int, concentration: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, their mixtures, places of terms, their shares) of a block's texts that have a known term; places are rows of ``known``."""
+    ends, at, n = (numbers(own, c).astype(kind) for c, kind in (("ends", int), ("at", int), ("n", float)))
+    row = np.full(max(at.max(initial=0), known["i"].to_numpy().max(initial=0)) + 1, -1)
+    row[known["i"].to_numpy()] = np.arange(len(known))
+    at, text = row[at], np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    at, n, text = at[at >= 0], n[at >= 0], text[at >= 0]
+    weights = np.ascontiguousarray(numbers(known, "weights").reshape(-1, topics).T)
+    first = np.flatnonzero(np.diff(text, prepend=-1))  # of each text
+    bounds, begin = np.append(first, len(text)), 0
+    while begin < len(first):
+        end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + FITTED_PAIRS, side="right")) - 1)
+        some = slice(bounds[begin], bounds[end])
+        mixtures, shares = _fitted(n[some], weights[:, at[some]], bounds[begin + 1 : end + 1] - bounds[begin], concentration)
+        yield text[first[begin:end]], mixtures, at[some], shares
+        begin = end
 
 
 def topic_mixture(tokens: DataFrame, model: TopicCounts, key: str = "post_id") -> DataFrame:
@@ -114,12 +108,14 @@ def topic_mixture(tokens: DataFrame, model: TopicCounts, key: str = "post_id") -
     concentration, topics = model.mixture, len(model.totals)
     kind = tokens.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_fitted(n, w, concentration)[0].tolist() for _, n, w in _each(batch, topics)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=[key, "mixture"])
+    def run(known: pa.Table, own: pa.Table) -> pa.Table:
+        found = [(text, mixtures.T) for text, mixtures, _, _ in _each(known, own, topics, concentration)]
+        at = np.concatenate([text for text, _ in found] or [np.zeros(0, int)])
+        keys = pa.concat_arrays([c.flatten() for c in own["keys"].chunks]) if len(at) else pa.nulls(0, own["keys"].type.value_type)
+        return pa.table([keys.take(pa.array(at)), lists(np.concatenate([m for _, m in found] or [np.zeros((0, topics))]))], names=[key, "mixture"])
 
-    known = _texts(tokens, model, key).mapInArrow(run, f"`{key}` {kind}, mixture array<double>")
+    blocks = term_blocks(topic_input(tokens, key), key)
+    known = on_blocks(blocks, model.weights(), run, f"`{key}` {kind}, mixture array<double>", "keys", "ends", "at", "n")
     even = F.array(*[F.lit(1 / topics)] * topics)
     return tokens.select(key).distinct().join(known, key, "left").select(key, F.coalesce("mixture", even).alias("mixture"))
 
@@ -131,24 +127,26 @@ def continue_topics(tokens: DataFrame, model: TopicCounts, key: str = "post_id",
     with the counts of the step before.
     """
     topics = len(model.totals)
-    fresh = tokens.select(F.explode("tokens").alias("term")).distinct().join(model.terms, "term", "left_anti")
+    blocks = term_blocks(topic_input(tokens, key), key)
+    fresh = blocks.select(F.explode("terms").alias("term")).distinct().join(model.terms, "term", "left_anti")
     none = F.array_repeat(F.lit(0.0), topics)
     old = written(model.terms.unionByName(fresh.select("term", none.alias("counts"))), "topic-counts")
     now = TopicCounts(old, model.totals, model.mixture, model.concentration)
     concentration = model.mixture
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for terms, n, w in _each(batch, topics):
-                shares = _fitted(n, w, concentration)[1]
-                yield pa.RecordBatch.from_arrays([terms, pa.array(shares.tolist(), pa.list_(pa.float64()))], names=["term", "counts"])
+    def run(known: pa.Table, own: pa.Table) -> pa.Table:
+        found = [(at, shares) for _, _, at, shares in _each(known, own, topics, concentration)]
+        at, shares = (np.concatenate(x, axis=-1) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros((topics, 0)))
+        one = lambda items: pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
+        terms = pa.concat_arrays(known["term"].chunks) if len(known) else pa.array([], pa.string())
+        return pa.table({"terms": one(terms), "added": one(sums_by(at, shares, len(terms)))})
 
     for _ in range(steps):
-        each = _texts(tokens, now, key).mapInArrow(run, "term string, counts array<double>")
-        sums = [F.sum(F.get("counts", F.lit(k))) for k in range(topics)]
-        added = each.groupBy("term").agg(F.array(*sums).alias("added"))
+        each = on_blocks(blocks, now.weights(), run, "terms array<string>, added array<array<double>>", "ends", "at", "n")
+        added = added_counts(each, topics).withColumnRenamed("counts", "added")
         both = old.join(added, "term", "left")
         grown = F.when(F.col("added").isNull(), F.col("counts")).otherwise(F.zip_with("counts", "added", lambda a, b: a + b))
         terms = written(both.select("term", grown.alias("counts")), "topic-counts")
-        now = TopicCounts(terms, _totals(terms), model.mixture, model.concentration)
+        now = TopicCounts(terms, topic_totals(terms, topics), model.mixture, model.concentration)
+    discard(blocks)
     return now
