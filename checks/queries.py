@@ -372,17 +372,18 @@ def topic_model_input(spark, sf_dir):
     return language.topic_input(language.topic_tokens(docs, "text", "doc_id"), "doc_id")
 
 
-_models: dict[tuple[str, str], language.TopicModel] = {}
+_models: dict[tuple[str, str], tuple[language.TopicModel, DataFrame, DataFrame]] = {}
 
 
 def _topics(spark, sf_dir):
-    """The model of the documents, fitted once per session and folder, and their tokens."""
-    docs = derived.table(spark, sf_dir, "documents")
-    tokens = language.topic_tokens(docs, "text", "doc_id")
+    """The model of the documents, fitted once per session and folder, and their tokens and blocks, written once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
-        _models[key] = language.topic_model(tokens, iterations=10, key="doc_id")
-    return _models[key], tokens
+        docs = derived.table(spark, sf_dir, "documents")
+        tokens = written(language.topic_tokens(docs, "text", "doc_id"), "topic-tokens")
+        blocks = language.topic_blocks(tokens, "doc_id")
+        _models[key] = language.topic_model(tokens, iterations=10, key="doc_id", blocks=blocks), tokens, blocks
+    return _models[key]
 
 
 def topic_model(spark, sf_dir):
@@ -391,11 +392,11 @@ def topic_model(spark, sf_dir):
 
 def topic_of_posts(spark, sf_dir):
     """Each document's topics by the stored model: shares add up to 1, and are the same when it is read again."""
-    model, tokens = _topics(spark, sf_dir)
+    model, tokens, blocks = _topics(spark, sf_dir)
     counts, path = topics.TopicCounts.of(model), fresh_folder(spark, "topics")
     counts.save(path)
-    found = topics.topic_mixture(tokens, counts, "doc_id")
-    again = topics.topic_mixture(tokens, topics.TopicCounts.load(spark, path), "doc_id")
+    found = topics.topic_mixture(tokens, counts, "doc_id", blocks)
+    again = topics.topic_mixture(tokens, topics.TopicCounts.load(spark, path), "doc_id", blocks)
     total = F.aggregate("mixture", F.lit(0.0), lambda a, x: a + x)
     return found.join(again.withColumnRenamed("mixture", "again"), "doc_id").select(
         "doc_id",
@@ -408,7 +409,7 @@ def topic_of_posts(spark, sf_dir):
 
 def topic_model_fit(spark, sf_dir):
     """Each topic's heaviest terms are terms of the documents, with falling weights between 0 and 1."""
-    model, tokens = _topics(spark, sf_dir)
+    model, tokens, _ = _topics(spark, sf_dir)
     described = language.describe_topics(model)
     terms = tokens.select(F.explode("tokens").alias("term")).distinct().withColumn("known", F.lit(True))
     before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))

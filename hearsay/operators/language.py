@@ -8,12 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import entity_tokens, letter_tokens, slices, words
 from hearsay.operators.rankings import top
-from hearsay.operators.term_blocks import numbers, on_blocks, sums_by, term_blocks
+from hearsay.operators.term_blocks import lists, numbers, term_blocks, term_parts
 from hearsay.schema import STOPWORDS
 from hearsay.sources.lookups import MAX_LITERAL_ROWS, small_rows
 from hearsay.sources.scratch import discard, written
@@ -203,6 +204,11 @@ def topic_input(tokens: DataFrame, key: str = "post_id") -> DataFrame:
     return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("count"))
 
 
+def topic_blocks(tokens: DataFrame, key: str = "post_id") -> DataFrame:
+    """:func:`topic_input` in blocks of texts, as a written table."""
+    return term_blocks(topic_input(tokens, key), key)
+
+
 #: The terms' concentration of a model trained by expectation-maximisation, where none is given.
 TERM_CONCENTRATION = 1.1
 
@@ -247,55 +253,95 @@ def added_counts(rows: DataFrame, topics: int) -> DataFrame:
 
 
 def topic_model(
-    tokens: DataFrame, topics: int = 3, seed: int = 42, iterations: int = 20, key: str = "post_id"
+    tokens: DataFrame, topics: int = 3, seed: int = 42, iterations: int = 20, key: str = "post_id", blocks: DataFrame | None = None
 ) -> TopicModel:
     """Topics of all texts over all terms, by expectation-maximisation.
 
     The steps are those of Spark's LDA with its optimizer ``em``: how often each
     term and each text stand for each topic begins at random and gets better by
-    turns. Texts are in blocks (:mod:`term_blocks`); in each turn the terms meet
-    the blocks in a join, a block is one group, and what it adds to its terms is
-    summed. No vocabulary reaches the driver, and no task holds more than a block.
-    Tables of a turn are removed with the next.
+    turns. Texts are in blocks and terms in parts (:mod:`term_blocks`). In a turn
+    each part sums what the blocks add to its terms and sends every block the
+    weights of those it holds; then each block fits its texts. No vocabulary
+    reaches the driver, and no task holds more than a block or a part. Tables of a
+    turn are removed with the next. ``blocks`` are those of the texts, where
+    :func:`topic_blocks` has made them before.
     """
-    blocks = term_blocks(topic_input(tokens, key), key)
+    own_blocks = blocks is None
+    blocks = topic_blocks(tokens, key) if own_blocks else blocks
+    parts = term_parts(blocks)
+    size = parts.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).first().n
     mixture, more = 50 / topics + 1, TERM_CONCENTRATION - 1
     spread = np.random.default_rng(seed).integers(0, 1 << 63, topics, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def begun(known: pa.Table, own: pa.Table) -> pa.Table:
-        hashes = numbers(own, "hashes").astype(np.int64).view(np.uint64)
-        shares = ((hashes * spread[:, None]) >> np.uint64(11)) + 0.5
-        return added(known, own, shares * (numbers(own, "n") / shares.sum(axis=0)))
-
-    def turned(known: pa.Table, own: pa.Table) -> pa.Table:
-        ends, at = numbers(own, "ends").astype(int), numbers(own, "at").astype(int)
-        weights = numbers(known, "weights").reshape(-1, topics).T
-        mine = numbers(own, "mine").reshape(topics, -1) + (mixture - 1)
-        shares = weights[:, at] * np.repeat(mine, np.diff(ends, prepend=0), axis=1)
-        return added(known, own, shares * (numbers(own, "n") / shares.sum(axis=0)))
-
-    def added(known: pa.Table, own: pa.Table, shares: np.ndarray) -> pa.Table:
-        ends, at = numbers(own, "ends").astype(int), numbers(own, "at").astype(int)
+    def fitted(ways: pa.Table, own: pa.Table) -> pa.Table:
+        ends, at, n = (numbers(own, c).astype(kind) for c, kind in (("ends", int), ("at", int), ("n", float)))
+        places = [np.array(p) for p in ways["places"].to_numpy()]
+        if "weights" in ways.column_names:
+            weights = np.empty((topics, sum(map(len, places))))
+            for p, w in zip(places, ways["weights"].to_numpy()):
+                weights[:, p] = np.array(w).reshape(topics, -1)
+            mine = numbers(own, "mine").reshape(topics, -1) + (mixture - 1)
+            shares = weights[:, at] * np.repeat(mine, np.diff(ends, prepend=0), axis=1)
+        else:
+            hashes = numbers(own, "hashes").astype(np.int64).view(np.uint64)
+            shares = ((hashes * spread[:, None]) >> np.uint64(11)) + 0.5
+        shares *= n / shares.sum(axis=0)
         mine = np.add.reduceat(shares, np.append(0, ends[:-1]), axis=1)
-        one = lambda items: pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
-        terms = pa.concat_arrays(known["term"].chunks)
-        sums = sums_by(at, shares, len(terms))
-        return pa.table({"block": own["block"][:1], "mine": one(pa.array(mine.ravel())), "terms": one(terms), "added": one(sums)})
-
-    schema = "block int, mine array<double>, terms array<string>, added array<array<double>>"
-    even = blocks.select(F.explode("terms").alias("term")).distinct().select("term", F.array().cast("array<double>").alias("weights"))
-    step = written(on_blocks(blocks, even, begun, schema, "ends", "at", "n", "hashes"), "topic-step")
-    terms = written(added_counts(step, topics), "topic-counts")
-    size = terms.count()
+        sums = np.stack([np.bincount(at, weights=s) for s in shares])
+        added = [*(sums[:, p].ravel() for p in places), shares.sum(axis=1)]
+        many = lambda rows: pa.array(rows, pa.list_(pa.float64()))
+        block = pa.array(own["block"][:1].to_pylist() * len(added), pa.int32())
+        part = pa.array([*ways["part"].to_pylist(), None], pa.int32())
+        return pa.table({"block": block, "part": part, "added": many(added), "mine": many([None] * len(places) + [mine.ravel()])})
+
+    def summed(given: pa.Table, ways: pa.Table) -> tuple[np.ndarray, pa.Table, dict[int, np.ndarray]]:
+        of_blocks = ways.filter(pc.is_valid(ways["block"]))
+        at = {b: np.array(a) for b, a in zip(of_blocks["block"].to_pylist(), of_blocks["at"].to_numpy())}
+        counts = np.zeros((topics, len(ways.filter(pc.is_null(ways["block"]))["terms"][0])))
+        given = given.sort_by("block")
+        for b, added in zip(given["block"].to_pylist(), given["added"].to_numpy()):
+            counts[:, at[b]] += np.array(added).reshape(topics, -1)
+        return counts, of_blocks, at
+
+    def sender(totals: list[float]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        smoothed = np.array(totals)[:, None] + more * size
+
+        def sent(given: pa.Table, ways: pa.Table) -> pa.Table:
+            counts, of_blocks, at = summed(given, ways)
+            weights = (counts + more) / smoothed
+            each = pa.array([weights[:, at[b]].ravel() for b in of_blocks["block"].to_pylist()], pa.list_(pa.float64()))
+            return of_blocks.select(["block", "part", "places"]).append_column("weights", each)
+
+        return sent
+
+    def listed(given: pa.Table, ways: pa.Table) -> pa.Table:
+        terms = ways.filter(pc.is_null(ways["block"]))["terms"].combine_chunks().flatten()
+        return pa.table({"term": terms, "counts": lists(summed(given, ways)[0].T)})
+
+    def turn(ways: DataFrame, *columns: str, state: DataFrame | None = None) -> DataFrame:
+        own = blocks.select("block", "ends", "at", "n", *columns)
+        own = own.unionByName(state, allowMissingColumns=True) if state is not None else own
+        both = ways.groupBy("block").cogroup(own.toDF(*own.columns).groupBy("block"))
+        return written(both.applyInArrow(fitted, "block int, part int, added array<double>, mine array<double>"), "topic-step")
+
+    def at_parts(run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        given = step.where("part is not null").select("block", "part", "added")
+        return given.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(run, schema)
+
+    def totals() -> list[float]:
+        sums = [F.coalesce(F.sum(F.get("added", F.lit(k))), F.lit(0.0)) for k in range(topics)]
+        return step.where("part is null").agg(F.array(*sums).alias("n")).first().n
+
+    step = turn(parts.where("block is not null").select("block", "part", "places"), "hashes")
     for _ in range(iterations):
-        totals = topic_totals(terms, topics)
-        weights = term_weights(terms, totals, size, 1 + more)
-        new = written(on_blocks(blocks, weights, turned, schema, "ends", "at", "n", state=step.select("block", "mine")), "topic-step")
-        counts = written(added_counts(new, topics), "topic-counts")
-        discard(step, terms)
-        step, terms = new, counts
-    discard(step, blocks)
-    return TopicModel(TopicFit(topic_totals(terms, topics), size, mixture, 1 + more), terms)
+        ways = at_parts(sender(totals()), "block int, part int, places array<int>, weights array<double>")
+        new = turn(ways, state=step.where("mine is not null").select("block", "mine"))
+        discard(step)
+        step = new
+    terms = written(at_parts(listed, "term string, counts array<double>"), "topic-counts")
+    fit = TopicFit(totals(), size, mixture, 1 + more)
+    discard(step, parts, *([blocks] if own_blocks else []))
+    return TopicModel(fit, terms)
 
 
 def describe_topics(model: TopicModel, terms: int = 10) -> DataFrame:

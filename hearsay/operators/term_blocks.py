@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from hearsay.sources.scratch import discard, written
 
-#: Pairs of a text and a term in a block, about.
-BLOCK_PAIRS = 1 << 17
+#: Pairs of a text and a term in a block, and of a block and a term in a part of the terms, about.
+BLOCK_PAIRS = 1 << 18
+PART_PAIRS = 1 << 18
 
 
 def term_blocks(counts: DataFrame, key: str) -> DataFrame:
@@ -61,18 +62,41 @@ def _packed(table: pa.Table) -> pa.Table:
     )
 
 
-def on_blocks(
-    blocks: DataFrame, weights: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *columns: str, state: DataFrame | None = None
-) -> DataFrame:
-    """``run`` over each block: its terms that have weights, (i, term, weights) in order of i, and its row or rows of ``columns``.
+def term_parts(blocks: DataFrame) -> DataFrame:
+    """(part, block, places, at, terms): the terms of all blocks in parts, as a written table.
 
-    ``state`` has more rows of the blocks, with other columns; what a row lacks is null.
+    A part has one row with its distinct ``terms`` in order and without a block,
+    and one for each block that holds some: their ``places`` there and, likewise, ``at`` here.
     """
+    rows = blocks.select("block", F.posexplode("terms").alias("i", "term"))
+    number = max(1, math.ceil((blocks.agg(F.sum(F.size("terms"))).first()[0] or 0) / PART_PAIRS))
+    rows = rows.select(F.pmod(F.xxhash64("term"), F.lit(number)).cast("int").alias("part"), "block", "i", "term")
+    schema = "part int, block int, places array<int>, at array<int>, terms array<string>"
+    return written(rows.groupBy("part").applyInArrow(_parted, schema), "term-parts")
+
+
+def _parted(table: pa.Table) -> pa.Table:
+    terms = pa.concat_arrays(table["term"].chunks).dictionary_encode()
+    in_order = pc.sort_indices(terms.dictionary)
+    rank = np.empty(len(in_order), np.int32)
+    rank[in_order.to_numpy()] = np.arange(len(in_order), dtype=np.int32)
+    block, i = table["block"].to_numpy(), table["i"].to_numpy()
+    order = np.lexsort((i, block))
+    found, first = np.unique(block[order], return_index=True)
+    bounds = pa.array([*first, len(order), len(order)], pa.int32())
+    held = lambda v: pa.ListArray.from_arrays(bounds, pa.array(v[order].astype(np.int32)))
+    own = pa.ListArray.from_arrays(pa.array([0] * (len(found) + 1) + [len(in_order)], pa.int32()), terms.dictionary.take(in_order))
+    blocks = pa.array([*found.tolist(), None], pa.int32())
+    parts = pa.array([table["part"][0].as_py()] * len(blocks), pa.int32())
+    return pa.table({"part": parts, "block": blocks, "places": held(i), "at": held(rank[terms.indices.to_numpy()]), "terms": own})
+
+
+def on_blocks(
+    blocks: DataFrame, weights: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *columns: str
+) -> DataFrame:
+    """``run`` over each block: its terms that have weights, (i, term, weights) in order of i, and its row of ``columns``."""
     terms = blocks.select("block", F.posexplode("terms").alias("i", "term")).join(weights, "term").select("block", "i", "term", "weights")
-    rows = blocks.select("block", *columns)
-    if state is not None:
-        rows = rows.unionByName(state, allowMissingColumns=True)
-    rows = rows.toDF(*rows.columns)  # its own columns: both sides come from one table
+    rows = blocks.select("block", *columns).toDF("block", *columns)  # its own columns: both sides come from one table
     ordered = lambda known, own: run(known.sort_by("i"), own)
     return terms.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(ordered, schema)
 

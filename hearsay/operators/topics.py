@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.operators.language import TopicModel, added_counts, term_weights, topic_input, topic_totals
-from hearsay.operators.term_blocks import lists, numbers, on_blocks, sums_by, term_blocks
+from hearsay.operators.language import TopicModel, added_counts, term_weights, topic_blocks, topic_totals
+from hearsay.operators.term_blocks import lists, numbers, on_blocks, sums_by
 from hearsay.sources.scratch import discard, written
 
 #: A text's mixture is refined until no share moves by more, or so often.
@@ -103,8 +103,11 @@ def _each(known: pa.Table, own: pa.Table, topics: int, concentration: float) ->
         begin = end
 
 
-def topic_mixture(tokens: DataFrame, model: TopicCounts, key: str = "post_id") -> DataFrame:
-    """(key, mixture): the share of each topic in each text of (key, tokens); even shares without a known term."""
+def topic_mixture(tokens: DataFrame, model: TopicCounts, key: str = "post_id", blocks: DataFrame | None = None) -> DataFrame:
+    """(key, mixture): the share of each topic in each text of (key, tokens); even shares without a known term.
+
+    ``blocks`` are those of the texts, where :func:`language.topic_blocks` has made them before.
+    """
     concentration, topics = model.mixture, len(model.totals)
     kind = tokens.schema[key].dataType.simpleString()
 
@@ -114,7 +117,7 @@ def topic_mixture(tokens: DataFrame, model: TopicCounts, key: str = "post_id") -
         keys = pa.concat_arrays([c.flatten() for c in own["keys"].chunks]) if len(at) else pa.nulls(0, own["keys"].type.value_type)
         return pa.table([keys.take(pa.array(at)), lists(np.concatenate([m for _, m in found] or [np.zeros((0, topics))]))], names=[key, "mixture"])
 
-    blocks = term_blocks(topic_input(tokens, key), key)
+    blocks = topic_blocks(tokens, key) if blocks is None else blocks
     known = on_blocks(blocks, model.weights(), run, f"`{key}` {kind}, mixture array<double>", "keys", "ends", "at", "n")
     even = F.array(*[F.lit(1 / topics)] * topics)
     return tokens.select(key).distinct().join(known, key, "left").select(key, F.coalesce("mixture", even).alias("mixture"))
@@ -127,7 +130,7 @@ def continue_topics(tokens: DataFrame, model: TopicCounts, key: str = "post_id",
     with the counts of the step before.
     """
     topics = len(model.totals)
-    blocks = term_blocks(topic_input(tokens, key), key)
+    blocks = topic_blocks(tokens, key)
     fresh = blocks.select(F.explode("terms").alias("term")).distinct().join(model.terms, "term", "left_anti")
     none = F.array_repeat(F.lit(0.0), topics)
     old = written(model.terms.unionByName(fresh.select("term", none.alias("counts"))), "topic-counts")

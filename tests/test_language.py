@@ -200,3 +200,38 @@ def test_joined_entities_leave_few_candidates(spark):
     found = Counter(r.ngram for r in grams.collect())
     assert sum(found.values()) < 12 and not want - found
     assert {r.entity: r["count"] for r in l.entity_counts(posts, known, literal_rows=0).collect()} == want
+
+
+def test_topic_model_is_the_same_in_blocks_of_any_size(spark, monkeypatch):
+    """Expectation-maximisation over many blocks and parts gives what plain loops give from the same start."""
+    import numpy as np
+
+    from hearsay.operators import term_blocks, topics
+
+    rng = np.random.default_rng(3)
+    rows = [[f"w{i}" for i in rng.integers(0, 30, n)] for n in rng.integers(1, 25, 40)]
+    tokens = topic_words(spark, rows)
+    pairs = l.topic_input(tokens).select("post_id", "term", "count", F.xxhash64("post_id", "term").alias("h")).collect()
+    spread = np.random.default_rng(42).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    start = np.array([r.h for r in pairs]).view(np.uint64)[:, None] * spread >> np.uint64(11)
+    shares = {(r.post_id, r.term): np.array([float(x) + 0.5 for x in s]) for r, s in zip(pairs, start)}
+    for turn in range(4):
+        of_text, of_term = Counter(), Counter()
+        for r in pairs:
+            g = shares[r.post_id, r.term]
+            of_text[r.post_id] = of_text[r.post_id] + g / g.sum() * r["count"]
+            of_term[r.term] = of_term[r.term] + g / g.sum() * r["count"]
+        total = sum(of_term.values())
+        for r in pairs:
+            shares[r.post_id, r.term] = (of_term[r.term] + 0.1) * (of_text[r.post_id] + 50 / 2) / (total + 0.1 * len(of_term))
+    mixtures = []
+    for size in (1 << 18, 13):
+        monkeypatch.setattr(term_blocks, "BLOCK_PAIRS", size)
+        monkeypatch.setattr(term_blocks, "PART_PAIRS", size)
+        model = l.topic_model(tokens, topics=2, iterations=3)
+        got = {r.term: r.counts for r in model.terms.collect()}
+        assert set(got) == set(of_term) and np.allclose([got[t] for t in of_term], [of_term[t] for t in of_term])
+        assert np.allclose(model.lda.totals, total)
+        mixtures.append({r.post_id: r.mixture for r in topics.topic_mixture(tokens, topics.TopicCounts.of(model)).collect()})
+    assert mixtures[0].keys() == mixtures[1].keys() == {f"p{i}" for i in range(40)}
+    assert all(np.allclose(mixtures[0][k], mixtures[1][k]) for k in mixtures[0])
