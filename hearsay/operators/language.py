@@ -205,8 +205,8 @@ def topic_input(tokens: DataFrame, key: str = "post_id") -> DataFrame:
 
 
 def topic_blocks(tokens: DataFrame, key: str = "post_id") -> DataFrame:
-    """:func:`topic_input` in blocks of texts, as a written table."""
-    return term_blocks(topic_input(tokens, key), key)
+    """The counts of :func:`topic_input` in blocks of texts, as a written table."""
+    return term_blocks(tokens, key)
 
 
 #: The terms' concentration of a model trained by expectation-maximisation, where none is given.
@@ -271,7 +271,7 @@ def topic_model(
     parts = term_parts(blocks)
     size = parts.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).first().n
     mixture, more = 50 / topics + 1, TERM_CONCENTRATION - 1
-    spread = np.random.default_rng(seed).integers(0, 1 << 63, topics, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    spread = np.random.default_rng(seed).integers(0, 1 << 63, topics + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def fitted(ways: pa.Table, own: pa.Table) -> pa.Table:
         ends, at, n = (numbers(own, c).astype(kind) for c, kind in (("ends", int), ("at", int), ("n", float)))
@@ -283,8 +283,10 @@ def topic_model(
             mine = numbers(own, "mine").reshape(topics, -1) + (mixture - 1)
             shares = weights[:, at] * np.repeat(mine, np.diff(ends, prepend=0), axis=1)
         else:
-            hashes = numbers(own, "hashes").astype(np.int64).view(np.uint64)
-            shares = ((hashes * spread[:, None]) >> np.uint64(11)) + 0.5
+            of_text, of_term = (numbers(own, c).astype(np.int64).view(np.uint64) for c in ("key_hashes", "term_hashes"))
+            hashes = np.repeat(of_text, np.diff(ends, prepend=0)) ^ (of_term[at] * spread[0])
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * spread[1:, None]
+            shares = ((hashes ^ (hashes >> np.uint64(29))) >> np.uint64(11)) + 0.5
         shares *= n / shares.sum(axis=0)
         mine = np.add.reduceat(shares, np.append(0, ends[:-1]), axis=1)
         sums = np.stack([np.bincount(at, weights=s) for s in shares])
@@ -318,7 +320,7 @@ def topic_model(
         terms = ways.filter(pc.is_null(ways["block"]))["terms"].combine_chunks().flatten()
         return pa.table({"term": terms, "counts": lists(summed(given, ways)[0].T)})
 
-    def turn(ways: DataFrame, *columns: str, state: DataFrame | None = None) -> DataFrame:
+    def turn(ways: DataFrame, *columns: Column, state: DataFrame | None = None) -> DataFrame:
         own = blocks.select("block", "ends", "at", "n", *columns)
         own = own.unionByName(state, allowMissingColumns=True) if state is not None else own
         both = ways.groupBy("block").cogroup(own.toDF(*own.columns).groupBy("block"))
@@ -332,7 +334,8 @@ def topic_model(
         sums = [F.coalesce(F.sum(F.get("added", F.lit(k))), F.lit(0.0)) for k in range(topics)]
         return step.where("part is null").agg(F.array(*sums).alias("n")).first().n
 
-    step = turn(parts.where("block is not null").select("block", "part", "places"), "hashes")
+    hashes = [F.transform(c, lambda x: F.xxhash64(x)).alias(name) for c, name in (("keys", "key_hashes"), ("terms", "term_hashes"))]
+    step = turn(parts.where("block is not null").select("block", "part", "places"), *hashes)
     for _ in range(iterations):
         ways = at_parts(sender(totals()), "block int, part int, places array<int>, weights array<double>")
         new = turn(ways, state=step.where("mine is not null").select("block", "mine"))

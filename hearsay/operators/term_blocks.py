@@ -15,30 +15,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.sources.scratch import discard, written
+from hearsay.sources.scratch import written
 
-#: Pairs of a text and a term in a block, and of a block and a term in a part of the terms, about.
-BLOCK_PAIRS = 1 << 18
+#: Tokens in a block, and pairs of a block and a term in a part of the terms, about.
+BLOCK_TOKENS = 1 << 19
 PART_PAIRS = 1 << 18
 
 
-def term_blocks(counts: DataFrame, key: str) -> DataFrame:
-    """(block, keys, ends, terms, at, n, hashes) of (key, term, count), as a written table.
+def term_blocks(tokens: DataFrame, key: str) -> DataFrame:
+    """(block, keys, ends, terms, at, n): how often each text of (key, tokens) holds each term, as a written table.
 
-    ``keys`` are the texts, ``terms`` the distinct terms in order; ``at`` (place
-    in ``terms``), ``n`` (count) and ``hashes`` have one item per text and term,
-    text by text, and ``ends`` tells where each text ends.
+    ``keys`` are the texts (rows with one key are one text), ``terms`` the distinct
+    terms in order; ``at`` (place in ``terms``) and ``n`` (count) have one item per
+    text and term, text by text, and ``ends`` tells where each text ends. Tokens
+    are shuffled as they are, one row per text, and counted in their block.
     """
-    kind = counts.schema[key].dataType.simpleString()
-    pairs = written(counts.where("term is not null"), "term-counts")
-    number = max(1, math.ceil(pairs.count() / BLOCK_PAIRS))
-    rows = pairs.select(
-        F.pmod(F.xxhash64(key), F.lit(number)).cast("int").alias("block"), F.col(key).alias("key"), "term", "count", F.xxhash64(key, "term").alias("hash")
-    )
-    schema = f"block int, keys array<{kind}>, ends array<int>, terms array<string>, at array<int>, n array<double>, hashes array<bigint>"
-    blocks = written(rows.groupBy("block").applyInArrow(_packed, schema), "term-blocks")
-    discard(pairs)
-    return blocks
+    kind = tokens.schema[key].dataType.simpleString()
+    rows = tokens.select(F.col(key).alias("key"), F.filter("tokens", lambda t: t.isNotNull()).alias("tokens")).where("size(tokens) > 0")
+    number = max(1, math.ceil((rows.agg(F.sum(F.size("tokens"))).first()[0] or 0) / BLOCK_TOKENS))
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(number)).cast("int").alias("block"), "key", "tokens")
+    schema = f"block int, keys array<{kind}>, ends array<int>, terms array<string>, at array<int>, n array<double>"
+    return written(rows.groupBy("block").applyInArrow(_packed, schema), "term-blocks")
 
 
 def _row(**columns: object) -> pa.Table:
@@ -48,17 +45,18 @@ def _row(**columns: object) -> pa.Table:
 
 
 def _packed(table: pa.Table) -> pa.Table:
-    whole = lambda name: pa.concat_arrays(table[name].chunks)
-    keys, terms = whole("key").dictionary_encode(null_encoding="encode"), whole("term").dictionary_encode()
-    in_order = pc.sort_indices(terms.dictionary)
-    rank = np.empty(len(in_order), np.int32)
-    rank[in_order.to_numpy()] = np.arange(len(in_order), dtype=np.int32)
-    text, at = keys.indices.to_numpy(), rank[terms.indices.to_numpy()]
-    order = np.lexsort((at, text))
-    ends = np.cumsum(np.bincount(text, minlength=len(keys.dictionary))).astype(np.int32)
+    keys = pa.concat_arrays(table["key"].chunks).dictionary_encode(null_encoding="encode")
+    lengths = pc.list_value_length(table["tokens"]).to_numpy()
+    tokens = pa.concat_arrays([c.flatten() for c in table["tokens"].chunks]).dictionary_encode()
+    in_order = pc.sort_indices(tokens.dictionary)
+    rank = np.empty(len(in_order), np.int64)
+    rank[in_order.to_numpy()] = np.arange(len(in_order))
+    pairs = np.repeat(keys.indices.to_numpy().astype(np.int64), lengths) * len(in_order) + rank[tokens.indices.to_numpy()]
+    pairs, n = np.unique(pairs, return_counts=True)
+    ends = np.cumsum(np.bincount(pairs // len(in_order), minlength=len(keys.dictionary))).astype(np.int32)
     return _row(
-        block=table["block"][0].as_py(), keys=keys.dictionary, ends=ends, terms=terms.dictionary.take(in_order), at=at[order],
-        n=whole("count").to_numpy()[order].astype(float), hashes=whole("hash").to_numpy()[order],
+        block=table["block"][0].as_py(), keys=keys.dictionary, ends=ends, terms=tokens.dictionary.take(in_order),
+        at=(pairs % len(in_order)).astype(np.int32), n=n.astype(float),
     )
 
 

@@ -211,10 +211,13 @@ def test_topic_model_is_the_same_in_blocks_of_any_size(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [[f"w{i}" for i in rng.integers(0, 30, n)] for n in rng.integers(1, 25, 40)]
     tokens = topic_words(spark, rows)
-    pairs = l.topic_input(tokens).select("post_id", "term", "count", F.xxhash64("post_id", "term").alias("h")).collect()
-    spread = np.random.default_rng(42).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    start = np.array([r.h for r in pairs]).view(np.uint64)[:, None] * spread >> np.uint64(11)
-    shares = {(r.post_id, r.term): np.array([float(x) + 0.5 for x in s]) for r, s in zip(pairs, start)}
+    pairs = l.topic_input(tokens).select("post_id", "term", "count", F.xxhash64("post_id").alias("p"), F.xxhash64("term").alias("t")).collect()
+    spread = np.random.default_rng(42).integers(0, 1 << 63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    p, t = (np.array([r[c] for r in pairs]).view(np.uint64) for c in "pt")
+    start = p ^ (t * spread[0])
+    start = (start ^ (start >> np.uint64(31)))[:, None] * spread[1:]
+    start = (start ^ (start >> np.uint64(29))) >> np.uint64(11)
+    shares = {(r.post_id, r.term): s + 0.5 for r, s in zip(pairs, start)}
     for turn in range(4):
         of_text, of_term = Counter(), Counter()
         for r in pairs:
@@ -226,7 +229,7 @@ def test_topic_model_is_the_same_in_blocks_of_any_size(spark, monkeypatch):
             shares[r.post_id, r.term] = (of_term[r.term] + 0.1) * (of_text[r.post_id] + 50 / 2) / (total + 0.1 * len(of_term))
     mixtures = []
     for size in (1 << 18, 13):
-        monkeypatch.setattr(term_blocks, "BLOCK_PAIRS", size)
+        monkeypatch.setattr(term_blocks, "BLOCK_TOKENS", size)
         monkeypatch.setattr(term_blocks, "PART_PAIRS", size)
         model = l.topic_model(tokens, topics=2, iterations=3)
         got = {r.term: r.counts for r in model.terms.collect()}
