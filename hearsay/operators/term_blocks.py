@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from hearsay.sources.scratch import written
 
 #: Tokens in a block, and pairs of a block and a term in a part of the terms, about.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 21
 PART_PAIRS = 1 << 18
 
 
